@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Multipliers of the 64-bit mixing functions; any odd constants with well spread bits do.
@@ -65,7 +66,7 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
     """Cut batches so that each slice holds about most_bytes of text (a longer text comes alone)."""
     for batch in batches:
         at, size = 0, 0
-        lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         for i, n in enumerate(lengths):
             if size and size + n > most_bytes:
                 yield batch.slice(at, i - at)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .repeats import op7_suffix_array_dedup
+from .simhash import op3_simhash_near_dedup
 from .tokens import op2_token_counts
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
