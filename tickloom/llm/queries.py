@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .decontaminate import op6_benchmark_decontamination
+from .lines import OP10_SQL, op10_line_dedup
 from .repeats import op7_suffix_array_dedup
 from .simhash import op3_simhash_near_dedup
 from .tokens import op2_token_counts
@@ -9,7 +11,9 @@ from .tokens import op2_token_counts
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_line_dedup": OP10_SQL}
