@@ -90,17 +90,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same by brute force: every block of 1, 2, 4, ... lines as a string.
 OP10_SQL = rf"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
-level AS (SELECT CAST(pow(2, j) AS BIGINT) AS n FROM range(0, 20) t(j)),
+size AS (SELECT CAST(pow(2, j) AS BIGINT) AS n FROM range(0, 20) t(j)),
 block AS (
-  SELECT doc_id, at, n, array_to_string(lines[at + 1 : at + n], chr(10)) AS body
-  FROM (SELECT doc_id, lines, n, unnest(range(0, len(lines) - n + 1)) AS at FROM d, level WHERE n <= len(lines))),
-first AS (SELECT n, body, min((doc_id, at)) AS place, count(*) AS times FROM block GROUP BY n, body HAVING count(*) > 1),
+  SELECT doc_id, pos, n, array_to_string(lines[pos + 1 : pos + n], chr(10)) AS body
+  FROM (SELECT doc_id, lines, n, unnest(range(0, len(lines) - n + 1)) AS pos FROM d, size WHERE n <= len(lines))),
+seen AS (SELECT n, body, min((doc_id, pos)) AS place, count(*) AS times FROM block GROUP BY n, body HAVING count(*) > 1),
 gone AS (
-  SELECT DISTINCT doc_id, unnest(range(at, at + n)) AS k
-  FROM block JOIN first USING (n, body)
-  WHERE (doc_id, at) <> place AND len(regexp_extract_all(body, '\S+')) >= {MIN_WORDS}),
-line AS (SELECT doc_id, unnest(range(0, len(lines))) AS k, unnest(lines) AS body FROM d)
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + n)) AS k
+  FROM block JOIN seen USING (n, body)
+  WHERE (doc_id, pos) <> place AND len(regexp_extract_all(body, '\S+')) >= {MIN_WORDS}),
+each AS (SELECT doc_id, unnest(range(0, len(lines))) AS k, unnest(lines) AS body FROM d)
 SELECT doc_id, coalesce(string_agg(body, chr(10) ORDER BY k) FILTER (WHERE gone.k IS NULL), '') AS text,
   count(*) AS n_lines, count(gone.k) AS n_removed
-FROM line LEFT JOIN gone USING (doc_id, k) GROUP BY doc_id
+FROM each LEFT JOIN gone USING (doc_id, k) GROUP BY doc_id
 """

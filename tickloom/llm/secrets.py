@@ -108,7 +108,7 @@ def candidates(docs: DataFrame, path: str) -> DataFrame:
     word = lambda k: F.coalesce(F.get("words", F.col("word_at") + k), F.lit(""))
     found = found.select("doc_id", "path", "word_at", word(0).alias("word"), F.concat_ws(" ", word(-2), word(-1)).alias("near"), word(1).alias("after"))
     found = found.withColumn("candidate", F.explode(F.regexp_extract_all("word", F.lit(CANDIDATE), 0)))
-    return found.withColumn("before", F.concat(F.col("near"), F.lit(" "), F.substring_index("word", F.col("candidate"), 1))).drop("word", "near")
+    return found.withColumn("before", F.concat(F.col("near"), F.lit(" "), F.substr("word", F.lit(1), F.position("candidate", "word") - 1))).drop("word", "near")
 
 
 def scan(docs: DataFrame, model: PipelineModel, path: str = "source", threshold: float = THRESHOLD) -> DataFrame:
