@@ -227,3 +227,20 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, words_each: int = 4) -> DataFrame:
+    """docs with one row of each near-duplicate component: the least doc_id's (nulls last, then by text).
+
+    Rows that are equal in doc_id and text count once. All columns pass through; docs is read twice.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    tagged = docs.withColumn("_row", F.xxhash64("doc_id", text))
+    prints = written(fingerprints(tagged.select(F.col("_row").alias("doc_id"), "text"), words_each).withColumnRenamed("doc_id", "_row"), "fingerprints")
+    ids = tagged.select("_row", "doc_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    nodes = written(prints.join(ids, "_row").groupBy("fp").agg(F.min(order).alias("least")), "nodes")
+    joined = components(links(nodes.select("fp"))).toDF("fp", "root")
+    kept = nodes.join(joined, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
+    kept = kept.select(F.col("least._row").alias("_row"))
+    return tagged.join(kept, "_row").dropDuplicates(["_row"]).drop("_row")
