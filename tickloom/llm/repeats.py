@@ -86,7 +86,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     edge[span[:, 3]] -= 1
     least[np.cumsum(edge[:-1], dtype=np.int8) == 0] = 0
     reached = _slide(least[::-1], REACH, np.maximum)[::-1]
-    a = np.flatnonzero(gram == reached)
+    a = np.flatnonzero((gram == reached) & (reached > 0))  # 0: no window starts near
     del gram, least, reached
     of = np.searchsorted(span[:, 0], a, "right") - 1
     position = a - span[of, 0] + span[of, 5]
