@@ -104,4 +104,4 @@ def query(name: str, oracle: str | None = None) -> Callable:
     return keep
 
 
-from . import queries_core, queries_events  # noqa: E402, F401
+from . import queries_core, queries_events, queries_more  # noqa: E402, F401
