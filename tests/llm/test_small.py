@@ -248,7 +248,7 @@ def test_mixing_is_a_probability(spark, none):
     assert rows[0]["base_score"] == pytest.approx(base) and rows[0]["n_known"] == len(words) + 1 and rows[0]["train_tokens"] == n
     assert rows[0]["score"] == rows[4]["score"] < 0 and rows[1]["n_known"] == 1 and rows[2]["n_tokens"] == 1 and rows[2]["score"] < 0
     assert rows[0]["bits_per_byte"] < 2.2 < rows[1]["bits_per_byte"]
-    mixer = mixing.Mixer(np.zeros(1 << mixing.TABLE_BITS, np.float32), np.zeros(1 << mixing.TABLE_BITS, np.float32))
+    mixer = mixing.Mixer(np.zeros(1 << mixing.TABLE_BITS, np.uint8), np.zeros(1 << mixing.TABLE_BITS, np.uint8))
     codes = np.arange(256, dtype=np.uint64) | np.uint64(0x6162636400)
     assert (10 ** mixer.log10(codes, np.zeros(256, np.uint64))).sum() == pytest.approx(1)
     assert mixing.score(none, none).count() == 0
