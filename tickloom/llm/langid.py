@@ -61,7 +61,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     """(lang, code, n) of all four-character windows of the whole texts of docs (text, lang)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text", 4 << 20):
+        for batch in sliced(batches, "text", 1 << 20):
             by: dict[str, list[str]] = {}
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 by.setdefault(lang, []).append(normalised(text))
@@ -111,7 +111,7 @@ class Model:
             self.grams[k], p = self._columns(grams, k, "code", "p", 0.0)
             code = self.codes
             below = np.full((1, len(self.langs)), 2.0**-UNSEEN_BITS) if k == 1 else self._p(code & np.uint64((1 << 16 * (k - 1)) - 1), k - 1)
-            self.values[k] = p + self._rest(code, k) * below
+            self.values[k] = (p + self._rest(code, k) * below).astype(np.float32)
 
     def _columns(self, rows: pa.Table, k: int, code: str, value: str, absent: float) -> tuple[HashArray, np.ndarray]:
         at = np.flatnonzero(rows["k"].to_numpy() == k)
@@ -171,7 +171,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for batch in sliced(batches, "text", 1 << 20):
+        for batch in sliced(batches, "text", 1 << 18):
             texts = [normalised(t) for t in batch.column("text").to_pylist()]
             letters = np.array([any(map(str.isalpha, set(t))) for t in texts], bool)
             texts = [t if ok else "" for t, ok in zip(texts, letters, strict=True)]

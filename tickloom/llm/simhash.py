@@ -33,7 +33,7 @@ BLOCK = 20_000
 #: A key is hot only if it also holds this share of the fingerprints, which bounds the hot keys.
 HOT_SHARE = 1 / 500
 #: Comparisons made at once.
-CHUNK = 4_000_000
+CHUNK = 500_000
 
 
 def fingerprints_of(texts: list[bytes], words_each: int) -> np.ndarray:
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, words_each: int = 4) -> DataFrame:
     """docs' rows as (doc_id, fp): fp is the fingerprint as a signed long. Null and wordless texts: 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", 1 << 20):
             fp = fingerprints_of(texts_of(batch.column("text")), words_each).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
