@@ -28,6 +28,8 @@ ORDER = 4
 LEAST_SHARE = 1 / (1 << 18)
 #: Bits of an unseen character.
 UNSEEN_BITS = 17
+#: Bits a character beyond the usual spread that a text of a known language may take: names, quotations, mixed text.
+MARGIN = 1.0
 UND = "und"
 _GAP = re.compile(r"[\W\d_]+")
 
@@ -205,14 +207,14 @@ def confidence() -> Column:
 
 def unlike(scored: DataFrame, training: Column) -> DataFrame:
     """scored with rejected: no letters, or more bits a character than the training texts of
-    that language explain: six spreads above their median, a spread being their own (MAD)
-    and that of a mean over so few characters (about 3 bits a character)."""
+    that language explain: MARGIN and six spreads above their median, a spread being their own
+    (MAD) and that of a mean over so few characters (about 3 bits a character)."""
     of = scored.where(training & F.col("entropy").isNotNull())
     middle = of.groupBy("lang_pred").agg(F.percentile_approx("entropy", 0.5, 1000).alias("med"))
     spread = of.join(F.broadcast(middle), "lang_pred")  # a row a language
     spread = spread.groupBy("lang_pred").agg(F.first("med").alias("med"), F.percentile_approx(F.abs(F.col("entropy") - F.col("med")), 0.5, 1000).alias("mad"))
     out = scored.join(F.broadcast(spread), "lang_pred", "left")
-    most = F.col("med") + 6 * (1.4826 * F.col("mad") + 3 / F.sqrt(F.col("n_letters") + 1))
+    most = F.col("med") + MARGIN + 6 * (1.4826 * F.col("mad") + 3 / F.sqrt(F.col("n_letters") + 1))
     return out.withColumn("rejected", F.col("entropy").isNull() | F.coalesce(F.col("entropy") > most, F.lit(False))).drop("med", "mad")
 
 
