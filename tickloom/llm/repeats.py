@@ -222,14 +222,15 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     every = written(named.mapInArrow(find, "t0 bigint, t1 bigint, position bigint, key bigint, full bigint, l smallint, r smallint"), "anchors")
     keys = every.groupBy("key").agg(F.count("*").alias("n"), F.min("full").alias("least"), F.max("full").alias("most"))
-    keys = keys.where("n > 1").select("key", (F.col("least") != F.col("most")).alias("mixed"))
+    # Written, as a join of two plain scans is one whose hot keys Spark splits.
+    keys = written(keys.where("n > 1").select("key", (F.col("least") != F.col("most")).alias("mixed")), "keys")
     repeated = written(every.join(keys, "key"), "repeated")
     remove(every)
     mixed = repeated.where("mixed")
     classes = mixed.groupBy("key", "full").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("t0", "t1", "position", "l", "r")))
     classes = written(classes, "classes")
     whole = classes.where("n > 1").select("key", "full", F.col("l").cast("long"), F.col("r").cast("long"))
-    partial = _partial(named, classes).unionByName(whole).groupBy("key", "full").agg(F.max("l").alias("pl"), F.max("r").alias("pr"))
+    partial = written(_partial(named, classes).unionByName(whole).groupBy("key", "full").agg(F.max("l").alias("pl"), F.max("r").alias("pr")), "partial")
     found = mixed.join(partial, ["key", "full"]).withColumns({"l": F.col("pl"), "r": F.col("pr")}).select("t0", "t1", "key", "position", "l", "r")
     found = found.union(repeated.where("NOT mixed").select("t0", "t1", "key", "position", "l", "r"))
     return found.select("t0", "t1", "key", "position", (F.col("position") - F.col("l")).alias("start"), (F.col("position") + F.col("r")).alias("stop"))
