@@ -42,3 +42,30 @@ def test_no_rows(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, out, folder)
     assert out.count() == 0
+
+
+def test_near_copies(spark):
+    r = random.Random(3)
+    words = lambda n: ["".join(r.choices("abcdefghij", k=6)) for _ in range(n)]
+    shingles = lambda text: {tuple(text.split()[i : i + 5]) for i in range(len(text.split()) - 4)}
+    texts, gone = [], set()
+    for k, wanted in enumerate([0.70, 0.75, *[0.80 + 0.01 * i for i in range(16)]] * 2):
+        own = words(204)
+        broken = int(200 * (1 - wanted) / (1 + wanted))  # shingles lost on each side
+        at = r.randrange(4, 180 - broken)
+        copy = own[:at] + words(broken - 4) + own[at + broken - 4 :]
+        a, b = shingles(" ".join(own)), shingles(" ".join(copy))
+        assert abs(len(a & b) / len(a | b) - wanted) < 0.01
+        texts += [" ".join(own), " ".join(copy)]
+        if len(a & b) >= 0.8 * len(a | b):
+            gone.add(2 * k + 1)
+    assert len(gone) == 32
+    base = words(300)  # a large group: every copy has one word of its own
+    texts += [" ".join([*base[:i], "own" + str(i), *base[i + 1 :]]) for i in range(100, 200)]
+    gone |= set(range(73, 172))
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    rows += [(r, t, "en", "s", 0) for r, t in ((200, None), (201, ""), (202, " "), (203, "two words"), (204, "Two  words"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"] for r in corpus_pipeline.remove_near_duplicates(spark, docs, "").collect()}
+    assert set(range(172)) - kept == gone
+    assert {200, 201, 202, 203, 204} & kept == {200, 203}
