@@ -5,6 +5,8 @@ import random
 import corpus_pipeline
 import pytest
 
+from tickloom.llm import lines
+
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
@@ -69,3 +71,20 @@ def test_near_copies(spark):
     kept = {r["doc_id"] for r in corpus_pipeline.remove_near_duplicates(spark, docs, "").collect()}
     assert set(range(172)) - kept == gone
     assert {200, 201, 202, 203, 204} & kept == {200, 203}
+
+
+def test_repeated_runs(spark):
+    run3 = ["a b c d", "e f g h", "", "i j k l"]  # twelve words, no block of 1, 2, 4 lines with ten but the whole
+    run7 = [f"x{i} y{i}" for i in range(7)]
+    tail = [" ".join(f"t{i}" for i in range(45)), "u v w", "x y z"]
+    short = [f"s{i} r{i}" for i in range(4)]  # eight words
+    bodies = [run3, run7, tail, short]
+    texts = ["\n".join([f"own{k} line {j}", *body, f"end{k} line {j}"]) for k in range(3) for j, body in enumerate(bodies)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.dedup_lines(docs, 10, lines.repeated_runs).collect()}
+    for i, t in enumerate(texts):
+        body = bodies[i % 4]
+        if i < 4 or body is short:
+            assert out[i] == (t, 0)
+        else:
+            assert out[i] == (f"own{i // 4} line {i % 4}\nend{i // 4} line {i % 4}", len(body))

@@ -10,6 +10,8 @@ each interval's first member stays and the blocks of the others are deleted.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from .common import remove, table, written
 
 #: Words that a repeated block must hold to be deleted.
 MIN_WORDS = 10
+#: Words that a whole repeated run must hold to be deleted in the pipeline, whose floor no SQL fixes.
+RUN_WORDS = 10
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -46,7 +50,42 @@ def repeated_blocks(docs: DataFrame, min_words: int = MIN_WORDS) -> list[DataFra
         n *= 2
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_runs(docs: DataFrame, min_words: int = RUN_WORDS) -> list[DataFrame]:
+    """One table like those of repeated_blocks that covers every run of lines, of any length,
+    that occurs earlier in the corpus and holds min_words words or more as a whole.
+
+    The shortest block from a line on that holds min_words is given by the lines themselves,
+    and so is the shortest one up to a line. A run with min_words is the union of those in it,
+    and each of them repeats if the run does. Lines without a word are counted but never start
+    or end a block, so a block has min_words lines with words at most: a fixed number of leads.
+    """
+    lines = _keyed(docs).where("text IS NOT NULL").select("_doc", "_text", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    lines = lines.select("_doc", "_text", "at", F.xxhash64("line").alias("name"), F.regexp_count("line", F.lit(r"\S+")).alias("words"))
+    lines = written(lines.where("words > 0").distinct(), "lines")
+    order = Window.partitionBy("_doc", "_text").orderBy("at")
+    out = []
+    for step in (F.lead, F.lag):
+        name, words, to = F.xxhash64("name"), F.col("words"), F.col("at")
+        for k in range(1, min_words):
+            more = words < min_words
+            # Past the document's end at, name and words are null, and the block with them.
+            there = step("at", k).over(order)
+            name = F.when(more, F.xxhash64(name, step("name", k).over(order), F.abs(there - to))).otherwise(name)
+            to, words = F.when(more, there).otherwise(to), F.when(more, words + step("words", k).over(order)).otherwise(words)
+            # One projection a step keeps the expressions small.
+            steps = (lines if k == 1 else steps).withColumns({"_name": name, "_words": words, "_to": to})
+            name, words, to = F.col("_name"), F.col("_words"), F.col("_to")
+        blocks = steps.where("_words IS NOT NULL").select("_doc", "_text", F.least("at", "_to").alias("at"), (F.abs(F.col("_to") - F.col("at")) + 1).alias("n"), F.col("_name").alias("name"))
+        blocks = written(blocks, "run-blocks")
+        place = F.struct("_doc", "_text", "at")
+        names = blocks.groupBy("name").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1")
+        later = blocks.join(written(names.select("name", "first"), "run-names"), "name").where(place != F.col("first"))
+        out.append(written(later.select("_doc", "_text", "at", "n"), "run-later"))
+        remove(blocks)
+    return out
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, repeated: Callable[[DataFrame, int], list[DataFrame]] = repeated_blocks) -> DataFrame:
     """docs with later copies of repeated line runs cut from text, and n_lines, n_removed (long).
 
     A line goes if it lies in a block of 1, 2, 4, ... lines that holds min_words words or more
@@ -54,12 +93,14 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     its two largest blocks. The first occurrence always stays, so no line vanishes from the
     corpus; shorter repeats (one-word lines) stay unless a longer run has them.
 
+    repeated gives the blocks; with repeated_runs the floor is put on whole runs instead.
+
     Null text stays null with 0 lines; a text is never dropped, a fully repeated one becomes
     empty. Rows that are equal in doc_id and text are one document and are cut alike; rows of
     one doc_id are ordered by a hash of their text; a null doc_id comes last. Other columns
     pass through; columns called n_lines or n_removed are replaced.
     """
-    blocks = repeated_blocks(docs, min_words)
+    blocks = repeated(docs, min_words)
     docs = docs.drop("n_lines", "n_removed")
     columns = docs.columns
     spans = blocks[0] if blocks else docs.sparkSession.createDataFrame([], "_doc long, _text long, at int, n int")
