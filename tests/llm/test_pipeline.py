@@ -88,3 +88,10 @@ def test_repeated_runs(spark):
             assert out[i] == (t, 0)
         else:
             assert out[i] == (f"own{i // 4} line {i % 4}\nend{i // 4} line {i % 4}", len(body))
+
+
+def test_short_lines(spark):
+    texts = [f"own words of document {i}\nLicensed under the Apache License, Version 2.0.\nall rights reserved\nthe end" for i in range(4)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.remove_repeated_lines(spark, docs, "").collect()}
+    assert out == {0: texts[0], **{i: f"own words of document {i}" for i in range(1, 4)}}

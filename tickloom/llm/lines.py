@@ -20,7 +20,7 @@ from .common import remove, table, written
 #: Words that a repeated block must hold to be deleted.
 MIN_WORDS = 10
 #: Words that a whole repeated run must hold to be deleted in the pipeline, whose floor no SQL fixes.
-RUN_WORDS = 10
+RUN_WORDS = 3
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
