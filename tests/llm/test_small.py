@@ -293,3 +293,10 @@ def test_secrets(spark, odd, none):
     right = model.transform(held).where("label = prediction").count() / held.count()
     assert right > 0.95
     assert secrets.scan(odd, model).count() >= 1 and secrets.scan(none, model).count() == 0
+
+
+def test_short_items(spark):
+    bench = spark.createDataFrame([(1, "What is it?"), (2, "二十四个字的题目" * 3), (3, "?!"), (4, None)], "item_id long, text string")
+    texts = ["so: WHAT is, it", "what is it", "what is items", "somewhat is it", "what isnt it", "见 " + "二十四个字的题目" * 3 + "。", "", None]
+    found = {(m["doc_id"], m["item_id"], m["distance"]) for m in dc.matches(docs(spark, texts), bench).collect()}
+    assert found == {(0, 1, 0), (1, 1, 0), (5, 2, 0)}

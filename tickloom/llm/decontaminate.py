@@ -19,7 +19,7 @@ from .common import sliced, table
 
 #: An item may differ in one of so many characters.
 CHARS_AN_EDIT = 20
-#: Shorter items (in normalised characters) would be met in any text by chance and are left out.
+#: Shorter items (in normalised characters) are met only exactly and at word boundaries.
 LEAST_CHARS = 25
 #: UTF-8 bytes of items that one pass over the documents looks for; larger tables take more passes.
 PASS_BYTES = 32 << 20
@@ -73,10 +73,10 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]]):
         import ahocorasick
 
-        self.items = [(key, text, masks(text), len(text) // CHARS_AN_EDIT) for key, text in items]
+        self.items = [(key, text, masks(text), len(text) // CHARS_AN_EDIT if len(text) >= LEAST_CHARS else 0) for key, text in items]
         at: dict[str, list[tuple[int, int]]] = {}
         for i, (_, text) in enumerate(items):
-            for offset, piece in pieces(text):
+            for offset, piece in pieces(text) if len(text) >= LEAST_CHARS else [(0, text)]:
                 at.setdefault(piece, []).append((i, offset + len(piece) - 1))
         self.pieces = ahocorasick.Automaton()
         for piece, places in at.items():
@@ -95,6 +95,10 @@ class Matcher:
             for i, offset in places:
                 _, item, mask, k = self.items[i]
                 start = end - offset
+                if len(item) < LEAST_CHARS:
+                    if text[max(0, start - 1) : start].strip() == "" == text[end + 1 : end + 2].strip():
+                        best[i] = 0
+                    continue
                 if best.get(i) == 0 or 0 <= start - tried.get(i, start + 1) <= k:
                     continue
                 if text.startswith(item, max(start, 0)):
@@ -114,7 +118,7 @@ def _passes(spark: SparkSession, benchmark: DataFrame) -> Iterator:
     n = size // PASS_BYTES + 1
     for part in range(n):
         share = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == part) if n > 1 else benchmark
-        items = [(r["item_id"], t) for r in share.select("item_id", "text").collect() if len(t := normalised(r["text"])) >= LEAST_CHARS]
+        items = [(r["item_id"], t) for r in share.select("item_id", "text").collect() if (t := normalised(r["text"]))]
         yield spark.sparkContext.broadcast(items)
 
 
@@ -122,7 +126,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, distance) of every item that a document holds within the item's budget.
 
     docs has doc_id, text; benchmark item_id, text. Null and empty texts match nothing, items
-    under LEAST_CHARS normalised characters are left out, equal items are all reported, and
+    under LEAST_CHARS normalised characters are met only as whole words without an edit, equal items are all reported, and
     repeated rows of either side report their matches again. Items reach the executors as
     a value of at most PASS_BYTES a pass; a larger benchmark is dealt to several passes.
     """
