@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tickloom.plans.registry import ORACLE_SQL, QUERIES
+from tickloom.plans.catalog import ORACLE_SQL, QUERIES
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -16,7 +16,8 @@ def rows_of(frame: pd.DataFrame) -> list:
     def one(v):
         if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and math.isnan(v):
             return "null"
-        return f"{v:.5f}" if isinstance(v, float) else str(v)
+        # Zero has no sign here.
+        return f"{round(v, 5) + 0.0:.5f}" if isinstance(v, float) else str(v)
 
     return sorted(tuple(map(one, r)) for r in frame[sorted(frame.columns)].astype(object).itertuples(index=False, name=None))
 

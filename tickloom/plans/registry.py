@@ -102,6 +102,3 @@ def query(name: str, oracle: str | None = None) -> Callable:
         return f
 
     return keep
-
-
-from . import queries_core, queries_events, queries_more  # noqa: E402, F401
