@@ -81,7 +81,7 @@ def test_repeated_runs(spark):
     bodies = [run3, run7, tail, short]
     texts = ["\n".join([f"own{k} line {j}", *body, f"end{k} line {j}"]) for k in range(3) for j, body in enumerate(bodies)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    out = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.dedup_lines(docs, 10, lines.repeated_runs).collect()}
+    out = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.dedup_lines(docs, 10).collect()}
     for i, t in enumerate(texts):
         body = bodies[i % 4]
         if i < 4 or body is short:
