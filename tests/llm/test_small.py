@@ -1,7 +1,6 @@
 """The training-data operators on small tables: against brute force, and on odd input."""
 
 import hashlib
-import math
 import random
 from collections import Counter
 
@@ -10,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.llm import decontaminate as dc
-from tickloom.llm import langid, lines, mixing, packing, phrases, repeats, secrets, simhash, tokens
+from tickloom.llm import langid, lines, packing, phrases, repeats, secrets, simhash, tokens
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string"
 
@@ -235,26 +234,6 @@ def test_language_models(spark, odd, none):
     assert flagged.where("rejected").count() == 0
 
 
-def test_mixing_is_a_probability(spark, none):
-    r = random.Random(11)
-    vocabulary = ["".join(r.choice("abcde") for _ in range(r.randint(1, 6))) for _ in range(60)]
-    texts = [" ".join(r.choice(vocabulary) for _ in range(120)) + r.choice([".", "\n"]) for _ in range(60)]
-    train = docs(spark, texts)
-    rows = {x["doc_id"]: x for x in mixing.score(docs(spark, [texts[0], "zzz QQ\x00", None, "  ", texts[0]]), train).collect()}
-    counts = Counter(w for t in texts for w in t.lower().split())
-    n, v, ends = sum(counts.values()) + 60, len(counts) + 1, 60
-    words = texts[0].lower().split()
-    base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words) + math.log10((ends + 0.1) / (n + 0.1 * (v + 1)))
-    assert rows[0]["base_score"] == pytest.approx(base) and rows[0]["n_known"] == len(words) + 1 and rows[0]["train_tokens"] == n
-    assert rows[0]["score"] == rows[4]["score"] < 0 and rows[1]["n_known"] == 1 and rows[2]["n_tokens"] == 1 and rows[2]["score"] < 0
-    assert rows[0]["bits_per_byte"] < 2.2 < rows[1]["bits_per_byte"]
-    mixer = mixing.Mixer(np.zeros(1 << mixing.TABLE_BITS, np.uint8), np.zeros(1 << mixing.TABLE_BITS, np.uint8))
-    codes = np.arange(256, dtype=np.uint64) | np.uint64(0x6162636400)
-    assert (10 ** mixer.log10(codes, np.zeros(256, np.uint64))).sum() == pytest.approx(1)
-    assert mixing.score(none, none).count() == 0
-    assert mixing.score(train, none).count() == 60
-
-
 def test_phrases(spark, odd, none):
     def lz(data):
         found, now = set(), b""

@@ -1,445 +1,536 @@
-"""Language-model scores by logistic context mixing over bits.
-
-A text is a sequence of chunks: what stands between two spaces, with the space, or with an
-end mark after the last. A byte is predicted bit by bit from what stands before it in its
-chunk: the last 0 to 5 bytes, and the whole chunk so far if a common chunk begins so. Each
-of these seven contexts is a predictor: its bit counts are gathered from all training texts
-and kept in slots of one hashed table. The predictions, stretched, are added
-with weights; a gate - the bit's place, the longest context that is known and how well -
-picks the weight set. Weights are learned online, batch after batch, each count
-leaving itself out. A last table refines the mixed prediction by what followed it in
-training. Chunks are independent given the model, so a chunk is scored once and remembered.
-
-Bit predictions are proper probabilities whatever collides in the table, so a text's score
-is the log of a probability over all texts.
+"""Language-model scores by online logistic context mixing over bits.
+
+A text is its UTF-8 bytes and an end mark. Each byte is predicted bit by bit. Predictors are
+the bit counts, over all training texts, in the contexts of the last 0 to 5 bytes of the running
+text (spaces do not end a context), and a long match: where the last MATCH bytes stand in
+another training text too, the byte that followed there. Their stretched predictions are added
+with weights from two gates: the bit's place with the longest known context and how well it
+is known, and the bit's place with the match's length and frequency. A last table refines the
+mixed prediction by what followed it so far.
+
+Weights and refinement are learned online, in text order: a block of texts is scored with what
+the blocks before it taught, then its training texts teach. A training text leaves one count of
+itself out, and is never matched with itself alone.
+
+Nothing of the model is broadcast, so it may grow with the corpus. Texts are dealt to slices
+of about SLICE bytes; each slice asks for the contexts, matches and words that stand in it, is
+sent their counts by joins, and is scored by one task that streams over its texts.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HashArray, mix, remove, sliced, table, texts_of, written
+from .common import MIX_A, HashArray, mix, remove, sliced, table, texts_of, written
 from .langid import held_out
 
-#: Contexts of 0 to BYTES bytes, and the whole chunk so far (of PREFIX bytes at most) as the last.
+#: Contexts of 0 to BYTES bytes.
 BYTES = 5
-ORDERS = BYTES + 2
-PREFIX = 24
-#: Slots of the hashed table, as bits: the model's size whatever the corpus.
-TABLE_BITS = 23
-#: Levels of confidence by a context's count, and weight sets: place of the bit x order x level.
+ORDERS = BYTES + 1
+INPUTS = ORDERS + 2
+#: A match starts where the last MATCH bytes end in one of 1 / ANCHORS places; it foretells AHEAD bytes.
+MATCH, ANCHORS, AHEAD = 24, 64, 40
+#: Bytes of text in a slice, in a block that is scored at once, and that teach the starting weights.
+SLICE, BLOCK, WARM = 64 << 20, 2 << 20, 1 << 20
+#: How often the first texts are gone through for the starting weights.
+TURNS = 3
+#: Slices at least, so that small tables are worked on in parallel.
+LEAST_SLICES = 8
+#: Distinct entries of a worker's memory before it is emptied.
+MEMORY = 1 << 20
+#: Levels of confidence by a context's count.
 LEVELS = np.array([0, 1, 2, 4, 16, 256])
-GATES = 8 * (ORDERS + 1) * len(LEVELS)
+GATES = (ORDERS + 1) * len(LEVELS)
+MATCHES = 8
+STEP = 12.0
+MOST = 11.5
 BUCKETS = 33
-BATCH = 4_096
-PASSES = 2
-#: Distinct grams that one learner goes through; the learners' weights are averaged.
-LEARNER = 500_000
 END = b"\xff"
-#: The table holds counts as bytes: exact up to 16, then in steps of an eighth of an octave.
-COUNTS = np.concatenate([np.arange(16.0), 16 * 2 ** (np.arange(240) / 8)])
-#: Words with this share of all training tokens or more are known to every worker: at most 1 / SHARE.
-SHARE = 1 / (1 << 17)
-MEMORY = 200_000
-#: Chunks that are scored at once.
-SCORED = 16_384
+GRAMS, AHEADS, WORDS, TEXTS = range(4)
 
 
-def squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def words_at(buffer: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on, as one number."""
+    n = max(0, len(buffer) - 7)
+    out = np.empty(n, np.uint64)
+    for r in range(min(8, n)):
+        m = (n - r + 7) // 8
+        out[r::8] = np.frombuffer(buffer.data, np.uint64, m, r)
+    return out
 
 
-def as_bytes(n: np.ndarray) -> np.ndarray:
-    """Indices into COUNTS of the nearest counts."""
-    return np.where(n <= 16, n, 16 + np.rint(8 * np.log2(np.maximum(n, 16) / 16))).clip(0, 255).astype(np.uint8)
+def framed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, sizes) of the texts, each with its end mark."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    return np.frombuffer(END.join([*texts, b""]), np.uint8), np.cumsum(size) - size, size
 
 
-def chunks_of(text: bytes) -> list[bytes]:
-    parts = text.split(b" ")
-    parts[-1] += END
-    return parts
+def codes_of(b: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each byte the BYTES before it in its text (0 before the text) and itself, in 48 bits."""
+    wide = b.astype(np.uint64)
+    out = wide.copy()
+    for k in range(1, BYTES + 1):
+        part = wide[:-k] << np.uint64(8 * k)
+        for j in range(k):  # bytes of the text before are none of this one's
+            at = starts[1:] + j
+            part[at[at < starts[1:] + size[1:]] - k] = 0
+        out[k:] |= part
+    return out
 
 
-def prefixes_of(b: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """For each byte the hash of all bytes before it in its chunk, 0 beyond PREFIX bytes."""
-    out = np.zeros(len(b), np.uint64)
-    h = np.full(len(starts), 0x2545F4914F6CDD1D, np.uint64)
-    for k in range(min(PREFIX, int(size.max(initial=0)))):
-        on = size > k
-        starts, size, h = starts[on], size[on], h[on]
-        out[starts + k] = h
-        h = mix(h ^ (b[starts + k] + np.uint64(1)))
-    return out
+def anchors_of(b: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, key, text) of the places whose last 8 bytes choose them; key names the last MATCH bytes."""
+    words = words_at(b)
+    if len(words) <= MATCH:
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+    # A place is chosen by the top bits of a product of its last 8 bytes; chosen: where the MATCH bytes begin.
+    chosen = np.flatnonzero(words[MATCH - 8 :] * MIX_A < np.uint64((1 << 64) // ANCHORS))
+    at = chosen + MATCH
+    of = np.searchsorted(starts, chosen, "right") - 1
+    inside = at < starts[of] + size[of]
+    chosen, at, of = chosen[inside], at[inside], of[inside]
+    key = np.zeros(len(chosen), np.uint64)
+    for k in range(0, MATCH, 8):
+        key = mix(key ^ words[chosen + k]) + np.uint64(k + 1)
+    return at, key, of
+
+
+def paths(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(full, less, level, level less): for each (context, byte), sorted, the stretched predictions
+    on the byte's path of eight bits, eight numbers of one byte each in a long, from counts n of
+    all bytes of the context; less: with one count of the byte itself left out."""
+    full, less = np.zeros((len(code), 8), np.int8), np.zeros((len(code), 8), np.int8)
+    own = np.minimum(n, 1)
+    stretch = lambda one, zero: np.clip(np.rint(STEP * np.log((one + 0.4) / (zero + 0.4))), -127, 127)
+    for j in range(8):
+        node = code >> np.uint64(8 - j)
+        start = np.concatenate([[0], np.flatnonzero(node[1:] != node[:-1]) + 1])
+        bit = (code >> np.uint64(7 - j) & np.uint64(1)).astype(np.int64)
+        each = np.diff(np.append(start, len(code)))
+        total = np.repeat(np.add.reduceat(n, start), each)
+        one = np.repeat(np.add.reduceat(n * bit, start), each)
+        zero = total - one
+        full[:, j] = stretch(one, zero)
+        less[:, j] = stretch(one - bit * own, zero - (1 - bit) * own)
+        if j == 0:
+            levels = [(np.searchsorted(LEVELS, x, "right") - 1).astype(np.int16) for x in (total, total - own)]
+    return full.view(np.int64).ravel(), less.view(np.int64).ravel(), *levels
 
 
-def grams_of(chunks: list[bytes], begun: HashArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, prefixes, starts): for each byte of each chunk and the space or end after it, the
-    five bytes before it in the chunk and itself, in 48 bits, and the hash of the chunk so far,
-    0 unless it is begun by a common chunk; starts of the chunks."""
-    parts = [c if c.endswith(END) else c + b" " for c in chunks]
-    size = np.fromiter(map(len, parts), np.int64, len(parts))
-    starts = np.cumsum(size) - size
-    b = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64)
-    out = b.copy()
-    since = np.arange(len(b)) - np.repeat(starts, size)
-    for k in range(1, BYTES + 1):
-        before = np.zeros(len(b), np.uint64)
-        before[k:] = b[:-k]
-        before[since < k] = 0
-        out |= before << np.uint64(8 * k)
-    prefixes = prefixes_of(b, starts, size)
-    prefixes[begun.find(prefixes) < 0] = 0
-    return out, prefixes, starts
+class Mixer:
+    """The weights of both gates and the refining table, learned online."""
+
+    def __init__(self):
+        self.by_context = np.full((8 * GATES, INPUTS), 0.25, np.float32)
+        self.by_context[:, ORDERS:] = 0
+        self.by_match = np.zeros((8 * MATCHES, INPUTS), np.float32)
+        self.by_match[:, ORDERS] = 2
+        grid = 1 / (1 + np.exp(-np.linspace(-MOST, MOST, BUCKETS)))
+        self.ones, self.seen = np.tile(20 * grid, 8 * GATES), np.full(8 * GATES * BUCKETS, 20.0)
+        self.blocks = 0
+
+    @staticmethod
+    def _teach(weights: np.ndarray, x: np.ndarray, gates: np.ndarray, start: np.ndarray, error: np.ndarray, curve: np.ndarray, rate: float) -> None:
+        """One step for each gate, whose rows begin at start."""
+        for k in range(INPUTS):
+            step = np.add.reduceat(error * x[k], start) / (np.add.reduceat(curve * x[k] * x[k], start) + 1)
+            weights[gates, k] += rate * np.clip(step, -1, 1)
+
+    def block(self, byte: np.ndarray, vectors: np.ndarray, gate: np.ndarray, expected: np.ndarray, match: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """log10 probabilities of bytes (vectors: orders x bits), scored before they teach; n: how
+        often each is in a training text of the block."""
+        # Sorted by gate, so that a gate's rows stand together.
+        order = np.argsort(gate.astype(np.int16), kind="stable")
+        byte, gate, expected, match = byte[order], gate[order], expected[order], match[order]
+        w = n[order].astype(np.float32)
+        size = len(byte)
+        inputs = np.ascontiguousarray(vectors[order].transpose(2, 1, 0))
+        start = np.concatenate([[0], np.flatnonzero(gate[1:] != gate[:-1]) + 1])
+        gates, each = gate[start], np.diff(np.append(start, size))
+        x = np.empty((INPUTS, size), np.float32)
+        x[-1] = 0.3
+        out = np.zeros(size, np.float32)
+        learns = bool(w.any())
+        rate = max(0.02, 0.4 / (1 + self.blocks / 3))
+        scale, half, grid = np.float32(1 / STEP), np.float32(0.5), np.float32((BUCKETS - 1) / (2 * MOST))
+        for j in range(8):
+            bit = byte >> 7 - j & 1
+            np.multiply(inputs[j], scale, out=x[:ORDERS])
+            foretold = expected >> 7 - j & 1
+            on = np.flatnonzero(match)
+            x[ORDERS] = 0
+            x[ORDERS, on] = foretold[on] * 2.0 - 1
+            own = self.by_context[gates + GATES * j]
+            s = x[0] * np.repeat(own[:, 0], each)
+            for k in range(1, INPUTS):
+                s += x[k] * np.repeat(own[:, k], each)
+            level = match[on] + MATCHES * j
+            s[on] += (x[:, on] * self.by_match[level].T).sum(0)
+            np.clip(s, 0.01 - MOST, MOST - 0.01, out=s)
+            p = 1 / (1 + np.exp(-s))
+            place = (s + np.float32(MOST)) * grid
+            low = place.astype(np.int32)
+            share = place - low
+            table = (self.ones / self.seen).astype(np.float32)
+            base = (gate + GATES * j) * BUCKETS + low
+            here = table[base]
+            p_refined = (p + here + share * (table[base + 1] - here)) * half
+            np.clip(p_refined, 1e-5, 1 - 1e-5, out=p_refined)
+            out += np.log10(np.where(bit, p_refined, 1 - p_refined))
+            if learns:
+                error, curve = w * (bit - p), w * (p * (1 - p) + np.float32(1e-3))
+                self._teach(self.by_context, x, gates + GATES * j, start, error, curve, rate)
+                taught = on[w[on] > 0]
+                if len(taught):
+                    taught = taught[np.argsort(match[taught].astype(np.int16), kind="stable")]
+                    m = match[taught]
+                    first = np.concatenate([[0], np.flatnonzero(m[1:] != m[:-1]) + 1])
+                    self._teach(self.by_match, x[:, taught], m[first] + MATCHES * j, first, error[taught], curve[taught], rate / 2)
+                near = base + (share > half)
+                self.seen += np.bincount(near, w, len(self.seen))
+                self.ones += np.bincount(near, w * bit, len(self.ones))
+            match = np.where(foretold == bit, match, 0)
+        self.blocks += learns
+        result = np.empty(size)
+        result[order] = out
+        return result
+
+
+class Slice:
+    """What one slice was sent, and its mixer."""
+
+    def __init__(self, rows: pa.Table):
+        kind = rows["kind"].to_numpy()
+        part = [rows.filter(pa.array(kind == k)) for k in (GRAMS, AHEADS, WORDS)]
+        code = part[0]["id"].to_numpy().view(np.uint64)
+        order = np.argsort(mix(code))
+        self.codes = HashArray(mix(code)[order])
+        stacked = np.stack([part[0][f"v{k}"].to_numpy()[order] for k in range(ORDERS)], axis=1) if len(code) else np.empty((0, ORDERS), np.int64)
+        self.vectors = np.ascontiguousarray(stacked).view(np.int8).reshape(-1, ORDERS, 8)
+        self.gates = part[0]["n"].to_numpy()[order]
+        key = part[1]["id"].to_numpy().view(np.uint64)
+        order = np.argsort(mix(key))
+        self.keys = HashArray(mix(key)[order])
+        ahead = part[1]["ahead"].to_pylist()
+        self.ahead = np.frombuffer(b"".join(ahead[i].ljust(AHEAD, b"\0") for i in order), np.uint8).reshape(-1, AHEAD)
+        self.times = part[1]["n"].to_numpy()[order]
+        self.counts = dict(zip(part[2]["id"].to_pylist(), part[2]["n"].to_pylist(), strict=True))
+        self.logs: dict[bytes, tuple[float, int]] = {}
+        self.mixer = Mixer()
+
+    def foretold(self, b: np.ndarray, starts: np.ndarray, size: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(expected byte, match 0 to 6) at each byte."""
+        expected, match = np.zeros(len(b), np.uint8), np.zeros(len(b), np.uint8)
+        at, key, of = anchors_of(b, starts, size)
+        found = self.keys.find(mix(key))
+        on = np.flatnonzero(found >= 0)
+        if not len(on):
+            return expected, match
+        at, of, found = at[on], of[on], found[on]
+        ahead, step = self.ahead[found], np.arange(AHEAD)
+        stop = starts[of] + size[of]
+        place = at[:, None] + step
+        inside = place < stop[:, None]
+        real = b[np.minimum(place, len(b) - 1)]
+        same = (real == ahead) | ~inside
+        # One's own continuation does not count for a training text.
+        times = self.times[found] - (same.all(1) & train[of])
+        until = np.where(same.all(1), AHEAD, same.argmin(1) + 1)
+        good = inside & (step < until[:, None]) & (times > 0)[:, None]
+        level = 1 + np.minimum(2, np.log2(np.maximum(times, 1)).astype(np.int64))[:, None] + 3 * (step >= 8)
+        expected[place[good]], match[place[good]] = ahead[good], level[good]
+        return expected, match
+
+    def bytes_log10(self, texts: list[bytes], train: np.ndarray) -> np.ndarray:
+        """The texts' scores; then they teach."""
+        b, starts, size = framed(texts)
+        expected, match = self.foretold(b, starts, size, train)
+        role = np.repeat(~train, size).astype(np.uint64)
+        whole = codes_of(b, starts, size) | role << np.uint64(48) | match.astype(np.uint64) << np.uint64(49) | expected.astype(np.uint64) << np.uint64(52)
+        whole, of, n = np.unique(whole, return_inverse=True, return_counts=True)
+        scores = np.empty(len(whole))
+        n[(whole >> np.uint64(48) & np.uint64(1)) == 1] = 0
+        at = self.codes.find(mix(whole & np.uint64((1 << 49) - 1)))
+        vectors = self.vectors[at]
+        scores = self.mixer.block((whole & np.uint64(255)).astype(np.int64), vectors, self.gates[at], (whole >> np.uint64(52)).astype(np.int64), (whole >> np.uint64(49) & np.uint64(7)).astype(np.int64), n)
+        return np.add.reduceat(scores[of], starts)
+
+    def word(self, word: bytes) -> tuple[float, int]:
+        c = self.counts.get(word_hash(word), 0)
+        self.logs[word] = found = (float(np.log10(c + 0.1)), int(c > 0))
+        return found
 
 
-def beginnings(chunks: list[bytes]) -> np.ndarray:
-    """Sorted hashes of all that the chunks begin with."""
-    parts = [c if c.endswith(END) else c + b" " for c in chunks]
-    size = np.fromiter(map(len, parts), np.int64, len(parts))
-    b = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64)
-    found = np.unique(prefixes_of(b, np.cumsum(size) - size, size))
-    return found[found > 0]
+def word_hash(word: bytes) -> int:
+    """A word's signed 64-bit hash."""
+    h = xxhash.xxh64_intdigest(word)
+    return h - (1 << 64) if h >> 63 else h
 
 
-def pairs(codes: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
-    """One 64-bit name for each pair."""
-    return mix(codes ^ mix(prefixes))
+def _blocks(texts: list[bytes], most: int) -> Iterator[slice]:
+    at, held = 0, 0
+    for i, t in enumerate(texts):
+        if held and held + len(t) > most:
+            yield slice(at, i)
+            at, held = i, 0
+        held += len(t)
+    if at < len(texts):
+        yield slice(at, len(texts))
 
 
-def slots_of(codes: np.ndarray, prefixes: np.ndarray, order: int, bit: int) -> np.ndarray:
-    """Slots of the context of `order` bytes (or the prefix) and the byte's first `bit` bits."""
-    byte = codes & np.uint64(255)
-    partial = byte >> np.uint64(8 - bit) | np.uint64(1 << bit)
-    if order > BYTES:
-        return (mix(prefixes ^ (partial << np.uint64(17))) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-    context = codes >> np.uint64(8) & np.uint64((1 << 8 * order) - 1)
-    return (mix(context << np.uint64(12) | np.uint64(order << 9) | partial) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+def _by_slice(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(slice, rows of that slice) of batches with a slice column, about `most` bytes of text each."""
+    for batch in sliced(batches, "text", most):
+        ids = batch.column("slice").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                yield int(ids[a]), batch.slice(a, b - a)
 
 
-class Mixer:
-    """The table (counts of zeros and ones a slot), the weights and the refining table."""
-
-    def __init__(self, zeros: np.ndarray, ones: np.ndarray):
-        self.zeros, self.ones = zeros, ones
-        self.weights = np.full((GATES, ORDERS + 1), 0.3)
-        self.weights[:, -1] = 0
-        self.refine: np.ndarray | None = None
-
-    def state(self) -> tuple:
-        """What Mixer.of makes an equal one from; the table is mostly empty for a small corpus."""
-        return zlib.compress(self.zeros.tobytes(), 1), zlib.compress(self.ones.tobytes(), 1), self.weights, self.refine
-
-    @classmethod
-    def of(cls, state: tuple) -> Mixer:
-        made = cls(*(np.frombuffer(zlib.decompress(x), np.uint8) for x in state[:2]))
-        made.weights, made.refine = state[2].copy(), state[3]
-        return made
-
-    def inputs(self, codes: np.ndarray, prefixes: np.ndarray, bit: int, out_of: bool) -> tuple[np.ndarray, np.ndarray]:
-        """(stretched predictions and bias, gates); out_of: each code leaves one count of itself out."""
-        n = len(codes)
-        one = (codes >> np.uint64(7 - bit) & np.uint64(1)).astype(np.float64)
-        x = np.zeros((n, ORDERS + 1))
-        x[:, -1] = 1
-        order, level = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for k in range(ORDERS):
-            at = slots_of(codes, prefixes, k, bit)
-            n0, n1 = COUNTS[self.zeros[at]], COUNTS[self.ones[at]]
-            if k > BYTES:
-                n0[prefixes == 0] = n1[prefixes == 0] = 0
-            if out_of:
-                n1, n0 = np.maximum(n1 - one, 0), np.maximum(n0 - (1 - one), 0)
-            x[:, k] = np.log((n1 + 0.4) / (n0 + 0.4))
-            seen = np.searchsorted(LEVELS, n0 + n1, "right") - 1
-            known = seen > 0
-            order[known], level[known] = k + 1, seen[known]
-        return x, (bit * (ORDERS + 1) + order) * len(LEVELS) + level
-
-    def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip((x * self.weights[gate]).sum(1), -11, 11)
-
-    def learn(self, codes: np.ndarray, prefixes: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Online passes over codes seen n times; what each gate saw."""
-        mass = np.zeros(GATES)
-        rng = np.random.default_rng(len(codes))
-        for turn in range(PASSES):
-            order = rng.permutation(len(codes))
-            for at in range(0, len(codes), BATCH):
-                part = order[at : at + BATCH]
-                for bit in range(8):
-                    x, gate = self.inputs(codes[part], prefixes[part], bit, True)
-                    p = squash(self.mixed(x, gate))
-                    error = n[part] * ((codes[part] >> np.uint64(7 - bit) & np.uint64(1)).astype(np.float64) - p)
-                    curve = n[part] * (p * (1 - p) + 1e-3)
-                    for k in range(ORDERS + 1):
-                        step = np.bincount(gate, error * x[:, k], GATES) / (np.bincount(gate, curve * x[:, k] ** 2, GATES) + 1)
-                        self.weights[:, k] += 0.15 / (1 + turn) * np.clip(step, -1, 1)
-                    mass += np.bincount(gate, n[part], GATES)
-        return mass
-
-    def outcomes(self, codes: np.ndarray, prefixes: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """(gate x bucket, 2): what was and what came, by bucket of the mixed prediction."""
-        out = np.zeros((GATES * BUCKETS, 2))
-        for bit in range(8):
-            x, gate = self.inputs(codes, prefixes, bit, True)
-            bucket = np.rint((self.mixed(x, gate) + 11) * (BUCKETS - 1) / 22).astype(np.int64)
-            one = codes >> np.uint64(7 - bit) & np.uint64(1)
-            out[:, 0] += np.bincount(gate * BUCKETS + bucket, n, len(out))
-            out[:, 1] += np.bincount(gate * BUCKETS + bucket, n * one, len(out))
-        return out
-
-    def log10(self, codes: np.ndarray, prefixes: np.ndarray) -> np.ndarray:
-        """log10 probability of each code's byte after its context."""
-        total = np.zeros(len(codes))
-        for bit in range(8):
-            x, gate = self.inputs(codes, prefixes, bit, False)
-            s = self.mixed(x, gate)
-            p = squash(s)
-            if self.refine is not None:
-                place = (s + 11) * (BUCKETS - 1) / 22
-                low = np.minimum(place.astype(np.int64), BUCKETS - 2)
-                share = place - low
-                base = gate * BUCKETS + low
-                p = (p + (1 - share) * self.refine[base] + share * self.refine[base + 1]) / 2
-            p = np.clip(p, 1e-5, 1 - 1e-5)
-            total += np.log10(np.where(codes >> np.uint64(7 - bit) & np.uint64(1), p, 1 - p))
-        return total
-
-    def chunk_scores(self, chunks: list[bytes], begun: HashArray) -> list[float]:
-        out: list[float] = []
-        for at in range(0, len(chunks), SCORED):
-            codes, prefixes, starts = grams_of(chunks[at : at + SCORED], begun)
-            _, first, of = np.unique(pairs(codes, prefixes), return_index=True, return_inverse=True)
-            scores = np.concatenate([self.log10(codes[i], prefixes[i]) for i in np.array_split(first, len(first) // 16_384 + 1)])
-            out += np.add.reduceat(scores[of], starts).tolist()
-        return out
-
-
-def chunk_counts(docs: DataFrame) -> DataFrame:
-    """(chunk, n) over the whole texts of docs (text)."""
+def gram_counts(texts: DataFrame) -> DataFrame:
+    """(slice, code, n, train, held): the slice's contexts with bytes, how often they stand in its
+    training texts, and whether a training or another text has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-        for batch in sliced(batches, "text", 1 << 20):
-            for text in texts_of(batch.column("text")):
-                seen.update(chunks_of(text))
-            if len(seen) > MEMORY:
-                yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["chunk", "n"])
-                seen = Counter()
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["chunk", "n"])
+        own, pending, held_back = -1, [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            code, of = np.unique(np.concatenate([c for c, _ in pending]), return_inverse=True)
+            return code, np.bincount(of, np.concatenate([n for _, n in pending]), len(code)).astype(np.int64)
+
+        def flush() -> pa.RecordBatch:
+            code, n = merged()
+            # A code with the 49th bit is that of another text; both are brought together by the sum below.
+            held = code >> np.uint64(48) == 1
+            plain = (code & np.uint64((1 << 48) - 1)).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(code), own, np.int32)), pa.array(plain), pa.array(np.where(held, 0, n)), pa.array(held)], ["slice", "code", "n", "held"])
+
+        for at, batch in _by_slice(batches, 4 << 20):
+            if held_back > 2 * MEMORY:
+                pending = [merged()]
+                held_back = len(pending[0][0])
+            # What merging leaves beyond half of it goes out.
+            if pending and (at != own or len(pending) == 1 and held_back > MEMORY):
+                yield flush()
+                pending, held_back = [], 0
+            own = at
+            b, starts, size = framed(texts_of(batch.column("text")))
+            role = np.repeat(~batch.column("train").to_numpy(zero_copy_only=False), size).astype(np.uint64)
+            pending.append(np.unique(codes_of(b, starts, size) | role << np.uint64(48), return_counts=True))
+            held_back += len(pending[-1][0])
+        if pending:
+            yield flush()
+
+    rows = texts.mapInArrow(run, "slice int, code bigint, n bigint, held boolean")
+    return rows.groupBy("slice", "code").agg(F.sum("n").alias("n"), F.bool_or(~F.col("held")).alias("train"), F.bool_or("held").alias("held"))
+
+
+def context_paths(grams: DataFrame) -> DataFrame:
+    """(code, f0.., l0.., gf, gl) of each context with a byte: the predictions of all orders, whole (f)
+    and with one count left out (l), and the gates: the longest known order and its level."""
+    spark = grams.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    return docs.mapInArrow(run, "chunk binary, n bigint").groupBy("chunk").agg(F.sum("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, n = np.empty(0, np.uint64), np.empty(0, np.int64)
 
+        def done(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), *map(pa.array, paths(code, n))], ["code", "f", "l", "cf", "cl"])
 
-def word_hash(word: bytes) -> int:
-    """A word's signed 64-bit hash, never 0."""
-    h = xxhash.xxh64_intdigest(word)
-    return (h - (1 << 64) if h >> 63 else h) or 1
+        for batch in batches:
+            code, n = np.concatenate([code, batch.column("code").to_numpy().view(np.uint64)]), np.concatenate([n, batch.column("n").to_numpy()])
+            cut = int(np.searchsorted(code >> np.uint64(8), code[-1:] >> np.uint64(8))[0]) if len(code) else 0
+            if cut:
+                yield done(code[:cut], n[:cut])
+                code, n = code[cut:], n[cut:]
+        if len(code):
+            yield done(code, n)
+
+    level = written(grams.groupBy("code").agg(F.sum("n").alias("n")), "contexts")
+    out = None
+    for k in range(BYTES, -1, -1):
+        cut = F.col("code").bitwiseAND((1 << 8 * (k + 1)) - 1)
+        if k < BYTES:
+            level = level.groupBy(cut.alias("code")).agg(F.sum("n").alias("n"))
+        ordered = level.select("code", "n", F.shiftright("code", 8).alias("c")).repartition(parts, "c").sortWithinPartitions("code").select("code", "n")
+        found = ordered.mapInArrow(run, "code bigint, f bigint, l bigint, cf smallint, cl smallint").toDF("code" if k == BYTES else "cut", f"f{k}", f"l{k}", f"cf{k}", f"cl{k}")
+        found = written(found, "paths")
+        # Orders 0 and 1 have 65,792 rows at most.
+        out = found if out is None else out.withColumn("cut", cut).join(F.broadcast(found) if k < 2 else found, "cut").drop("cut")
+    gates = []
+    for c in ("cf", "cl"):
+        gate = F.lit(0)
+        for k in range(ORDERS):
+            gate = F.when(F.col(f"{c}{k}") > 0, F.lit((k + 1) * len(LEVELS)) + F.col(f"{c}{k}")).otherwise(gate)
+        gates.append(gate.cast("int"))
+    return written(out.select("code", *(f"{x}{k}" for x in "fl" for k in range(ORDERS)), gates[0].alias("gf"), gates[1].alias("gl")), "contexts")
 
 
-def word_counts(chunks: DataFrame) -> DataFrame:
-    """(h, c): training counts of lower-cased words, from the chunks."""
+def continuations(texts: DataFrame) -> DataFrame:
+    """(slice, id, ahead, n): for each anchor of a slice that stands elsewhere too what follows it
+    most often in training texts, and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "chunk", 1 << 19):
-            seen: Counter[bytes] = Counter()
-            for chunk, n in zip(batch.column("chunk").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                for word in chunk.rstrip(END).lower().split():
-                    seen[word] += n
-            yield pa.RecordBatch.from_arrays([pa.array(map(word_hash, seen), pa.int64()), pa.array(seen.values(), pa.int64())], ["h", "c"])
-
-    return chunks.mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
-
-
-def gram_counts(chunks: DataFrame, begun: np.ndarray) -> DataFrame:
-    """(code, prefix, n): how often each byte followed what stood before it in training."""
-    held = chunks.sparkSession.sparkContext.broadcast(begun)
+        for at, batch in _by_slice(batches, BLOCK):
+            rows = texts_of(batch.column("text"))
+            b, starts, size = framed(rows)
+            place, key, of = anchors_of(b, starts, size)
+            whole = b.tobytes()
+            stop = np.minimum(place + AHEAD, starts[of] + size[of])
+            ahead = [whole[i:j] for i, j in zip(place.tolist(), stop.tolist(), strict=True)]
+            train = batch.column("train").to_numpy(zero_copy_only=False)[of].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), at, np.int32)), pa.array(key.view(np.int64)), pa.array(ahead, pa.binary()), pa.array(train)], ["slice", "id", "ahead", "n"])
+
+    every = written(texts.mapInArrow(run, "slice int, id bigint, ahead binary, n bigint"), "anchors")
+    each = every.groupBy("id", "ahead").agg(F.sum("n").alias("n"), F.count("*").alias("m"))
+    best = each.groupBy("id").agg(F.max(F.struct("n", "ahead")).alias("b"), F.sum("m").alias("m")).where("m > 1 AND b.n > 0")
+    best = written(best.select("id", "b.ahead", "b.n"), "continuations")
+    asked = written(every.select("slice", "id").join(best.select("id"), "id", "left_semi").distinct(), "asked")
+    remove(every)
+    return asked.join(best, "id").select("slice", "id", "ahead", "n")
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(slice, id, n): the slice's lower-cased words, by hash, and how often its training texts have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = HashArray(held.value)
-        for batch in sliced(batches, "chunk", 1 << 19):
-            codes, prefixes, starts = grams_of(batch.column("chunk").to_pylist(), known)
-            n = np.repeat(batch.column("n").to_numpy(), np.diff(np.append(starts, len(codes))))
-            _, first, of = np.unique(pairs(codes, prefixes), return_index=True, return_inverse=True)
-            n = np.bincount(of, n).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(codes[first].view(np.int64)), pa.array(prefixes[first].view(np.int64)), pa.array(n)], ["code", "prefix", "n"])
-
-    return chunks.mapInArrow(run, "code bigint, prefix bigint, n bigint").groupBy("code", "prefix").agg(F.sum("n").alias("n"))
-
-
-def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return batch.column("code").to_numpy().view(np.uint64), batch.column("prefix").to_numpy().view(np.uint64), batch.column("n").to_numpy().astype(np.float64)
+        own, seen = -1, Counter()
 
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), own, np.int32)), pa.array(map(word_hash, seen), pa.int64()), pa.array(seen.values(), pa.int64())], ["slice", "id", "n"])
 
-def slot_counts(grams: DataFrame) -> DataFrame:
-    """(slot, zeros, ones) of all contexts: at most 2**TABLE_BITS rows."""
+        for at, batch in _by_slice(batches, BLOCK):
+            if seen and (at != own or len(seen) > MEMORY // 4):
+                yield flush()
+                seen = Counter()
+            own = at
+            for text, train in zip(texts_of(batch.column("text")), batch.column("train").to_pylist(), strict=True):
+                words = text.lower().split()
+                if train:
+                    seen.update(words)
+                else:
+                    for word in set(words).difference(seen):
+                        seen[word] = 0
+        if seen:
+            yield flush()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes, prefixes, n = _arrays(batch)
-            order = batch.column("k").to_numpy()
-            for k in np.unique(order):
-                on = order == k
-                c, m = codes[on], np.tile(n[on], 8)
-                slots = np.concatenate([slots_of(c, prefixes[on], int(k), bit) for bit in range(8)])
-                ones = np.concatenate([(c >> np.uint64(7 - bit) & np.uint64(1)).astype(np.float64) for bit in range(8)])
-                slots, at = np.unique(slots, return_inverse=True)
-                total, one = np.bincount(at, m), np.bincount(at, m * ones)
-                yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array((total - one).astype(np.int64)), pa.array(one.astype(np.int64))], ["slot", "zeros", "ones"])
-
-    byte = F.col("code").bitwiseAND(255)
-    whole = grams.where("prefix <> 0").groupBy("prefix", byte.alias("code")).agg(F.sum("n").alias("n"))
-    parts = whole.select(F.lit(BYTES + 1).alias("k"), "code", "prefix", "n")
-    level = grams
-    for k in range(BYTES, -1, -1):
-        level = level.groupBy(F.col("code").bitwiseAND((1 << 8 * (k + 1)) - 1).alias("code")).agg(F.sum("n").alias("n"))
-        parts = parts.union(level.select(F.lit(k).alias("k"), "code", F.lit(0).cast("long").alias("prefix"), "n"))
-    return parts.mapInArrow(run, "slot int, zeros bigint, ones bigint").groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
-
-
-def fit(chunks: DataFrame, begun: np.ndarray) -> Mixer:
-    """A model of the chunks' texts. What comes to the driver is bounded by the table."""
-    spark = chunks.sparkSession
-    grams = written(gram_counts(chunks, begun), "grams")
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            columns = [b.column("slot").to_numpy().tobytes(), *(as_bytes(b.column(c).to_numpy()).tobytes() for c in ("zeros", "ones"))]
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], ["slot", "zeros", "ones"])
-
-    zeros, ones = np.zeros(1 << TABLE_BITS, np.uint8), np.zeros(1 << TABLE_BITS, np.uint8)
-    slots = written(slot_counts(grams).mapInArrow(packed, "slot binary, zeros binary, ones binary"), "slots")
-    for row in slots.toLocalIterator():
-        at = np.frombuffer(row["slot"], np.int32)
-        zeros[at], ones[at] = np.frombuffer(row["zeros"], np.uint8), np.frombuffer(row["ones"], np.uint8)
-    remove(slots)
-    model = Mixer(zeros, ones)
-    held = spark.sparkContext.broadcast(model.state())
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = Mixer.of(held.value)
-        mass = np.zeros(GATES)
-        rows = [np.concatenate(x) for x in zip(*map(_arrays, batches), strict=True)]
-        if rows:
-            mass = mixer.learn(*rows)
-        weights = mixer.weights.ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(weights))), pa.array(weights), pa.array(np.repeat(mass, ORDERS + 1))], ["i", "w", "m"])
-
-    learned = grams.repartition(grams.count() // LEARNER + 1).mapInArrow(learn, "i bigint, w double, m double").groupBy("i").agg(F.try_divide(F.sum(F.col("w") * F.col("m")), F.sum("m")).alias("w"))
-    for row in learned.where("w IS NOT NULL").collect():  # GATES * (ORDERS + 1) rows
-        model.weights.ravel()[row["i"]] = row["w"]
-    weights = model.weights
-
-    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = Mixer.of(held.value)
-        mixer.weights = weights
-        total = np.zeros((GATES * BUCKETS, 2))
-        for batch in batches:
-            total += mixer.outcomes(*_arrays(batch))
-        at = np.flatnonzero(total[:, 0])
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at, 0]), pa.array(total[at, 1])], ["i", "n", "ones"])
+    return texts.mapInArrow(run, "slice int, id bigint, n bigint").groupBy("slice", "id").agg(F.sum("n").alias("n"))
 
-    model.refine = np.tile(squash(np.linspace(-11, 11, BUCKETS)), GATES)
-    for row in grams.mapInArrow(refine, "i bigint, n double, ones double").groupBy("i").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).collect():
-        prior = model.refine[row["i"]]
-        model.refine[row["i"]] = (row["ones"] + 20 * prior) / (row["n"] + 20)
-    remove(grams)
-    held.destroy()
-    return model
 
+def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by slice, kind and id to a row (doc_id, train, n_bytes, n_tokens, n_known, logs, score) a text."""
+    asked: list[pa.RecordBatch] = []
+    own, model, waiting = None, None, []
 
-def score(docs: DataFrame, training: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with n_bytes, n_tokens, n_known, train_tokens, base_score, score and
-    bits_per_byte, learned from training (text).
+    def rows(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in held:
+            texts = texts_of(batch.column("text"))
+            train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
+            score = np.concatenate([model.bytes_log10(texts[part], train[part]) for part in _blocks(texts, BLOCK)])
+            out: list[list] = [[], [], []]
+            for text in texts:
+                words = text.lower().split()
+                if len(model.logs) > MEMORY // 4:
+                    model.logs = {}
+                found = [model.logs.get(w) or model.word(w) for w in words]
+                for column, value in zip(out, (len(words) + 1, sum(k for _, k in found), sum(x for x, _ in found)), strict=True):
+                    column.append(value)
+            sizes = pa.array(map(len, texts), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("train"), sizes, pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(score)], ["doc_id", "train", "n_bytes", "n_tokens", "n_known", "logs", "score"])
+
+    def warmed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first texts teach the starting weights, then are scored like the rest."""
+        for batch in held * TURNS:
+            train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
+            texts = [t for t, on in zip(texts_of(batch.column("text")), train, strict=True) if on]
+            for part in _blocks(texts, BLOCK // 4):
+                model.bytes_log10(texts[part], np.ones(len(texts[part]), bool))
+        yield from rows(held)
+
+    for at, batch in _by_slice(batches, BLOCK):
+        if at != own:
+            if waiting:
+                yield from warmed(waiting)
+            own, model, asked, waiting, warm = at, None, [], [], 0
+        kind = batch.column("kind").to_numpy()
+        cut = int(np.searchsorted(kind, TEXTS))
+        if cut:
+            asked.append(batch.slice(0, cut))
+        batch = batch.slice(cut)
+        if not batch.num_rows:
+            continue
+        if model is None:
+            model, asked = Slice(pa.Table.from_batches(asked)), []
+        if waiting is not None:
+            waiting.append(batch)
+            warm += batch.column("text").nbytes
+            if warm >= WARM:
+                yield from warmed(waiting)
+                waiting = None
+        else:
+            yield from rows([batch])
+    if waiting:
+        yield from warmed(waiting)
+
+
+def score(docs: DataFrame, training: Column) -> DataFrame:
+    """docs (doc_id, text) with train, n_bytes, n_tokens, n_known, train_tokens, base_score, score and
+    bits_per_byte, learned from the rows where training holds.
 
     base_score is that of single lower-cased words and an end each, with 0.1 added to counts;
     score is the mixing model's log10 probability of the text. A null text counts as empty
-    (one token, the end). Repeated rows count as often as they occur and get equal scores.
-    With no training text both models fall back to their uniform starts.
-
-    Words are joined by 64-bit hash. Common ones (SHARE) are known to all workers; the others
-    of each document go through a join with all counts, which a hot word cannot skew.
+    (one token, the end). Repeated rows count as often as they occur and each get a row; their
+    scores may differ, as the model goes on learning. With no training text both models fall
+    back to their uniform starts. An empty table gives an empty one; other columns are dropped.
     """
     spark = docs.sparkSession
-    chunks = written(chunk_counts(training.select(F.col("text").cast("string"))), "chunks")
-    words = written(word_counts(chunks), "words")
-    ends = training.count()
-    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n, v = total["n"] + ends, total["v"] + (ends > 0)
-    common = {r["h"]: r["c"] for r in words.where(F.col("c") >= n * SHARE).collect()}  # 1 / SHARE at most
-    spaces = chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    often = [bytes(r["chunk"]) for r in chunks.where((F.col("n") >= max(spaces * SHARE, 2)) & (F.length("chunk") <= PREFIX)).select("chunk").collect()]  # 1 / SHARE at most
-    begun = beginnings(often)
-    mixer = fit(chunks, begun)
-    model = spark.sparkContext.broadcast((mixer.state(), begun, often, np.array(mixer.chunk_scores(often, HashArray(begun)))))
-    known = spark.sparkContext.broadcast(common)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, begun, often, scores = model.value
-        usual = dict(zip(often, scores.tolist(), strict=True))
-        mixer, begun, counts = Mixer.of(state), HashArray(begun), known.value
-        memory = usual.copy()
-        logs: dict[bytes, float] = {}
-        rare: dict[bytes, int] = {}
-        for batch in sliced(batches, "text", 1 << 20):
-            texts = texts_of(batch.column("text"))
-            if len(memory) > len(usual) + MEMORY:
-                memory = usual.copy()
-            if len(logs) > MEMORY:
-                logs, rare = {}, {}
-            split = [chunks_of(t) for t in texts]
-            new = list(set().union(*split).difference(memory))
-            if new:
-                memory.update(zip(new, mixer.chunk_scores(new, begun), strict=True))
-            tokens = [t.lower().split() for t in texts]
-            for word in set().union(*tokens).difference(logs):
-                h = word_hash(word)
-                c = counts.get(h)
-                logs[word] = 0.0 if c is None else float(np.log10(c + 0.1))
-                if c is None:
-                    rare[word] = h
-            out: list[list] = [[], [], [], [], [], []]
-            for text, parts, own in zip(texts, split, tokens, strict=True):
-                others = Counter(filter(None, map(rare.get, own)))
-                row = (len(text), len(own) + 1, len(own) - others.total(), sum(map(logs.__getitem__, own)), sum(map(memory.__getitem__, parts)), [{"h": h, "n": k} for h, k in others.items()])
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, out, kinds)], ["doc_id", "n_bytes", "n_tokens", "known", "logs", "score", "rare"])
-
-    schema = "doc_id bigint, n_bytes bigint, n_tokens bigint, known bigint, logs double, score double, rare array<struct<h:bigint,n:bigint>>"
-    rows = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "scored")
-    model.destroy()
-    known.destroy()
-    others = rows.select("row", F.inline("rare")).join(words, "h", "left")
-    others = others.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("more"), F.sum(F.when(F.col("c").isNotNull(), F.col("n"))).alias("also"))
-    rows = rows.drop("rare").join(others, "row", "left")
-    end = float(np.log10(ends + 0.1))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = docs.select("doc_id", text.alias("text"), training.alias("train"))
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n"), F.count_if("train").alias("ends")).first()
+    slices = max(LEAST_SLICES, total["n"] // SLICE + 1)
+    dealt = docs.repartition(slices).select(F.spark_partition_id().alias("slice"), F.monotonically_increasing_id().alias("id"), "doc_id", "text", "train")
+    texts = written(dealt, "dealt")
+
+    words = written(word_counts(texts), "words")
+    counts = written(words.groupBy("id").agg(F.sum("n").alias("n")).where("n > 0"), "word-counts")
+    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    n, v = sums["n"] + total["ends"], sums["v"] + (total["ends"] > 0)
+    grams = written(gram_counts(texts), "grams")
+    contexts = context_paths(grams)
+
+    less = grams.where("train").join(contexts, "code").select("slice", F.lit(GRAMS).alias("kind"), F.col("code").alias("id"), *(F.col(f"l{k}").alias(f"v{k}") for k in range(ORDERS)), F.col("gl").cast("long").alias("n"))
+    full = grams.where("held").join(contexts, "code").select("slice", F.lit(GRAMS).alias("kind"), (F.col("code") + F.lit(1 << 48)).alias("id"), *(F.col(f"f{k}").alias(f"v{k}") for k in range(ORDERS)), F.col("gf").cast("long").alias("n"))
+    ahead = continuations(texts).withColumn("kind", F.lit(AHEADS))
+    known = words.select("slice", "id").join(counts, "id").withColumn("kind", F.lit(WORDS))
+    rows = less.unionByName(full).unionByName(ahead, allowMissingColumns=True).unionByName(known, allowMissingColumns=True)
+    rows = rows.unionByName(texts.withColumn("kind", F.lit(TEXTS)), allowMissingColumns=True)
+    parts = min(slices, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # Slices are numbered from 0, so a range a partition is as even as can be.
+    scored = rows.repartitionByRange(parts, "slice").sortWithinPartitions("slice", "kind", "id").mapInArrow(_scored, "doc_id bigint, train boolean, n_bytes bigint, n_tokens bigint, n_known bigint, logs double, score double")
+    end = float(np.log10(total["ends"] + 0.1))
     per = float(np.log10(n + 0.1 * (v + 1)))
-    base = F.col("logs") + F.coalesce("more", F.lit(0.0)) + F.lit(end) - F.col("n_tokens") * per
-    return rows.select(
+    return scored.select(
         "doc_id",
+        "train",
         "n_bytes",
         "n_tokens",
-        (F.col("known") + F.coalesce("also", F.lit(0)) + int(ends > 0)).cast("long").alias("n_known"),
+        (F.col("n_known") + int(total["ends"] > 0)).alias("n_known"),
         F.lit(int(n)).cast("long").alias("train_tokens"),
-        base.alias("base_score"),
+        (F.col("logs") + F.lit(end) - F.col("n_tokens") * per).alias("base_score"),
         "score",
         (-F.col("score") / float(np.log10(2)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = score(docs, docs.where(~held_out(10, 0)))
-    return scored.withColumn("held_out", held_out(10, 0))
+    """Every document's scores; learned from those that are not held out. Null texts are empty,
+    repeated rows are scored each, an empty table gives none."""
+    return score(table(spark, sf_dir, "documents"), ~held_out(10, 0)).withColumn("held_out", ~F.col("train")).drop("train")
