@@ -41,8 +41,8 @@ MATCH, ANCHORS, AHEAD = 24, 64, 40
 SLICE, BLOCK, WARM = 64 << 20, 2 << 20, 1 << 20
 #: How often the first texts are gone through for the starting weights.
 TURNS = 3
-#: Slices at least, so that small tables are worked on in parallel.
-LEAST_SLICES = 8
+#: Small tables are dealt to so many slices of so many bytes, to be worked on in parallel.
+FEW, FEW_BYTES = 8, 4 << 20
 #: Distinct entries of a worker's memory before it is emptied.
 MEMORY = 1 << 20
 #: Levels of confidence by a context's count.
@@ -495,7 +495,7 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select("doc_id", text.alias("text"), training.alias("train"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n"), F.count_if("train").alias("ends")).first()
-    slices = max(LEAST_SLICES, total["n"] // SLICE + 1)
+    slices = max(total["n"] // SLICE + 1, min(FEW, total["n"] // FEW_BYTES + 1))
     dealt = docs.repartition(slices).select(F.spark_partition_id().alias("slice"), F.monotonically_increasing_id().alias("id"), "doc_id", "text", "train")
     texts = written(dealt, "dealt")
 
