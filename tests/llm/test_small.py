@@ -128,14 +128,14 @@ def test_near_duplicates_on_odd_rows(odd, none):
 
 def test_repeats_equal_brute_force(spark, monkeypatch):
     r = random.Random(7)
-    common = ["".join(r.choice("abcd ") for _ in range(n)) for n in (399, 400, 401, 700, 2000)]
+    common = ["".join(r.choice("abcd ") for _ in range(n)) for n in (255, 256, 257, 300, 399, 400, 401, 700, 2000)]
     texts = ["", "short", "ab" * 500, "ab" * 450]
     for _ in range(40):
         parts = ["".join(r.choice("abcd é") for _ in range(r.randint(0, 900)))]
         for _ in range(r.randint(0, 3)):
             c = r.choice(common)
-            cut = r.randint(0, 150)
-            parts += [c[cut : len(c) - r.randint(0, 150)], "".join(r.choice("wxyz") for _ in range(r.randint(0, 60)))]
+            cut = r.choice([0, r.randint(0, 150)])
+            parts += [c[cut : len(c) - r.choice([0, r.randint(0, 150)])], "".join(r.choice("wxyz") for _ in range(r.randint(0, 60)))]
         texts.append("".join(parts))
     texts += texts[10:13]
     expected = repeats.by_brute_force([t.encode() for t in texts])
@@ -143,7 +143,7 @@ def test_repeats_equal_brute_force(spark, monkeypatch):
         monkeypatch.setattr(repeats, "SEGMENT", segment)
         monkeypatch.setattr(repeats, "BLOCK", block)
         rows = repeats.remove_repeats(docs(spark, texts)).collect()
-        got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], len(x["spans"]), hashlib.sha256(x["kept"]).hexdigest()) for x in rows}
+        got = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_repeated"], len(x["spans"]), hashlib.sha256(x["kept"]).hexdigest()) for x in rows}
         assert [got[i] for i in range(len(texts))] == expected
 
 

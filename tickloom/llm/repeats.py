@@ -1,17 +1,17 @@
 """Exact long repeats by a sparse suffix array and its common-prefix interval tree.
 
 Only some suffixes are kept: a position is an anchor if its 16-byte hash is the least
-among the window starts' first REACH positions for some WINDOW bytes. The choice looks at
-those WINDOW bytes alone, so two equal windows hold an anchor at the same place, at most
-REACH - 1 bytes from their start. An anchor's key is the hash of the CORE bytes that any
-such window has from the anchor on; only anchors with equal keys can share a window.
+among the first REACH positions of some LEAST bytes. The choice looks at those LEAST bytes
+alone, so two equal windows hold an anchor at the same place, at most REACH - 1 bytes from
+their start. An anchor's key is the hash of the CORE bytes that any such window has from the
+anchor on; only anchors with equal keys can share a window.
 
 Anchors whose whole surroundings (REACH - 1 bytes before, WINDOW after) are equal are one
 class; a class of two or more is covered to the full. For keys with several classes, one
 suffix a class is sorted, common-prefix intervals are found by a scan with a stack, and
 each interval's members are compared to the left: two members of an interval of prefix
 length R that agree on L bytes before the anchor, R + L >= WINDOW, are occurrences of one
-repeat.
+repeat that is removed; with R + L >= LEAST they are one that is only told.
 """
 
 from __future__ import annotations
@@ -26,10 +26,13 @@ from pyspark.sql import functions as F
 
 from .common import mix, remove, sliced, table, texts_of, written
 
-WINDOW = 400
-REACH = 256
-CORE = WINDOW - REACH + 1
+#: Bytes of a repeat that is removed, and of one that is told: some fifty words.
+WINDOW, LEAST = 400, 256
+REACH = 128
+CORE = LEAST - REACH + 1
 LEFT = REACH - 1
+#: Bytes that are compared on either side at most.
+WIDTH = max(LEFT, WINDOW - CORE)
 #: Bytes of a text that are handled at once, and classes of a key that one task sorts.
 SEGMENT = 1 << 21
 BLOCK = 20_000
@@ -65,7 +68,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     pieces, spans, at = [], [], WINDOW
     pad = bytes(WINDOW)
     for row, text in enumerate(texts):
-        starts = len(text) - WINDOW + 1
+        starts = len(text) - LEAST + 1
         for s in range(0, max(0, starts), SEGMENT):
             e = min(s + SEGMENT, starts)  # window starts s..e-1
             lo, hi = max(0, s - LEFT), min(len(text), e + REACH + WINDOW)
@@ -117,11 +120,11 @@ def _common(x: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     size = np.fromiter(map(len, x), np.int64, len(x))
     start = np.cumsum(size) - size
     flat = np.frombuffer(b"".join(x) + bytes(WINDOW), np.uint8)
-    step = np.arange(LEFT)
+    step = np.arange(WIDTH)
     for at in range(0, len(i), CHUNK):
         p, q = i[at : at + CHUNK], j[at : at + CHUNK]
         differ = flat[start[p][:, None] + step] != flat[start[q][:, None] + step]
-        first = np.where(differ.any(1), differ.argmax(1), LEFT)
+        first = np.where(differ.any(1), differ.argmax(1), WIDTH)
         out[at : at + CHUNK] = np.minimum(first, np.minimum(size[p], size[q]))
     return out
 
@@ -142,23 +145,24 @@ def intervals(lcp: list[int]) -> list[tuple[int, int, int]]:
     return out
 
 
-def cover(group: np.ndarray, left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes before each anchor and from it on that repeats through it cover.
+def cover(group: np.ndarray, left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """(4, n): the bytes before each anchor and from it on that repeats of WINDOW bytes through it
+    cover, then those that repeats of LEAST bytes cover. 0, 0 where none passes.
 
     Rows come sorted by group, then right; right begins CORE bytes after the anchor, left is
-    the bytes before it, nearest first. 0, 0 where no repeat of WINDOW bytes passes.
+    the bytes before it, nearest first.
     """
     n = len(group)
-    most_left, most_right = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    most = np.zeros((4, n), np.int64)
     if n < 2:
-        return most_left, most_right
+        return most
     rows = np.arange(n)
     lcp = np.concatenate([[-1], _common(right, rows[:-1], rows[1:])])
     lcp[1:][group[1:] != group[:-1]] = -1
     nodes = np.array(intervals(lcp.tolist()), np.int64).reshape(-1, 3)
     nodes = nodes[nodes[:, 2] >= 0]
     if not len(nodes):
-        return most_left, most_right
+        return most
     rank = np.empty(n, np.int64)
     rank[np.array(sorted(range(n), key=left.__getitem__), np.int64)] = rows
     size = nodes[:, 1] - nodes[:, 0] + 1
@@ -174,21 +178,25 @@ def cover(group: np.ndarray, left: list[bytes], right: list[bytes]) -> tuple[np.
         beside[node[1:] != node[:-1]] = -1
         best = np.maximum(np.append(beside, -1), np.insert(beside, 0, -1))
         length = CORE + nodes[node, 2]
-        hit = best + length >= WINDOW
-        np.maximum.at(most_left, member[hit], best[hit])
-        np.maximum.at(most_right, member[hit], length[hit])
+        for k, least in enumerate((WINDOW, LEAST)):
+            hit = (best >= 0) & (best + length >= least)
+            np.maximum.at(most[2 * k], member[hit], best[hit])
+            np.maximum.at(most[2 * k + 1], member[hit], length[hit])
         at = to
-    return most_left, most_right
+    return most
+
+
+SIDES = ["l", "r", "near_l", "near_r"]
 
 
 def _cover_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (place, key, full, before, after), sorted by place and after, to (key, full, l, r)."""
+    """Rows (place, key, full, before, after), sorted by place and after, to (key, full, l, r, near_l, near_r)."""
     kept: list[pa.RecordBatch] = []
 
     def run(part: pa.Table) -> pa.RecordBatch:
-        l, r = cover(part["place"].to_numpy(), part["before"].to_pylist(), part["after"].to_pylist())
-        hit = np.flatnonzero(r)
-        return pa.RecordBatch.from_arrays([part["key"].combine_chunks().take(hit), part["full"].combine_chunks().take(hit), pa.array(l[hit]), pa.array(r[hit])], ["key", "full", "l", "r"])
+        most = cover(part["place"].to_numpy(), part["before"].to_pylist(), part["after"].to_pylist())
+        hit = np.flatnonzero(most[3])
+        return pa.RecordBatch.from_arrays([part["key"].combine_chunks().take(hit), part["full"].combine_chunks().take(hit), *map(pa.array, most[:, hit])], ["key", "full", *SIDES])
 
     for batch in batches:
         rows = pa.Table.from_batches([*kept, batch])
@@ -204,7 +212,8 @@ def _cover_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(t0, t1, key, position, start, stop): each repeated stretch through an anchor of each text.
+    """(t0, t1, key, position, start, stop, near_start, near_stop): the stretches through an anchor of
+    each text that repeats of WINDOW (else start = stop) and of LEAST bytes cover.
 
     t0, t1 are a text's 128-bit hash, so copies of a text share their rows. Rows with one key
     are the occurrences of repeats that share the anchor's CORE bytes.
@@ -216,11 +225,11 @@ def repeats(docs: DataFrame) -> DataFrame:
             row, position, key, full, left, right = anchors(texts_of(batch.column("text")))
             rows = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("t0").take(rows), batch.column("t1").take(rows), pa.array(position), pa.array(key.view(np.int64)), pa.array(full.view(np.int64)), pa.array(left.astype(np.int16)), pa.array(right.astype(np.int16))],
+                [batch.column("t0").take(rows), batch.column("t1").take(rows), pa.array(position.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(full.view(np.int64)), pa.array(left.astype(np.int16)), pa.array(right.astype(np.int16))],
                 ["t0", "t1", "position", "key", "full", "l", "r"],
             )
 
-    every = written(named.mapInArrow(find, "t0 bigint, t1 bigint, position bigint, key bigint, full bigint, l smallint, r smallint"), "anchors")
+    every = written(named.mapInArrow(find, "t0 bigint, t1 bigint, position int, key bigint, full bigint, l smallint, r smallint"), "anchors")
     keys = every.groupBy("key").agg(F.count("*").alias("n"), F.min("full").alias("least"), F.max("full").alias("most"))
     # Written, as a join of two plain scans is one whose hot keys Spark splits.
     keys = written(keys.where("n > 1").select("key", (F.col("least") != F.col("most")).alias("mixed")), "keys")
@@ -229,11 +238,16 @@ def repeats(docs: DataFrame) -> DataFrame:
     mixed = repeated.where("mixed")
     classes = mixed.groupBy("key", "full").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("t0", "t1", "position", "l", "r")))
     classes = written(classes, "classes")
-    whole = classes.where("n > 1").select("key", "full", F.col("l").cast("long"), F.col("r").cast("long"))
-    partial = written(_partial(named, classes).unionByName(whole).groupBy("key", "full").agg(F.max("l").alias("pl"), F.max("r").alias("pr")), "partial")
-    found = mixed.join(partial, ["key", "full"]).withColumns({"l": F.col("pl"), "r": F.col("pr")}).select("t0", "t1", "key", "position", "l", "r")
-    found = found.union(repeated.where("NOT mixed").select("t0", "t1", "key", "position", "l", "r"))
-    return found.select("t0", "t1", "key", "position", (F.col("position") - F.col("l")).alias("start"), (F.col("position") + F.col("r")).alias("stop"))
+    both = [F.col("l").cast("long"), F.col("r").cast("long")]
+    removed = F.col("l") + F.col("r") >= WINDOW
+    sides = [F.when(removed, c).otherwise(0).alias(n) for c, n in zip(both, SIDES, strict=False)] + [c.alias(n) for c, n in zip(both, SIDES[2:], strict=True)]
+    whole = classes.where("n > 1").select("key", "full", *sides)
+    partial = _partial(named, classes).unionByName(whole).groupBy("key", "full").agg(*(F.max(c).alias(f"p_{c}") for c in SIDES))
+    partial = written(partial, "partial")
+    found = mixed.join(partial, ["key", "full"]).select("t0", "t1", "key", "position", *(F.col(f"p_{c}").alias(c) for c in SIDES))
+    found = found.union(repeated.where("NOT mixed").select("t0", "t1", "key", "position", *sides))
+    at = F.col("position").cast("long")
+    return found.select("t0", "t1", "key", "position", (at - F.col("l")).alias("start"), (at + F.col("r")).alias("stop"), (at - F.col("near_l")).alias("near_start"), (at + F.col("near_r")).alias("near_stop"))
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -242,8 +256,9 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def _partial(named: DataFrame, classes: DataFrame) -> DataFrame:
-    """(key, full, l, r) from comparing one suffix of each class with the others of its key."""
-    sizes = classes.groupBy("key").agg(F.count("*").alias("size"))
+    """(key, full, l, r, near_l, near_r) from comparing one suffix of each class with the others of its key."""
+    # Written, so that Spark splits a hot key of the join below.
+    sizes = written(classes.groupBy("key").agg(F.count("*").alias("size")), "sizes")
     wanted = classes.groupBy("t0", "t1").agg(F.collect_list(F.struct("position", "key", "full")).alias("at"))
     texts = named.groupBy("t0", "t1").agg(F.first("text").alias("text")).join(wanted, ["t0", "t1"]).select("text", "at")
 
@@ -265,7 +280,7 @@ def _partial(named: DataFrame, classes: DataFrame) -> DataFrame:
     rows = rows.join(sizes, "key").select("key", "full", "before", "after", own.alias("own"), other.alias("other"))
     rows = rows.withColumn("place", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
     parts = int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select("place", "key", "full", "before", "after").repartition(parts, "place").sortWithinPartitions("place", "after").mapInArrow(_cover_batches, "key bigint, full bigint, l bigint, r bigint")
+    return rows.select("place", "key", "full", "before", "after").repartition(parts, "place").sortWithinPartitions("place", "after").mapInArrow(_cover_batches, "key bigint, full bigint, l bigint, r bigint, near_l bigint, near_r bigint")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -280,49 +295,56 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) as (doc_id, n_bytes, n_removed, spans, kept): every byte covered by a
-    WINDOW-byte string that also starts elsewhere is removed.
+    """docs (doc_id, text) as (doc_id, n_bytes, n_removed, n_repeated, spans, kept): every byte covered by
+    a WINDOW-byte string that also starts elsewhere is removed.
 
-    kept is the remaining bytes, spans the maximal removed runs (start, stop). A null text
+    n_repeated counts the bytes that a LEAST-byte string which also starts elsewhere covers: it
+    tells shared passages that are too short to be removed. kept is the remaining bytes, spans the maximal removed runs (start, stop). A null text
     counts as empty; texts under WINDOW bytes lose nothing; a repeated row, being a copy of
     another, is removed whole like that other (each copy's strings start elsewhere too).
     Texts of any length go through in segments. An empty table gives an empty one.
     """
-    spans = repeats(docs).groupBy("t0", "t1").agg(F.collect_set(F.struct("start", "stop")).alias("found"))
+    spans = repeats(docs).groupBy("t0", "t1").agg(F.collect_set(F.struct("start", "stop", "near_start", "near_stop")).alias("found"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).withColumns({"t0": F.xxhash64("text"), "t1": F.xxhash64(F.lit("other"), "text")})
     rows = rows.join(spans, ["t0", "t1"], "left").select("doc_id", "text", "found")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", SEGMENT):
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for text, found in zip(texts_of(batch.column("text")), batch.column("found").to_pylist(), strict=True):
-                runs = merged([(x["start"], x["stop"]) for x in found or ()])
+                runs = merged([(x["start"], x["stop"]) for x in found or () if x["stop"] > x["start"]])
+                near = merged([(x["near_start"], x["near_stop"]) for x in found or ()])
                 stops = [0, *(b for _, b in runs)]
                 kept = b"".join(text[a:b] for a, b in zip(stops, [*(a for a, _ in runs), len(text)], strict=True))
-                for column, value in zip(out, (len(text), len(text) - len(kept), [{"start": a, "stop": b} for a, b in runs], kept), strict=True):
+                for column, value in zip(out, (len(text), len(text) - len(kept), sum(b - a for a, b in near), [{"start": a, "stop": b} for a, b in runs], kept), strict=True):
                     column.append(value)
             kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], kind), pa.array(out[3], pa.binary())], ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], kind), pa.array(out[4], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_repeated", "spans", "kept"])
 
-    return rows.mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<struct<start:bigint,stop:bigint>>, kept binary")
+    return rows.mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_repeated bigint, spans array<struct<start:bigint,stop:bigint>>, kept binary")
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's sizes and what is left of it, by its hash. Null texts are empty, repeated rows
+    are removed whole, an empty table gives none."""
     cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_repeated", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def by_brute_force(texts: list[bytes]) -> list[tuple[int, int, int, str]]:
+def by_brute_force(texts: list[bytes]) -> list[tuple[int, int, int, int, str]]:
     """op7's figures for a few small texts, by counting all windows."""
-    seen: dict[bytes, int] = {}
-    for t in texts:
-        for p in range(len(t) - WINDOW + 1):
-            seen[t[p : p + WINDOW]] = seen.get(t[p : p + WINDOW], 0) + 1
+
+    def covered(width: int) -> list[list[tuple[int, int]]]:
+        seen: dict[bytes, int] = {}
+        for t in texts:
+            for p in range(len(t) - width + 1):
+                seen[t[p : p + width]] = seen.get(t[p : p + width], 0) + 1
+        return [merged([(p, p + width) for p in range(len(t) - width + 1) if seen[t[p : p + width]] > 1]) for t in texts]
+
     out = []
-    for t in texts:
-        runs = merged([(p, p + WINDOW) for p in range(len(t) - WINDOW + 1) if seen[t[p : p + WINDOW]] > 1])
+    for t, runs, near in zip(texts, covered(WINDOW), covered(LEAST), strict=True):
         stops = [0, *(b for _, b in runs)]
         kept = b"".join(t[a:b] for a, b in zip(stops, [*(a for a, _ in runs), len(t)], strict=True))
-        out.append((len(t), len(t) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
+        out.append((len(t), len(t) - len(kept), sum(b - a for a, b in near), len(runs), hashlib.sha256(kept).hexdigest()))
     return out
