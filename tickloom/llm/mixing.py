@@ -512,9 +512,8 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     known = words.select("slice", "id").join(counts, "id").withColumn("kind", F.lit(WORDS))
     rows = less.unionByName(full).unionByName(ahead, allowMissingColumns=True).unionByName(known, allowMissingColumns=True)
     rows = rows.unionByName(texts.withColumn("kind", F.lit(TEXTS)), allowMissingColumns=True)
-    parts = min(slices, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # Slices are numbered from 0, so a range a partition is as even as can be.
-    scored = rows.repartitionByRange(parts, "slice").sortWithinPartitions("slice", "kind", "id").mapInArrow(_scored, "doc_id bigint, train boolean, n_bytes bigint, n_tokens bigint, n_known bigint, logs double, score double")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    scored = rows.repartition(parts, "slice").sortWithinPartitions("slice", "kind", "id").mapInArrow(_scored, "doc_id bigint, train boolean, n_bytes bigint, n_tokens bigint, n_known bigint, logs double, score double")
     end = float(np.log10(total["ends"] + 0.1))
     per = float(np.log10(n + 0.1 * (v + 1)))
     return scored.select(
