@@ -74,17 +74,15 @@ def sent(texts, asked, ahead=()):
     counts = counted(texts)
     b, starts, size = mixing.framed([t.encode() for t in asked])
     rows = []
-    for c in np.unique(mixing.codes_of(b, starts, size)).tolist():
-        byte, gate, row = c & 255, 0, {"kind": mixing.GRAMS, "id": c | 1 << 48}
-        for k in range(mixing.ORDERS):
-            context = (c >> 8 & (1 << 8 * k) - 1).to_bytes(k, "big")
-            seen = counts[k][context]
-            row[f"v{k}"] = int(np.array([stretched(one, zero) for one, zero, _ in bits_of(seen, byte, 0)], np.int8).view(np.int64)[0])
+    codes = np.unique(mixing.codes_of(b, starts, size))
+    for k in range(mixing.ORDERS):
+        for c in np.unique(codes & np.uint64((1 << 8 * (k + 1)) - 1)).tolist():
+            seen = counts[k][(c >> 8).to_bytes(k, "big")]
             if seen.total():
-                gate = (k + 1) * len(mixing.LEVELS) + int(np.searchsorted(mixing.LEVELS, seen.total(), "right")) - 1
-        rows.append(row | {"n": gate, "ahead": None})
+                v = int(np.array([stretched(one, zero) for one, zero, _ in bits_of(seen, c & 255, 0)], np.int8).view(np.int64)[0])
+                rows.append({"kind": k, "id": c | 1 << mixing.ROLE, "v": v, "n": int(np.searchsorted(mixing.LEVELS, seen.total(), "right")) - 1})
     rows += [{"kind": mixing.AHEADS, "id": k, "n": n, "ahead": a} for k, a, n in ahead]
-    fields = [("kind", pa.int32()), ("id", pa.int64()), *((f"v{k}", pa.int64()) for k in range(mixing.ORDERS)), ("n", pa.int64()), ("ahead", pa.binary())]
+    fields = [("kind", pa.int32()), ("id", pa.int64()), ("v", pa.int64()), ("n", pa.int64()), ("ahead", pa.binary())]
     return mixing.Slice(pa.Table.from_pylist(rows, pa.schema(fields)))
 
 
@@ -129,12 +127,12 @@ def test_learning_lowers_the_cost():
     first = model.bytes_log10(data, np.zeros(40, bool)).sum()
     assert model.mixer.blocks == 0  # held-out texts never teach
     b, starts, size = mixing.framed(data)
-    code = mixing.codes_of(b, starts, size) | np.uint64(1 << 48)
+    code = mixing.codes_of(b, starts, size) | np.uint64(1 << mixing.ROLE)
     code, n = np.unique(code, return_counts=True)
-    at = model.codes.find(mixing.mix(code))
+    vectors, gates = model.predictions(code)
     zero = np.zeros(len(code), np.int64)
     for _ in range(6):
-        model.mixer.block((code & np.uint64(255)).astype(np.int64), model.vectors[at], model.gates[at], zero, zero, n)
+        model.mixer.block((code & np.uint64(255)).astype(np.int64), vectors, gates, zero, zero, n)
     assert model.mixer.blocks == 6 and model.bytes_log10(data, np.zeros(40, bool)).sum() > 0.95 * first
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HashArray, mix, remove, sliced, table, written
+from .common import HashArray, fresh, mix, remove, sliced, table, written
 
 ORDER = 4
 #: N-grams under this share of their language's (types or tokens, as counted) are left to the
@@ -153,7 +153,11 @@ class Model:
 
 
 def fit(docs: DataFrame) -> Model | None:
-    """A model of every language in docs (text, lang); None if there is nothing to learn from."""
+    """A model of every language in docs (text, lang); None if there is nothing to learn from.
+
+    Rows with a null text or lang teach nothing, repeated rows teach as often as they occur,
+    letterless texts teach nothing, other columns are not read.
+    """
     counts = written(gram_counts(docs), "gram-counts")
     grams, rests = smoothed(counts)
     g = grams.toArrow()  # bounded by LEAST_SHARE for each language and order
@@ -166,7 +170,13 @@ def fit(docs: DataFrame) -> Model | None:
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs with lang_pred, entropy (bits a character, the best language's), margin (bits a
-    character to the next language) and n_letters. und, null entropy: no letter."""
+    character to the next language) and n_letters. und, null entropy: no letter.
+
+    Columns of docs with these four names are replaced, all others pass through. Null, empty
+    and letterless texts are und; of languages with equal bits the first by name is taken;
+    repeated rows are scored each, very long texts whole; without a model (fit gave None) all
+    are und with a null entropy.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
     columns = [c for c in docs.columns if c not in ("lang_pred", "entropy", "margin", "n_letters")]
     docs = docs.select(*columns)
@@ -208,14 +218,19 @@ def confidence() -> Column:
 def unlike(scored: DataFrame, training: Column) -> DataFrame:
     """scored with rejected: no letters, or more bits a character than the training texts of
     that language explain: MARGIN and six spreads above their median, a spread being their own
-    (MAD) and that of a mean over so few characters (about 3 bits a character)."""
-    of = scored.where(training & F.col("entropy").isNotNull())
-    middle = of.groupBy("lang_pred").agg(F.percentile_approx("entropy", 0.5, 1000).alias("med"))
+    (MAD) and that of a mean over so few characters (about 3 bits a character).
+
+    A column called rejected is replaced, all others are kept. A language with one training
+    text has no spread of its own; without any training text only those without a letter go.
+    """
+    med, mad = fresh(scored, "med"), fresh(scored, "mad")
+    of = scored.where(training & F.col("entropy").isNotNull()).select("lang_pred", "entropy")
+    middle = of.groupBy("lang_pred").agg(F.percentile_approx("entropy", 0.5, 1000).alias(med))
     spread = of.join(F.broadcast(middle), "lang_pred")  # a row a language
-    spread = spread.groupBy("lang_pred").agg(F.first("med").alias("med"), F.percentile_approx(F.abs(F.col("entropy") - F.col("med")), 0.5, 1000).alias("mad"))
+    spread = spread.groupBy("lang_pred").agg(F.first(med).alias(med), F.percentile_approx(F.abs(F.col("entropy") - F.col(med)), 0.5, 1000).alias(mad))
     out = scored.join(F.broadcast(spread), "lang_pred", "left")
-    most = F.col("med") + MARGIN + 6 * (1.4826 * F.col("mad") + 3 / F.sqrt(F.col("n_letters") + 1))
-    return out.withColumn("rejected", F.col("entropy").isNull() | F.coalesce(F.col("entropy") > most, F.lit(False))).drop("med", "mad")
+    most = F.col(med) + MARGIN + 6 * (1.4826 * F.col(mad) + 3 / F.sqrt(F.col("n_letters") + 1))
+    return out.withColumn("rejected", F.col("entropy").isNull() | F.coalesce(F.col("entropy") > most, F.lit(False))).drop(med, mad)
 
 
 def held_out(parts: int, part: int) -> Column:
@@ -224,7 +239,8 @@ def held_out(parts: int, part: int) -> Column:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, lang_pred, score and rejected of every document; learned from the rest."""
+    """doc_id, held_out, lang_pred, score and rejected of every document; learned from those not
+    held out. Null and letterless texts are und with score 0; repeated rows each get a row."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs.where(~held_out(4, 2)))
     scored = score(docs.select("doc_id", "text"), model).drop("text").withColumn("held_out", held_out(4, 2))

@@ -53,7 +53,9 @@ STEP = 12.0
 MOST = 11.5
 BUCKETS = 33
 END = b"\xff"
-GRAMS, AHEADS, WORDS, TEXTS = range(4)
+#: Kinds of a slice's rows: those of each order come first, by their number.
+AHEADS, WORDS, TEXTS = range(ORDERS, ORDERS + 3)
+ROLE = 48
 
 
 def words_at(buffer: np.ndarray) -> np.ndarray:
@@ -80,7 +82,7 @@ def codes_of(b: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
         part = wide[:-k] << np.uint64(8 * k)
         for j in range(k):  # bytes of the text before are none of this one's
             at = starts[1:] + j
-            part[at[at < starts[1:] + size[1:]] - k] = 0
+            part[at[(at < starts[1:] + size[1:]) & (at >= k)] - k] = 0
         out[k:] |= part
     return out
 
@@ -208,23 +210,35 @@ class Slice:
 
     def __init__(self, rows: pa.Table):
         kind = rows["kind"].to_numpy()
-        part = [rows.filter(pa.array(kind == k)) for k in (GRAMS, AHEADS, WORDS)]
-        code = part[0]["id"].to_numpy().view(np.uint64)
-        order = np.argsort(mix(code))
-        self.codes = HashArray(mix(code)[order])
-        stacked = np.stack([part[0][f"v{k}"].to_numpy()[order] for k in range(ORDERS)], axis=1) if len(code) else np.empty((0, ORDERS), np.int64)
-        self.vectors = np.ascontiguousarray(stacked).view(np.int8).reshape(-1, ORDERS, 8)
-        self.gates = part[0]["n"].to_numpy()[order]
-        key = part[1]["id"].to_numpy().view(np.uint64)
+        part = {k: rows.filter(pa.array(kind == k)) for k in range(TEXTS)}
+        self.codes, self.vectors, self.levels = [], [], []
+        for k in range(ORDERS):
+            code = mix(part[k]["id"].to_numpy().view(np.uint64))
+            order = np.argsort(code)
+            self.codes.append(HashArray(code[order]))
+            # A last row of zeros stands for all contexts that were not sent: they are not known.
+            self.vectors.append(np.append(part[k]["v"].to_numpy()[order], 0).view(np.int8).reshape(-1, 8))
+            self.levels.append(np.append(part[k]["n"].to_numpy()[order], 0))
+        key = part[AHEADS]["id"].to_numpy().view(np.uint64)
         order = np.argsort(mix(key))
         self.keys = HashArray(mix(key)[order])
-        ahead = part[1]["ahead"].to_pylist()
+        ahead = part[AHEADS]["ahead"].to_pylist()
         self.ahead = np.frombuffer(b"".join(ahead[i].ljust(AHEAD, b"\0") for i in order), np.uint8).reshape(-1, AHEAD)
-        self.times = part[1]["n"].to_numpy()[order]
-        self.counts = dict(zip(part[2]["id"].to_pylist(), part[2]["n"].to_pylist(), strict=True))
-        self.logs: dict[bytes, tuple[float, int]] = {}
+        self.times = part[AHEADS]["n"].to_numpy()[order]
+        self.counts = dict(zip(part[WORDS]["id"].to_pylist(), part[WORDS]["n"].to_pylist(), strict=True))
+        self.logs: tuple[dict[bytes, tuple[float, int]], ...] = ({}, {})
         self.mixer = Mixer()
 
+    def predictions(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(vectors, gates) of codes with their role."""
+        vectors, gate = np.empty((len(code), ORDERS, 8), np.int8), np.zeros(len(code), np.int64)
+        for k in range(ORDERS):
+            at = self.codes[k].find(mix(code & np.uint64((1 << 8 * (k + 1)) - 1 | 1 << ROLE)))
+            vectors[:, k] = self.vectors[k][at]
+            level = self.levels[k][at]
+            gate = np.where(level > 0, (k + 1) * len(LEVELS) + level, gate)
+        return vectors, gate
+
     def foretold(self, b: np.ndarray, starts: np.ndarray, size: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(expected byte, match 0 to 6) at each byte."""
         expected, match = np.zeros(len(b), np.uint8), np.zeros(len(b), np.uint8)
@@ -255,16 +269,15 @@ class Slice:
         role = np.repeat(~train, size).astype(np.uint64)
         whole = codes_of(b, starts, size) | role << np.uint64(48) | match.astype(np.uint64) << np.uint64(49) | expected.astype(np.uint64) << np.uint64(52)
         whole, of, n = np.unique(whole, return_inverse=True, return_counts=True)
-        scores = np.empty(len(whole))
         n[(whole >> np.uint64(48) & np.uint64(1)) == 1] = 0
-        at = self.codes.find(mix(whole & np.uint64((1 << 49) - 1)))
-        vectors = self.vectors[at]
-        scores = self.mixer.block((whole & np.uint64(255)).astype(np.int64), vectors, self.gates[at], (whole >> np.uint64(52)).astype(np.int64), (whole >> np.uint64(49) & np.uint64(7)).astype(np.int64), n)
+        vectors, gate = self.predictions(whole & np.uint64((1 << ROLE + 1) - 1))
+        scores = self.mixer.block((whole & np.uint64(255)).astype(np.int64), vectors, gate, (whole >> np.uint64(52)).astype(np.int64), (whole >> np.uint64(49) & np.uint64(7)).astype(np.int64), n)
         return np.add.reduceat(scores[of], starts)
 
-    def word(self, word: bytes) -> tuple[float, int]:
-        c = self.counts.get(word_hash(word), 0)
-        self.logs[word] = found = (float(np.log10(c + 0.1)), int(c > 0))
+    def word(self, word: bytes, train: bool) -> tuple[float, int]:
+        """A word that was not sent stands once in training if a training text has it, else never."""
+        c = self.counts.get(word_hash(word), int(train))
+        self.logs[train][word] = found = (float(np.log10(c + 0.1)), int(c > 0))
         return found
 
 
@@ -296,8 +309,8 @@ def _by_slice(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[in
 
 
 def gram_counts(texts: DataFrame) -> DataFrame:
-    """(slice, code, n, train, held): the slice's contexts with bytes, how often they stand in its
-    training texts, and whether a training or another text has them."""
+    """(slice, code, n, held): the slice's contexts with bytes and how often they stand in its
+    training texts (held: in others, with n = 0). A large slice may give a row several times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, pending, held_back = -1, [], 0
@@ -308,9 +321,8 @@ def gram_counts(texts: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             code, n = merged()
-            # A code with the 49th bit is that of another text; both are brought together by the sum below.
-            held = code >> np.uint64(48) == 1
-            plain = (code & np.uint64((1 << 48) - 1)).view(np.int64)
+            held = code >> np.uint64(ROLE) == 1
+            plain = (code & np.uint64((1 << ROLE) - 1)).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(code), own, np.int32)), pa.array(plain), pa.array(np.where(held, 0, n)), pa.array(held)], ["slice", "code", "n", "held"])
 
         for at, batch in _by_slice(batches, 4 << 20):
@@ -329,21 +341,22 @@ def gram_counts(texts: DataFrame) -> DataFrame:
         if pending:
             yield flush()
 
-    rows = texts.mapInArrow(run, "slice int, code bigint, n bigint, held boolean")
-    return rows.groupBy("slice", "code").agg(F.sum("n").alias("n"), F.bool_or(~F.col("held")).alias("train"), F.bool_or("held").alias("held"))
+    return texts.mapInArrow(run, "slice int, code bigint, n bigint, held boolean")
 
 
-def context_paths(grams: DataFrame) -> DataFrame:
-    """(code, f0.., l0.., gf, gl) of each context with a byte: the predictions of all orders, whole (f)
-    and with one count left out (l), and the gates: the longest known order and its level."""
-    spark = grams.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def context_paths(grams: DataFrame) -> Iterator[DataFrame]:
+    """For each order, from the longest: (slice, kind, id, v, n), the predictions of the slice's
+    contexts with a byte and their levels, for training texts with one count left out.
+    Contexts that nothing (else) in training has are not sent."""
+    parts = int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, n = np.empty(0, np.uint64), np.empty(0, np.int64)
 
         def done(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), *map(pa.array, paths(code, n))], ["code", "f", "l", "cf", "cl"])
+            full, less, cf, cl = paths(code, n)
+            on = np.flatnonzero(cf)
+            return pa.RecordBatch.from_arrays([pa.array(x[on]) for x in (code.view(np.int64), full, less, cf, cl)], ["code", "f", "l", "cf", "cl"])
 
         for batch in batches:
             code, n = np.concatenate([code, batch.column("code").to_numpy().view(np.uint64)]), np.concatenate([n, batch.column("n").to_numpy()])
@@ -354,24 +367,18 @@ def context_paths(grams: DataFrame) -> DataFrame:
         if len(code):
             yield done(code, n)
 
-    level = written(grams.groupBy("code").agg(F.sum("n").alias("n")), "contexts")
-    out = None
+    level = grams
     for k in range(BYTES, -1, -1):
         cut = F.col("code").bitwiseAND((1 << 8 * (k + 1)) - 1)
-        if k < BYTES:
-            level = level.groupBy(cut.alias("code")).agg(F.sum("n").alias("n"))
+        # Contexts of held-out texts alone are counted with 0, so that each asked byte has its path.
+        level = written(level.groupBy(cut.alias("code")).agg(F.sum("n").alias("n")), "contexts")
         ordered = level.select("code", "n", F.shiftright("code", 8).alias("c")).repartition(parts, "c").sortWithinPartitions("code").select("code", "n")
-        found = ordered.mapInArrow(run, "code bigint, f bigint, l bigint, cf smallint, cl smallint").toDF("code" if k == BYTES else "cut", f"f{k}", f"l{k}", f"cf{k}", f"cl{k}")
-        found = written(found, "paths")
-        # Orders 0 and 1 have 65,792 rows at most.
-        out = found if out is None else out.withColumn("cut", cut).join(F.broadcast(found) if k < 2 else found, "cut").drop("cut")
-    gates = []
-    for c in ("cf", "cl"):
-        gate = F.lit(0)
-        for k in range(ORDERS):
-            gate = F.when(F.col(f"{c}{k}") > 0, F.lit((k + 1) * len(LEVELS)) + F.col(f"{c}{k}")).otherwise(gate)
-        gates.append(gate.cast("int"))
-    return written(out.select("code", *(f"{x}{k}" for x in "fl" for k in range(ORDERS)), gates[0].alias("gf"), gates[1].alias("gl")), "contexts")
+        found = written(ordered.mapInArrow(run, "code bigint, f bigint, l bigint, cf smallint, cl smallint"), "paths")
+        asked = (grams if k == BYTES else grams.select("slice", cut.alias("code"), "held")).select("slice", "code", "held").distinct()
+        sent = asked.join(F.broadcast(found) if k < 2 else found, "code")  # orders 0 and 1 have 65,792 rows at most
+        value, known = F.when(F.col("held"), F.col("f")).otherwise(F.col("l")), F.when(F.col("held"), F.col("cf")).otherwise(F.col("cl"))
+        named = F.col("code") + F.when(F.col("held"), F.lit(1 << ROLE)).otherwise(F.lit(0))
+        yield sent.where(known > 0).select("slice", F.lit(k).alias("kind"), named.alias("id"), value.alias("v"), known.cast("long").alias("n"))
 
 
 def continuations(texts: DataFrame) -> DataFrame:
@@ -395,34 +402,49 @@ def continuations(texts: DataFrame) -> DataFrame:
     best = written(best.select("id", "b.ahead", "b.n"), "continuations")
     asked = written(every.select("slice", "id").join(best.select("id"), "id", "left_semi").distinct(), "asked")
     remove(every)
-    return asked.join(best, "id").select("slice", "id", "ahead", "n")
+    return asked.join(best, "id").select("slice", F.lit(AHEADS).alias("kind"), "id", "ahead", "n")
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(slice, id, n): the slice's lower-cased words, by hash, and how often its training texts have them."""
+    """(slice, id, n, held): the slice's lower-cased words, by hash, how often its training texts have
+    them, and whether another text has them. A large slice may give a row several times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = -1, Counter()
+        own, seen, others = -1, Counter(), set()
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), own, np.int32)), pa.array(map(word_hash, seen), pa.int64()), pa.array(seen.values(), pa.int64())], ["slice", "id", "n"])
+            held = pa.array([w in others for w in seen], pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), own, np.int32)), pa.array(map(word_hash, seen), pa.int64()), pa.array(seen.values(), pa.int64()), held], ["slice", "id", "n", "held"])
 
         for at, batch in _by_slice(batches, BLOCK):
-            if seen and (at != own or len(seen) > MEMORY // 4):
+            if seen and (at != own or len(seen) > MEMORY):
                 yield flush()
-                seen = Counter()
+                seen, others = Counter(), set()
             own = at
             for text, train in zip(texts_of(batch.column("text")), batch.column("train").to_pylist(), strict=True):
                 words = text.lower().split()
                 if train:
                     seen.update(words)
                 else:
+                    others.update(words)
                     for word in set(words).difference(seen):
                         seen[word] = 0
         if seen:
             yield flush()
 
-    return texts.mapInArrow(run, "slice int, id bigint, n bigint").groupBy("slice", "id").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "slice int, id bigint, n bigint, held boolean")
+
+
+def dealt(docs: DataFrame, total: int, rows: int) -> DataFrame:
+    """docs, written, with slice and id: neighbours by partition and row, about SLICE bytes a slice."""
+    parts = max(1, docs.rdd.getNumPartitions())
+    size = min(SLICE, max(total // FEW, FEW_BYTES))
+    # Small partitions share a slice, large ones have several.
+    together = max(1, round(size * parts / max(1, total)))
+    each = max(1, size * rows // max(1, total))
+    place = F.monotonically_increasing_id()
+    number = F.floor(F.spark_partition_id() / together) * (1 << 12) + F.floor(place.bitwiseAND((1 << 33) - 1) / each) % (1 << 12)
+    return written(docs.select(number.cast("int").alias("slice"), place.alias("id"), "doc_id", "text", "train"), "dealt")
 
 
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,11 +458,12 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
             score = np.concatenate([model.bytes_log10(texts[part], train[part]) for part in _blocks(texts, BLOCK)])
             out: list[list] = [[], [], []]
-            for text in texts:
+            for text, on in zip(texts, train.tolist(), strict=True):
                 words = text.lower().split()
-                if len(model.logs) > MEMORY // 4:
-                    model.logs = {}
-                found = [model.logs.get(w) or model.word(w) for w in words]
+                logs = model.logs[on]
+                if len(logs) > MEMORY // 4:
+                    logs.clear()
+                found = [logs.get(w) or model.word(w, on) for w in words]
                 for column, value in zip(out, (len(words) + 1, sum(k for _, k in found), sum(x for x, _ in found)), strict=True):
                     column.append(value)
             sizes = pa.array(map(len, texts), pa.int64())
@@ -468,7 +491,7 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         if model is None:
-            model, asked = Slice(pa.Table.from_batches(asked)), []
+            model, asked = Slice(pa.Table.from_batches(asked or [batch.slice(0, 0)])), []
         if waiting is not None:
             waiting.append(batch)
             warm += batch.column("text").nbytes
@@ -494,23 +517,21 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select("doc_id", text.alias("text"), training.alias("train"))
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n"), F.count_if("train").alias("ends")).first()
-    slices = max(total["n"] // SLICE + 1, min(FEW, total["n"] // FEW_BYTES + 1))
-    dealt = docs.repartition(slices).select(F.spark_partition_id().alias("slice"), F.monotonically_increasing_id().alias("id"), "doc_id", "text", "train")
-    texts = written(dealt, "dealt")
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n"), F.count("*").alias("rows"), F.count_if("train").alias("ends")).first()
+    texts = dealt(docs, total["n"], total["rows"])
 
     words = written(word_counts(texts), "words")
     counts = written(words.groupBy("id").agg(F.sum("n").alias("n")).where("n > 0"), "word-counts")
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = sums["n"] + total["ends"], sums["v"] + (total["ends"] > 0)
+    # Words that stand once in training are sent only where other texts ask for them.
+    known = words.select("slice", "id", "held").join(counts, "id").where("n > 1 OR held").select("slice", F.lit(WORDS).alias("kind"), "id", "n")
+    rows = written(known, "known")
+    remove(words)
+    remove(counts)
     grams = written(gram_counts(texts), "grams")
-    contexts = context_paths(grams)
-
-    less = grams.where("train").join(contexts, "code").select("slice", F.lit(GRAMS).alias("kind"), F.col("code").alias("id"), *(F.col(f"l{k}").alias(f"v{k}") for k in range(ORDERS)), F.col("gl").cast("long").alias("n"))
-    full = grams.where("held").join(contexts, "code").select("slice", F.lit(GRAMS).alias("kind"), (F.col("code") + F.lit(1 << 48)).alias("id"), *(F.col(f"f{k}").alias(f"v{k}") for k in range(ORDERS)), F.col("gf").cast("long").alias("n"))
-    ahead = continuations(texts).withColumn("kind", F.lit(AHEADS))
-    known = words.select("slice", "id").join(counts, "id").withColumn("kind", F.lit(WORDS))
-    rows = less.unionByName(full).unionByName(ahead, allowMissingColumns=True).unionByName(known, allowMissingColumns=True)
+    for sent in (continuations(texts), *context_paths(grams)):
+        rows = rows.unionByName(sent, allowMissingColumns=True)
     rows = rows.unionByName(texts.withColumn("kind", F.lit(TEXTS)), allowMissingColumns=True)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     scored = rows.repartition(parts, "slice").sortWithinPartitions("slice", "kind", "id").mapInArrow(_scored, "doc_id bigint, train boolean, n_bytes bigint, n_tokens bigint, n_known bigint, logs double, score double")

@@ -3,11 +3,13 @@
 A 64-bit fingerprint is cut into segments of 23, 23 and 18 bits. If two fingerprints
 differ in at most 4 bits, then by the pigeonhole principle either some segment is equal,
 or two segments differ in exactly one bit each (the third in two). The first case is met
-by an exact key on each segment. For the second the binary Golay code is used: it is
+by an exact key on a segment. For the second the binary Golay code is used: it is
 perfect, so every 23-bit word lies within 3 bits of exactly one of its 4,096 codewords. A
 word's keys are the codewords that it or a word one bit away decodes to - one or six of
-them - so the codeword of one word is always among the keys of a word one bit away. A
-pair of segments gives up to 36 query keys of 24 bits and one index key.
+them - so the codeword of one word is always among the keys of a word one bit away, and
+words two bits away share a key. A pair of segments gives up to 36 query keys of 24 bits and
+one index key. The short segment alone would be a key of too few values: if it is equal,
+one of the others differs in two bits at most, so it is taken with that one's codewords.
 """
 
 from __future__ import annotations
@@ -107,7 +109,12 @@ def keys_of(fp: np.ndarray, query: bool) -> tuple[np.ndarray, np.ndarray]:
     _GOLAY or _GOLAY.append(Golay())
     code, rows = _GOLAY[0], np.arange(len(fp))
     parts = [(fp >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
-    keys, of = [(k << 24 | p) for k, p in enumerate(parts)], [rows] * 3
+    keys, of = [(k << 24 | p) for k, p in enumerate(parts[:2])], [rows] * 2
+    for k in (0, 1):
+        near, real = code.keys(parts[k])
+        r, c = np.nonzero(real)
+        keys.append(k + 6 << 30 | parts[2][r] << 12 | near[r, c])
+        of.append(r)
     near = [code.keys(p) if query else (code.decode(p)[:, None], np.ones((len(p), 1), bool)) for p in parts]
     for k, (i, j) in enumerate(PAIRS, 3):
         (a, real_a), (b, real_b) = near[i], near[j]
@@ -175,7 +182,7 @@ def links(distinct: DataFrame) -> DataFrame:
             k, n = np.unique(keys, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], ["key", "n"])
 
-    # At most 6 / HOT_SHARE keys, as each fingerprint has six index keys.
+    # At most 17 / HOT_SHARE keys, as a fingerprint has 17 index keys at most.
     counts = distinct.mapInArrow(index_keys, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
     hot = {r["key"]: -(-r["n"] // BLOCK) for r in counts.where(F.col("n") > least).collect()} if total > least else {}
 
@@ -187,7 +194,7 @@ def links(distinct: DataFrame) -> DataFrame:
                 fp = whole[at : at + 4096]
                 for role in (0, 1):
                     key, of = keys_of(fp, bool(role))
-                    value, place = fp[of], key << 32
+                    value, place = fp[of], key << 24
                     if len(hot_keys):
                         # A hot key's rows go to a row or a column of its r x r blocks.
                         is_hot = np.isin(key, hot_keys)
@@ -227,20 +234,3 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, words_each: int = 4) -> DataFrame:
-    """docs with one row of each near-duplicate component: the least doc_id's (nulls last, then by text).
-
-    Rows that are equal in doc_id and text count once. All columns pass through; docs is read twice.
-    """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    tagged = docs.withColumn("_row", F.xxhash64("doc_id", text))
-    prints = written(fingerprints(tagged.select(F.col("_row").alias("doc_id"), "text"), words_each).withColumnRenamed("doc_id", "_row"), "fingerprints")
-    ids = tagged.select("_row", "doc_id").distinct()
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
-    nodes = written(prints.join(ids, "_row").groupBy("fp").agg(F.min(order).alias("least")), "nodes")
-    joined = components(links(nodes.select("fp"))).toDF("fp", "root")
-    kept = nodes.join(joined, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
-    kept = kept.select(F.col("least._row").alias("_row"))
-    return tagged.join(kept, "_row").dropDuplicates(["_row"]).drop("_row")
