@@ -3,6 +3,7 @@ stages, Arrow helpers and sorted hash arrays."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -58,6 +59,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more: it does so when
+    the driver's memory is collected, which may be long after."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def remove(df: DataFrame) -> None:
     """Delete a stage that nothing will read again."""
     spark = df.sparkSession

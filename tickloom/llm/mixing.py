@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MIX_A, HashArray, mix, remove, sliced, table, texts_of, written
+from .common import MIX_A, HashArray, mix, release, remove, sliced, table, texts_of, written
 from .langid import held_out
 
 #: Contexts of 0 to BYTES bytes.
@@ -36,13 +36,11 @@ BYTES = 5
 ORDERS = BYTES + 1
 INPUTS = ORDERS + 2
 #: A match starts where the last MATCH bytes end in one of 1 / ANCHORS places; it foretells AHEAD bytes.
-MATCH, ANCHORS, AHEAD = 24, 64, 40
+MATCH, ANCHORS, AHEAD = 24, 128, 64
 #: Bytes of text in a slice, in a block that is scored at once, and that teach the starting weights.
 SLICE, BLOCK, WARM = 64 << 20, 2 << 20, 1 << 20
 #: How often the first texts are gone through for the starting weights.
 TURNS = 3
-#: Small tables are dealt to so many slices of so many bytes, to be worked on in parallel.
-FEW, FEW_BYTES = 8, 4 << 20
 #: Distinct entries of a worker's memory before it is emptied.
 MEMORY = 1 << 20
 #: Levels of confidence by a context's count.
@@ -367,7 +365,7 @@ def context_paths(grams: DataFrame) -> Iterator[DataFrame]:
         if len(code):
             yield done(code, n)
 
-    level = grams
+    level, before = grams, None
     for k in range(BYTES, -1, -1):
         cut = F.col("code").bitwiseAND((1 << 8 * (k + 1)) - 1)
         # Contexts of held-out texts alone are counted with 0, so that each asked byte has its path.
@@ -378,6 +376,9 @@ def context_paths(grams: DataFrame) -> Iterator[DataFrame]:
         sent = asked.join(F.broadcast(found) if k < 2 else found, "code")  # orders 0 and 1 have 65,792 rows at most
         value, known = F.when(F.col("held"), F.col("f")).otherwise(F.col("l")), F.when(F.col("held"), F.col("cf")).otherwise(F.col("cl"))
         named = F.col("code") + F.when(F.col("held"), F.lit(1 << ROLE)).otherwise(F.lit(0))
+        if before is not None:
+            remove(before)
+        before = found
         yield sent.where(known > 0).select("slice", F.lit(k).alias("kind"), named.alias("id"), value.alias("v"), known.cast("long").alias("n"))
 
 
@@ -438,10 +439,9 @@ def word_counts(texts: DataFrame) -> DataFrame:
 def dealt(docs: DataFrame, total: int, rows: int) -> DataFrame:
     """docs, written, with slice and id: neighbours by partition and row, about SLICE bytes a slice."""
     parts = max(1, docs.rdd.getNumPartitions())
-    size = min(SLICE, max(total // FEW, FEW_BYTES))
     # Small partitions share a slice, large ones have several.
-    together = max(1, round(size * parts / max(1, total)))
-    each = max(1, size * rows // max(1, total))
+    together = max(1, round(SLICE * parts / max(1, total)))
+    each = max(1, SLICE * rows // max(1, total))
     place = F.monotonically_increasing_id()
     number = F.floor(F.spark_partition_id() / together) * (1 << 12) + F.floor(place.bitwiseAND((1 << 33) - 1) / each) % (1 << 12)
     return written(docs.select(number.cast("int").alias("slice"), place.alias("id"), "doc_id", "text", "train"), "dealt")
@@ -530,8 +530,15 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     remove(words)
     remove(counts)
     grams = written(gram_counts(texts), "grams")
-    for sent in (continuations(texts), *context_paths(grams)):
+    # Written one by one, and what led to each is given up, so that little stands on disk at once.
+    sent = written(continuations(texts), "sent")
+    release(spark)
+    rows = rows.unionByName(sent, allowMissingColumns=True)
+    for sent in context_paths(grams):
+        sent = written(sent, "sent")
+        release(spark)
         rows = rows.unionByName(sent, allowMissingColumns=True)
+    remove(grams)
     rows = rows.unionByName(texts.withColumn("kind", F.lit(TEXTS)), allowMissingColumns=True)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     scored = rows.repartition(parts, "slice").sortWithinPartitions("slice", "kind", "id").mapInArrow(_scored, "doc_id bigint, train boolean, n_bytes bigint, n_tokens bigint, n_known bigint, logs double, score double")
