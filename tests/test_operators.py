@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tickloom.functions.stats import norm_cdf, t_two_sided
 from tickloom.operators.asof import asof_join, interval_join
 from tickloom.operators.changepoint import ewm_std, pelt_rbf
-from tickloom.operators.islands import cooldown, fold, merge_islands
+from tickloom.operators.islands import cooldown, merge_islands, spaced
+from tickloom.operators.recurrences import ema
 from tickloom.operators.profile import value_area, volume_buckets, volume_profile
 from tickloom.plans import queries_events
 from tickloom.sources.market import resample
@@ -130,11 +131,27 @@ def test_changepoints_and_spread():
     assert np.isnan(ewm_std(x, 60, 10)[:9]).all() and ewm_std(x, 60, 10)[-1] > 1
 
 
-def test_fold_is_an_ema(spark):
-    values = [3.0, 5.0, 2.0, 8.0]
-    frame = spark.createDataFrame([("s", i, v) for i, v in enumerate(values)], "symbol string, day int, close double").repartition(3)
-    got = [r["state"] for r in fold(frame, ["symbol"], ["day"], "close", None, lambda e, x: e * 0.5 + x * 0.5).orderBy("day").collect()]
-    assert got == [3.0, 4.0, 3.0, 5.5]
+@pytest.mark.parametrize("span", [1.5, 3, 40])
+def test_ema_is_the_recurrence(spark, span):
+    r = random.Random(4)
+    rows = [(s, i, r.uniform(1, 9)) for s, n in (("a", 1200), ("b", 1)) for i in range(n)]
+    got = {(x["symbol"], x["day"]): x["ema"] for x in ema(spark.createDataFrame(rows, "symbol string, day int, close double").repartition(3), ["symbol"], "day", "close", span).collect()}
+    a, last = 2 / (span + 1), {}
+    for s, i, v in rows:
+        last[s] = v if s not in last else last[s] * (1 - a) + v * a
+        assert got[s, i] == pytest.approx(last[s], rel=1e-12)
+
+
+def test_spaced_is_a_sweep(spark):
+    r = random.Random(6)
+    rows = sorted({(s, r.randint(0, 400)) for s in "ab" for _ in range(120)})
+    kept, last = [], {}
+    for s, p in rows:
+        if s not in last or p - last[s] >= 5:
+            last[s] = p
+            kept.append((s, p))
+    got = spaced(spark.createDataFrame(rows, "symbol string, pos int"), "symbol", "pos", 5).collect()
+    assert sorted((x["symbol"], x["pos"]) for x in got) == kept
 
 
 def test_resample(spark):

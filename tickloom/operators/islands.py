@@ -1,8 +1,8 @@
-"""Gaps and islands, greedy cooldowns and other folds over a group's ordered rows."""
+"""Gaps and islands, and greedy cooldowns over a group's ordered rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,10 +24,16 @@ def cooldown(edges: DataFrame, by: list[str], at: str, seconds: int) -> DataFram
     return edges.groupBy(*by).agg(kept.alias("_kept")).select(*by, F.explode("_kept").alias("_t")).select(*by, F.timestamp_seconds("_t").cast("timestamp_ntz").alias(at))
 
 
-def fold(rows: DataFrame, by: list[str], order: list[str], value: str, start: Column, step) -> DataFrame:
-    """Rows with `state`: step(state, value) carried along each group, for recurrences that no
-    window frame expresses. The group is one array; keep groups bounded (a symbol's day or dailies)."""
-    items = F.sort_array(F.collect_list(F.struct(*order, value)))
-    grown = F.aggregate(items, F.array().cast("array<double>"), lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, start if start is not None else x[value]).otherwise(step(F.element_at(acc, -1), x[value])))))
-    out = rows.groupBy(*by).agg(items.alias("_i"), grown.alias("_s"))
-    return out.select(*by, F.explode(F.arrays_zip("_i", "_s")).alias("_x")).select(*by, *(F.col(f"_x._i.{c}").alias(c) for c in [*order, value]), F.col("_x._s").alias("state"))
+def spaced(edges: DataFrame, by: str, at: str, least: int) -> DataFrame:
+    """The edges that a sweep over each group keeps: none within `least` positions of the last kept.
+
+    An edge that far from the edge before it is kept whatever came earlier, so the sweep is cut
+    there and a fold sees the edges between two such gaps only.
+    """
+    order = Window.partitionBy(by).orderBy(at)
+    far = F.coalesce(F.col(at) - F.lag(at).over(order) >= least, F.lit(True))
+    cut = edges.withColumn("_island", F.sum(far.cast("int")).over(order))
+    rest = [c for c in edges.columns if c not in (by, at)]
+    items = cut.groupBy(by, "_island").agg(F.sort_array(F.collect_list(F.struct(at, *rest))).alias("_rows"))
+    keep = lambda a, x: F.when((F.size(a) == 0) | (x[at] - F.element_at(a, -1)[at] >= least), F.concat(a, F.array(x))).otherwise(a)
+    return items.select(by, F.inline(F.aggregate("_rows", F.slice("_rows", 1, 0), keep))).select(*edges.columns)

@@ -11,7 +11,7 @@ from ..functions.stats import norm_cdf, t_two_sided
 from ..functions.text import LEXICON, relevance, same_story, story_tokens
 from ..operators.asof import asof_join, interval_join
 from ..operators.changepoint import ewm_std, pelt_rbf
-from ..operators.islands import cooldown, fold, merge_islands
+from ..operators.islands import merge_islands
 from ..operators.profile import value_area, volume_buckets, volume_profile
 from ..sources.market import bars, daily, news, quotes, read, ticks, trades
 from .queries_core import CLV, RET, RET_S, S, SIGNED, VWAP, D, roll
@@ -59,7 +59,6 @@ def _(spark, d):
     return interval_join(e, news(spark, d).select("news_id", "ts"), "start", "stop", "ts", 3600).select("event_id", "news_id")
 
 
-sql("jn18_label_overlap", "WITH e AS (SELECT event_id, ts AS a, ts + INTERVAL '90' MINUTE AS b FROM {trades} WHERE symbol = 0) SELECT x.event_id, count(*) AS concurrency FROM e AS x JOIN e AS y ON y.a <= x.b AND y.b >= x.a GROUP BY x.event_id")
 sql("jn19_purge", "WITH test AS (SELECT min(ts) - INTERVAL '2' HOUR AS lo, max(ts) + INTERVAL '2' HOUR AS hi FROM {trades} WHERE day = DATE '2024-01-15') SELECT t.event_id FROM {trades} AS t CROSS JOIN test WHERE NOT (t.ts + INTERVAL '90' MINUTE >= test.lo AND t.ts <= test.hi)")
 
 LEE = "CASE WHEN price >= ask THEN 1 WHEN price <= bid THEN -1 WHEN price > (bid + ask) / 2 THEN 1 WHEN price < (bid + ask) / 2 THEN -1 ELSE 0 END"
@@ -267,14 +266,6 @@ sql("ed18_release_check", "SELECT conv_id, min(turn) AS first_turn, count(CASE W
 # --- recurrences
 
 
-@query("wn23_ema", "WITH RECURSIVE_ r AS (SELECT symbol, day, close, row_number() OVER (PARTITION BY symbol ORDER BY day) AS k FROM {daily}), e AS (SELECT symbol, day, close, k, close AS ema FROM r WHERE k = 1 UNION ALL SELECT r.symbol, r.day, r.close, r.k, e.ema * (1 - 2.0 / 11) + r.close * (2.0 / 11) FROM e JOIN r ON r.symbol = e.symbol AND r.k = e.k + 1) SELECT symbol, CAST(day AS VARCHAR) AS day, round(ema, 4) AS ema FROM e WHERE k <= 300")
-def _(spark, d):
-    order = Window.partitionBy("symbol").orderBy("day")
-    rows = daily(spark, d).withColumn("k", F.row_number().over(order)).where("k <= 300")
-    out = fold(rows, ["symbol"], ["day"], "close", None, lambda e, x: e * (1 - 2 / 11) + x * (2 / 11))
-    return undated(out.select("symbol", "day", F.round("state", 4).alias("ema")))
-
-
 @query("wn24_ewm_std")
 def _(spark, d):
     def run(g: pd.DataFrame) -> pd.DataFrame:
@@ -294,12 +285,6 @@ def _(spark, d):
 _EDGE = f"e0 AS (SELECT symbol, day, ts, close > {VWAP} AND volume > 80 AS up FROM {{bars}}), e AS (SELECT symbol, day, ts FROM (SELECT *, up AND NOT coalesce(lag(up) OVER ({S}), false) AS edge FROM e0) AS x WHERE edge)"
 
 
-@query("sb5_cooldown", f"WITH RECURSIVE_ {_EDGE}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol, day ORDER BY ts) AS k FROM e), s AS (SELECT symbol, day, ts, k, ts AS held, true AS fired FROM n WHERE k = 1 UNION ALL SELECT n.symbol, n.day, n.ts, n.k, CASE WHEN n.ts >= s.held + INTERVAL 5 HOUR THEN n.ts ELSE s.held END, n.ts >= s.held + INTERVAL 5 HOUR FROM s JOIN n ON n.symbol = s.symbol AND n.day = s.day AND n.k = s.k + 1) SELECT symbol, ts FROM s WHERE fired")
-def _(spark, d):
-    edges = spark.sql(f"WITH {_EDGE} SELECT * FROM e", bars=bars(spark, d))
-    return cooldown(edges, ["symbol", "day"], "ts", 5 * 3600).select("symbol", "ts")
-
-
 @query("ml1_cusum")
 def _(spark, d):
     ret = bars(spark, d).selectExpr("symbol", "day", "ts", f"{RET} AS ret").where("ret IS NOT NULL")
@@ -346,33 +331,11 @@ g AS (SELECT *, max(cum) OVER ({D} ROWS UNBOUNDED PRECEDING) AS cum_max, sum(CAS
 h AS (SELECT *, sum(CASE WHEN close < vwap THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, day, island ORDER BY ts ROWS UNBOUNDED PRECEDING) AS streak FROM g),
 raw AS (SELECT symbol, day, ts, close, vwap, imb, coalesce(m BETWEEN 30 AND 1200 AND close > vwap AND imb >= 0.2 AND relvol >= 0.9 AND clv_s > 0 AND cum >= cum_max, false) AS buy, coalesce(m BETWEEN 60 AND 600 AND close <= vwap AND day_imb <= -0.2 AND relvol >= 0.9, false) AS sell_open, coalesce(streak >= 4 AND imb <= -0.2 AND clv_s < 0, false) AS sell_dist FROM h),
 sig AS (SELECT symbol, day, ts, close, vwap, CASE WHEN buy THEN 'BUY' ELSE 'SELL' END AS signal FROM raw WHERE buy OR sell_open OR sell_dist)"""
-sql("sb1_features", f"WITH {_FEATURES} SELECT symbol, ts, round(imb, 6) AS imb, round(relvol, 6) AS relvol, round(clv_s, 6) AS clv_s, round(day_imb, 6) AS day_imb, CAST(streak AS BIGINT) AS streak FROM h")
-sql("sb2_buy_rule", f"WITH {_FEATURES} SELECT symbol, ts FROM raw WHERE buy")
-sql("sb3_sell_opening", f"WITH {_FEATURES} SELECT symbol, ts FROM raw WHERE sell_open")
-sql("sb4_sell_distribution", f"WITH {_FEATURES} SELECT symbol, ts FROM raw WHERE sell_dist")
 sql("sb6_daily_rules", "WITH f AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY day) AS pc, lag(low) OVER (PARTITION BY symbol ORDER BY day) AS pl, avg(volume) OVER (PARTITION BY symbol ORDER BY day ROWS 19 PRECEDING) AS v20, coalesce(((close - low) - (high - close)) / nullif(high - low, 0), 0) AS clv FROM {daily}) SELECT symbol, day, coalesce(close > pc AND clv >= 0 AND volume / v20 >= 1.15, false) AS buy, coalesce(open >= pc AND close < open AND clv <= 0 AND volume / v20 >= 1.15, false) AS reversal, coalesce(close < pl AND volume / v20 >= 1.15, false) AS breakdown FROM f")
 sql("sb7_daily_forward", "SELECT symbol, day, round(lead(close, 1) OVER (PARTITION BY symbol ORDER BY day) / close - 1, 6) AS f1, round(lead(close, 3) OVER (PARTITION BY symbol ORDER BY day) / close - 1, 6) AS f3, round(lead(close, 5) OVER (PARTITION BY symbol ORDER BY day) / close - 1, 6) AS f5 FROM {daily}")
-sql("sb8_forward_returns", f"WITH {_FEATURES}, j AS (SELECT s.symbol, s.ts, s.signal, s.close, max_by(b.close, b.ts) AS later FROM sig AS s JOIN {{bars}} AS b ON b.symbol = s.symbol AND b.day = s.day AND b.ts > s.ts AND b.ts <= s.ts + INTERVAL '3' HOUR GROUP BY s.symbol, s.ts, s.signal, s.close) SELECT symbol, ts, round((later / close - 1) * (CASE WHEN signal = 'BUY' THEN 1 ELSE -1 END), 6) AS fwd FROM j")
 _HIT = "j AS (SELECT s.symbol, s.ts, s.signal, s.close AS entry, b.ts AS bar_ts, b.close, (b.close / s.close - 1) * (CASE WHEN s.signal = 'BUY' THEN 1 ELSE -1 END) AS r, CASE WHEN s.signal = 'BUY' THEN b.close < b.vwap ELSE b.close > b.vwap END AS crossed FROM sig AS s JOIN f0 AS b ON b.symbol = s.symbol AND b.day = s.day AND b.ts > s.ts)"
-sql("sb9_managed_exit", f"WITH {_FEATURES}, {_HIT}, o AS (SELECT symbol, ts, signal, min(CASE WHEN r >= 0.0125 THEN bar_ts END) AS t, min(CASE WHEN crossed THEN bar_ts END) AS s, max_by(r, bar_ts) AS last, max(r) AS mfe, min(r) AS mae, min_by(r, CASE WHEN crossed THEN bar_ts END) AS stopped FROM j GROUP BY symbol, ts, signal) SELECT symbol, ts, signal, CASE WHEN t IS NOT NULL AND (s IS NULL OR t <= s) THEN 'target' WHEN s IS NOT NULL THEN 'vwap-stop' ELSE 'close' END AS outcome, round(mfe, 6) AS mfe, round(mae, 6) AS mae FROM o".replace(", min_by(r, CASE WHEN crossed THEN bar_ts END) AS stopped", ""))
-sql("sb10_capture", f"WITH {_FEATURES} SELECT n.news_id, min(s.ts) AS caught FROM {{news}} AS n LEFT JOIN sig AS s ON s.day = n.day AND s.ts BETWEEN n.ts AND n.ts + INTERVAL '60' MINUTE GROUP BY n.news_id")
-sql("sb11_tuning_grid", f"WITH {_FEATURES}, p AS (SELECT CAST(b.t AS DOUBLE) AS buy_t, CAST(s.t AS DOUBLE) AS sell_t FROM (VALUES (0.2), (0.25), (0.3), (0.35)) AS b(t) CROSS JOIN (VALUES (-0.2), (-0.25), (-0.3), (-0.35)) AS s(t)) SELECT buy_t, sell_t, count(CASE WHEN imb >= buy_t THEN 1 END) AS buys, count(CASE WHEN imb <= sell_t THEN 1 END) AS sells FROM raw CROSS JOIN p GROUP BY buy_t, sell_t")
 sql("sb12_scaled_params", "SELECT m, CAST(greatest(1, bround(m / 5.0, 0)) AS BIGINT) AS bars FROM (VALUES (30), (10), (50), (15)) AS p(m)")
-sql("sb13_timeframes", "SELECT symbol, day, count(*) AS hours, count(DISTINCT CAST(floor(hour(ts) / 4) AS BIGINT)) AS blocks FROM {bars} GROUP BY symbol, day")
-sql("sb14_rule_versions", f"WITH {_FEATURES} SELECT symbol, ts, buy AS tightened, coalesce(close > vwap AND imb >= 0.2, false) AS plain FROM raw WHERE buy OR coalesce(close > vwap AND imb >= 0.2, false)")
-sql("sb15_oos_split", f"WITH {_FEATURES} SELECT CASE WHEN day >= DATE '2024-01-20' THEN 'oos' ELSE 'baseline' END AS sample, signal, count(*) AS n FROM sig GROUP BY CASE WHEN day >= DATE '2024-01-20' THEN 'oos' ELSE 'baseline' END, signal")
-sql("sb16_absorption_sell", f"WITH a AS (SELECT *, {VWAP} AS vwap, max(high) OVER ({D} ROWS UNBOUNDED PRECEDING) AS top, volume / nullif({roll('avg', 10, 'volume')}, 0) AS rv FROM {{bars}}), b AS (SELECT *, max(CASE WHEN rv >= 1.2 AND (high - greatest(open, close)) >= 0.4 * (high - low) AND high >= 0.999 * top THEN 1 ELSE 0 END) OVER ({D} ROWS 9 PRECEDING) AS rejected FROM a) SELECT symbol, ts FROM b WHERE rejected = 1 AND rv >= 1.0 AND close < vwap AND close < open")
-sql("sb17_short_backtest", f"WITH {_FEATURES}, {_HIT} SELECT symbol, ts, round(max(r), 6) AS mfe, round(min(r), 6) AS mae, round(max_by(r, bar_ts), 6) AS eod FROM j WHERE signal = 'SELL' GROUP BY symbol, ts")
-sql("sb18_stop_managed", f"WITH a AS (SELECT symbol, day, ts, close, max(high) OVER ({S} ROWS 9 PRECEDING) AS stop FROM {{bars}}), j AS (SELECT a.symbol, a.ts, min(CASE WHEN b.high >= a.stop THEN b.ts END) AS s, min(CASE WHEN b.low <= a.close * 0.9 THEN b.ts END) AS t FROM a JOIN {{bars}} AS b ON b.symbol = a.symbol AND b.day = a.day AND b.ts > a.ts GROUP BY a.symbol, a.ts) SELECT symbol, ts, CASE WHEN s IS NOT NULL AND (t IS NULL OR s <= t) THEN 'stop' WHEN t IS NOT NULL THEN 'target' ELSE 'close' END AS outcome FROM j")
 sql("sb19_next_open", f"SELECT symbol, ts, lead(open) OVER ({D}) AS entry FROM {{bars}}")
-sql("sb20_cost_sensitivity", f"WITH {_FEATURES}, {_HIT}, l AS (SELECT symbol, ts, max_by(r, bar_ts) AS r FROM j GROUP BY symbol, ts), c AS (SELECT CAST(x AS DOUBLE) AS cost FROM (VALUES (0.0), (0.0007), (0.0013)) AS v(x)) SELECT cost, round(avg(r - cost), 6) AS net, count(*) AS n FROM l CROSS JOIN c GROUP BY cost")
-_LABEL = f"e AS (SELECT *, row_number() OVER ({S}) AS pos, {roll('stddev_samp', 10, 'close')} / close AS sig FROM {{bars}}), k AS (SELECT a.symbol, a.ts, a.day, a.pos, a.close, a.sig, min(CASE WHEN b.close >= a.close * exp(2 * a.sig) THEN b.pos * 2 WHEN b.close <= a.close * exp(-2 * a.sig) THEN b.pos * 2 + 1 END) AS hit, max(b.pos) AS last FROM e AS a JOIN e AS b ON b.symbol = a.symbol AND b.day = a.day AND b.pos > a.pos AND b.pos <= a.pos + 10 WHERE a.sig > 0 GROUP BY a.symbol, a.ts, a.day, a.pos, a.close, a.sig)"
-sql("ml2_triple_barrier", f"WITH {_LABEL} SELECT symbol, ts, CASE WHEN hit IS NULL THEN 0 WHEN hit % 2 = 0 THEN 1 ELSE -1 END AS label, CAST(coalesce(floor(hit / 2), last) - pos AS BIGINT) AS bars FROM k")
-sql("ml3_triple_barrier_entry", f"WITH e AS (SELECT *, row_number() OVER ({S}) AS pos, {roll('stddev_samp', 10, 'close')} / close AS sig, lead(open) OVER ({D}) AS entry FROM {{bars}}), k AS (SELECT a.symbol, a.ts, min(CASE WHEN b.low <= a.entry * (1 - a.sig) THEN b.pos * 2 WHEN b.high >= a.entry * (1 + a.sig) THEN b.pos * 2 + 1 END) AS hit FROM e AS a JOIN e AS b ON b.symbol = a.symbol AND b.day = a.day AND b.pos > a.pos + 1 AND b.pos <= a.pos + 11 WHERE a.sig > 0 AND a.entry IS NOT NULL GROUP BY a.symbol, a.ts) SELECT symbol, ts, CASE WHEN hit IS NULL THEN 'time' WHEN hit % 2 = 0 THEN 'stop' ELSE 'target' END AS outcome FROM k")
-sql("ma11_uniqueness", "WITH e AS (SELECT symbol, day, event_id, ts AS a, ts + INTERVAL '90' MINUTE AS b FROM {trades}), c AS (SELECT x.symbol, x.event_id, count(*) AS n FROM e AS x JOIN e AS y ON x.symbol = y.symbol AND x.day = y.day AND y.a <= x.b AND y.b >= x.a GROUP BY x.symbol, x.event_id) SELECT symbol, round(avg(1.0 / n), 6) AS uniqueness FROM c GROUP BY symbol".replace("1.0 / n", "CAST(1 AS DOUBLE) / n"))
-_UNIQ = f"{_LABEL}, s AS (SELECT symbol, ts, pos, CAST(coalesce(floor(hit / 2), last) AS BIGINT) AS stop FROM k), x AS (SELECT b.symbol, b.pos, count(*) AS c FROM e AS b JOIN s ON s.symbol = b.symbol AND b.pos BETWEEN s.pos AND s.stop GROUP BY b.symbol, b.pos), u AS (SELECT s.symbol, s.ts, s.pos, avg(CAST(1 AS DOUBLE) / x.c) AS uniq FROM s JOIN x ON x.symbol = s.symbol AND x.pos BETWEEN s.pos AND s.stop GROUP BY s.symbol, s.ts, s.pos)"
-sql("ml4_sample_weights", f"WITH {_UNIQ}, w AS (SELECT *, uniq * (CAST(0.5 AS DOUBLE) + CAST(row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS DOUBLE) / (2 * nullif(count(*) OVER (PARTITION BY symbol) - 1, 0))) AS w FROM u) SELECT symbol, ts, round(w / avg(w) OVER (PARTITION BY symbol), 6) AS weight FROM w")
-sql("ml5_average_uniqueness", f"WITH {_UNIQ} SELECT symbol, ts, round(uniq, 6) AS uniqueness FROM u")
 sql("ml6_feature_matrix", f"WITH {_FEATURES} SELECT symbol, ts, round(imb, 6) AS imb, round(relvol, 6) AS relvol, round(close / vwap - 1, 6) AS dist, round(ln(close / lag(close, 3) OVER ({S})), 6) AS r3 FROM h")
 sql("ml11_threshold_pick", f"WITH {_FEATURES}, {_HIT}, l AS (SELECT symbol, ts, max_by(r, bar_ts) AS r FROM j GROUP BY symbol, ts), q AS (SELECT round(percentile(r, 0.25), 6) AS a, round(percentile(r, 0.5), 6) AS b, round(percentile(r, 0.75), 6) AS c FROM l), t AS (SELECT a AS cut FROM q UNION ALL SELECT b FROM q UNION ALL SELECT c FROM q) SELECT cut, count(*) AS taken, round(avg(r), 6) AS net FROM l JOIN t ON l.r >= t.cut GROUP BY cut")
 sql("ml12_auc", "WITH s AS (SELECT l.quality, CAST(length(d.text) AS DOUBLE) AS x FROM {labels} AS l JOIN {documents} AS d ON l.doc_id = d.doc_id), k AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / CAST(2 AS DOUBLE) AS r FROM s) SELECT round((sum(CASE WHEN quality = 1 THEN r END) - count(CASE WHEN quality = 1 THEN 1 END) * (count(CASE WHEN quality = 1 THEN 1 END) + 1) / CAST(2 AS DOUBLE)) / (count(CASE WHEN quality = 1 THEN 1 END) * count(CASE WHEN quality = 0 THEN 1 END)), 6) AS auc FROM k")

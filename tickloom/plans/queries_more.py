@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import models
-from ..operators.islands import cooldown
+from ..operators.islands import spaced
 from ..sources.landed import Settings, cache_key, capabilities, first_pages
 from ..sources.market import bars, daily, news, read, trades
 from ..sources.sinks import as_json
@@ -159,19 +159,29 @@ sql("tsk2_lag_lead", f"SELECT symbol, ts, lag(close, 2) OVER ({S}) AS back2, lea
 sql("tsk3_bounded", f"SELECT symbol, ts, max(high) OVER ({S} ROWS 9 PRECEDING) AS highest, min(low) OVER ({S} ROWS 9 PRECEDING) AS lowest, round({roll('avg', 10, 'close')}, 6) AS mean, CAST(sum(volume) OVER ({S} ROWS 9 PRECEDING) AS BIGINT) AS total FROM {{bars}}")
 
 
-@query("tsk4_exp_average")
-def _(spark, d):
-    from .registry import QUERIES
-
-    return QUERIES["wn23_ema"](spark, d)
-
-
-ORACLE_SQL["tsk4_exp_average"] = ORACLE_SQL["wn23_ema"]
 sql("tsk5_time_gates", "SELECT symbol, ts, hour(ts) * 3600 >= 34200 AND hour(ts) * 3600 < 57600 AS in_session FROM {bars}")
 sql("tsk6_bars_of_minutes", "SELECT p.minutes, CAST(greatest(1, bround(p.minutes / CAST(60 AS DOUBLE), 0)) AS BIGINT) AS bars FROM (VALUES (30), (90), (240), (600)) AS p(minutes)")
 sql("tsk7_session_chain", "SELECT symbol, day, round(lag(close, 1) OVER (PARTITION BY symbol ORDER BY day) / lag(close, 3) OVER (PARTITION BY symbol ORDER BY day) - 1, 6) AS runup3 FROM {daily}")
-query("tsk8_edge_cooldown")(lambda spark, d: cooldown(spark.sql(f"WITH {_EDGE} SELECT * FROM e", bars=bars(spark, d)), ["symbol", "day"], "ts", 5 * 3600).select("symbol", "ts"))
-ORACLE_SQL["tsk8_edge_cooldown"] = ORACLE_SQL["sb5_cooldown"]
+
+
+#: Bars between two signals, counted through the days.
+APART = 6
+
+
+@query(
+    "tsk8_edge_cooldown",
+    f"""WITH RECURSIVE_ b AS (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS pos FROM {{bars}}), {_EDGE},
+    n AS (SELECT e.symbol, e.ts, b.pos, row_number() OVER (PARTITION BY e.symbol ORDER BY e.ts) AS k FROM e JOIN b ON b.symbol = e.symbol AND b.ts = e.ts),
+    s AS (SELECT *, pos AS held, true AS fired FROM n WHERE k = 1 UNION ALL SELECT n.*, CASE WHEN n.pos - s.held >= {APART} THEN n.pos ELSE s.held END, n.pos - s.held >= {APART} FROM s JOIN n ON n.symbol = s.symbol AND n.k = s.k + 1)
+    SELECT symbol, ts FROM s WHERE fired""",
+)
+def _(spark, d):
+    order = Window.partitionBy("symbol").orderBy("ts")
+    b = bars(spark, d).withColumn("pos", F.row_number().over(order))
+    edges = spark.sql(f"WITH {_EDGE.replace('{bars}', '{b}')} SELECT e.symbol, e.ts, b.pos FROM e JOIN {{b}} AS b ON b.symbol = e.symbol AND b.ts = e.ts", b=b)
+    return spaced(edges, "symbol", "pos", APART).select("symbol", "ts")
+
+
 sql("tsk9_loosened_rules", f"WITH {_FEATURES} SELECT symbol, ts, coalesce(imb >= 0.1 AND close > vwap, false) AS loose_buy, coalesce(imb <= -0.1 AND close < vwap, false) AS loose_sell FROM h")
 sql("tsk10_strategy_orders", f"WITH {_FEATURES}, {_HIT}, o AS (SELECT symbol, ts, signal, min(CASE WHEN r >= 0.0125 OR crossed OR hour(bar_ts) >= 15 THEN bar_ts END) AS flat FROM j GROUP BY symbol, ts, signal) SELECT symbol, ts, signal, flat FROM o")
 sql("tsk11_delta_divergence", f"WITH c AS (SELECT *, sum({CLV} * volume) OVER ({D} ROWS UNBOUNDED PRECEDING) AS cvd FROM {{bars}}) SELECT symbol, ts, round(cvd, 4) AS cvd, low < min(low) OVER ({D} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AND cvd > min(cvd) OVER ({D} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS bull FROM c".replace(" AS bull", " IS TRUE AS bull"))
