@@ -68,9 +68,6 @@ sql("jn6_baseline_join", "SELECT b.symbol, b.ts, round(b.volume - m.med, 6) AS a
 sql("jn7_time_alignment", f"WITH r AS (SELECT symbol, ts, {RET_S} AS ret FROM {{bars}}) SELECT a.ts, round(a.ret, 6) AS click, round(b.ret, 6) AS purchase, round(c.ret, 6) AS view FROM r AS a JOIN r AS b ON a.ts = b.ts JOIN r AS c ON a.ts = c.ts WHERE a.symbol = 'click' AND b.symbol = 'purchase' AND c.symbol = 'view' AND a.ret IS NOT NULL AND b.ret IS NOT NULL AND c.ret IS NOT NULL")
 sql("jn8_left_align", "SELECT a.ts, a.close, b.close AS other FROM {bars} AS a LEFT JOIN (SELECT ts, close FROM {bars} WHERE symbol = 'view') AS b ON a.ts = b.ts WHERE a.symbol = 'click'")
 sql("jn9_day_map", "WITH d AS (SELECT symbol, day, max_by(close, ts) AS last FROM {bars} GROUP BY symbol, day), p AS (SELECT symbol, day, lag(last) OVER (PARTITION BY symbol ORDER BY day) AS prev FROM d) SELECT b.symbol, b.ts, p.prev AS prev_close FROM {bars} AS b LEFT JOIN p ON b.symbol = p.symbol AND b.day = p.day")
-sql("jn11_window_bars", "SELECT n.news_id, count(*) AS n_bars, CAST(sum(b.volume) AS BIGINT) AS volume FROM {news} AS n JOIN {bars} AS b ON b.day = n.day AND b.ts BETWEEN n.ts - INTERVAL '65' MINUTE AND n.ts + INTERVAL '5' MINUTE GROUP BY n.news_id")
-sql("jn12_proximity_count", "SELECT a.news_id, count(b.news_id) AS near FROM {news} AS a LEFT JOIN {news} AS b ON a.day = b.day AND b.source_type = 'press_release' AND b.ts BETWEEN a.ts - INTERVAL '1800' SECOND AND a.ts + INTERVAL '1800' SECOND GROUP BY a.news_id")
-sql("jn13_not_covered", "SELECT n.news_id FROM {news} AS n WHERE NOT EXISTS (SELECT 1 FROM {trades} AS t WHERE t.day = n.day AND t.ts BETWEEN n.ts - INTERVAL '10' MINUTE AND n.ts + INTERVAL '10' MINUTE)")
 sql("jn14_anti_day_side", "SELECT a.event_id FROM {trades} AS a LEFT ANTI JOIN {quotes} AS b ON a.symbol = b.symbol AND a.day = b.day AND hour(a.ts) = hour(b.ts)", "SELECT a.event_id FROM {trades} AS a ANTI JOIN {quotes} AS b ON a.symbol = b.symbol AND a.day = b.day AND hour(a.ts) = hour(b.ts)")
 sql("jn15_kept_signals", "SELECT t.event_id FROM {trades} AS t LEFT SEMI JOIN {quotes} AS q ON t.symbol = q.symbol AND t.day = q.day", "SELECT t.event_id FROM {trades} AS t SEMI JOIN {quotes} AS q ON t.symbol = q.symbol AND t.day = q.day")
 bars("jn16_offsets", f"lag(close, 5) OVER ({S}) AS before, lead(close, 5) OVER ({S}) AS after")

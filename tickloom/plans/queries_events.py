@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import norm_cdf, t_two_sided
-from ..functions.text import LEXICON, relevance, same_story, story_tokens
+from ..functions.text import STOP, same_story, story_tokens
 from ..operators.asof import asof_join, interval_join
 from ..operators.changepoint import ewm_std, pelt_rbf
 from ..operators.islands import merge_islands
@@ -111,18 +111,10 @@ def _(spark, d):
     return out.select("symbol", F.concat(F.lit("E"), F.date_format("first_ts", "MMdd-HHmm")).alias("event_id"), "first_ts", "last_ts", "n_bars", F.round(F.col("r") * 100, 4).alias("magnitude_pct"), "peak_z", "peak_vol_z", F.when(F.col("r") >= 0, "up").otherwise("down").alias("direction"))
 
 
-sql("ag20_event_sums", f"WITH {_MAD} SELECT n.news_id, round(sum(z.ret), 6) AS ret, round(max(z.z_ret), 6) AS peak_z, round(max(z.z_vol), 6) AS peak_vol_z FROM {{news}} AS n JOIN z ON z.day = n.day AND z.ts BETWEEN n.ts - INTERVAL '60' MINUTE AND n.ts GROUP BY n.news_id")
 sql("ed8_vwap_drift", f"WITH v AS (SELECT symbol, day, ts, (close - {VWAP}) / ({VWAP}) AS dev FROM {{bars}}), w AS (SELECT *, max(abs(dev)) OVER (PARTITION BY symbol, day) AS top FROM v), g AS (SELECT symbol, 2 * stddev_samp(ln(close) - ln(pc)) AS lim FROM (SELECT symbol, close, lag(close) OVER (PARTITION BY symbol ORDER BY day) AS pc FROM (SELECT symbol, day, max_by(close, ts) AS close FROM {{bars}} GROUP BY symbol, day) AS c) AS p GROUP BY symbol) SELECT w.symbol, min(w.ts) AS first_ts, max(w.ts) AS last_ts, round(max(w.top), 6) AS peak FROM w JOIN g ON w.symbol = g.symbol WHERE w.top >= g.lim / 4 AND abs(w.dev) >= w.top / 2 GROUP BY w.symbol, w.day")
 sql("ed9_gap_events", "WITH g AS (SELECT symbol, day, ln(open / lag(close) OVER (PARTITION BY symbol ORDER BY day)) AS gap FROM {daily}), s AS (SELECT symbol, stddev_samp(gap) AS sd FROM g GROUP BY symbol) SELECT g.symbol, g.day, round(gap / sd, 6) AS z FROM g JOIN s ON g.symbol = s.symbol WHERE abs(gap) / sd >= 2.5")
 sql("ed10_day_events", "WITH g AS (SELECT symbol, day, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY day)) AS cc FROM {daily}), s AS (SELECT symbol, stddev_samp(cc) AS sd FROM g GROUP BY symbol) SELECT g.symbol, g.day, round(cc / sd, 6) AS z FROM g JOIN s ON g.symbol = s.symbol WHERE abs(cc) / sd >= 2.0")
 sql("so4_union_event_kinds", "WITH g AS (SELECT symbol, day, ln(open / lag(close) OVER (PARTITION BY symbol ORDER BY day)) AS gap, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY day)) AS cc FROM {daily}) SELECT symbol, CAST(day AS STRING) AS at, 'gap' AS kind FROM g WHERE abs(gap) > 2 UNION ALL SELECT symbol, CAST(day AS STRING) AS at, 'day' AS kind FROM g WHERE abs(cc) > 2")
-sql("ed11_onset", f"WITH {_MAD} SELECT n.news_id, least(n.ts, min(z.ts)) AS onset FROM {{news}} AS n JOIN z ON z.day = n.day AND z.z_ret >= 1 AND z.ts BETWEEN n.ts - INTERVAL '90' MINUTE AND n.ts + INTERVAL '30' MINUTE GROUP BY n.news_id, n.ts")
-sql("ed12_unresolved", f"WITH {_MAD} SELECT symbol, ts FROM z WHERE (z_ret >= 4 OR abs(ret) >= 0.9) AND NOT coalesce(z_vol > 3, false)")
-sql("ed13_normalise", "SELECT news_id, source_type, ts, hour(ts) <> 0 OR minute(ts) <> 0 AS precise FROM {news}")
-_ALIGN = "p AS (SELECT a.event_id, b.news_id, b.source_type, CASE WHEN b.ts > a.ts THEN 0.45 ELSE exp(-((micros(ats) - micros(bts)) / 6e7) / 15) END * (CASE b.source_type WHEN 'press_release' THEN 1.0 WHEN 'economic' THEN 0.9 WHEN 'analyst' THEN 0.8 ELSE 0.6 END) * least(1.0, b.relevance) AS score, (micros(ats) - micros(bts)) / 6e7 AS lead FROM (SELECT *, ts AS ats FROM {trades}) AS a JOIN (SELECT *, ts AS bts FROM {news}) AS b ON a.day = b.day AND b.ts BETWEEN a.ts - INTERVAL '45' MINUTE AND a.ts + INTERVAL '10' MINUTE), k AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, news_id) AS rn FROM p)"
-sql("ed14_time_score", "SELECT a.event_id, b.news_id, round(CASE WHEN b.ts > a.ts THEN 0.45 ELSE exp(-((micros(ats) - micros(bts)) / 6e7) / 15) END, 6) AS score FROM (SELECT *, ts AS ats FROM {trades}) AS a JOIN (SELECT *, ts AS bts FROM {news}) AS b ON a.day = b.day AND b.ts BETWEEN a.ts - INTERVAL '45' MINUTE AND a.ts + INTERVAL '10' MINUTE")
-sql("ed15_alignment", f"WITH {_ALIGN} SELECT event_id, news_id, round(score, 6) AS score, CAST(rn AS BIGINT) AS place FROM k WHERE rn <= 5")
-sql("ed16_confidence", f"WITH {_ALIGN}, t AS (SELECT event_id, max(CASE WHEN rn = 1 THEN score END) AS best, max(CASE WHEN rn = 2 THEN score END) AS second, max(CASE WHEN rn = 1 THEN lead END) AS lead, count(*) AS n FROM k WHERE rn <= 5 GROUP BY event_id) SELECT event_id, round(0.45 * least(1.0, best + 0.05 * (n - 1)) + 0.20 * 0.5 + 0.20 * (CASE WHEN lead BETWEEN 0 AND 30 THEN 1.0 WHEN lead BETWEEN 0 AND 120 THEN 0.7 WHEN lead < 0 THEN 0.4 ELSE 0.5 END) + 0.15 * greatest(0.0, least(1.0, CASE WHEN second IS NULL THEN 1.0 ELSE 1 - second / nullif(best, 0) END)), 3) AS confidence FROM t WHERE best > 0")
 sql("ed17_cross_asset", f"WITH r AS (SELECT symbol, ts, {RET_S} AS ret FROM {{bars}}) SELECT a.symbol, a.ts, count(CASE WHEN sign(b.ret) = sign(a.ret) AND abs(b.ret) > 0.003 THEN 1 END) >= 2 AS sector_wide FROM r AS a JOIN r AS b ON a.ts = b.ts AND a.symbol <> b.symbol WHERE a.ret IS NOT NULL GROUP BY a.symbol, a.ts")
 sql("ag24_idio_share", f"WITH r AS (SELECT symbol, ts, day, {RET_S} AS ret FROM {{bars}}), w AS (SELECT a.day, sum(a.ret) AS act, sum(0.6 * b.ret) AS pred FROM r AS a JOIN r AS b ON a.ts = b.ts AND b.symbol = 'view' WHERE a.symbol = 'click' AND a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY a.day) SELECT day, CASE WHEN abs(act) < 1e-9 THEN NULL WHEN sign(act) <> sign(pred) THEN 1.0 ELSE round(greatest(0.0, least(1.0, 1 - pred / act)), 6) END AS share FROM w".replace("THEN 1.0 ELSE", "THEN CAST(1 AS DOUBLE) ELSE"))
 sql("ed21_phase_label", "SELECT symbol, day, concat(CASE WHEN r >= 1.0 THEN 'surge' WHEN r >= 0.35 THEN 'rise' WHEN r <= -1.0 THEN 'slide' WHEN r <= -0.35 THEN 'drift down' ELSE 'range' END, CASE WHEN f >= 0.3 THEN ' on buying' WHEN f <= -0.3 THEN ' on selling' ELSE '' END) AS label FROM (SELECT symbol, day, ln(max_by(close, ts) / min_by(open, ts)) AS r, sum(sign(close - open) * volume) / nullif(sum(volume), 0) AS f FROM {bars} GROUP BY symbol, day) AS d")
@@ -228,19 +220,7 @@ def _(spark, d):
 
 # --- text
 
-_REL_SQL = "least(1.0, (" + " + ".join(f"CASE WHEN contains(low, '{t}') THEN {w} ELSE 0 END" for t, w, _ in LEXICON) + ") / 4)"
-_LEAN_SQL = "(" + " + ".join(f"CASE WHEN contains(low, '{t}') THEN {w * s} ELSE 0 END" for t, w, s in LEXICON) + ")"
-_ST3 = f"SELECT conv_id, turn, round(CASE WHEN base = 0 THEN 0 WHEN lean > 0 THEN least(1.0, base * 1.15) WHEN lean < 0 THEN base * 0.75 ELSE base END, 6) AS score FROM (SELECT conv_id, turn, CAST({_REL_SQL} AS DOUBLE) AS base, CAST({_LEAN_SQL} AS DOUBLE) AS lean FROM (SELECT conv_id, turn, lower(substring(text, 1, 1500)) AS low FROM {{conversations}}) AS c) AS r"
-
-
-def _relevance(spark, d):
-    return read(spark, d, "conversations").select("conv_id", "turn", r6(relevance("text", 1), "score"))
-
-
-query("st3_lexicon_relevance", _ST3)(_relevance)
-query("ag43_lexicon_score", _ST3)(_relevance)
-
-_TOKENS_SQL = "list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'for', 'with')), lambda w: substring(w, 1, 6))))"
+_TOKENS_SQL = "list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN ('" + "', '".join(STOP) + "')), lambda w: substring(w, 1, 6))))"
 
 
 @query("st4_story_tokens", f"SELECT conv_id, turn, array_to_string({_TOKENS_SQL}, ' ') AS tokens FROM {{conversations}}")
@@ -260,8 +240,6 @@ def _(spark, d):
 
 sql("so6_token_overlap", "SELECT a.item_id, CAST(size(array_intersect(split(a.text, ' '), split(b.text, ' '))) AS BIGINT) AS n FROM {benchmark} AS a JOIN {benchmark} AS b ON b.item_id = a.item_id + 1", "SELECT a.item_id, CAST(len(list_distinct(list_intersect(string_split(a.text, ' '), string_split(b.text, ' ')))) AS BIGINT) AS n FROM {benchmark} AS a JOIN {benchmark} AS b ON b.item_id = a.item_id + 1")
 sql("st7_numbers", "SELECT doc_id, regexp_extract(text, '([0-9][0-9,][0-9,][0-9,][0-9,]+)', 1) AS number FROM {documents} WHERE rlike(text, '[0-9][0-9,][0-9,][0-9,][0-9,]+')")
-sql("st8_verdict", "SELECT conv_id, turn, CASE WHEN NOT contains(low, 'the') THEN 'unknown' WHEN up > 0 AND down > 0 THEN 'mixed' WHEN up > 0 THEN 'beat' WHEN down > 0 THEN 'miss' ELSE 'unknown' END AS verdict FROM (SELECT *, CASE WHEN contains(low, 'tion') THEN 1 ELSE 0 END AS up, CASE WHEN contains(low, 'heit') THEN 1 ELSE 0 END AS down FROM (SELECT conv_id, turn, lower(text) AS low FROM {conversations}) AS c) AS v")
-sql("ed18_release_check", "SELECT conv_id, min(turn) AS first_turn, count(CASE WHEN rlike(lower(text), '(the|and) .?.?.?(tion|ing)') THEN 1 END) AS hits FROM {conversations} GROUP BY conv_id")
 
 # --- recurrences
 
@@ -343,7 +321,6 @@ sql("ml13_meta_target", f"WITH {_FEATURES}, n AS (SELECT *, sign(lead(close) OVE
 sql("ml17_leakage_probe", f"SELECT symbol, count(a) AS through, count(b) AS alone, count(CASE WHEN a IS NOT NULL AND b IS NULL THEN 1 END) AS bleeding FROM (SELECT symbol, {roll('avg', 10, 'volume')} AS a, {roll('avg', 10, 'volume', D)} AS b FROM {{bars}}) AS x GROUP BY symbol")
 sql("ml18_calibration", f"SELECT symbol, round(corr(sv, ret), 6) AS r, round(regr_slope(ret, sv) * 1000, 6) AS slope, count(*) AS n FROM (SELECT symbol, {RET_S} AS ret, {SIGNED} AS sv FROM {{bars}}) AS b WHERE ret IS NOT NULL GROUP BY symbol")
 sql("ml20_pooled_summary", f"WITH {_FEATURES}, {_HIT}, l AS (SELECT symbol, ts, signal, max_by(r, bar_ts) AS r FROM j GROUP BY symbol, ts, signal) SELECT signal, count(*) AS n, round(avg(r), 6) AS mean, round(avg(CAST(r > 0 AS INT)), 6) AS win FROM l GROUP BY signal")
-sql("ed19_release_study", "WITH k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY day) AS i, row_number() OVER (PARTITION BY symbol, year(day), quarter(day) ORDER BY day) AS q FROM {daily}), m AS (SELECT *, lag(close, 1) OVER (PARTITION BY symbol ORDER BY day) AS c1, lag(close, 6) OVER (PARTITION BY symbol ORDER BY day) AS c6, lead(close, 5) OVER (PARTITION BY symbol ORDER BY day) AS n5 FROM k) SELECT symbol, day, round(c1 / c6 - 1, 6) AS run_up_5d, round(close / open - 1, 6) AS reaction_oc, round(close / c1 - 1, 6) AS reaction_cc, round(n5 / close - 1, 6) AS post_5d, c1 / c6 - 1 > 0.05 AND close < open AS fade FROM m WHERE q = 1 AND i > 6")
 sql("ed20_study_summary", "WITH k AS (SELECT *, lag(close, 1) OVER (PARTITION BY symbol ORDER BY day) / lag(close, 6) OVER (PARTITION BY symbol ORDER BY day) - 1 AS runup, close / open - 1 AS oc FROM {daily}) SELECT symbol, count(runup) AS n, round(avg(CAST(oc < 0 AS INT)), 6) AS red, round(avg(CASE WHEN runup > 0.05 THEN CAST(oc < 0 AS INT) END), 6) AS red_after_runup, round(corr(runup, oc), 6) AS r FROM k WHERE runup IS NOT NULL GROUP BY symbol HAVING count(runup) >= 4")
 sql("ma13_tail", "SELECT symbol, day, round(r / sd, 6) AS sigmas FROM (SELECT symbol, day, ln(close / open) AS r, stddev_samp(ln(close / open)) OVER (PARTITION BY symbol) AS sd FROM {daily}) AS x")
 

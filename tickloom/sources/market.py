@@ -65,12 +65,22 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors and signups as timed catalysts."""
-    kind = F.when(F.col("event_type") == "signup", "press_release").when(F.col("event_id") % 3 == 0, "analyst").when(F.col("event_id") % 3 == 1, "stock_news").otherwise("economic")
+    kind = F.when(F.col("event_type") == "signup", "press_release").when(F.col("event_id") % 5 == 0, "analyst").when(F.col("event_id") % 5 == 1, "stock_news").when(F.col("event_id") % 5 == 2, "economic").when(F.col("event_id") % 5 == 3, "general_news").otherwise("insider")
     e = read(spark, sf_dir, "events").where("event_type IN ('error', 'signup')")
     return e.select(F.col("event_id").alias("news_id"), "ts", F.to_date("ts").alias("day"), kind.alias("source_type"), (F.col("value") / 500).alias("relevance"))
 
 
-FRAMES = {"ticks": ticks, "bars": bars, "daily": daily, "quotes": quotes, "trades": trades, "news": news}
+def fine_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(ticks(spark, sf_dir), "15 minutes")
+
+
+def catalysts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """News with a headline, taken from the items of `benchmark` in turn."""
+    items = read(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 80).alias("headline"), F.col("text").alias("body"))
+    return news(spark, sf_dir).withColumn("item_id", F.col("news_id") % 40).join(items, "item_id").drop("item_id")
+
+
+FRAMES = {"fine_bars": fine_bars, "catalysts": catalysts, "ticks": ticks, "bars": bars, "daily": daily, "quotes": quotes, "trades": trades, "news": news}
 
 #: The same frames in DuckDB SQL.
 FRAMES_SQL = {
@@ -84,6 +94,8 @@ FRAMES_SQL = {
       FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem) AS l GROUP BY 1, 2, 3""",
     "quotes": "SELECT user_id % 8 AS symbol, ts, CAST(ts AS DATE) AS day, value - 1 AS bid, value + 1 AS ask, CAST(json_extract_string(props, '$.k') AS BIGINT) + 1 AS bid_size, 100 - CAST(json_extract_string(props, '$.k') AS BIGINT) % 100 AS ask_size FROM events WHERE event_type = 'click' AND value > 0",
     "trades": "SELECT event_id, user_id % 8 AS symbol, ts, CAST(ts AS DATE) AS day, value AS price, CAST(json_extract_string(props, '$.k') AS BIGINT) AS size FROM events WHERE event_type = 'purchase' AND value > 0",
-    "news": "SELECT event_id AS news_id, ts, CAST(ts AS DATE) AS day, CASE WHEN event_type = 'signup' THEN 'press_release' WHEN event_id % 3 = 0 THEN 'analyst' WHEN event_id % 3 = 1 THEN 'stock_news' ELSE 'economic' END AS source_type, value / 500 AS relevance FROM events WHERE event_type IN ('error', 'signup')",
+    "news": "SELECT event_id AS news_id, ts, CAST(ts AS DATE) AS day, CASE WHEN event_type = 'signup' THEN 'press_release' WHEN event_id % 5 = 0 THEN 'analyst' WHEN event_id % 5 = 1 THEN 'stock_news' WHEN event_id % 5 = 2 THEN 'economic' WHEN event_id % 5 = 3 THEN 'general_news' ELSE 'insider' END AS source_type, value / 500 AS relevance FROM events WHERE event_type IN ('error', 'signup')",
 }
-NEEDS = {"bars": ["ticks"]}
+FRAMES_SQL["fine_bars"] = FRAMES_SQL["bars"].replace("1 hour", "15 minutes")
+FRAMES_SQL["catalysts"] = "SELECT n.*, substring(b.text, 1, 80) AS headline, b.text AS body FROM news AS n JOIN benchmark AS b ON b.item_id = n.news_id % 40"
+NEEDS = {"bars": ["ticks"], "fine_bars": ["ticks"], "catalysts": ["news"]}
