@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that one task deals out in a shuffle of values.
+BUCKET = 50_000
+
 
 def regimes(blocks: DataFrame, features: Sequence[str], k: int = 4, order: str = "rv") -> DataFrame:
     """blocks with `regime` 0..k-1: K-means on standardised features, numbered by ascending mean of `order`."""
@@ -23,58 +25,126 @@ def regimes(blocks: DataFrame, features: Sequence[str], k: int = 4, order: str =
     return out.join(F.broadcast(rank.select("_c", "regime")), "_c").drop("_raw", "_x", "_c")
 
 
-def boosted(train: DataFrame, features: Sequence[str], label: str, weight: str | None = None):
-    """A fitted gradient-boosted classifier; missing features are imputed by medians."""
+def _inputs(features: Sequence[str]) -> list:
     filled = [f"_{f}" for f in features]
-    trees = GBTClassifier(featuresCol="_v", labelCol=label, maxDepth=3, maxIter=20, stepSize=0.1, seed=7, **({"weightCol": weight} if weight else {}))
-    return Pipeline(stages=[Imputer(inputCols=list(features), outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="_v"), trees]).fit(train)
+    return [Imputer(inputCols=list(features), outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="_v")]
+
+
+def boosted(train: DataFrame, features: Sequence[str], label: str, weight: str | None = None, late: Column | None = None, regression: bool = False) -> PipelineModel:
+    """Fitted gradient-boosted trees for a label of 0 and 1, or for a number; missing features are imputed by medians.
+
+    late marks the rows on which boosting is stopped early (they are not fitted on).
+    """
+    kind = GBTRegressor if regression else GBTClassifier
+    more = {"weightCol": weight} if weight else {}
+    if late is not None:
+        train, more = train.withColumn("_late", late), {**more, "validationIndicatorCol": "_late"}
+    trees = kind(featuresCol="_v", labelCol=label, predictionCol="_y", maxDepth=3, maxIter=20, stepSize=0.1, minInstancesPerNode=10, seed=7, **more)
+    return Pipeline(stages=[*_inputs(features), trees]).fit(train)
 
 
-def scored(model, rows: DataFrame) -> DataFrame:
+def logistic(train: DataFrame, features: Sequence[str], label: str) -> PipelineModel:
+    return Pipeline(stages=[*_inputs(features), LogisticRegression(featuresCol="_v", labelCol=label, predictionCol="_y", maxIter=20, regParam=0.01)]).fit(train)
+
+
+def scored(model: PipelineModel, rows: DataFrame, name: str = "p") -> DataFrame:
+    """rows with the model's probability of 1, or its number."""
     out = model.transform(rows)
-    return out.withColumn("p", vector_to_array("probability")[1]).drop(*[c for c in out.columns if c.startswith("_") or c in ("rawPrediction", "probability", "prediction")])
+    value = vector_to_array("probability")[1] if "probability" in out.columns else F.col("_y")
+    return out.withColumn(name, value).select(*rows.columns, name)
+
+
+def three_way(train: DataFrame, rows: DataFrame, features: Sequence[str], label: str, weight: str | None = None, late: Column | None = None) -> DataFrame:
+    """rows with p_up and p_down: label -1, 0 or 1 by a model for each side against the rest."""
+    for name, value in (("p_up", 1), ("p_down", -1)):
+        model = boosted(train.withColumn("_is", (F.col(label) == value).cast("double")), features, "_is", weight, late)
+        rows = scored(model, rows, name)
+    return rows
 
 
-def folds(events: DataFrame, order: str, n: int, initial: float = 0.3) -> DataFrame:
-    """events with `fold`: 0 for the first `initial` share by order, then n equal blocks."""
-    share = F.percent_rank().over(Window.partitionBy(F.lit(0)).orderBy(order))  # labelled events, not bars
-    return events.withColumn("fold", F.when(share < initial, 0).otherwise(F.least(F.lit(n), F.floor((share - initial) / (1 - initial) * n) + 1)).cast("int"))
+def cuts(events: DataFrame, at: str, shares: Sequence[float]) -> list:
+    """The values of `at` below which these shares of the rows lie, as a few numbers."""
+    return events.agg(F.percentile_approx(at, F.array(*map(F.lit, shares)), 10_000)).first()[0] or []
 
 
-def purged(events: DataFrame, fold: int, start: str, stop: str, embargo: int) -> DataFrame:
-    """Earlier folds' rows whose label interval keeps `embargo` positions off the test fold's span."""
+def folds(events: DataFrame, at: str, n: int, initial: float = 0.3) -> DataFrame:
+    """events with `fold`: 0 for the first `initial` share by `at` (a number), then n blocks of equal shares.
+
+    Blocks end between values of `at`; no window over all rows."""
+    ends = cuts(events, at, [initial + (1 - initial) * k / n for k in range(n)])
+    fold = F.lit(0)
+    for end in ends:
+        fold = fold + (F.col(at) > end).cast("int")
+    return events.withColumn("fold", fold)
+
+
+def purged(events: DataFrame, fold: int, start: str, stop: str, embargo: float) -> DataFrame:
+    """Earlier folds' rows whose label interval keeps `embargo` off the test fold's span."""
     span = events.where(F.col("fold") == fold).agg(F.min(start).alias("_lo"), F.max(stop).alias("_hi"))
     rows = events.where(F.col("fold") < fold).crossJoin(F.broadcast(span))  # one row
     return rows.where((F.col(stop) < F.col("_lo") - embargo) | (F.col(start) > F.col("_hi") + embargo)).drop("_lo", "_hi")
 
 
-def permutation_importance(model, rows: DataFrame, features: Sequence[str], label: str) -> list[tuple[str, float]]:
-    """(feature, drop in accuracy) when the feature is dealt anew among the rows, most first."""
-    right = lambda d: scored(model, d).agg(F.avg(((F.col("p") > 0.5).cast("double") == F.col(label)).cast("double"))).first()[0]
-    base, out = right(rows), []
-    for f in features:
-        a = rows.withColumn("_k", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(f), *features))))
-        b = rows.select(F.col(f).alias("_f"), F.row_number().over(Window.orderBy(F.xxhash64(F.lit("x" + f), *features))).alias("_k"))
-        out.append((f, base - right(a.join(b, "_k").drop(f, "_k").withColumnRenamed("_f", f))))
+def threshold(rows: DataFrame, p: str, net: str, least: int = 3, share: float = 0.15, steps: int = 17) -> float:
+    """Of `steps` quantiles of p the one above which the mean net is best; `least` rows and `share` of all must be left."""
+    shares = [0.1 + 0.8 * i / (steps - 1) for i in range(steps)]
+    values = sorted(set(cuts(rows, p, shares)))
+    if not values:
+        return 0.5
+    sums = [x for v in values for x in (F.count_if(F.col(p) >= v), F.avg(F.when(F.col(p) >= v, F.col(net))))]
+    n, *rest = rows.agg(F.count("*"), *sums).first()
+    fit = [(mean, v) for v, count, mean in zip(values, rest[::2], rest[1::2], strict=True) if count >= max(least, share * n)]
+    return max(fit)[1] if fit else values[0]
+
+
+def shuffled(rows: DataFrame, keys: Sequence[str], column: str, seed: int, by: Sequence[str] = ()) -> DataFrame:
+    """rows with the column's values dealt anew among them, within each group of `by`.
+
+    Each row sends its value to a bucket and takes one from another, both drawn by hash, so a task
+    deals BUCKET rows at most on average. A bucket short of values gives some twice.
+    """
+    n = rows.count() // BUCKET + 1
+    draw = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), *by, *keys)
+    at = lambda salt: F.pmod(draw(salt), F.lit(n))
+    order = lambda salt: Window.partitionBy(*by, "_b").orderBy(draw(salt + "o"), *keys)
+    given = rows.withColumn("_b", at("from")).select(*by, "_b", F.col(column).alias("_given"), F.row_number().over(order("from")).alias("_k"))
+    sizes = given.groupBy(*by, "_b").agg(F.max("_k").alias("_n"))
+    taker = rows.drop(column).withColumn("_b", at("to") if n > 1 else F.lit(0).cast("long"))
+    taker = taker.withColumn("_r", F.row_number().over(order("to"))).join(sizes, [*by, "_b"]).withColumn("_k", F.pmod(F.col("_r") - 1, F.col("_n")) + 1)
+    out = taker.join(given, [*by, "_b", "_k"]).withColumnRenamed("_given", column)
+    return out.select(*rows.columns)
+
+
+def permutation_importance(model: PipelineModel, rows: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, repeats: int = 10) -> list[tuple[str, float]]:
+    """(feature, mean drop in accuracy) when the feature is dealt anew among the rows, most first."""
+    right = lambda d: scored(model, d).agg(F.avg(((F.col("p") > 0.5).cast("double") == F.col(label)).cast("double"))).first()[0] or 0.0
+    base = right(rows)
+    every = rows.withColumn("_repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+    out = [(f, base - right(shuffled(every, keys, f, 7, ["_repeat"]))) for f in features]
     return sorted(out, key=lambda x: -x[1])
 
 
-def block_shuffle_null(values: DataFrame, draws: int, block: int, seed: int = 7) -> DataFrame:
-    """(draw, mean) of returns taken at positions that are shuffled in blocks; values: (pos, taken, ret).
+def label_null(train: DataFrame, test: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, net: str, draws: int) -> list[tuple[int, float]]:
+    """(draw, mean net of the test rows taken) of models that are fitted on labels dealt anew."""
+    out = []
+    for draw in range(draws):
+        model = logistic(shuffled(train, keys, label, draw), features, label)
+        taken = scored(model, test).where("p > 0.5").agg(F.avg(net)).first()[0]
+        out.append((draw, taken))
+    return out
+
+
+def block_null(values: DataFrame, by: str, order: str, taken: str, net: str, draws: int, block: int) -> DataFrame:
+    """(draw, mean): the mean net at the taken places after each group's blocks of rows change places.
 
-    Draws are spread over the cluster; the labelled events themselves are few and go along.
+    values has by, order, taken, net. Blocks are numbered within the group; a draw deals their
+    numbers anew, and rows are moved by a join on (group, block, place), so it is the number of
+    blocks, not of rows, that a window sees. A short last block moves the rows it has.
     """
-    held = values.orderBy("pos").select("taken", "ret").toPandas()
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        taken, ret = held["taken"].to_numpy(bool), held["ret"].to_numpy(float)
-        blocks = [np.arange(i, min(i + block, len(ret))) for i in range(0, len(ret), block)]
-        for part in parts:
-            means = []
-            for draw in part["id"]:
-                order = np.random.default_rng(seed + int(draw)).permutation(len(blocks))
-                moved = ret[np.concatenate([blocks[k] for k in order])] if blocks else ret
-                means.append(float(moved[taken].mean()) if taken.any() else None)
-            yield pd.DataFrame({"draw": part["id"], "mean": means})
-
-    return values.sparkSession.range(draws).mapInPandas(run, "draw bigint, mean double")
+    spark = values.sparkSession
+    number = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
+    rows = values.withColumn("_n", number).select(by, F.floor(F.col("_n") / block).alias("_b"), (F.col("_n") % block).alias("_i"), taken, net)
+    blocks = rows.select(by, "_b").distinct().crossJoin(F.broadcast(spark.range(draws).withColumnRenamed("id", "draw")))  # draws, a parameter
+    dealt = blocks.withColumn("_to", F.row_number().over(Window.partitionBy(by, "draw").orderBy(F.xxhash64("draw", by, "_b"), "_b")) - 1)
+    moved = rows.where(taken).select(by, "_b", "_i").join(dealt, [by, "_b"]).join(rows.select(by, F.col("_b").alias("_to"), "_i", net), [by, "_to", "_i"])
+    return moved.groupBy("draw").agg(F.avg(net).alias("mean"))

@@ -6,7 +6,13 @@ day-anchored and the continuous orders of a symbol's bars.
 
 from __future__ import annotations
 
-from .registry import sql
+from pyspark.sql import functions as F
+
+from ..sources.market import resample, ticks
+from .registry import query, sql
+
+#: Bar lengths.
+RULES = ("1 minute", "5 minutes", "15 minutes", "30 minutes", "1 hour", "1 day")
 
 D = "PARTITION BY symbol, day ORDER BY ts"
 S = "PARTITION BY symbol ORDER BY ts"
@@ -77,7 +83,17 @@ bars("jn21_bleed_join", "round(whole, 6) AS whole, round(alone, 6) AS alone, who
 
 # --- aggregates
 sql("ag1_tod_median", f"SELECT symbol, tod, median(CAST(volume AS DOUBLE)) AS vol_med, round(median(abs(ret)), 6) AS absret_med FROM (SELECT *, {RET} AS ret FROM {{bars}}) AS b GROUP BY symbol, tod")
-sql("ag4_ohlcv", "SELECT symbol, ts, open, high, low, close, volume FROM {bars}")
+
+
+@query("ag4_ohlcv", " UNION ALL ".join(f"SELECT '{r}' AS rule, symbol, time_bucket(INTERVAL '{r}', ts) AS ts, arg_min(price, ts) AS open, max(price) AS high, min(price) AS low, arg_max(price, ts) AS close, CAST(sum(size) AS BIGINT) AS volume FROM {{ticks}} GROUP BY 2, 3" for r in RULES))
+def _(spark, d):
+    out = None
+    for rule in RULES:
+        one = resample(ticks(spark, d), rule).select(F.lit(rule).alias("rule"), "symbol", "ts", "open", "high", "low", "close", "volume")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 sql("ag5_signed_bars", "SELECT symbol, tod, day, CAST(sum(sign(close - open) * volume) AS DOUBLE) AS signed, CAST(sum(volume) AS BIGINT) AS volume FROM {bars} GROUP BY symbol, tod, day")
 sql("ag6_quote_imbalance", "SELECT symbol, day, round(avg((bid_size - ask_size) / CAST(nullif(bid_size + ask_size, 0) AS DOUBLE)), 6) AS imbalance FROM {quotes} GROUP BY symbol, day")
 sql("ag7_block_delta", "SELECT symbol, day, CAST(floor(hour(ts) / 4) AS BIGINT) AS block, CAST(sum(volume) AS BIGINT) AS volume, max_by(close, ts) AS last FROM {bars} GROUP BY symbol, day, CAST(floor(hour(ts) / 4) AS BIGINT)")

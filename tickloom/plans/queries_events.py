@@ -15,7 +15,7 @@ from ..operators.islands import merge_islands
 from ..operators.profile import value_area, volume_buckets, volume_profile
 from ..sources.market import bars, daily, news, quotes, read, ticks, trades
 from .queries_core import CLV, RET, RET_S, S, SIGNED, VWAP, D, roll
-from .registry import query, sql, undated
+from .registry import ORACLE_SQL, query, sql, undated
 from .ship import ship
 
 r6 = lambda c, name: F.round(c, 6).alias(name)
@@ -211,7 +211,7 @@ def _(spark, d):
     return undated(value_area(_profile(spark, d)))
 
 
-@query("wn37_area_relation")
+@query("wn37_area_relation", f"SELECT symbol, day, CASE WHEN val > ph THEN 'above' WHEN vah < pl THEN 'below' WHEN pl IS NOT NULL THEN 'overlapping' END AS relation FROM (SELECT *, lag(val) OVER (PARTITION BY symbol ORDER BY day) AS pl, lag(vah) OVER (PARTITION BY symbol ORDER BY day) AS ph FROM ({ORACLE_SQL['ag14_value_area']}) AS a) AS b")
 def _(spark, d):
     order = Window.partitionBy("symbol").orderBy("day")
     area = value_area(_profile(spark, d)).withColumns({"pl": F.lag("val").over(order), "ph": F.lag("vah").over(order)})
@@ -263,7 +263,10 @@ def _(spark, d):
 _EDGE = f"e0 AS (SELECT symbol, day, ts, close > {VWAP} AND volume > 80 AS up FROM {{bars}}), e AS (SELECT symbol, day, ts FROM (SELECT *, up AND NOT coalesce(lag(up) OVER ({S}), false) AS edge FROM e0) AS x WHERE edge)"
 
 
-@query("ml1_cusum")
+@query("ml1_cusum", f"""WITH RECURSIVE_ r AS (SELECT symbol, day, ts, {RET} AS ret FROM {{bars}}), n AS (SELECT *, row_number() OVER (PARTITION BY symbol, day ORDER BY ts) AS k FROM r WHERE ret IS NOT NULL),
+u AS (SELECT *, greatest(0, ret) AS up, least(0, ret) AS down FROM n WHERE k = 1 UNION ALL
+    SELECT n.*, greatest(0, CASE WHEN u.up >= 1.5 OR u.down <= -1.5 THEN 0 ELSE u.up END + n.ret), least(0, CASE WHEN u.up >= 1.5 OR u.down <= -1.5 THEN 0 ELSE u.down END + n.ret) FROM u JOIN n ON n.symbol = u.symbol AND n.day = u.day AND n.k = u.k + 1)
+SELECT symbol, ts FROM u WHERE up >= 1.5 OR down <= -1.5""")
 def _(spark, d):
     ret = bars(spark, d).selectExpr("symbol", "day", "ts", f"{RET} AS ret").where("ret IS NOT NULL")
     h = 1.5

@@ -92,66 +92,12 @@ query("ar5_override", "SELECT CAST(390 AS BIGINT) AS cutoff, CAST(30 AS BIGINT)
 # --- models and nulls
 
 
-def _labelled(spark, d):
-    rows = spark.sql(
-        f"WITH {_FEATURES} SELECT symbol, ts, imb, relvol, clv_s, day_imb, row_number() OVER (ORDER BY ts, symbol) AS pos, lead(close) OVER ({D}) / close - 1 AS ret FROM h", bars=bars(spark, d)
-    ).where("ret IS NOT NULL")
-    return rows.withColumn("label", (F.col("ret") > 0).cast("double"))
-
-
-_X = ("imb", "relvol", "clv_s", "day_imb")
-
-
 @query("ed28_regimes")
 def _(spark, d):
     blocks = bars(spark, d).selectExpr("*", f"{RET} AS ret").groupBy("symbol", "day").agg(F.stddev_samp("ret").alias("rv"), F.avg(F.abs("ret")).alias("absret"), F.avg("volume").alias("volume")).na.drop()
     return undated(models.regimes(blocks, ["rv", "absret", "volume"]))
 
 
-@query("ml7_boosted_trees")
-def _(spark, d):
-    rows = _labelled(spark, d)
-    return models.scored(models.boosted(rows, _X, "label"), rows).select("symbol", "ts", "label", "p")
-
-
-@query("ml8_permutation_importance")
-def _(spark, d):
-    rows = _labelled(spark, d).na.drop()
-    return spark.createDataFrame(models.permutation_importance(models.boosted(rows, _X, "label"), rows, _X, "label"), "feature string, importance double")
-
-
-def _walk(spark, d, n, embargo):
-    rows = models.folds(_labelled(spark, d).withColumn("stop", F.col("pos") + 3), "pos", n)
-    out = None
-    for k in range(1, n + 1):
-        train = models.purged(rows, k, "pos", "stop", embargo)
-        one = models.scored(models.boosted(train, _X, "label"), rows.where(F.col("fold") == k)).select("fold", "pos", "label", "ret", "p")
-        out = one if out is None else out.union(one)
-    return out
-
-
-query("ml9_walk_forward")(lambda spark, d: _walk(spark, d, 3, 20))
-query("ml10_walk_forward_quarters")(lambda spark, d: _walk(spark, d, 2, 40))
-
-
-def _null(spark, d, block):
-    values = _labelled(spark, d).select("pos", (F.col("imb") > 0.2).alias("taken"), "ret").na.drop()
-    return ship(spark) and models.block_shuffle_null(values, 200, block)
-
-
-query("ml14_label_null")(lambda spark, d: _null(spark, d, 1))
-query("ml15_block_null")(lambda spark, d: _null(spark, d, 64))
-
-
-@query("ml16_random_entry_null")
-def _(spark, d):
-    rows = _labelled(spark, d).select("symbol", "pos", "ret")
-    draws = spark.range(50).withColumnRenamed("id", "draw")
-    picked = rows.crossJoin(F.broadcast(draws)).where(F.pmod(F.xxhash64("draw", "pos"), F.lit(20)) == 0)  # 50 rows, a parameter
-    return picked.groupBy("draw").agg(F.count("*").alias("n"), F.avg("ret").alias("mean"))
-
-
-
 # --- bar-stream study operators
 
 sql("tsk1_recurrence", f"SELECT symbol, ts, sum(coalesce(close - lagged, 0)) OVER ({D} ROWS UNBOUNDED PRECEDING) > 0 AS above_open FROM (SELECT *, lag(close) OVER ({D}) AS lagged FROM {{bars}}) AS b")
@@ -189,4 +135,3 @@ sql("tsk12_footprint_score", f"SELECT symbol, ts, round({roll('sum', 10, 'demand
 sql("tsk13_absorption_bars", f"SELECT symbol, ts, coalesce(volume >= 2 * ({roll('avg', 10, 'volume')}) AND abs(close - open) <= 0.3 * (high - low), false) AS absorbed FROM {{bars}}")
 sql("tsk14_daily_panel", "SELECT symbol, day, close > open AS up, round(volume / nullif(avg(volume) OVER (PARTITION BY symbol ORDER BY day ROWS 19 PRECEDING), 0), 6) AS relvol FROM {daily}")
 sql("tsk15_alerts", f"WITH {_FEATURES} SELECT concat(signal, ' ', symbol) AS alert, ts FROM sig")
-sql("ml19_tick_rule_check", f"SELECT symbol, round(avg(CAST(sign(sv) = sign(close - open) AS INT)), 6) AS agreement FROM (SELECT *, {SIGNED} AS sv FROM {{bars}}) AS b GROUP BY symbol")
