@@ -1,6 +1,7 @@
 """Secret scans: candidate strings judged by a random forest, in DataFrame functions only.
 
-A candidate is a run of LEAST or more key characters. A forest trained on labelled findings
+A candidate is a run of LEAST or more key characters, or of SHORT or more with a letter and a digit,
+with what dots and equal signs join to it. A forest trained on labelled findings
 tells secrets from false positives by length, character transitions, dictionary coverage,
 the path and the neighbouring words.
 """
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-LEAST = 20
-CANDIDATE = rf"[A-Za-z0-9+/_\-]{{{LEAST},}}"
+LEAST, SHORT = 20, 12
+_KEY = r"A-Za-z0-9+/_\-"
+CANDIDATE = rf"(?:[{_KEY}]{{{LEAST},}}|(?=[0-9+/_\-]*[A-Za-z])(?=[A-Za-z+/_\-]*[0-9])[{_KEY}]{{{SHORT},}})(?:[.=]+[{_KEY}]+)*=*"
 #: The forest is fitted on so many labelled findings at most.
 FINDINGS = 4_000
 TREES, DEPTH, SEED = 30, 8, 7
@@ -66,8 +68,9 @@ def features(findings: DataFrame) -> DataFrame:
     )
 
 
-def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
-    """Made findings (candidate, before, after, path, label), a bounded and repeatable set.
+def labelled_findings(spark: SparkSession, n: int = FINDINGS, start: int = 0) -> DataFrame:
+    """Made findings (candidate, before, after, path, label), a bounded and repeatable set: numbers
+    start to start + n, so that those beyond FINDINGS are apart from the training set.
 
     Secrets are random hex, base64 and mixed keys after words of assignment; false positives
     are long words, identifiers, commit and content hashes, paths and placeholders.
@@ -77,11 +80,11 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     hexed, b64 = F.sha1(F.concat(F.lit("s"), "id")), F.regexp_replace(F.base64(F.unhex(F.sha2(F.concat(F.lit("b"), "id"), 256))), "=", "")
     syllable = lambda k: pick(k, "the", "tion", "ing", "er", "on", "heit", "schen", "ver", "ment", "eau", "aux", "ción", "ado", "an", "re", "st", "ung", "lich", "que", "and")
     word = F.regexp_replace(F.concat(*(syllable(100 + k) for k in range(9))), "ó", "o")
-    secret = F.when(r(1) % 4 == 0, b64).when(r(1) % 4 == 1, F.substring(hexed, 1, 32)).when(r(1) % 4 == 2, F.upper(hexed)).otherwise(hexed)
-    benign = F.when(r(2) % 6 < 2, word).when(r(2) % 6 == 2, hexed).when(r(2) % 6 == 3, F.concat_ws("/", syllable(3), word, F.lit("index"))).when(r(2) % 6 == 4, F.concat_ws("_", syllable(4), F.lit("example"), syllable(5), F.lit("value"), F.lit("config"))).otherwise(F.repeat(pick(6, "0", "a", "x", "-", "_", "1234"), 24))
+    secret = F.when(r(1) % 5 == 0, b64).when(r(1) % 5 == 1, F.substring(hexed, 1, 32)).when(r(1) % 5 == 2, F.upper(hexed)).when(r(1) % 5 == 3, F.concat(F.substring(b64, 1, 11), F.lit("7"), F.substring(b64, 12, 4))).otherwise(hexed)
+    benign = F.when(r(2) % 6 == 0, word).when(r(2) % 6 == 1, F.when(r(16) % 2 == 0, word).otherwise(F.concat(syllable(17), syllable(18), syllable(19), F.lit("_"), (r(20) % 100 + 1960).cast("string")))).when(r(2) % 6 == 2, hexed).when(r(2) % 6 == 3, F.concat_ws("/", syllable(3), word, F.lit("index"))).when(r(2) % 6 == 4, F.concat_ws("_", syllable(4), F.lit("example"), syllable(5), F.lit("value"), F.lit("config"))).otherwise(F.repeat(pick(6, "0", "a", "x", "-", "_", "1234"), 24))
     keyed = F.concat(pick(7, "token", "api_key", "secret", "password", "AUTH_TOKEN", "private key", "client_secret"), pick(8, " = ", "=", ": ", " := "), pick(9, "\"", "'", "", "\""))
     plain = F.when(F.col("benign_hash"), F.concat(pick(10, "commit ", "sha1 ", "md5: ", "build ", "uuid=", "checksum "), pick(11, "", "\""))).otherwise(F.concat(word, F.lit(" "), syllable(12), pick(13, " ", " ", ": ", " (")))
-    rows = spark.range(n).withColumns({"label": (F.pmod(F.xxhash64("id"), F.lit(2))).cast("double"), "benign_hash": r(2) % 6 == 2})
+    rows = spark.range(start, start + n).withColumns({"label": (F.pmod(F.xxhash64("id"), F.lit(2))).cast("double"), "benign_hash": r(2) % 6 == 2})
     return rows.select(
         "label",
         F.when(F.col("label") == 1, secret).otherwise(benign).alias("candidate"),
@@ -100,15 +103,19 @@ def train(findings: DataFrame) -> PipelineModel:
 def candidates(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, word_at, candidate, before, after, path) of each candidate in docs' whole texts.
 
-    before is the two words before the candidate's word and what stands before it there.
+    before is the two words before the candidate's word and what stands before it there. Only
+    words with a candidate and their neighbours leave the text, whatever its length.
     """
     found = docs.where(F.col("text").rlike(CANDIDATE)).select("doc_id", F.col(path).alias("path"), F.split("text", r"\s+").alias("words"))
-    at = F.filter(F.transform("words", lambda w, i: F.when(w.rlike(CANDIDATE), i)), lambda i: i.isNotNull())
-    found = found.select("doc_id", "path", "words", F.explode(at).alias("word_at"))
-    word = lambda k: F.coalesce(F.get("words", F.col("word_at") + k), F.lit(""))
-    found = found.select("doc_id", "path", "word_at", word(0).alias("word"), F.concat_ws(" ", word(-2), word(-1)).alias("near"), word(1).alias("after"))
-    found = found.withColumn("candidate", F.explode(F.regexp_extract_all("word", F.lit(CANDIDATE), 0)))
-    return found.withColumn("before", F.concat(F.col("near"), F.lit(" "), F.substr("word", F.lit(1), F.position("candidate", "word") - 1))).drop("word", "near")
+    word = lambda i: F.coalesce(F.get("words", i), F.lit(""))
+    near = lambda w, i: F.struct(i.alias("word_at"), w.alias("word"), F.concat_ws(" ", word(i - 2), word(i - 1)).alias("near"), word(i + 1).alias("after"))
+    hits = F.filter(F.transform("words", lambda w, i: F.when(w.rlike(CANDIDATE), near(w, i))), lambda x: x.isNotNull())
+    found = found.select("doc_id", "path", F.inline(hits))
+    found = found.withColumns({"all": F.regexp_extract_all("word", F.lit(CANDIDATE), 0), "between": F.split("word", CANDIDATE, -1)})
+    found = found.select("doc_id", "path", "word_at", "near", "after", "all", "between", F.posexplode("all").alias("k", "candidate"))
+    # What stands before the k-th candidate: the parts between and the candidates up to it.
+    head = F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: F.concat(F.get("between", i), F.when(i < F.col("k"), F.get("all", i)).otherwise("")))
+    return found.select("doc_id", "path", "word_at", "candidate", "after", F.concat(F.col("near"), F.lit(" "), F.array_join(head, "")).alias("before"))
 
 
 def scan(docs: DataFrame, model: PipelineModel, path: str = "source", threshold: float = THRESHOLD) -> DataFrame:
