@@ -24,6 +24,8 @@ from .common import table
 CAPACITIES = (512, 1024, 2048, 4096)
 #: Documents that are packed together.
 SHARD = 8_192
+#: Pieces that are packed at once, so that a shard of any size fits into memory.
+MOST = 1 << 18
 SCHEMA = "doc_id bigint, piece int, start bigint, n_tokens int, bin_id bigint, bin_offset int, bin_capacity int"
 
 
@@ -88,28 +90,30 @@ def pack(docs: DataFrame, capacities: Sequence[int] = CAPACITIES) -> DataFrame:
     start = F.col("piece").cast("long") * most
     pieces = docs.select("shard", "doc_id", "piece", start.alias("start"), F.least(F.lit(most), F.col("n_tokens") - start).cast("int").alias("n"))
 
-    def flush(shard: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def flush(shard: int, first: int, rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows)
         at, offset, caps = best_fit(t["n"].to_numpy(), capacities)
         columns = [t[c].combine_chunks() for c in ("doc_id", "piece", "start", "n")]
-        return pa.RecordBatch.from_arrays([*columns, pa.array((shard << 32) + at), pa.array(offset.astype(np.int32)), pa.array(caps[at].astype(np.int32))], SCHEMA_NAMES)
+        return pa.RecordBatch.from_arrays([*columns, pa.array((shard << 32) + first + at), pa.array(offset.astype(np.int32)), pa.array(caps[at].astype(np.int32))], SCHEMA_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        shard = -1
+        shard, first, rows = -1, 0, 0
         for batch in batches:
             ids = batch.column("shard").to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
                     continue
-                if held and ids[a] != shard:
-                    yield flush(shard, held)
-                    held = []
+                # Rows of one id and length meet in one shard; it is packed in parts, each of many pieces.
+                if held and (ids[a] != shard or rows >= MOST):
+                    yield flush(shard, first, held)
+                    first, held, rows = (first + rows, [], 0) if ids[a] == shard else (0, [], 0)
                 shard = int(ids[a])
                 held.append(batch.slice(a, b - a))
+                rows += b - a
         if held:
-            yield flush(shard, held)
+            yield flush(shard, first, held)
 
     parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), shards)
     return pieces.repartition(parts, "shard").sortWithinPartitions("shard", F.desc("n"), "doc_id", "piece").mapInArrow(run, SCHEMA)
@@ -124,5 +128,6 @@ def word_lengths(docs: DataFrame) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, by their words, packed into sequences of CAPACITIES tokens."""
+    """All documents, by their words, packed into sequences of CAPACITIES tokens. Null texts are one
+    token (an end), equal rows are packed each, an empty table gives none."""
     return pack(word_lengths(table(spark, sf_dir, "documents")))
