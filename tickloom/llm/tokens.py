@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import exists, sliced, stage_path, table
+from .common import exists, sliced, stage_path, table, written
 
 #: Entries of a worker's memory of parts, about 100 MB; it starts anew when full.
 MEMORY = 800_000
@@ -126,10 +126,13 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None) -> D
             yield pa.RecordBatch.from_arrays([batch.column("content_digest"), pa.array([tag] * len(n)), pa.array(n, pa.int64())], ["content_digest", "tokenizer_digest", "n_tokens"])
 
     misses.mapInArrow(encode, "content_digest binary, tokenizer_digest string, n_tokens long").write.mode("append").parquet(cache)
-    return docs.join(known(), "content_digest", "left")
+    # Written, as Spark splits the hot digests of a join of two plain scans.
+    return docs.join(written(known(), "known"), "content_digest", "left")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str, limit: int = 4096) -> DataFrame:
+    """Every document's tokens by the library. Null texts are empty (0 tokens), repeated rows get equal
+    counts and a row each, very long texts are encoded whole, an empty table gives none."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
