@@ -164,4 +164,6 @@ def _rows(done: list[tuple]) -> pa.RecordBatch:
 
 
 def op9_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprints. Null texts are empty, equal ids are ordered by text, null ids come
+    last, long texts are parsed whole, an empty table gives none."""
     return fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
