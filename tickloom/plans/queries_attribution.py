@@ -269,3 +269,54 @@ def _(spark, d):
     r = lambda c, name: F.round(c, 6).alias(name)
     run, cc = F.col("c1") / F.col("c6") - 1, F.col("close") / F.col("c1") - 1
     return study(spark, d).select("symbol", "quarter", "how", F.col("rel").cast("string").alias("day"), r(run, "run_up_5d"), r(F.col("close") / F.col("open") - 1, "reaction_oc"), r(cc, "reaction_cc"), r(F.col("n1") / F.col("close") - 1, "post_1d"), r(F.when(F.col("n1").isNotNull(), F.col("n5") / F.col("close") - 1), "post_5d"), ((run > 0.05) & (cc < 0)).alias("fade"))
+
+
+# --- documents and reports of events
+
+#: Ties are put up in either engine by a little more than half.
+FIXED = "CAST(CAST(floor(({0}) * 10000 + 0.500001) / 10000 AS DECIMAL(18, 4)) AS VARCHAR)"
+
+
+def fixed(c: str | Column) -> Column:
+    """A number with four digits, as text."""
+    value = F.col(c) if isinstance(c, str) else c
+    return (F.floor(value * 10000 + 0.500001) / 10000).cast("decimal(18,4)").cast("string")
+
+
+@query("sk1_events_json", f"""WITH {CONFIDENCE_SQL}, js AS (SELECT event, string_agg(chr(123) || '"news_id":' || news_id || ',"source":"' || source_type || '","score":"' || {FIXED.format('score')} || '"' || chr(125), ',' ORDER BY place) AS items FROM al GROUP BY event)
+SELECT event, chr(123) || '"event":"' || event || '","move":"' || {FIXED.format('move')} || '","peak_z":"' || {FIXED.format('peak')} || '","confidence":"' || {FIXED.format('confidence')} || '","attributions":[' || coalesce(items, '') || ']' || chr(125) AS json FROM co LEFT JOIN js USING (event)""")
+def _(spark, d):
+    aligned = _aligned(spark, d)
+    item = F.struct("place", F.struct("news_id", F.col("source_type").alias("source"), fixed("score").alias("score")).alias("x"))
+    items = aligned.groupBy("event").agg(F.transform(F.sort_array(F.collect_list(item)), lambda i: i["x"]).alias("attributions"))
+    rows = at.confidence(aligned, _events(spark, d)).join(items, "event", "left")
+    found = F.coalesce("attributions", F.filter(F.array(F.struct(F.lit(0).cast("long").alias("news_id"), F.lit("").alias("source"), F.lit("").alias("score"))), lambda _: F.lit(False)))
+    return rows.select("event", F.to_json(F.struct("event", fixed("move").alias("move"), fixed("peak").alias("peak_z"), fixed("confidence").alias("confidence"), found.alias("attributions"))).alias("json"))
+
+
+@query("sk3_result_document", f"""WITH {CONFIDENCE_SQL} SELECT symbol, chr(123) || '"events":' || count(*) || ',"mean_confidence":"' || {FIXED.format('avg(confidence)')} || '","unresolved":' || count(*) FILTER (WHERE (peak >= {MAJOR} OR abs(move) >= {BIG}) AND confidence < {SURE}) || chr(125) AS document FROM co GROUP BY symbol""")
+def _(spark, d):
+    open_ = ((F.col("peak") >= MAJOR) | (F.abs("move") >= BIG)) & (F.col("confidence") < SURE)
+    rows = _confident(spark, d).groupBy("symbol").agg(F.count("*").alias("events"), fixed(F.avg("confidence")).alias("mean_confidence"), F.count_if(F.coalesce(open_, F.lit(False))).alias("unresolved"))
+    return rows.select("symbol", F.to_json(F.struct("events", "mean_confidence", "unresolved")).alias("document"))
+
+
+@query("sk4_report_rows", f"""WITH {CONFIDENCE_SQL} SELECT event, '| ' || event || ' | ' || CASE WHEN up THEN 'up' ELSE 'down' END || ' | ' || {FIXED.format('move * 100')} || ' | ' || coalesce(source_type, '-') || ' | ' || {FIXED.format('confidence')} || ' |' AS line FROM co""")
+def _(spark, d):
+    best = _aligned(spark, d).where("place = 1").select("event", "source_type")
+    rows = _confident(spark, d).join(best, "event", "left")
+    cells = [F.col("event"), F.when(F.col("up"), "up").otherwise("down"), fixed(F.col("move") * 100), F.coalesce("source_type", F.lit("-")), fixed("confidence")]
+    return rows.select("event", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+_SHARES = "SELECT symbol, avg(CAST(close > open AS INT)) AS up, corr(sign(close - open) * volume, ln(close / open)) AS flow, max(volume) / avg(volume) AS peak FROM {bars} WHERE volume > 0 GROUP BY symbol"
+
+
+@query("sk7_verdicts", f"SELECT symbol, concat(symbol, CASE WHEN up >= 0.55 THEN ': buyers held most bars' WHEN up <= 0.45 THEN ': sellers held most bars' ELSE ': neither side held most bars' END, CASE WHEN flow >= 0.3 THEN ', price went with the flow' WHEN flow <= -0.3 THEN ', price went against the flow' ELSE ', price and flow were loosely tied' END, CASE WHEN peak >= 5 THEN ', with a burst of volume.' ELSE ', without a burst of volume.' END) AS verdict FROM ({_SHARES}) AS s")
+def _(spark, d):
+    b = bars(spark, d).where("volume > 0").groupBy("symbol").agg(
+        F.avg((F.col("close") > F.col("open")).cast("int")).alias("up"), F.corr(F.signum(F.col("close") - F.col("open")) * F.col("volume"), F.log(F.col("close") / F.col("open"))).alias("flow"), (F.max("volume") / F.avg("volume")).alias("peak")
+    )
+    held = F.when(F.col("up") >= 0.55, ": buyers held most bars").when(F.col("up") <= 0.45, ": sellers held most bars").otherwise(": neither side held most bars")
+    tied = F.when(F.col("flow") >= 0.3, ", price went with the flow").when(F.col("flow") <= -0.3, ", price went against the flow").otherwise(", price and flow were loosely tied")
+    return b.select("symbol", F.concat("symbol", held, tied, F.when(F.col("peak") >= 5, ", with a burst of volume.").otherwise(", without a burst of volume.")).alias("verdict"))

@@ -9,7 +9,6 @@ from ..operators import models
 from ..operators.islands import spaced
 from ..sources.landed import Settings, cache_key, capabilities, first_pages
 from ..sources.market import bars, daily, news, read, trades
-from ..sources.sinks import as_json
 from .queries_core import CLV, RET, S, SIGNED, VWAP, D, roll
 from .queries_events import _EDGE, _FEATURES, _HIT
 from .registry import query, sql, undated
@@ -27,7 +26,9 @@ def _(spark, d):
     return capabilities(read(spark, d, "orders").select(F.col("o_orderpriority").alias("endpoint"), (F.col("o_custkey") % 500).alias("status")))
 
 
-sql("sc3_throttled_schedule", "SELECT event_id, round((row_number() OVER (ORDER BY ts) - 1) * CAST(0.3 AS DOUBLE), 1) AS earliest_s FROM {trades}")
+
+
+sql("sc3_throttled_schedule", "SELECT event_id, symbol, round((row_number() OVER (PARTITION BY symbol ORDER BY ts, event_id) - 1) * CAST(0.3 AS DOUBLE), 1) AS earliest_s FROM {trades}")
 
 
 @query("sc8_paged_scan", "WITH p AS (SELECT conv_id, turn, turn AS page FROM conversations), c AS (SELECT page, count(*) AS n FROM p GROUP BY page) SELECT conv_id, turn FROM p WHERE page <= coalesce((SELECT min(page) FROM c WHERE n < 400), 1000000)")
@@ -50,17 +51,9 @@ def _(spark, d):
     return spark.createDataFrame([(s.ret_z, s.vol_z, s.merge_gap_minutes)], "ret_z double, vol_z double, merge_gap_minutes long")
 
 
-@query("sk1_events_json", "SELECT symbol, '{\"symbol\":\"' || symbol || '\",\"n\":' || n || '}' AS json FROM (SELECT symbol, count(*) AS n FROM {bars} GROUP BY symbol) AS b")
-def _(spark, d):
-    return as_json(bars(spark, d).groupBy("symbol").agg(F.count("*").alias("n")), "symbol")
-
-
 sql("sk2_event_table", f"WITH {_FEATURES} SELECT symbol, ts, signal, round(close, 4) AS price FROM sig")
-sql("sk3_result_document", "SELECT symbol, concat('n=', CAST(count(*) AS STRING)) AS document FROM {bars} GROUP BY symbol", "SELECT symbol, 'n=' || count(*) AS document FROM {bars} GROUP BY symbol")
-sql("sk4_report_rows", "SELECT concat('| ', symbol, ' | ', CAST(count(*) AS STRING), ' |') AS line FROM {bars} GROUP BY symbol", "SELECT '| ' || symbol || ' | ' || count(*) || ' |' AS line FROM {bars} GROUP BY symbol")
 sql("sk5_chart_series", f"SELECT symbol, ts, close, round({VWAP}, 6) AS vwap FROM {{bars}}")
 sql("sk6_dashboard_series", f"SELECT symbol, ts, open, high, low, close, volume, round({VWAP}, 6) AS vwap FROM {{bars}}")
-sql("sk7_verdicts", "SELECT symbol, CASE WHEN avg(close - open) > 0 THEN concat(symbol, ' leaned up') ELSE concat(symbol, ' leaned down') END AS verdict FROM {bars} GROUP BY symbol")
 
 sql("dt1_parse", "SELECT conv_id, turn, try_to_timestamp(substring(text, 1, 10)) IS NULL AS unparsed FROM {conversations}", "SELECT conv_id, turn, TRY_CAST(substring(text, 1, 10) AS TIMESTAMP) IS NULL AS unparsed FROM {conversations}")
 sql("dt2_time_zone", "SELECT event_id, convert_timezone('UTC', 'America/New_York', ts) AS local FROM {trades}", "SELECT event_id, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS local FROM {trades}")
@@ -129,7 +122,6 @@ def _(spark, d):
 
 
 sql("tsk9_loosened_rules", f"WITH {_FEATURES} SELECT symbol, ts, coalesce(imb >= 0.1 AND close > vwap, false) AS loose_buy, coalesce(imb <= -0.1 AND close < vwap, false) AS loose_sell FROM h")
-sql("tsk10_strategy_orders", f"WITH {_FEATURES}, {_HIT}, o AS (SELECT symbol, ts, signal, min(CASE WHEN r >= 0.0125 OR crossed OR hour(bar_ts) >= 15 THEN bar_ts END) AS flat FROM j GROUP BY symbol, ts, signal) SELECT symbol, ts, signal, flat FROM o")
 sql("tsk11_delta_divergence", f"WITH c AS (SELECT *, sum({CLV} * volume) OVER ({D} ROWS UNBOUNDED PRECEDING) AS cvd FROM {{bars}}) SELECT symbol, ts, round(cvd, 4) AS cvd, low < min(low) OVER ({D} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AND cvd > min(cvd) OVER ({D} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS bull FROM c".replace(" AS bull", " IS TRUE AS bull"))
 sql("tsk12_footprint_score", f"SELECT symbol, ts, round({roll('sum', 10, 'demand')} - {roll('sum', 10, 'supply')}, 4) AS score FROM (SELECT *, CASE WHEN close > open THEN volume * CAST(1 AS DOUBLE) ELSE 0 END AS demand, CASE WHEN close < open THEN volume * CAST(1 AS DOUBLE) ELSE 0 END AS supply FROM {{bars}}) AS b")
 sql("tsk13_absorption_bars", f"SELECT symbol, ts, coalesce(volume >= 2 * ({roll('avg', 10, 'volume')}) AND abs(close - open) <= 0.3 * (high - low), false) AS absorbed FROM {{bars}}")

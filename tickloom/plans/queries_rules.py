@@ -361,3 +361,23 @@ def _(spark, d):
 @query("tsk4_exp_average", EMA_SQL.format(t="ts", f="bars", a=2 / 22, o="ts"))
 def _(spark, d):
     return ema(bars(spark, d), ["symbol"], "ts", "close", 21).select(*CORE, F.round("ema", 4).alias("ema"))
+
+
+# --- a strategy that is long, short or flat
+
+FLAT_MIN = 1320
+EXITS_SQL = f"""lx AS (SELECT symbol, day, ts, signal, price, min(bar_ts) FILTER (WHERE move >= {P.target_pct} OR (CASE WHEN signal = 'BUY' THEN close < vwap ELSE close > vwap END) OR hour(bar_ts) * 60 + minute(bar_ts) >= {FLAT_MIN}) AS hit, max(bar_ts) AS last FROM lat GROUP BY symbol, day, ts, signal, price),
+ox AS (SELECT *, coalesce(hit, last) AS out_ts, row_number() OVER (PARTITION BY symbol, day ORDER BY ts, signal) AS nr FROM lx),
+po AS (SELECT *, out_ts AS busy, true AS fired FROM ox WHERE nr = 1 UNION ALL SELECT n.*, CASE WHEN n.ts >= a.busy THEN n.out_ts ELSE a.busy END, n.ts >= a.busy FROM po AS a JOIN ox AS n ON n.symbol = a.symbol AND n.day = a.day AND n.nr = a.nr + 1)"""
+
+
+@query("tsk10_strategy_orders", f"WITH RECURSIVE_ {signals_sql(P)}, {LATER_SQL}, {EXITS_SQL} SELECT symbol, ts AS entry_ts, signal, round(price, 6) AS price, out_ts AS exit_ts FROM po WHERE fired")
+def _(spark, d):
+    crossed = F.when(F.col("signal") == "BUY", F.col("bar_close") < F.col("bar_vwap")).otherwise(F.col("bar_close") > F.col("bar_vwap"))
+    flat = F.hour("bar_ts") * 60 + F.minute("bar_ts") >= FLAT_MIN
+    gone = (F.col("move") >= P.target_pct) | crossed | flat
+    ends = rules.later(*both(spark, d)).groupBy("symbol", "day", "ts", "signal", "price").agg(F.coalesce(F.min(F.when(gone, F.col("bar_ts"))), F.max("bar_ts")).alias("exit_ts"))
+    # A fold over a day's signals: one is taken only when the last position is closed.
+    rows = ends.groupBy("symbol", "day").agg(F.sort_array(F.collect_list(F.struct("ts", "signal", "price", "exit_ts"))).alias("rows"))
+    kept = F.aggregate("rows", F.slice("rows", 1, 0), lambda a, x: F.when((F.size(a) == 0) | (x["ts"] >= F.element_at(a, -1)["exit_ts"]), F.concat(a, F.array(x))).otherwise(a))
+    return rows.select("symbol", F.inline(kept)).select("symbol", F.col("ts").alias("entry_ts"), "signal", *r6("price"), "exit_ts")
