@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.llm import lines
 
@@ -95,3 +96,28 @@ def test_short_lines(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     out = {r["doc_id"]: r["text"] for r in corpus_pipeline.remove_repeated_lines(spark, docs, "").collect()}
     assert out == {0: texts[0], **{i: f"own words of document {i}" for i in range(1, 4)}}
+
+
+def test_stages_on_odd_rows(spark, folder):
+    """Clashing columns, repeated rows, very long, empty and null texts in every stage."""
+    r = random.Random(9)
+    long = " ".join("".join(r.choice(["the", "ing", "er", "on", "at", "re"]) for _ in range(r.randint(1, 4))) for _ in range(60_000))
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    more = spark.createDataFrame([(900, long, None, "s", 1), (901, long, "en", None, 2), (None, long[:400], "en", "s", None), (None, None, None, None, None)], docs.schema)
+    docs = docs.unionByName(more).unionByName(docs.where("doc_id < 5")).unionByName(docs.where("doc_id IN (52, 53, 54)"))
+    names = ["med", "mad", "rejected", "lang_pred", "entropy", "margin", "n_letters", "_row", "_doc", "_text", "_runs", "row", "key", "node", "least", "at", "n", "shard", "piece"]
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(f"own {k}"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(x[n] == f"own {k}" for x in rows for k, n in enumerate(names)), name
+        if name == "language ID":
+            assert {x["lang"] for x in rows if x["doc_id"] == 900} == {"en"} and not [x for x in rows if not x["text"]]
+            assert sum(x["doc_id"] is not None and x["doc_id"] < 5 for x in rows) == 10
+        if name == "near-dedup":
+            ids = [(x["doc_id"], x["text"]) for x in rows]
+            assert len(ids) == len(set(ids)) and 901 not in {i for i, _ in ids}
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
+    assert packed.select("doc_id", "piece", "start").count() >= docs.count()
