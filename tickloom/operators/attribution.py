@@ -65,7 +65,7 @@ def confidence(aligned: DataFrame, events: DataFrame) -> DataFrame:
     timing = F.when(precise, timing).otherwise(F.least(timing, F.lit(0.5)))
     own = F.when(F.col("idio_share").isNull(), 0.5).when(best["source_type"] == "economic", 1 - F.col("idio_share")).otherwise(F.col("idio_share"))
     parts = {
-        "alignment": F.coalesce(F.least(F.lit(1.0), best["score"] + 0.05 * agree), F.lit(0.0)),
+        "alignment": F.when(best.isNull(), 0.0).otherwise(F.least(F.lit(1.0), best["score"] + 0.05 * agree)),
         "idio_consistency": own,
         "timing_precision": F.when(best.isNull(), 0.0).otherwise(timing),
         "uniqueness": F.when(best.isNull(), 0.0).when(rival.isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - rival["score"] / best["score"]))),
