@@ -19,12 +19,10 @@ sent their counts by joins, and is scored by one task that streams over its text
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +39,8 @@ MATCH, ANCHORS, AHEAD = 24, 128, 64
 SLICE, BLOCK, WARM = 64 << 20, 2 << 20, 1 << 20
 #: How often the first texts are gone through for the starting weights.
 TURNS = 3
-#: Distinct entries of a worker's memory before it is emptied.
-MEMORY = 1 << 20
+#: Contexts that a worker holds before it sends them on.
+GRAMS = 2 << 20
 #: Levels of confidence by a context's count.
 LEVELS = np.array([0, 1, 2, 4, 16, 256])
 GATES = (ORDERS + 1) * len(LEVELS)
@@ -51,6 +49,11 @@ STEP = 12.0
 MOST = 11.5
 BUCKETS = 33
 END = b"\xff"
+#: White space and the end mark part words; letters count as their lower-case form, each by a number of its own.
+SPACE = np.isin(np.arange(256), [*range(9, 14), 32, 255])
+_NUMBERS = np.random.default_rng(5).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+LETTERS = _NUMBERS[np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256))]
+POWER = np.uint64(0x9E3779B97F4A7C15)
 #: Kinds of a slice's rows: those of each order come first, by their number.
 AHEADS, WORDS, TEXTS = range(ORDERS, ORDERS + 3)
 ROLE = 48
@@ -102,6 +105,23 @@ def anchors_of(b: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.
     return at, key, of
 
 
+def words_of(b: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, ends) of framed bytes: the 64-bit hash of each lower-cased word, as a signed number, and for
+    each text how many words there are up to its end."""
+    solid = ~SPACE[b]
+    edge = np.diff(solid.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    first, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    ends = np.append(np.searchsorted(first, starts[1:]), len(first))
+    if not len(first):
+        return np.empty(0, np.int64), ends
+    size = stop - first
+    begin = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(begin, size)
+    powers = np.cumprod(np.full(int(size.max()), POWER, np.uint64))
+    h = np.add.reduceat(LETTERS[b[solid]] * powers[place], begin)
+    return mix(h ^ size.astype(np.uint64)).view(np.int64), ends
+
+
 def paths(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     """(full, less, level, level less): for each (context, byte), sorted, the stretched predictions
     on the byte's path of eight bits, eight numbers of one byte each in a long, from counts n of
@@ -223,8 +243,9 @@ class Slice:
         ahead = part[AHEADS]["ahead"].to_pylist()
         self.ahead = np.frombuffer(b"".join(ahead[i].ljust(AHEAD, b"\0") for i in order), np.uint8).reshape(-1, AHEAD)
         self.times = part[AHEADS]["n"].to_numpy()[order]
-        self.counts = dict(zip(part[WORDS]["id"].to_pylist(), part[WORDS]["n"].to_pylist(), strict=True))
-        self.logs: tuple[dict[bytes, tuple[float, int]], ...] = ({}, {})
+        word, at = np.unique(mix(part[WORDS]["id"].to_numpy().view(np.uint64)), return_index=True)
+        self.words = HashArray(word)
+        self.counts = part[WORDS]["n"].to_numpy()[at]
         self.mixer = Mixer()
 
     def predictions(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -272,17 +293,17 @@ class Slice:
         scores = self.mixer.block((whole & np.uint64(255)).astype(np.int64), vectors, gate, (whole >> np.uint64(52)).astype(np.int64), (whole >> np.uint64(49) & np.uint64(7)).astype(np.int64), n)
         return np.add.reduceat(scores[of], starts)
 
-    def word(self, word: bytes, train: bool) -> tuple[float, int]:
-        """A word that was not sent stands once in training if a training text has it, else never."""
-        c = self.counts.get(word_hash(word), int(train))
-        self.logs[train][word] = found = (float(np.log10(c + 0.1)), int(c > 0))
-        return found
-
-
-def word_hash(word: bytes) -> int:
-    """A word's signed 64-bit hash."""
-    h = xxhash.xxh64_intdigest(word)
-    return h - (1 << 64) if h >> 63 else h
+    def word_logs(self, texts: list[bytes], train: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(words, known words, sum of log10(count + 0.1)) of each text. A word that was not sent stands
+        once in training if a training text has it, else never."""
+        b, starts, _ = framed(texts)
+        ids, ends = words_of(b, starts)
+        begin = np.append(0, ends[:-1])
+        at = self.words.find(mix(ids.view(np.uint64)))
+        c = np.repeat(train, ends - begin).astype(np.int64)
+        c[at >= 0] = self.counts[at[at >= 0]]
+        known, logs = np.append(0, np.cumsum(c > 0)), np.append(0.0, np.cumsum(np.log10(c + 0.1)))
+        return ends - begin, known[ends] - known[begin], logs[ends] - logs[begin]
 
 
 def _blocks(texts: list[bytes], most: int) -> Iterator[slice]:
@@ -324,11 +345,11 @@ def gram_counts(texts: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(code), own, np.int32)), pa.array(plain), pa.array(np.where(held, 0, n)), pa.array(held)], ["slice", "code", "n", "held"])
 
         for at, batch in _by_slice(batches, 4 << 20):
-            if held_back > 2 * MEMORY:
+            if held_back > 2 * GRAMS:
                 pending = [merged()]
                 held_back = len(pending[0][0])
             # What merging leaves beyond half of it goes out.
-            if pending and (at != own or len(pending) == 1 and held_back > MEMORY):
+            if pending and (at != own or len(pending) == 1 and held_back > GRAMS):
                 yield flush()
                 pending, held_back = [], 0
             own = at
@@ -408,32 +429,20 @@ def continuations(texts: DataFrame) -> DataFrame:
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """(slice, id, n, held): the slice's lower-cased words, by hash, how often its training texts have
-    them, and whether another text has them. A large slice may give a row several times."""
+    them, and whether another text has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen, others = -1, Counter(), set()
-
-        def flush() -> pa.RecordBatch:
-            held = pa.array([w in others for w in seen], pa.bool_())
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), own, np.int32)), pa.array(map(word_hash, seen), pa.int64()), pa.array(seen.values(), pa.int64()), held], ["slice", "id", "n", "held"])
-
-        for at, batch in _by_slice(batches, BLOCK):
-            if seen and (at != own or len(seen) > MEMORY):
-                yield flush()
-                seen, others = Counter(), set()
-            own = at
-            for text, train in zip(texts_of(batch.column("text")), batch.column("train").to_pylist(), strict=True):
-                words = text.lower().split()
-                if train:
-                    seen.update(words)
-                else:
-                    others.update(words)
-                    for word in set(words).difference(seen):
-                        seen[word] = 0
-        if seen:
-            yield flush()
+        for at, batch in _by_slice(batches, 4 * BLOCK):
+            train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
+            b, starts, _ = framed(texts_of(batch.column("text")))
+            ids, ends = words_of(b, starts)
+            on = np.repeat(train, np.diff(np.append(0, ends)))
+            ids, of = np.unique(ids, return_inverse=True)
+            n, every = np.bincount(of, on, len(ids)).astype(np.int64), np.bincount(of, minlength=len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), at, np.int32)), pa.array(ids), pa.array(n), pa.array(every > n)], ["slice", "id", "n", "held"])
 
-    return texts.mapInArrow(run, "slice int, id bigint, n bigint, held boolean")
+    rows = texts.mapInArrow(run, "slice int, id bigint, n bigint, held boolean")
+    return rows.groupBy("slice", "id").agg(F.sum("n").alias("n"), F.bool_or("held").alias("held"))
 
 
 def dealt(docs: DataFrame, total: int, rows: int) -> DataFrame:
@@ -457,17 +466,9 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = texts_of(batch.column("text"))
             train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
             score = np.concatenate([model.bytes_log10(texts[part], train[part]) for part in _blocks(texts, BLOCK)])
-            out: list[list] = [[], [], []]
-            for text, on in zip(texts, train.tolist(), strict=True):
-                words = text.lower().split()
-                logs = model.logs[on]
-                if len(logs) > MEMORY // 4:
-                    logs.clear()
-                found = [logs.get(w) or model.word(w, on) for w in words]
-                for column, value in zip(out, (len(words) + 1, sum(k for _, k in found), sum(x for x, _ in found)), strict=True):
-                    column.append(value)
+            words, known, logs = (np.concatenate(x) for x in zip(*(model.word_logs(texts[part], train[part]) for part in _blocks(texts, BLOCK)), strict=True))
             sizes = pa.array(map(len, texts), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("train"), sizes, pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(score)], ["doc_id", "train", "n_bytes", "n_tokens", "n_known", "logs", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("train"), sizes, pa.array(words + 1), pa.array(known), pa.array(logs), pa.array(score)], ["doc_id", "train", "n_bytes", "n_tokens", "n_known", "logs", "score"])
 
     def warmed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The first texts teach the starting weights, then are scored like the rest."""
