@@ -12,7 +12,6 @@ from ..sources.market import bars, daily, news, read, trades
 from .queries_core import CLV, RET, S, SIGNED, VWAP, D, roll
 from .queries_events import _EDGE, _FEATURES, _HIT
 from .registry import query, sql, undated
-from .ship import ship
 
 
 @query("sc1_cache_key", "SELECT c_custkey, 'seg-' || replace(lower(c_mktsegment), ' ', '-') || '__' || substring(sha1('{\"endpoint\":\"seg/' || lower(c_mktsegment) || '\",\"params\":\"' || c_custkey || '\"}'), 1, 16) || '.json' AS file FROM customer")
