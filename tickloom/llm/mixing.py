@@ -40,7 +40,7 @@ SLICE, BLOCK, WARM = 64 << 20, 2 << 20, 1 << 20
 #: How often the first texts are gone through for the starting weights.
 TURNS = 3
 #: Contexts that a worker holds before it sends them on.
-GRAMS = 2 << 20
+GRAMS = 5 << 18
 #: Levels of confidence by a context's count.
 LEVELS = np.array([0, 1, 2, 4, 16, 256])
 GATES = (ORDERS + 1) * len(LEVELS)
