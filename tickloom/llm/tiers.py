@@ -38,6 +38,10 @@ MOST = 1 << 16
 STEP_TOKENS = 8_192
 #: Entries of a worker's memory of parts, about 150 MB; it starts anew when full.
 MEMORY = 800_000
+#: Parts that are encoded in one call.
+TOGETHER = 500
+#: Marks that are split from the end of a part.
+MARKS = ",.;:!?%\"\n"
 #: Characters that are split at once.
 PART = 1 << 20
 CUT = "shard long, doc_id long, doc_tokens long, start long, length long, ids_crc32 long, ids binary"
@@ -69,10 +73,22 @@ class ByteIds:
         kind = type(self.model.pre_tokenizer).__name__
         self.by_parts = kind == "ByteLevel" and self.model.normalizer is None and not self.model.pre_tokenizer.add_prefix_space
         self.memory: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_parts(self, parts: list[str]) -> Iterator[bytes]:
+        """Ids of each part. Many go in one call, a special string between any two: it ends a part as the end of a text does,
+        and its id marks the places, as texts that hold one do not come here."""
+        if not self.special:
+            yield from self._encode(parts)
+            return
+        mark = self.model.token_to_id(self.special[0])
+        for ids in self._encode([self.special[0].join(parts[at : at + TOGETHER]) for at in range(0, len(parts), TOGETHER)]):
+            cuts = (4 * np.flatnonzero(np.frombuffer(ids, "<u4") == mark)).tolist()
+            yield from (ids[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(ids)], strict=True))
+
     def _parts(self, text: str) -> list[str]:
         return _SURE.split(text) if _DOUBTFUL.search(text) else text.split(" ")
 
@@ -84,17 +100,27 @@ class ByteIds:
             at = m.end()
         yield self._parts(text[at:])
 
+    def _learn(self, new: set[str]) -> None:
+        """Add the ids of new parts. Marks after a letter or digit are tokens of their own, so a part is known by
+        what stands before them and by the marks; only what stands before is encoded for each part."""
+        cut = {w: base for w in new if (base := w.rstrip(MARKS)) != w and base and base[-1].isascii() and base[-1].isalnum()}
+        tails = {w[len(base) :] for w, base in cut.items()}.difference(self.tails)
+        words = list(({cut.get(w, w) for w in new}).difference(self.memory))
+        self.memory.update(zip(words, self._encode_parts([" " + x for x in words]), strict=True))
+        if tails:
+            self.tails.update(zip(tails, self._encode(list(tails)), strict=True))
+        self.memory.update((w, self.memory[base] + self.tails[w[len(base) :]]) for w, base in cut.items())
+
     def __call__(self, text: str) -> bytes:
         if not self.by_parts or any(x in text for x in self.special):
             return self._encode([text])[0]
         found = []
         for parts in self._pieces(text):
             if len(self.memory) > MEMORY:
-                self.memory = {}
+                self.memory, self.tails = {}, {}
             later = parts if found else parts[1:]
-            new = list(set(later).difference(self.memory))
-            for at in range(0, len(new), 20_000):
-                self.memory.update(zip(new[at : at + 20_000], self._encode([" " + x for x in new[at : at + 20_000]]), strict=True))
+            if new := set(later).difference(self.memory):
+                self._learn(new)
             if not found:
                 found.append(self._encode([parts[0]])[0] if parts[0] else b"")
             found.append(b"".join(map(self.memory.__getitem__, later)))
