@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.stats import norm_cdf, t_two_sided
 from tickloom.operators.asof import asof_join, interval_join
-from tickloom.operators.changepoint import ewm_std, pelt_rbf
 from tickloom.operators.islands import cooldown, merge_islands, spaced
 from tickloom.operators.recurrences import ema
 from tickloom.operators.profile import value_area, volume_buckets, volume_profile
@@ -124,13 +123,6 @@ def test_distributions(spark):
     assert t_two_sided(1.959964, 1e6) == pytest.approx(0.05, abs=1e-4)
 
 
-def test_changepoints_and_spread():
-    r = np.random.default_rng(4)
-    x = np.concatenate([r.normal(0, 1, 80), r.normal(5, 1, 60)])
-    assert pelt_rbf(x, 2 * math.log(len(x)), 6) == [80, 140]
-    assert np.isnan(ewm_std(x, 60, 10)[:9]).all() and ewm_std(x, 60, 10)[-1] > 1
-
-
 @pytest.mark.parametrize("span", [1.5, 3, 40])
 def test_ema_is_the_recurrence(spark, span):
     r = random.Random(4)

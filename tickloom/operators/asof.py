@@ -1,39 +1,69 @@
-"""As-of joins without blow-up: union both sides, carry the last (or next) right row along."""
+"""As-of and interval joins without blow-up, on time slices of bounded size."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import SMALL, in_slice, seconds, with_edges
+
+#: Rows and intervals of one time bucket that meet in one task at most.
+CROWD = 200_000
+#: How many finer buckets a crowded one is cut into.
+FINER = 60
+
 
-def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str], columns: list[str], direction: str = "backward") -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], columns: Sequence[str], direction: str = "backward", most: int | None = None) -> DataFrame:
     """left with `columns` of the last right row at or before `on` (backward) or the first at or after (forward).
 
-    Exact matches count. Of right rows with one time the last in (on, columns) order wins
-    (forward: the first). One shuffle on `by` and one sort; each side's rows are read once
-    and no pair is built, so a hot `by` key costs its own rows only. Put a day into `by` to
-    bound a partition. Left rows with a null time get nulls.
+    Exact matches count. Of right rows with one time the last in (on, columns) order wins (forward: the first).
+    Both sides are put together and sorted by slices of a key's time, at most `most` rows each; a slice
+    begins with the last right row of those before it. So a hot key, or none at all, is spread over its
+    slices, and no pair is built. Left rows with a null time get nulls; null keys match null keys.
     """
     back = direction == "backward"
     keep = F.struct(*columns)
-    l = left.select("*", F.lit(None).cast(right.select(keep.alias("s")).schema["s"].dataType).alias("_right"), F.lit(1 if back else -1).alias("_side"))
+    timed = left.where(F.col(on).isNotNull())
+    nothing = F.lit(None).cast(right.select(keep.alias("s")).schema["s"].dataType)
+    l = timed.select("*", nothing.alias("_right"), F.lit(1 if back else -1).alias("_side"))
     r = right.where(F.col(on).isNotNull()).select(*by, on, keep.alias("_right"), F.lit(0).alias("_side"))
-    both = l.unionByName(r, allowMissingColumns=True)
-    order = Window.partitionBy(*by).orderBy(F.col(on).asc_nulls_first(), "_side", "_right")
-    over = order.rowsBetween(Window.unboundedPreceding, 0) if back else order.rowsBetween(0, Window.unboundedFollowing)
-    pick = F.last("_right", ignorenulls=True) if back else F.first("_right", ignorenulls=True)
-    found = both.withColumn("_found", pick.over(over)).where(F.col("_side") != 0)
-    missing = F.col(on).isNull()
-    return found.select(*left.columns, *(F.when(~missing, F.col("_found")[c]).alias(c) for c in columns))
+    both = with_edges(l.unionByName(r, allowMissingColumns=True), by, on, ["_right"], ["_right"], F.col("_side") == 0, back, most)
+    over = in_slice(by, on, "_side", "_right", back=back)
+    found = F.last("_right", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, 0)) if back else F.first("_right", ignorenulls=True).over(over.rowsBetween(0, Window.unboundedFollowing))
+    out = both.withColumn("_found", found).where(~F.col("_edge") & (F.col("_side") != 0)).select(*left.columns, *(F.col("_found")[c].alias(c) for c in columns))
+    return out.unionByName(left.where(F.col(on).isNull()), allowMissingColumns=True)
 
 
-def interval_join(events: DataFrame, rows: DataFrame, start: str, stop: str, at: str, width_seconds: int, by: list[str] = ()) -> DataFrame:
+def interval_join(events: DataFrame, rows: DataFrame, start: str, stop: str, at: str, width_seconds: int, by: Sequence[str] = (), crowd: int | None = None) -> DataFrame:
     """Pairs with start <= at <= stop by an equi-join on time buckets of width_seconds.
 
-    An event is put into every bucket it touches, a row into one; choose the width near the
-    usual length. No nested loop and no broadcast.
+    An event is put into every bucket it touches, a row into one; choose the width near the usual length.
+    Buckets are counted first: one in which more than `crowd` rows or events would meet is cut into FINER
+    finer ones on both sides, down to a second, so a busy hour is no hot key. What is left are the pairs
+    themselves. No nested loop.
     """
-    secs = lambda c: F.floor(F.unix_timestamp(F.col(c).cast("timestamp")) / width_seconds)
-    e = events.withColumn("_bucket", F.explode(F.sequence(secs(start), secs(stop))))
-    r = rows.withColumn("_bucket", secs(at))
-    return e.join(r, [*by, "_bucket"]).where(F.col(at).between(F.col(start), F.col(stop))).drop("_bucket")
+    crowd = CROWD if crowd is None else crowd
+    e = events.withColumns({"_since": seconds(start), "_until": seconds(stop)})
+    r = rows.withColumn("_at", seconds(at)).where("_at IS NOT NULL")
+    e = e.where("_since <= _until").withColumn("_width", F.lit(width_seconds)).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_since") / width_seconds), F.floor(F.col("_until") / width_seconds))))
+    r = r.withColumn("_width", F.lit(width_seconds)).withColumn("_bucket", F.floor(F.col("_at") / width_seconds))
+    keys, width = [*by, "_width", "_bucket"], width_seconds
+    while width > 1:
+        # Only buckets that both sides have: others meet nobody.
+        busy = e.groupBy(*keys).count().join(r.groupBy(*keys).agg(F.count("*").alias("_rows")), keys).where((F.col("_width") == width) & (F.greatest("count", "_rows") > crowd)).select(*keys)
+        n = busy.limit(SMALL + 1).count()
+        if not n:
+            break
+        fine = max(1, width // FINER)
+        mark = busy.withColumn("_busy", F.lit(True))
+        mark = F.broadcast(mark) if n <= SMALL else mark
+        cut = F.col("_busy").isNotNull()
+        # The finer buckets of an event are those of its part that lies in the crowded one.
+        lo, hi = F.greatest(F.col("_since"), F.col("_bucket") * width), F.least(F.col("_until"), (F.col("_bucket") + 1) * width - 1)
+        finer = F.when(cut, F.sequence(F.floor(lo / fine), F.floor(hi / fine))).otherwise(F.array("_bucket"))
+        e = e.join(mark, keys, "left").withColumns({"_next": F.explode(finer), "_width": F.when(cut, fine).otherwise(F.col("_width"))}).drop("_bucket", "_busy").withColumnRenamed("_next", "_bucket")
+        r = r.join(mark, keys, "left").withColumns({"_bucket": F.when(cut, F.floor(F.col("_at") / fine)).otherwise(F.col("_bucket")), "_width": F.when(cut, fine).otherwise(F.col("_width"))}).drop("_busy")
+        width = fine
+    return e.join(r.drop("_at"), keys).where(F.col(at).between(F.col(start), F.col(stop))).drop("_bucket", "_width", "_since", "_until")

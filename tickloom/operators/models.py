@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .boosting import Ensemble, Plan, fit
+
 #: Rows that one task deals out in a shuffle of values.
 BUCKET = 50_000
 
@@ -25,43 +25,6 @@ def regimes(blocks: DataFrame, features: Sequence[str], k: int = 4, order: str =
     return out.join(F.broadcast(rank.select("_c", "regime")), "_c").drop("_raw", "_x", "_c")
 
 
-def _inputs(features: Sequence[str]) -> list:
-    filled = [f"_{f}" for f in features]
-    return [Imputer(inputCols=list(features), outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="_v")]
-
-
-def boosted(train: DataFrame, features: Sequence[str], label: str, weight: str | None = None, late: Column | None = None, regression: bool = False) -> PipelineModel:
-    """Fitted gradient-boosted trees for a label of 0 and 1, or for a number; missing features are imputed by medians.
-
-    late marks the rows on which boosting is stopped early (they are not fitted on).
-    """
-    kind = GBTRegressor if regression else GBTClassifier
-    more = {"weightCol": weight} if weight else {}
-    if late is not None:
-        train, more = train.withColumn("_late", late), {**more, "validationIndicatorCol": "_late"}
-    trees = kind(featuresCol="_v", labelCol=label, predictionCol="_y", maxDepth=3, maxIter=20, stepSize=0.1, minInstancesPerNode=10, seed=7, **more)
-    return Pipeline(stages=[*_inputs(features), trees]).fit(train)
-
-
-def logistic(train: DataFrame, features: Sequence[str], label: str) -> PipelineModel:
-    return Pipeline(stages=[*_inputs(features), LogisticRegression(featuresCol="_v", labelCol=label, predictionCol="_y", maxIter=20, regParam=0.01)]).fit(train)
-
-
-def scored(model: PipelineModel, rows: DataFrame, name: str = "p") -> DataFrame:
-    """rows with the model's probability of 1, or its number."""
-    out = model.transform(rows)
-    value = vector_to_array("probability")[1] if "probability" in out.columns else F.col("_y")
-    return out.withColumn(name, value).select(*rows.columns, name)
-
-
-def three_way(train: DataFrame, rows: DataFrame, features: Sequence[str], label: str, weight: str | None = None, late: Column | None = None) -> DataFrame:
-    """rows with p_up and p_down: label -1, 0 or 1 by a model for each side against the rest."""
-    for name, value in (("p_up", 1), ("p_down", -1)):
-        model = boosted(train.withColumn("_is", (F.col(label) == value).cast("double")), features, "_is", weight, late)
-        rows = scored(model, rows, name)
-    return rows
-
-
 def cuts(events: DataFrame, at: str, shares: Sequence[float]) -> list:
     """The values of `at` below which these shares of the rows lie, as a few numbers."""
     return events.agg(F.percentile_approx(at, F.array(*map(F.lit, shares)), 10_000)).first()[0] or []
@@ -85,16 +48,90 @@ def purged(events: DataFrame, fold: int, start: str, stop: str, embargo: float)
     return rows.where((F.col(stop) < F.col("_lo") - embargo) | (F.col(start) > F.col("_hi") + embargo)).drop("_lo", "_hi")
 
 
-def threshold(rows: DataFrame, p: str, net: str, least: int = 3, share: float = 0.15, steps: int = 17) -> float:
-    """Of `steps` quantiles of p the one above which the mean net is best; `least` rows and `share` of all must be left."""
-    shares = [0.1 + 0.8 * i / (steps - 1) for i in range(steps)]
-    values = sorted(set(cuts(rows, p, shares)))
-    if not values:
-        return 0.5
-    sums = [x for v in values for x in (F.count_if(F.col(p) >= v), F.avg(F.when(F.col(p) >= v, F.col(net))))]
-    n, *rest = rows.agg(F.count("*"), *sums).first()
-    fit = [(mean, v) for v, count, mean in zip(values, rest[::2], rest[1::2], strict=True) if count >= max(least, share * n)]
-    return max(fit)[1] if fit else values[0]
+@dataclass(frozen=True)
+class Fold:
+    """One model of a walk-forward: which rows it is fitted on, which of them are late, which it is tested on."""
+
+    number: int
+    train: Column
+    late: Column
+    test: Column
+
+
+def walk_folds(rows: DataFrame, numbers: Sequence[int], label: str, start: str, stop: str, embargo: float, least_train: int = 1, least_test: int = 1) -> list[Fold]:
+    """The folds (of a column `fold`) that can be tested: trained on earlier folds' rows whose label interval keeps
+    `embargo` off the test span, if there are enough rows and two labels. late is the last fifth of the training time.
+    Two aggregates over the rows, whatever the number of folds."""
+    spans = {r["fold"]: r for r in rows.groupBy("fold").agg(F.min(start).alias("lo"), F.max(stop).alias("hi"), F.count("*").alias("n")).collect()}  # a row a fold
+    tried = [k for k in numbers if k in spans and spans[k]["n"] >= least_test]
+    train = {k: F.coalesce((F.col("fold") < k) & ((F.col(stop) < spans[k]["lo"] - embargo) | (F.col(start) > spans[k]["hi"] + embargo)), F.lit(False)) for k in tried}
+    if not tried:
+        return []
+    facts = [x for k in tried for x in (F.count_if(train[k]), F.percentile_approx(F.when(train[k], F.col(start)), 0.8, 10_000), F.min(F.when(train[k], F.col(label))), F.max(F.when(train[k], F.col(label))))]
+    found = rows.agg(*facts).first()
+    out = []
+    for i, k in enumerate(tried):
+        n, cut, lo, hi = found[4 * i : 4 * i + 4]
+        if n >= least_train and lo != hi:
+            out.append(Fold(k, train[k], train[k] & (F.col(start) > cut), F.col("fold") == k))
+    return out
+
+
+def fitted(rows: DataFrame, some: Sequence[Fold], features: Sequence[str], label: str, plan: Plan, weight: str | None = None, draws: Column | None = None) -> Ensemble:
+    """One model a fold, all fitted together; with draws, an array of labels, one a draw and fold (draw by draw)."""
+    labels = F.transform(draws if draws is not None else F.array(F.col(label)), lambda y: F.array(*(F.when(f.train, y.cast("double")) for f in some)))
+    late = F.transform(draws if draws is not None else F.array(F.lit(0)), lambda _: F.array(*(f.late for f in some)))
+    return fit(rows.withColumns({"_labels": F.flatten(labels), "_late": F.flatten(late)}), features, "_labels", plan, weight, "_late")
+
+
+def judged(rows: DataFrame, some: Sequence[Fold], model: Ensemble, keep: Sequence[str]) -> DataFrame:
+    """(keep, model, p, late): each row's probability by the models that it is late for or tests. Rows times the models concerned."""
+    per = len(some)
+    scores = model.score(rows, "_p")
+    roles = F.array(*(F.when(f.late, F.lit(True)).when(f.test, F.lit(False)) for f in some))
+    every = scores.select(*keep, "_p", roles.alias("_roles")).select(*keep, "_roles", F.posexplode("_p").alias("model", "p"))
+    return every.withColumn("late", F.get("_roles", F.col("model") % per)).where("late IS NOT NULL").drop("_roles")
+
+
+SHARES = [0.1 + 0.8 * i / 16 for i in range(17)]
+
+
+def picked(late: DataFrame, by: Sequence[str], p: str, net: str, cuts: DataFrame, least: int = 3, share: float = 0.15) -> DataFrame:
+    """(by, cut): of the cuts (by, cuts: an array) the one above which the mean net is best, the lowest of equals; `least`
+    rows and `share` of all must be left, else 0.5. One aggregate for all groups."""
+    rows = late.join(F.broadcast(cuts), list(by)) if by else late.crossJoin(F.broadcast(cuts))  # a row a model
+    above = [F.col(p) >= F.get("cuts", F.lit(i)) for i in range(len(SHARES))]
+    sums = [x for i, a in enumerate(above) for x in (F.count_if(a).alias(f"_n{i}"), F.avg(F.when(a, F.col(net))).alias(f"_m{i}"))]
+    found = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.first("cuts").alias("cuts"), *sums)
+    enough = F.greatest(F.lit(float(least)), share * F.col("_n"))
+    able = [F.when(F.col(f"_n{i}") >= enough, F.struct(F.col(f"_m{i}").alias("mean"), (-F.get("cuts", F.lit(i))).alias("cut"))) for i in range(len(SHARES))]
+    best = F.array_max(F.array_compact(F.array(*able)))
+    return found.select(*by, F.coalesce(-best["cut"], F.lit(0.5)).alias("cut"))
+
+
+def thresholds(late: DataFrame, by: Sequence[str], p: str, net: str) -> DataFrame:
+    """picked from 17 quantiles of p, approximate ones, from the tenth to the ninetieth per cent."""
+    return picked(late, by, p, net, late.groupBy(*by).agg(F.percentile_approx(p, F.array(*map(F.lit, SHARES)), 10_000).alias("cuts")))
+
+
+def taken(rows: DataFrame, some: Sequence[Fold], model: Ensemble, keep: Sequence[str], net: str) -> DataFrame:
+    """(model, keep, p, cut, taken) of the test rows: each model's threshold is picked on its late rows."""
+    every = judged(rows, some, model, list(dict.fromkeys([*keep, net])))
+    cut = thresholds(every.where("late"), ["model"], "p", net)
+    return every.where("NOT late").join(cut, "model").withColumn("taken", F.col("p") >= F.col("cut")).drop("late")
+
+
+def dealt(rows: DataFrame, keys: Sequence[str], label: str, draws: int) -> Column:
+    """An array of labels (0 and 1), one a draw: those of all rows dealt anew among them.
+
+    As labels are 0 and 1, a deal is which rows get a 1: those with the least hashes of (draw, keys), as many as there are ones.
+    The cuts come from one aggregate (to a 10,000th of the rows).
+    """
+    numbers = list(range(draws))
+    drawn = lambda k: F.xxhash64(F.lit(k), *keys)
+    share = rows.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0
+    ends = rows.agg(F.array(*(F.percentile_approx(drawn(k), share, 10_000) for k in numbers))).first()[0]
+    return F.array(*((drawn(k) <= F.lit(e)).cast("double") if e is not None else F.lit(0.0) for k, e in zip(numbers, ends, strict=True)))
 
 
 def shuffled(rows: DataFrame, keys: Sequence[str], column: str, seed: int, by: Sequence[str] = ()) -> DataFrame:
@@ -115,23 +152,16 @@ def shuffled(rows: DataFrame, keys: Sequence[str], column: str, seed: int, by: S
     return out.select(*rows.columns)
 
 
-def permutation_importance(model: PipelineModel, rows: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, repeats: int = 10) -> list[tuple[str, float]]:
-    """(feature, mean drop in accuracy) when the feature is dealt anew among the rows, most first."""
-    right = lambda d: scored(model, d).agg(F.avg(((F.col("p") > 0.5).cast("double") == F.col(label)).cast("double"))).first()[0] or 0.0
-    base = right(rows)
+def permutation_importance(model: Ensemble, rows: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, repeats: int = 10) -> DataFrame:
+    """(feature, importance): the mean drop in accuracy when the feature is dealt anew among the rows."""
+    correct = lambda p: F.avg(((F.get(p, F.lit(0)) > 0.5).cast("double") == F.col(label)).cast("double"))
+    base = model.score(rows, "_p").agg(correct("_p").alias("base"))
     every = rows.withColumn("_repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    out = [(f, base - right(shuffled(every, keys, f, 7, ["_repeat"]))) for f in features]
-    return sorted(out, key=lambda x: -x[1])
-
-
-def label_null(train: DataFrame, test: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, net: str, draws: int) -> list[tuple[int, float]]:
-    """(draw, mean net of the test rows taken) of models that are fitted on labels dealt anew."""
-    out = []
-    for draw in range(draws):
-        model = logistic(shuffled(train, keys, label, draw), features, label)
-        taken = scored(model, test).where("p > 0.5").agg(F.avg(net)).first()[0]
-        out.append((draw, taken))
-    return out
+    out = None
+    for f in features:
+        one = model.score(shuffled(every, keys, f, 7, ["_repeat"]), "_p").agg(F.lit(f).alias("feature"), correct("_p").alias("dealt"))
+        out = one if out is None else out.unionByName(one)
+    return out.crossJoin(F.broadcast(base)).select("feature", F.coalesce(F.col("base") - F.col("dealt"), F.lit(0.0)).alias("importance"))  # one row
 
 
 def block_null(values: DataFrame, by: str, order: str, taken: str, net: str, draws: int, block: int) -> DataFrame:

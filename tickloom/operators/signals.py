@@ -7,6 +7,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .asof import asof_join
+
 
 @dataclass(frozen=True)
 class Rules:
@@ -28,6 +30,7 @@ class Rules:
     buy_cutoff_min: int = 330
     runup_gate: float | None = 0.10
     prior_vwap_gate: bool = True
+    gap_gate: bool = True
     target_pct: float = 1.25
     bar_min: int = 1
     open_at_min: int = 570
@@ -38,6 +41,10 @@ class Rules:
         names = ("imb_window", "relvol_fast", "relvol_slow", "clv_smooth", "below_vwap_bars", "reclaim_bars")
         return replace(self, bar_min=bar_min, **{n: bars(getattr(self, n)) for n in names})
 
+    def loosened(self) -> Rules:
+        """The rules with lower thresholds and without the gates of context, to see whether they fire at all."""
+        return replace(self, buy_thresh=self.buy_thresh * 0.7, sell_thresh=self.sell_thresh * 0.7, relvol_thresh=min(1.0, self.relvol_thresh), runup_gate=None, prior_vwap_gate=False, gap_gate=False, open_high_min=24 * 60)
+
     def earlier(self) -> Rules:
         """The first version of the rules, without the gates that came later."""
         return replace(self, buy_cutoff_min=390 * max(1, self.bar_min), runup_gate=None, prior_vwap_gate=False)
@@ -55,10 +62,10 @@ def so_far() -> WindowSpec:
     return by_day().rowsBetween(Window.unboundedPreceding, 0)
 
 
-def _full(agg, column: Column | str, n: int) -> Column:
-    """agg over the last n bars, null until there are n."""
+def _full(agg, column: Column | str, n: int, count: str | None = None) -> Column:
+    """agg over the last n bars, null until there are n (or n values of `count`)."""
     over = by_symbol().rowsBetween(1 - n, 0)
-    return F.when(F.count(F.lit(1)).over(over) >= n, agg(column).over(over))
+    return F.when(F.count(count or F.lit(1)).over(over) >= n, agg(column).over(over))
 
 
 def features(bars: DataFrame, p: Rules) -> DataFrame:
@@ -117,7 +124,8 @@ def gates(p: Rules) -> dict[str, Column]:
     rested = ~no(c("runup_3d") > p.runup_gate) if p.runup_gate is not None else F.lit(True)
     buy = (c("min_of_day") >= p.imb_window * p.bar_min) & (c("min_of_day") <= p.buy_cutoff_min) & rested & c("above") & (c("relvol") >= p.relvol_thresh) & (c("clv_s") > 0) & (c("cum") >= c("cum_high"))
     context = (c("close") < c("prior_vwap")) | c("prior_vwap").isNull() if p.prior_vwap_gate else F.lit(True)
-    opening = c("min_of_day").between(p.open_from_min, p.open_window_min) & (c("hod_min") <= p.open_high_min) & c("gap_up") & context & ~c("above") & (c("relvol") >= p.relvol_thresh)
+    gap = c("gap_up") if p.gap_gate else F.lit(True)
+    opening = c("min_of_day").between(p.open_from_min, p.open_window_min) & (c("hod_min") <= p.open_high_min) & gap & context & ~c("above") & (c("relvol") >= p.relvol_thresh)
     return {"accumulation": no(buy), "opening-rejection": no(opening), "distribution": no((c("streak") >= p.below_vwap_bars) & (c("clv_s") < 0))}
 
 
@@ -204,3 +212,29 @@ def forward(feat: DataFrame, sig: DataFrame, minutes: tuple[int, ...]) -> DataFr
     moves = later(feat, sig).groupBy(*keys).agg(*(F.max_by("move", F.when(after <= m, F.col("bar_ts"))).alias(f"fwd_{m}m") for m in minutes))
     joined = sig.select(*keys).join(moves, keys, "left")
     return joined.select(*keys, *(F.coalesce(f"fwd_{m}m", F.lit(0.0)).alias(f"fwd_{m}m") for m in minutes))
+
+
+def signal_features(feat: DataFrame, sig: DataFrame, trend_of: str, flow_of: str, slope: int = 15, spread: int = 30) -> DataFrame:
+    """sig (symbol, day, ts, trigger, signal, …) with what is known at its bar; signals without a later bar that day go.
+
+    cvd_slope is the slope of the cumulated flow over the last bars (3 at least) over their mean volume, realized_vol the
+    spread of as many log returns. Two other symbols give context: the return since the open of trend_of and the
+    relative volume of flow_of, of their last bar that day up to the signal.
+    """
+    last = by_symbol().rowsBetween(1 - slope, 0)
+    f = feat.withColumns({"_x": F.row_number().over(by_symbol()), "_ret": F.log("close") - F.log(F.lag("close").over(by_day())), "_next": F.lead("ts").over(by_day()), "_open": F.first("open").over(so_far())})
+    few = F.count(F.lit(1)).over(last) >= 3
+    known = {
+        "cvd_slope": F.when(few, F.regr_slope("cum", "_x").over(last) / F.nullif(F.avg("volume").over(last), F.lit(0.0))),
+        "vwap_dist": (F.col("close") - F.col("vwap")) / F.nullif(F.col("vwap"), F.lit(0.0)),
+        "realized_vol": _full(F.stddev_samp, "_ret", spread, count="_ret"),
+    }
+    f = f.withColumns(known)
+    names = ["relvol", "clv_s", "cvd_slope", "vwap_dist", "day_imb", "runup_3d", "min_of_day", "realized_vol"]
+    rows = sig.join(f.where("_next IS NOT NULL").select("symbol", "ts", F.col("imb").alias("imb_now"), *names), ["symbol", "ts"])
+    trend = f.where(F.col("symbol") == trend_of).select("day", "ts", (F.col("close") / F.col("_open") - 1).alias("trend"))
+    flow = f.where(F.col("symbol") == flow_of).select("day", "ts", F.col("relvol").alias("flow"))
+    for other, name in ((trend, "trend"), (flow, "flow")):
+        rows = asof_join(rows, other, "ts", ["day"], [name])
+    kinds = {f"trig_{t.replace('-', '_')}": (F.col("trigger") == t).cast("int") for t in ("accumulation", "opening-rejection", "distribution")}
+    return rows.withColumns({**kinds, "side_is_sell": (F.col("signal") == "SELL").cast("int")})

@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import attribution as at
 from ..operators.asof import asof_join, interval_join
+from ..operators.decompose import idio_shares
 from ..operators.islands import merge_islands
 from ..sources.market import bars, catalysts, daily, fine_bars, news, read, trades
-from .queries_events import _ISLANDS, _MAD, _TOKENS_SQL, _zscored
+from ..sources.stage import staged
+from .queries_events import _ISLANDS, _MAD, _TOKENS_SQL, MARKET_SQL, _zscored, fitted_market
 from .registry import query, undated
 
 #: The lexicon, with syllables of the test texts as terms of their own.
 LEXICON = (*tx.LEXICON, ("tion", 0.8, 1), ("ing", 0.5, -1), ("heit", 0.6, 1), ("the", 0.25, 0), ("ment", 0.7, -1))
 PRE, POST, OPEN = 180, 60, 120
 MAJOR, BIG, SURE = 4.0, 0.02, 0.70
-BETA = 0.6
 
 
 def lexicon_sql(low: str) -> tuple[str, str]:
@@ -97,29 +98,29 @@ def _(spark, d):
 
 # --- events, catalysts, confidence
 
-#: Events in SQL: merged triggers, with the market's part by a beta to the symbol 'view'.
+#: Events in SQL: merged triggers, with their move and the market's part of it over a window that begins a bar early.
 EVENTS_SQL = f"""{_MAD}{_ISLANDS},
-ev AS (SELECT i.symbol || ' ' || strftime(min(i.ts), '%m%d-%H%M') AS event, i.symbol, i.day, min(i.ts) AS first_ts, max(i.ts) AS last_ts, sum(i.ret) AS move, max(i.z_ret) AS peak, sum(i.ret) >= 0 AS up, sum({BETA} * v.ret) AS market
-    FROM i LEFT JOIN (SELECT ts, ret FROM z WHERE symbol = 'view') AS v ON v.ts = i.ts GROUP BY i.symbol, i.day, i.island)"""
+{MARKET_SQL},
+e0 AS (SELECT i.symbol || ' ' || strftime(min(i.ts), '%m%d-%H%M') AS event, i.symbol, i.day, min(i.ts) AS first_ts, max(i.ts) AS last_ts, sum(i.ret) AS move, max(i.z_ret) AS peak, sum(i.ret) >= 0 AS up FROM i GROUP BY i.symbol, i.day, i.island),
+wi AS (SELECT e0.event, sum(x.y) AS actual, sum(f.alpha + f.b1 * x.x1 + f.b2 * x.x2) AS market FROM e0 JOIN rx AS x ON x.symbol = e0.symbol AND x.ts BETWEEN e0.first_ts - INTERVAL 1 HOUR AND e0.last_ts JOIN fi AS f ON f.symbol = x.symbol GROUP BY e0.event),
+ev AS (SELECT e0.*, wi.actual, wi.market FROM e0 LEFT JOIN wi USING (event))"""
 
 
 def _events(spark, d) -> DataFrame:
     z = _zscored(spark, d)
     hits = merge_islands(z.where("z_ret >= 2 OR (z_vol >= 2.5 AND z_ret >= 1)"), ["symbol", "day"], "ts", 7200)
-    view = z.where("symbol = 'view'").select("ts", F.col("ret").alias("other"))
-    found = hits.join(view, "ts", "left").groupBy("symbol", "day", "island")
-    found = found.agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.sum("ret").alias("move"), F.max("z_ret").alias("peak"), F.sum(BETA * F.col("other")).alias("market"))
-    share = F.when(F.abs("move") < 1e-9, None).when(F.signum("move") != F.signum("market"), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("market") / F.col("move"))))
-    share = F.when(F.col("market").isNotNull(), share)
-    return found.drop("island").withColumns({"event": F.concat_ws(" ", "symbol", F.date_format("first_ts", "MMdd-HHmm")), "up": F.coalesce(F.col("move") >= 0, F.lit(False)), "idio_share": share})
+    found = hits.groupBy("symbol", "day", "island").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.sum("ret").alias("move"), F.max("z_ret").alias("peak"))
+    found = found.drop("island").withColumns({"event": F.concat_ws(" ", "symbol", F.date_format("first_ts", "MMdd-HHmm")), "up": F.coalesce(F.col("move") >= 0, F.lit(False))})
+    return staged(found, "events")  # read by several joins
 
 
 def _catalysts(spark, d) -> DataFrame:
     return catalysts(spark, d).withColumn("precise", (F.hour("ts") != 0) | (F.minute("ts") != 0)).drop("relevance", "day")
 
 
-def _aligned(spark, d) -> DataFrame:
-    return at.align(_events(spark, d).select("event", "first_ts", "last_ts", "up"), _catalysts(spark, d), PRE, POST, LEXICON, open_minute=OPEN)
+def _aligned(spark, d, events: DataFrame | None = None) -> DataFrame:
+    events = _events(spark, d) if events is None else events
+    return at.align(events.select("event", "first_ts", "last_ts", "up"), _catalysts(spark, d), PRE, POST, LEXICON, open_minute=OPEN)
 
 
 _WEIGHT_SQL = "CASE source_type " + " ".join(f"WHEN '{s}' THEN {w}" for s, w in tx.SOURCE_WEIGHTS.items()) + " END"
@@ -135,7 +136,7 @@ _SAME_SQL = "(len(o.tokens) > 0 AND len(b.tokens) > 0 AND len(list_intersect(o.t
 CONFIDENCE_SQL = f"""{ALIGN_SQL},
 be AS (SELECT * FROM al WHERE place = 1),
 ot AS (SELECT b.event, count(*) FILTER (WHERE {_SAME_SQL}) AS agree, arg_min(o.score, o.place) FILTER (WHERE NOT {_SAME_SQL}) AS rival FROM be AS b JOIN al AS o ON o.event = b.event AND o.place > 1 GROUP BY b.event),
-pa AS (SELECT ev.*, CASE WHEN market IS NULL OR abs(move) < 1e-9 THEN NULL WHEN sign(move) <> sign(market) THEN 1 ELSE greatest(0, least(1, 1 - market / move)) END AS idio,
+pa AS (SELECT ev.*, CASE WHEN market IS NULL OR abs(actual) < 1e-9 THEN NULL WHEN sign(actual) <> sign(market) THEN 1 ELSE greatest(0, least(1, 1 - market / actual)) END AS idio,
     b.score, b.lead, b.precise, b.source_type, coalesce(agree, 0) AS agree, rival FROM ev LEFT JOIN be AS b USING (event) LEFT JOIN ot USING (event)),
 co AS (SELECT *, round(0.45 * CASE WHEN score IS NULL THEN 0 ELSE least(1, score + 0.05 * agree) END
     + 0.20 * CASE WHEN idio IS NULL THEN 0.5 WHEN source_type = 'economic' THEN 1 - idio ELSE idio END
@@ -162,7 +163,8 @@ def _(spark, d):
 
 
 def _confident(spark, d) -> DataFrame:
-    return at.confidence(_aligned(spark, d), _events(spark, d))
+    events = _events(spark, d)
+    return at.confidence(_aligned(spark, d, events), idio_shares(events, *fitted_market(spark, d), 3600))
 
 
 @query("ed16_confidence", f"WITH {CONFIDENCE_SQL} SELECT event, round(idio, 6) AS idio_share, confidence FROM co")

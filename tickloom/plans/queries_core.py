@@ -6,10 +6,13 @@ day-anchored and the continuous orders of a symbol's bars.
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.quantiles import quantiles
+from ..operators.ranges import in_slice, ranked, with_edges
 from ..sources.market import resample, ticks
-from .registry import query, sql
+from .registry import frame, query, sql
 
 #: Bar lengths.
 RULES = ("1 minute", "5 minutes", "15 minutes", "30 minutes", "1 hour", "1 day")
@@ -63,7 +66,15 @@ sql("pf11_first_truthy", "SELECT news_id, coalesce(nullif(CASE WHEN news_id % 2
 bars("pf12_clip", "CASE WHEN close IS NULL THEN NULL ELSE greatest(100.0, least(close, 400.0)) END AS clipped")
 bars("pf13_zero_to_null", "round((close - low) / nullif(high - low, 0), 6) AS place")
 bars("pf14_inf_to_null", "CASE WHEN abs(x) = CAST('Infinity' AS DOUBLE) THEN NULL ELSE round(x, 6) END AS x", first="CASE WHEN high = low THEN CAST('Infinity' AS DOUBLE) ELSE close / (high - low) END AS x")
-sql("pf15_winsorise", "SELECT symbol, ts, round(greatest(lo, least(close, hi)), 6) AS close FROM {bars} CROSS JOIN (SELECT percentile(close, 0.02) AS lo, percentile(close, 0.98) AS hi FROM {bars}) AS q")
+
+
+@query("pf15_winsorise", "SELECT symbol, ts, round(greatest(lo, least(close, hi)), 6) AS close FROM {bars} CROSS JOIN (SELECT quantile_cont(close, 0.02) AS lo, quantile_cont(close, 0.98) AS hi FROM {bars}) AS q")
+def _(spark, d):
+    b = frame(spark, d, "bars").select("symbol", "ts", "close")
+    ends = quantiles(b, [], {"lo": (F.col("close"), 0.02), "hi": (F.col("close"), 0.98)})
+    return b.crossJoin(F.broadcast(ends)).select("symbol", "ts", F.round(F.greatest("lo", F.least("close", "hi")), 6).alias("close"))  # one row
+
+
 sql("pf16_tod_band", "SELECT symbol, ts, volume FROM {bars} WHERE tod >= '09:30' AND tod < '11:00'")
 bars("pf17_sample_flag", "CASE WHEN day >= DATE '2024-01-20' THEN 'oos' ELSE 'baseline' END AS sample")
 sql("pf18_news_timeline", "SELECT day, news_id, source_type, round(relevance, 6) AS relevance FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY ts) AS rn FROM {news} WHERE relevance >= 0.25 AND source_type IN ('press_release', 'analyst', 'stock_news', 'economic')) AS n WHERE rn <= 14")
@@ -82,7 +93,13 @@ sql("jn20_grid", "SELECT CAST(b.threshold AS DOUBLE) AS buy, CAST(s.threshold AS
 bars("jn21_bleed_join", "round(whole, 6) AS whole, round(alone, 6) AS alone, whole IS NOT NULL AND alone IS NULL AS bleeds", first=f"{roll('avg', 5, 'close')} AS whole, {roll('avg', 5, 'close', D)} AS alone")
 
 # --- aggregates
-sql("ag1_tod_median", f"SELECT symbol, tod, median(CAST(volume AS DOUBLE)) AS vol_med, round(median(abs(ret)), 6) AS absret_med FROM (SELECT *, {RET} AS ret FROM {{bars}}) AS b GROUP BY symbol, tod")
+
+
+@query("ag1_tod_median", f"SELECT symbol, tod, median(CAST(volume AS DOUBLE)) AS vol_med, round(median(abs(ret)), 6) AS absret_med FROM (SELECT *, {RET} AS ret FROM {{bars}}) AS b GROUP BY symbol, tod")
+def _(spark, d):
+    b = frame(spark, d, "bars").selectExpr("symbol", "tod", "volume", f"{RET} AS ret")
+    out = quantiles(b, ["symbol", "tod"], {"vol_med": (F.col("volume"), 0.5), "absret_med": (F.abs("ret"), 0.5)})
+    return out.withColumn("absret_med", F.round("absret_med", 6))
 
 
 @query("ag4_ohlcv", " UNION ALL ".join(f"SELECT '{r}' AS rule, symbol, time_bucket(INTERVAL '{r}', ts) AS ts, arg_min(price, ts) AS open, max(price) AS high, min(price) AS low, arg_max(price, ts) AS close, CAST(sum(size) AS BIGINT) AS volume FROM {{ticks}} GROUP BY 2, 3" for r in RULES))
@@ -106,16 +123,41 @@ sql("ag18_vwap_share_crosses", f"WITH v AS (SELECT *, close > {VWAP} AS above FR
 sql("ag19_event_flow", f"WITH f AS (SELECT *, {SIGNED} AS sv, {CLV} AS clv FROM {{bars}}), e AS (SELECT n.news_id, sum(f.sv) / greatest(sum(f.volume), 1) AS imb, avg(f.clv) AS clv FROM {{news}} AS n JOIN f ON f.day = n.day AND f.ts BETWEEN n.ts - INTERVAL '65' MINUTE AND n.ts + INTERVAL '65' MINUTE GROUP BY n.news_id) SELECT news_id, round(imb, 6) AS imbalance, round(clv, 6) AS mean_clv, CASE WHEN imb >= 0.35 THEN 'aggressive buying' WHEN imb <= -0.35 THEN 'aggressive selling' ELSE 'two-sided' END AS flow FROM e")
 sql("ag21_phase_stats", f"WITH f AS (SELECT *, CASE WHEN tod < '08:00' THEN 'early' WHEN tod < '16:00' THEN 'middle' ELSE 'late' END AS phase, {SIGNED} AS sv, {VWAP} AS vwap FROM {{bars}}) SELECT symbol, day, phase, round(ln(max_by(close, ts) / min_by(open, ts)), 6) AS ret, CAST(sum(volume) AS BIGINT) AS volume, round(sum(sv) / greatest(sum(volume), 1), 6) AS imbalance, round(avg(CAST(close > vwap AS INT)), 6) AS above, max(high) AS hi, min(low) AS lo FROM f GROUP BY symbol, day, phase")
 sql("ag22_kyles_lambda", f"WITH r AS (SELECT symbol, {RET_S} AS ret, {SIGNED} AS sv FROM {{bars}}), s AS (SELECT symbol, ret * 1e4 AS y, sv / 1e3 AS x FROM r WHERE ret IS NOT NULL), g AS (SELECT symbol, count(*) AS n, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy, regr_syy(y, x) AS syy FROM s GROUP BY symbol) SELECT symbol, n, round(sxy / greatest(sxx, 1e-12), 4) AS lambda, round(sxy / greatest(sxx, 1e-12) / sqrt((syy - sxy * sxy / sxx) / greatest(n - 2, 1) / sxx), 4) AS t FROM g WHERE n >= 15")
-sql("ag23_market_model", f"WITH r AS (SELECT symbol, ts, {RET_S} AS ret FROM {{bars}}), w AS (SELECT a.ret AS y, b.ret AS x1, c.ret AS x2 FROM r AS a JOIN r AS b ON a.ts = b.ts JOIN r AS c ON a.ts = c.ts WHERE a.symbol = 'click' AND b.symbol = 'purchase' AND c.symbol = 'view' AND a.ret IS NOT NULL AND b.ret IS NOT NULL AND c.ret IS NOT NULL), m AS (SELECT count(*) AS n, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, covar_samp(y, x1) AS sy1, covar_samp(y, x2) AS sy2, var_samp(x1) AS s11, var_samp(x2) AS s22, covar_samp(x1, x2) AS s12, var_samp(y) AS syy FROM w), f AS (SELECT *, (sy1 * s22 - sy2 * s12) / (s11 * s22 - s12 * s12) AS b1, (sy2 * s11 - sy1 * s12) / (s11 * s22 - s12 * s12) AS b2 FROM m) SELECT n, round(b1, 6) AS beta1, round(b2, 6) AS beta2, round(my - b1 * m1 - b2 * m2, 6) AS alpha, round((b1 * sy1 + b2 * sy2) / syy, 6) AS r2 FROM f")
 sql("ag26_robust_volume_z", "WITH m AS (SELECT symbol, median(volume) AS med FROM {daily} GROUP BY symbol), d AS (SELECT a.symbol, m.med, median(abs(a.volume - m.med)) AS mad FROM {daily} AS a JOIN m ON a.symbol = m.symbol GROUP BY a.symbol, m.med) SELECT a.symbol, a.day, round((a.volume - d.med) / greatest(1.4826 * d.mad, 1), 6) AS z FROM {daily} AS a JOIN d ON a.symbol = d.symbol")
 sql("ag27_close_share", "SELECT symbol, day, round(sum(CASE WHEN tod >= '15:00' AND tod < '16:00' THEN volume ELSE 0 END) / CAST(nullif(sum(volume), 0) AS DOUBLE), 6) AS share FROM {bars} GROUP BY symbol, day")
 sql("ag28_filing_sweep", "SELECT o_custkey, count(CASE WHEN o_orderdate BETWEEN lo AND hi THEN 1 END) AS in_window, count(CASE WHEN o_orderdate > hi THEN 1 END) AS filed_after, max(o_orderdate) AS last FROM {orders} CROSS JOIN (SELECT min(o_orderdate) + INTERVAL '300' DAY AS lo, min(o_orderdate) + INTERVAL '900' DAY AS hi FROM {orders}) AS w GROUP BY o_custkey")
 sql("ag29_percentile_of_score", "SELECT symbol, round(avg(CAST(close <= 250 AS INT)), 6) AS pct FROM {bars} GROUP BY symbol")
 sql("ag30_quantile", "SELECT symbol, round(percentile(close, 0.9), 6) AS p90, round(percentile(close, 0.95), 6) AS p95 FROM {bars} GROUP BY symbol")
-sql("ag31_time_weighted", "WITH q AS (SELECT symbol, (bid_size - ask_size) / CAST(nullif(bid_size + ask_size, 0) AS DOUBLE) AS imb, least(5.0, greatest(0.0, (micros(nx) - micros(ts)) / 1e6)) AS dt FROM (SELECT *, lead(ts) OVER (PARTITION BY symbol ORDER BY ts) AS nx FROM {quotes}) AS x WHERE nx IS NOT NULL) SELECT symbol, round(sum(imb * dt) / nullif(sum(dt), 0), 6) AS imbalance, round(sum(CASE WHEN imb < 0 THEN dt ELSE 0 END) / nullif(sum(dt), 0), 6) AS ask_heavy FROM q GROUP BY symbol")
+
+
+@query("ag31_time_weighted", "WITH q AS (SELECT symbol, (bid_size - ask_size) / CAST(nullif(bid_size + ask_size, 0) AS DOUBLE) AS imb, least(5.0, greatest(0.0, (epoch_us(nx) - epoch_us(ts)) / 1e6)) AS dt FROM (SELECT *, lead(ts) OVER (PARTITION BY symbol ORDER BY ts) AS nx FROM {quotes}) AS x WHERE nx IS NOT NULL) SELECT symbol, round(sum(imb * dt) / nullif(sum(dt), 0), 6) AS imbalance, round(sum(CASE WHEN imb < 0 THEN dt ELSE 0 END) / nullif(sum(dt), 0), 6) AS ask_heavy FROM q GROUP BY symbol")
+def _(spark, d):
+    q = with_edges(frame(spark, d, "quotes"), ["symbol"], "ts", ["ts"], back=False)
+    nx = F.lead("ts").over(in_slice(["symbol"], "ts", back=False))
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    imb = (F.col("bid_size") - F.col("ask_size")) / F.nullif((F.col("bid_size") + F.col("ask_size")).cast("double"), F.lit(0.0))
+    q = q.withColumn("nx", nx).where("NOT _edge AND nx IS NOT NULL").select("symbol", imb.alias("imb"), F.least(F.lit(5.0), F.greatest(F.lit(0.0), (us("nx") - us("ts")) / 1e6)).alias("dt"))
+    share = lambda x: F.round(F.sum(x) / F.nullif(F.sum("dt"), F.lit(0.0)), 6)
+    return q.groupBy("symbol").agg(share(F.col("imb") * F.col("dt")).alias("imbalance"), share(F.when(F.col("imb") < 0, F.col("dt")).otherwise(0.0)).alias("ask_heavy"))
+
+
 sql("ag32_depth_imbalance", "SELECT vec_id, round((b - a) / nullif(b + a, 0), 4) AS imbalance FROM (SELECT vec_id, aggregate(slice(embedding, 1, 10), CAST(0 AS DOUBLE), (s, x) -> s + abs(CAST(x AS DOUBLE))) AS b, aggregate(slice(embedding, 11, 10), CAST(0 AS DOUBLE), (s, x) -> s + abs(CAST(x AS DOUBLE))) AS a FROM {embeddings}) AS e", "SELECT vec_id, round((b - a) / nullif(b + a, 0), 4) AS imbalance FROM (SELECT vec_id, list_sum(list_transform(embedding[1:10], lambda x: abs(CAST(x AS DOUBLE)))) AS b, list_sum(list_transform(embedding[11:20], lambda x: abs(CAST(x AS DOUBLE)))) AS a FROM {embeddings}) AS e")
 sql("ag33_pearson", "SELECT symbol, CASE WHEN stddev_samp(volume) > 0 AND stddev_samp(high - low) > 0 THEN round(corr(volume, high - low), 6) END AS r FROM {bars} GROUP BY symbol")
-sql("ag34_spearman", "WITH k AS (SELECT symbol, rank() OVER (PARTITION BY symbol ORDER BY volume) + (count(*) OVER (PARTITION BY symbol, volume) - 1) / 2.0 AS a, rank() OVER (PARTITION BY symbol ORDER BY high - low) + (count(*) OVER (PARTITION BY symbol, high - low) - 1) / 2.0 AS b FROM {bars}) SELECT symbol, round(corr(CAST(a AS DOUBLE), CAST(b AS DOUBLE)), 6) AS rho FROM k GROUP BY symbol")
+
+
+def spearman(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    """(by, rho): the correlation of ranks, ties shared; no task ranks a whole group."""
+    both = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    both = ranked(ranked(both, a, by, name="_ra"), b, by, name="_rb")
+    return both.groupBy(*by).agg(F.corr("_ra", "_rb").alias("rho"))
+
+
+@query("ag34_spearman", "WITH k AS (SELECT symbol, rank() OVER (PARTITION BY symbol ORDER BY volume) + (count(*) OVER (PARTITION BY symbol, volume) - 1) / 2.0 AS a, rank() OVER (PARTITION BY symbol ORDER BY high - low) + (count(*) OVER (PARTITION BY symbol, high - low) - 1) / 2.0 AS b FROM {bars}) SELECT symbol, round(corr(CAST(a AS DOUBLE), CAST(b AS DOUBLE)), 6) AS rho FROM k GROUP BY symbol")
+def _(spark, d):
+    rows = frame(spark, d, "bars").select("symbol", F.col("volume").cast("double").alias("volume"), (F.col("high") - F.col("low")).alias("range"))
+    return spearman(rows, ["symbol"], "volume", "range").select("symbol", F.round("rho", 6).alias("rho"))
+
+
 sql("ag35_sign_agreement", f"SELECT symbol, round(avg(CAST(sign(ret) = sign(close - open) AS INT)), 6) AS agreement FROM (SELECT *, {RET} AS ret FROM {{bars}}) AS b WHERE ret IS NOT NULL GROUP BY symbol")
 sql("ag36_t_statistic", f"SELECT symbol, count(ret) AS n, round(avg(ret) / (stddev_samp(ret) / sqrt(count(ret))), 6) AS t FROM (SELECT *, {RET} AS ret FROM {{bars}}) AS b GROUP BY symbol")
 sql("ag37_win_summary", f"SELECT symbol, tod, count(fwd) AS n, round(avg(CAST(fwd > 0 AS INT)), 6) AS win, round(avg(fwd), 6) AS mean, round(median(fwd), 6) AS med FROM (SELECT *, lead(close) OVER ({D}) / close - 1 AS fwd FROM {{bars}}) AS b WHERE fwd IS NOT NULL GROUP BY symbol, tod")

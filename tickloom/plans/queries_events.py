@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import norm_cdf, t_two_sided
 from ..functions.text import STOP, same_story, story_tokens
 from ..operators.asof import asof_join, interval_join
-from ..operators.changepoint import ewm_std, pelt_rbf
+from ..operators.changepoint import changepoints, phases
+from ..operators.decompose import aligned, explained, market_model, share_left
 from ..operators.islands import merge_islands
 from ..operators.profile import value_area, volume_buckets, volume_profile
-from ..sources.market import bars, daily, news, quotes, read, ticks, trades
+from ..operators.quantiles import crowded, quantiles
+from ..operators.ranges import ranked
+from ..operators.recurrences import ewm_spread, rolling_median
+from ..sources.market import bars, daily, fine_bars, news, quotes, read, trades
 from .queries_core import CLV, RET, RET_S, S, SIGNED, VWAP, D, roll
 from .registry import ORACLE_SQL, query, sql, undated
 from .ship import ship
@@ -30,8 +33,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("jn2_minutes_since", "SELECT t.event_id, round(CASE WHEN n.ts IS NULL THEN 1e4 ELSE least(1e4, (epoch_us(t.ts) - epoch_us(n.ts)) / 6e7) END, 4) AS minutes FROM {trades} AS t ASOF LEFT JOIN (SELECT ts FROM {news} WHERE source_type = 'press_release') AS n ON t.ts >= n.ts")
 def _(spark, d):
-    n = news(spark, d).where("source_type = 'press_release'").select(F.lit(0).alias("all"), "ts", F.col("ts").alias("seen"))
-    t = asof_join(trades(spark, d).withColumn("all", F.lit(0)), n, "ts", ["all"], ["seen"])
+    n = news(spark, d).where("source_type = 'press_release'").select("ts", F.col("ts").alias("seen"))
+    t = asof_join(trades(spark, d), n, "ts", [], ["seen"])  # no key: one series, in slices of time
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     return t.select("event_id", F.round(F.coalesce(F.least(F.lit(1e4), (us("ts") - us("seen")) / 6e7), F.lit(1e4)), 4).alias("minutes"))
 
@@ -78,11 +81,61 @@ s AS (SELECT r.symbol, r.tod, m.rm, m.vm, median(abs(abs(r.ret) - m.rm)) AS rmad
 g AS (SELECT symbol, 0.1 * median(rm) + 1e-6 AS rfloor, greatest(0.05 * median(vm), 1) AS vfloor FROM s GROUP BY symbol),
 base AS (SELECT s.symbol, s.tod, s.rm, s.vm, greatest(s.rmad, g.rfloor) AS rmad, greatest(s.vmad, g.vfloor) AS vmad FROM s JOIN g ON s.symbol = g.symbol),
 z AS (SELECT r.symbol, r.day, r.ts, r.ret, (abs(r.ret) - b.rm) / (1.4826 * b.rmad) AS z_ret, (r.volume - b.vm) / (1.4826 * b.vmad) AS z_vol FROM r LEFT JOIN base AS b ON r.symbol = b.symbol AND r.tod = b.tod)"""
-sql("ag2_mad", f"WITH {_MAD} SELECT symbol, tod, round(rmad, 6) AS absret_mad, round(vmad, 6) AS vol_mad FROM s")
-sql("ag3_mad_floors", f"WITH {_MAD} SELECT symbol, round(rfloor, 6) AS ret_floor, round(vfloor, 6) AS vol_floor FROM g")
-sql("ed1_baseline", f"WITH {_MAD} SELECT symbol, tod, round(rm, 6) AS absret_med, round(rmad, 6) AS absret_mad, vm AS vol_med, round(vmad, 6) AS vol_mad FROM base")
-sql("ed2_seasonal_z", f"WITH {_MAD} SELECT symbol, ts, round(z_ret, 6) AS z_ret, round(sign(ret) * z_ret, 6) AS z_signed, round(z_vol, 6) AS z_vol FROM z")
-sql("ed3_triggers", f"WITH {_MAD} SELECT symbol, ts FROM z WHERE z_ret >= 2 OR (z_vol >= 2.5 AND z_ret >= 1)")
+
+
+def baseline(b: DataFrame, most: int | None = None) -> DataFrame:
+    """(symbol, tod, rm, vm, rmad, vmad, rfloor, vfloor) of bars with `ret`: medians and median deviations by time of day,
+    and a symbol's least deviations. Exact whatever the history: no task holds the values of a large group."""
+    by = ["symbol", "tod"]
+    heavy = crowded(b, by, most)
+    middle = quantiles(b, by, {"rm": (F.abs("ret"), 0.5), "vm": (F.col("volume"), 0.5)}, most, heavy)
+    off = b.join(middle, by)
+    spread = quantiles(off, by, {"rmad": (F.abs(F.abs("ret") - F.col("rm")), 0.5), "vmad": (F.abs(F.col("volume") - F.col("vm")), 0.5)}, most, heavy)
+    s = middle.join(spread, by)
+    floors = s.groupBy("symbol").agg((0.1 * F.median("rm") + 1e-6).alias("rfloor"), F.greatest(0.05 * F.median("vm"), F.lit(1)).alias("vfloor"))  # a row a time of day
+    return s.join(floors, "symbol")
+
+
+def _returns(spark, d):
+    return bars(spark, d).selectExpr("*", f"{RET} AS ret")
+
+
+def _baseline(spark, d):
+    s = baseline(_returns(spark, d))
+    return s.select("symbol", "tod", "rm", "vm", F.greatest("rmad", "rfloor").alias("rmad"), F.greatest("vmad", "vfloor").alias("vmad"))
+
+
+def _zscored(spark, d):
+    b = _returns(spark, d).join(_baseline(spark, d), ["symbol", "tod"], "left")
+    z = lambda x, m, s: (x - F.col(m)) / (1.4826 * F.col(s))
+    return b.select("symbol", "day", "ts", "ret", z(F.abs("ret"), "rm", "rmad").alias("z_ret"), z(F.col("volume"), "vm", "vmad").alias("z_vol"))
+
+
+@query("ag2_mad", f"WITH {_MAD} SELECT symbol, tod, round(rmad, 6) AS absret_mad, round(vmad, 6) AS vol_mad FROM s")
+def _(spark, d):
+    return baseline(_returns(spark, d)).select("symbol", "tod", r6(F.col("rmad"), "absret_mad"), r6(F.col("vmad"), "vol_mad"))
+
+
+@query("ag3_mad_floors", f"WITH {_MAD} SELECT symbol, round(rfloor, 6) AS ret_floor, round(vfloor, 6) AS vol_floor FROM g")
+def _(spark, d):
+    return baseline(_returns(spark, d)).select("symbol", r6(F.col("rfloor"), "ret_floor"), r6(F.col("vfloor"), "vol_floor")).distinct()
+
+
+@query("ed1_baseline", f"WITH {_MAD} SELECT symbol, tod, round(rm, 6) AS absret_med, round(rmad, 6) AS absret_mad, vm AS vol_med, round(vmad, 6) AS vol_mad FROM base")
+def _(spark, d):
+    return _baseline(spark, d).select("symbol", "tod", r6(F.col("rm"), "absret_med"), r6(F.col("rmad"), "absret_mad"), F.col("vm").alias("vol_med"), r6(F.col("vmad"), "vol_mad"))
+
+
+@query("ed2_seasonal_z", f"WITH {_MAD} SELECT symbol, ts, round(z_ret, 6) AS z_ret, round(sign(ret) * z_ret, 6) AS z_signed, round(z_vol, 6) AS z_vol FROM z")
+def _(spark, d):
+    return _zscored(spark, d).select("symbol", "ts", r6(F.col("z_ret"), "z_ret"), r6(F.signum("ret") * F.col("z_ret"), "z_signed"), r6(F.col("z_vol"), "z_vol"))
+
+
+@query("ed3_triggers", f"WITH {_MAD} SELECT symbol, ts FROM z WHERE z_ret >= 2 OR (z_vol >= 2.5 AND z_ret >= 1)")
+def _(spark, d):
+    return _zscored(spark, d).where("z_ret >= 2 OR (z_vol >= 2.5 AND z_ret >= 1)").select("symbol", "ts")
+
+
 sql("ma2_robust_z", "WITH m AS (SELECT symbol, median(close) AS med FROM {bars} GROUP BY symbol), k AS (SELECT b.symbol, b.ts, b.close, m.med, median(abs(b.close - m.med)) OVER (PARTITION BY b.symbol) AS mad FROM {bars} AS b JOIN m ON b.symbol = m.symbol) SELECT symbol, ts, round((close - med) / (1.4826 * mad), 6) AS z FROM k")
 
 _ISLANDS = """, t AS (SELECT * FROM z WHERE z_ret >= 2 OR (z_vol >= 2.5 AND z_ret >= 1)),
@@ -90,11 +143,6 @@ k AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY sym
 i AS (SELECT *, sum(fresh) OVER (PARTITION BY symbol, day ORDER BY ts) AS island FROM k)"""
 
 
-def _zscored(spark, d):
-    frames = {"bars": bars(spark, d)}
-    return spark.sql(f"WITH {_MAD} SELECT * FROM z", **frames)
-
-
 def _spikes(spark, d):
     hits = _zscored(spark, d).where("z_ret >= 2 OR (z_vol >= 2.5 AND z_ret >= 1)")
     return merge_islands(hits, ["symbol", "day"], "ts", 7200)
@@ -116,7 +164,41 @@ sql("ed9_gap_events", "WITH g AS (SELECT symbol, day, ln(open / lag(close) OVER
 sql("ed10_day_events", "WITH g AS (SELECT symbol, day, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY day)) AS cc FROM {daily}), s AS (SELECT symbol, stddev_samp(cc) AS sd FROM g GROUP BY symbol) SELECT g.symbol, g.day, round(cc / sd, 6) AS z FROM g JOIN s ON g.symbol = s.symbol WHERE abs(cc) / sd >= 2.0")
 sql("so4_union_event_kinds", "WITH g AS (SELECT symbol, day, ln(open / lag(close) OVER (PARTITION BY symbol ORDER BY day)) AS gap, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY day)) AS cc FROM {daily}) SELECT symbol, CAST(day AS STRING) AS at, 'gap' AS kind FROM g WHERE abs(gap) > 2 UNION ALL SELECT symbol, CAST(day AS STRING) AS at, 'day' AS kind FROM g WHERE abs(cc) > 2")
 sql("ed17_cross_asset", f"WITH r AS (SELECT symbol, ts, {RET_S} AS ret FROM {{bars}}) SELECT a.symbol, a.ts, count(CASE WHEN sign(b.ret) = sign(a.ret) AND abs(b.ret) > 0.003 THEN 1 END) >= 2 AS sector_wide FROM r AS a JOIN r AS b ON a.ts = b.ts AND a.symbol <> b.symbol WHERE a.ret IS NOT NULL GROUP BY a.symbol, a.ts")
-sql("ag24_idio_share", f"WITH r AS (SELECT symbol, ts, day, {RET_S} AS ret FROM {{bars}}), w AS (SELECT a.day, sum(a.ret) AS act, sum(0.6 * b.ret) AS pred FROM r AS a JOIN r AS b ON a.ts = b.ts AND b.symbol = 'view' WHERE a.symbol = 'click' AND a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY a.day) SELECT day, CASE WHEN abs(act) < 1e-9 THEN NULL WHEN sign(act) <> sign(pred) THEN 1.0 ELSE round(greatest(0.0, least(1.0, 1 - pred / act)), 6) END AS share FROM w".replace("THEN 1.0 ELSE", "THEN CAST(1 AS DOUBLE) ELSE"))
+
+
+# --- the market's part
+
+#: The symbols that stand for the market, and the day before which models are fitted.
+REGRESSORS, FITTED_UNTIL = ("purchase", "view"), "2024-01-20"
+#: rx: returns beside those of the two regressors; fi: the least squares of each symbol, by determinants.
+_MODEL_SQL = f"""rx AS (SELECT a.symbol, a.day, a.ts, a.ret AS y, b.ret AS x1, c.ret AS x2 FROM {{source}} AS a JOIN {{source}} AS b ON a.ts = b.ts AND b.symbol = '{REGRESSORS[0]}' JOIN {{source}} AS c ON a.ts = c.ts AND c.symbol = '{REGRESSORS[1]}'
+    WHERE a.symbol NOT IN {REGRESSORS} AND a.ret IS NOT NULL AND b.ret IS NOT NULL AND c.ret IS NOT NULL),
+fq AS (SELECT symbol, count(*) AS n, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, covar_samp(y, x1) AS sy1, covar_samp(y, x2) AS sy2, var_samp(x1) AS s11, var_samp(x2) AS s22, covar_samp(x1, x2) AS s12, var_samp(y) AS syy FROM rx WHERE day < DATE '{FITTED_UNTIL}' GROUP BY symbol),
+fb AS (SELECT *, (sy1 * s22 - sy2 * s12) / (s11 * s22 - s12 * s12) AS b1, (sy2 * s11 - sy1 * s12) / (s11 * s22 - s12 * s12) AS b2 FROM fq),
+fi AS (SELECT symbol, n, b1, b2, my - b1 * m1 - b2 * m2 AS alpha, (b1 * sy1 + b2 * sy2) / syy AS r2 FROM fb)"""
+MARKET_SQL = _MODEL_SQL.replace("{source}", "z")
+_OWN_SQL = f"r AS (SELECT symbol, day, ts, {RET} AS ret FROM {{bars}}), " + _MODEL_SQL.replace("{source}", "r")
+
+
+def fitted_market(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Aligned returns of all symbols, and each one's model from the days before FITTED_UNTIL."""
+    rows = aligned(_returns(spark, d), REGRESSORS, ["day"])
+    return rows, market_model(rows.where(F.col("day") < F.lit(FITTED_UNTIL).cast("date")), ["symbol"], len(REGRESSORS))
+
+
+@query("ag23_market_model", f"WITH {_OWN_SQL} SELECT symbol, n, round(b1, 6) AS beta1, round(b2, 6) AS beta2, round(alpha, 6) AS alpha, round(r2, 6) AS r2 FROM fi")
+def _(spark, d):
+    model = fitted_market(spark, d)[1]
+    return model.select("symbol", "n", *(r6(F.get("betas", F.lit(i)), f"beta{i + 1}") for i in range(len(REGRESSORS))), r6(F.col("alpha"), "alpha"), r6(F.col("r2"), "r2"))
+
+
+@query("ag24_idio_share", f"WITH {_OWN_SQL}, w AS (SELECT x.symbol, x.day, sum(y) AS act, sum(alpha + b1 * x1 + b2 * x2) AS pred FROM rx AS x JOIN fi USING (symbol) GROUP BY x.symbol, x.day) SELECT symbol, CAST(day AS VARCHAR) AS day, round(act * 100, 4) AS actual_pct, round(pred * 100, 4) AS market_pct, round(CASE WHEN abs(act) < 1e-9 THEN NULL WHEN sign(act) <> sign(pred) THEN CAST(1 AS DOUBLE) ELSE greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), 1 - pred / act)) END, 6) AS share FROM w")
+def _(spark, d):
+    days = explained(*fitted_market(spark, d)).groupBy("symbol", "day").agg(F.sum("y").alias("act"), F.sum("market").alias("pred"))
+    pct = lambda c, name: F.round(F.col(c) * 100, 4).alias(name)
+    return undated(days.select("symbol", "day", pct("act", "actual_pct"), pct("pred", "market_pct"), r6(share_left(F.col("act"), F.col("pred")), "share")))
+
+
 sql("ed21_phase_label", "SELECT symbol, day, concat(CASE WHEN r >= 1.0 THEN 'surge' WHEN r >= 0.35 THEN 'rise' WHEN r <= -1.0 THEN 'slide' WHEN r <= -0.35 THEN 'drift down' ELSE 'range' END, CASE WHEN f >= 0.3 THEN ' on buying' WHEN f <= -0.3 THEN ' on selling' ELSE '' END) AS label FROM (SELECT symbol, day, ln(max_by(close, ts) / min_by(open, ts)) AS r, sum(sign(close - open) * volume) / nullif(sum(volume), 0) AS f FROM {bars} GROUP BY symbol, day) AS d")
 _FIRST = f"f AS (SELECT *, row_number() OVER ({D}) AS k FROM {{bars}}), o AS (SELECT symbol, day, min_by(open, ts) AS o, max(high) AS hi, min(low) AS lo, max_by(close, ts) AS c, max(CASE WHEN k <= 5 AND low < fo AND high > fo THEN 1 ELSE 0 END) AS straddles, avg(CASE WHEN k <= 5 THEN close - open END) AS bias, min(CASE WHEN k <= 15 THEN low END) AS low15, max(CASE WHEN k <= 3 THEN high END) AS ib_hi, min(CASE WHEN k <= 3 THEN low END) AS ib_lo FROM (SELECT f.*, first_value(open) OVER ({D}) AS fo FROM f) AS f GROUP BY symbol, day)"
 sql("ed22_opening_type", f"WITH {_FIRST} SELECT symbol, day, CASE WHEN straddles = 0 AND bias > 0 AND hi > 1.002 * o THEN 'drive up' WHEN straddles = 0 AND bias < 0 AND lo < 0.998 * o THEN 'drive down' WHEN bias > 0 AND low15 < o THEN 'rejection-reverse' ELSE 'auction' END AS kind FROM o")
@@ -244,20 +326,22 @@ sql("st7_numbers", "SELECT doc_id, regexp_extract(text, '([0-9][0-9,][0-9,][0-9,
 # --- recurrences
 
 
-@query("wn24_ewm_std")
-def _(spark, d):
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("ts")
-        return pd.DataFrame({"symbol": g["symbol"], "ts": g["ts"], "sigma": ewm_std(g["ret"].to_numpy(float), 60, 10)})
+#: An exponentially weighted spread step by step: weights, their squares, values and squares decay at each row.
+EWM_SQL = """WITH RECURSIVE_ r AS (SELECT symbol, ts, {ret} AS x FROM {{bars}}), n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM r),
+u AS (SELECT symbol, ts, k, CASE WHEN x IS NULL THEN 0.0::DOUBLE ELSE 1 END AS w, CASE WHEN x IS NULL THEN 0.0::DOUBLE ELSE 1 END AS w2, coalesce(x, 0.0::DOUBLE) AS s, coalesce(x * x, 0.0::DOUBLE) AS q, CASE WHEN x IS NULL THEN 0 ELSE 1 END AS c FROM n WHERE k = 1
+  UNION ALL SELECT n.symbol, n.ts, n.k, u.w * {keep} + CASE WHEN x IS NULL THEN 0 ELSE 1 END, u.w2 * {keep} * {keep} + CASE WHEN x IS NULL THEN 0 ELSE 1 END, u.s * {keep} + coalesce(x, 0), u.q * {keep} + coalesce(x * x, 0), u.c + CASE WHEN x IS NULL THEN 0 ELSE 1 END FROM u JOIN n ON n.symbol = u.symbol AND n.k = u.k + 1)
+SELECT symbol, ts, CASE WHEN c >= {least} THEN round(sqrt((q / w - (s / w) * (s / w)) * w * w / (w * w - w2)), 6) END AS sigma FROM u"""
 
-    return ship(spark) and bars(spark, d).selectExpr("symbol", "ts", f"{RET} AS ret").groupBy("symbol").applyInPandas(run, "symbol string, ts timestamp_ntz, sigma double")
+
+@query("wn24_ewm_std", EWM_SQL.format(ret=RET, keep=f"({1 - 2 / 61!r}::DOUBLE)", least=10))
+def _(spark, d):
+    out = ewm_spread(bars(spark, d).selectExpr("symbol", "ts", f"{RET} AS ret"), ["symbol"], "ts", "ret", 60, 10)
+    return out.select("symbol", "ts", r6(F.col("sigma"), "sigma"))
 
 
 @query("wn28_rolling_median", "SELECT symbol, CAST(day AS VARCHAR) AS day, CASE WHEN count(volume) OVER w >= 60 THEN median(volume) OVER w END AS med FROM {daily} WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS 59 PRECEDING)")
 def _(spark, d):
-    values = F.array_sort(F.collect_list("volume").over(Window.partitionBy("symbol").orderBy("day").rowsBetween(-59, 0)))
-    rows = daily(spark, d).select("symbol", "day", values.alias("v"))
-    return undated(rows.select("symbol", "day", F.when(F.size("v") >= 60, (F.element_at("v", 30) + F.element_at("v", 31)) / 2).alias("med")))
+    return undated(rolling_median(daily(spark, d), ["symbol"], "day", "volume", 60, 60, "med"))
 
 
 _EDGE = f"e0 AS (SELECT symbol, day, ts, close > {VWAP} AND volume > 80 AS up FROM {{bars}}), e AS (SELECT symbol, day, ts FROM (SELECT *, up AND NOT coalesce(lag(up) OVER ({S}), false) AS edge FROM e0) AS x WHERE edge)"
@@ -282,48 +366,39 @@ def _(spark, d):
     return folded.select("symbol", F.explode("hits").alias("ts"))
 
 
-def _segments(least: int, penalty):
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("ts")
-        x = g["x"].to_numpy(float)
-        ends = pelt_rbf(x, penalty(len(x)), least)
-        return pd.DataFrame({"symbol": g["symbol"].iloc[0], "ts": [g["ts"].iloc[e - 1] for e in ends]})
-
-    return run
-
-
 @query("ed5_changepoints")
 def _(spark, d):
-    rows = bars(spark, d).selectExpr("symbol", "day", "ts", f"{RET} AS x").where("x IS NOT NULL")
-    return ship(spark) and rows.groupBy("symbol", "day").applyInPandas(_segments(6, lambda n: 2 * np.log(n)), "symbol string, ts timestamp_ntz")
+    """Where returns, or their rolling spread, change within a day of quarter-hour bars."""
+    rows = fine_bars(spark, d).selectExpr("symbol", "day", "ts", f"{RET} AS ret")
+    return undated(changepoints(rows, ["symbol", "day"], "ts", "ret"))
 
 
 @query("ed6_phases")
 def _(spark, d):
-    rows = bars(spark, d).selectExpr("symbol", "day", "ts", "ln(close) AS x")
-    return ship(spark) and rows.groupBy("symbol", "day").applyInPandas(_segments(5, lambda n: 5.0), "symbol string, ts timestamp_ntz")
+    return undated(phases(fine_bars(spark, d), ["symbol", "day"], "ts", "close", 10))
 
 
 # --- rules, outcomes, labels
 
-_FEATURES = f"""f0 AS (SELECT *, {SIGNED} AS sv, {VWAP} AS vwap, {CLV} AS clv, hour(ts) * 60 AS m FROM {{bars}}),
-f AS (SELECT *, {roll('sum', 5, 'sv')} / nullif({roll('sum', 5, 'volume')}, 0) AS imb, {roll('avg', 3, 'volume')} / nullif({roll('avg', 10, 'volume')}, 0) AS relvol, {roll('avg', 3, 'clv')} AS clv_s, sum(sv) OVER ({D} ROWS UNBOUNDED PRECEDING) AS cum, sum(sv) OVER ({D} ROWS UNBOUNDED PRECEDING) / nullif(sum(volume) OVER ({D} ROWS UNBOUNDED PRECEDING), 0) AS day_imb FROM f0),
-g AS (SELECT *, max(cum) OVER ({D} ROWS UNBOUNDED PRECEDING) AS cum_max, sum(CASE WHEN close < vwap THEN 0 ELSE 1 END) OVER ({D} ROWS UNBOUNDED PRECEDING) AS island FROM f),
-h AS (SELECT *, sum(CASE WHEN close < vwap THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, day, island ORDER BY ts ROWS UNBOUNDED PRECEDING) AS streak FROM g),
-raw AS (SELECT symbol, day, ts, close, vwap, imb, coalesce(m BETWEEN 30 AND 1200 AND close > vwap AND imb >= 0.2 AND relvol >= 0.9 AND clv_s > 0 AND cum >= cum_max, false) AS buy, coalesce(m BETWEEN 60 AND 600 AND close <= vwap AND day_imb <= -0.2 AND relvol >= 0.9, false) AS sell_open, coalesce(streak >= 4 AND imb <= -0.2 AND clv_s < 0, false) AS sell_dist FROM h),
-sig AS (SELECT symbol, day, ts, close, vwap, CASE WHEN buy THEN 'BUY' ELSE 'SELL' END AS signal FROM raw WHERE buy OR sell_open OR sell_dist)"""
+
+def auc(label: Column, rank: Column) -> Column:
+    """The area under the curve from ranks (ties shared) of the scores: the share of pairs in order."""
+    yes, no = F.count_if(label == 1), F.count_if(label == 0)
+    return (F.sum(F.when(label == 1, rank)) - yes * (yes + 1) / 2) / (yes * no)
+
+
 sql("sb6_daily_rules", "WITH f AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY day) AS pc, lag(low) OVER (PARTITION BY symbol ORDER BY day) AS pl, avg(volume) OVER (PARTITION BY symbol ORDER BY day ROWS 19 PRECEDING) AS v20, coalesce(((close - low) - (high - close)) / nullif(high - low, 0), 0) AS clv FROM {daily}) SELECT symbol, day, coalesce(close > pc AND clv >= 0 AND volume / v20 >= 1.15, false) AS buy, coalesce(open >= pc AND close < open AND clv <= 0 AND volume / v20 >= 1.15, false) AS reversal, coalesce(close < pl AND volume / v20 >= 1.15, false) AS breakdown FROM f")
 sql("sb7_daily_forward", "SELECT symbol, day, round(lead(close, 1) OVER (PARTITION BY symbol ORDER BY day) / close - 1, 6) AS f1, round(lead(close, 3) OVER (PARTITION BY symbol ORDER BY day) / close - 1, 6) AS f3, round(lead(close, 5) OVER (PARTITION BY symbol ORDER BY day) / close - 1, 6) AS f5 FROM {daily}")
-_HIT = "j AS (SELECT s.symbol, s.ts, s.signal, s.close AS entry, b.ts AS bar_ts, b.close, (b.close / s.close - 1) * (CASE WHEN s.signal = 'BUY' THEN 1 ELSE -1 END) AS r, CASE WHEN s.signal = 'BUY' THEN b.close < b.vwap ELSE b.close > b.vwap END AS crossed FROM sig AS s JOIN f0 AS b ON b.symbol = s.symbol AND b.day = s.day AND b.ts > s.ts)"
 sql("sb12_scaled_params", "SELECT m, CAST(greatest(1, bround(m / 5.0, 0)) AS BIGINT) AS bars FROM (VALUES (30), (10), (50), (15)) AS p(m)")
 sql("sb19_next_open", f"SELECT symbol, ts, lead(open) OVER ({D}) AS entry FROM {{bars}}")
-sql("ml6_feature_matrix", f"WITH {_FEATURES} SELECT symbol, ts, round(imb, 6) AS imb, round(relvol, 6) AS relvol, round(close / vwap - 1, 6) AS dist, round(ln(close / lag(close, 3) OVER ({S})), 6) AS r3 FROM h")
-sql("ml11_threshold_pick", f"WITH {_FEATURES}, {_HIT}, l AS (SELECT symbol, ts, max_by(r, bar_ts) AS r FROM j GROUP BY symbol, ts), q AS (SELECT round(percentile(r, 0.25), 6) AS a, round(percentile(r, 0.5), 6) AS b, round(percentile(r, 0.75), 6) AS c FROM l), t AS (SELECT a AS cut FROM q UNION ALL SELECT b FROM q UNION ALL SELECT c FROM q) SELECT cut, count(*) AS taken, round(avg(r), 6) AS net FROM l JOIN t ON l.r >= t.cut GROUP BY cut")
-sql("ml12_auc", "WITH s AS (SELECT l.quality, CAST(length(d.text) AS DOUBLE) AS x FROM {labels} AS l JOIN {documents} AS d ON l.doc_id = d.doc_id), k AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / CAST(2 AS DOUBLE) AS r FROM s) SELECT round((sum(CASE WHEN quality = 1 THEN r END) - count(CASE WHEN quality = 1 THEN 1 END) * (count(CASE WHEN quality = 1 THEN 1 END) + 1) / CAST(2 AS DOUBLE)) / (count(CASE WHEN quality = 1 THEN 1 END) * count(CASE WHEN quality = 0 THEN 1 END)), 6) AS auc FROM k")
-sql("ml13_meta_target", f"WITH {_FEATURES}, n AS (SELECT *, sign(lead(close) OVER ({D}) - close) AS label FROM f) SELECT symbol, ts, CAST(label = sign(imb) AS INT) AS meta FROM n WHERE label IS NOT NULL AND imb IS NOT NULL")
+@query("ml12_auc", "WITH s AS (SELECT l.quality, CAST(length(d.text) AS DOUBLE) AS x FROM {labels} AS l JOIN {documents} AS d ON l.doc_id = d.doc_id), k AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / CAST(2 AS DOUBLE) AS r FROM s) SELECT round((sum(CASE WHEN quality = 1 THEN r END) - count(CASE WHEN quality = 1 THEN 1 END) * (count(CASE WHEN quality = 1 THEN 1 END) + 1) / CAST(2 AS DOUBLE)) / (count(CASE WHEN quality = 1 THEN 1 END) * count(CASE WHEN quality = 0 THEN 1 END)), 6) AS auc FROM k")
+def _(spark, d):
+    rows = read(spark, d, "labels").select("doc_id", "quality").join(read(spark, d, "documents").select("doc_id", F.length("text").cast("double").alias("x")), "doc_id")
+    return ranked(rows, "x", name="r").agg(F.round(auc(F.col("quality"), F.col("r")), 6).alias("auc"))
+
+
 sql("ml17_leakage_probe", f"SELECT symbol, count(a) AS through, count(b) AS alone, count(CASE WHEN a IS NOT NULL AND b IS NULL THEN 1 END) AS bleeding FROM (SELECT symbol, {roll('avg', 10, 'volume')} AS a, {roll('avg', 10, 'volume', D)} AS b FROM {{bars}}) AS x GROUP BY symbol")
 sql("ml18_calibration", f"SELECT symbol, round(corr(sv, ret), 6) AS r, round(regr_slope(ret, sv) * 1000, 6) AS slope, count(*) AS n FROM (SELECT symbol, {RET_S} AS ret, {SIGNED} AS sv FROM {{bars}}) AS b WHERE ret IS NOT NULL GROUP BY symbol")
-sql("ml20_pooled_summary", f"WITH {_FEATURES}, {_HIT}, l AS (SELECT symbol, ts, signal, max_by(r, bar_ts) AS r FROM j GROUP BY symbol, ts, signal) SELECT signal, count(*) AS n, round(avg(r), 6) AS mean, round(avg(CAST(r > 0 AS INT)), 6) AS win FROM l GROUP BY signal")
 sql("ed20_study_summary", "WITH k AS (SELECT *, lag(close, 1) OVER (PARTITION BY symbol ORDER BY day) / lag(close, 6) OVER (PARTITION BY symbol ORDER BY day) - 1 AS runup, close / open - 1 AS oc FROM {daily}) SELECT symbol, count(runup) AS n, round(avg(CAST(oc < 0 AS INT)), 6) AS red, round(avg(CASE WHEN runup > 0.05 THEN CAST(oc < 0 AS INT) END), 6) AS red_after_runup, round(corr(runup, oc), 6) AS r FROM k WHERE runup IS NOT NULL GROUP BY symbol HAVING count(runup) >= 4")
 sql("ma13_tail", "SELECT symbol, day, round(r / sd, 6) AS sigmas FROM (SELECT symbol, day, ln(close / open) AS r, stddev_samp(ln(close / open)) OVER (PARTITION BY symbol) AS sd FROM {daily}) AS x")
 

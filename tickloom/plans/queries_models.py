@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import models
 from ..operators import signals as rules
 from ..operators.asof import asof_join
+from ..operators.boosting import Plan
+from ..operators.ranges import in_slice, with_edges
 from ..sources.market import bars, quotes, trades
+from ..sources.stage import staged
 from .queries_rules import LATER_SQL, P, both, feat, signals_sql, touches, unique
 from .registry import query
 
@@ -19,79 +22,110 @@ HOURS = 3600.0
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
-    """Labelled bars: features, label (-1, 0, 1), ret, start and stop (seconds), weight; kept in memory, as every fit reads them."""
+    """Labelled bars: features, label (-1, 0, 1), ret, start and stop (seconds), weight; a written stage, as every pass reads them."""
     touched = touches(spark, d).select("symbol", "day", "pos", "ts", "label", "ret", "touch")
     weights = unique(spark, d).select("symbol", "ts", F.col("uniqueness").alias("weight"))
     rows = feat(spark, d).select("symbol", "ts", *X).join(touched, ["symbol", "ts"]).join(weights, ["symbol", "ts"])
     start = F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double")
     rows = rows.withColumns({"start": start, "stop": start + (F.col("touch") - F.col("pos")) * HOURS, "up": (F.col("label") == 1).cast("double"), "net": F.col("ret") - COST})
-    return rows.drop("pos", "touch").persist()
+    return staged(rows.drop("pos", "touch"), "labelled")
 
 
-def late_fifth(train: DataFrame):
-    """Whether a row is in the last fifth of the training time."""
-    found = models.cuts(train, "start", [0.8])
-    return F.col("start") > F.lit(found[0] if found else 0.0)
+EMBARGO = 20 * HOURS
+
+
+def split(spark: SparkSession, d: str) -> tuple[DataFrame, list[models.Fold]]:
+    """Labelled bars with the last three tenths of their time as the test fold."""
+    rows = models.folds(labelled(spark, d), "start", 1, 0.7)
+    return rows, models.walk_folds(rows, [1], "up", "start", "stop", EMBARGO)
 
 
 @query("ml7_boosted_trees")
 def _(spark, d):
-    rows = models.folds(labelled(spark, d), "start", 1, 0.7)
-    train, test = models.purged(rows, 1, "start", "stop", 20 * HOURS), rows.where("fold = 1")
-    late = late_fifth(train)
-    out = models.three_way(train, test, X, "label", "weight", late)
-    out = models.scored(models.boosted(train, X, "ret", "weight", late, regression=True), out, "expected")
-    return out.select("symbol", "ts", "label", "p_up", "p_down", "expected")
+    """Three classes at once, and the expected return; missing features have a side of their own in each split."""
+    rows, some = split(spark, d)
+    if not some:
+        return rows.limit(0).select("symbol", "ts", "label", *(F.lit(0.0).alias(c) for c in ("p_down", "p_flat", "p_up", "expected")))
+    rows = rows.withColumn("class", F.col("label") + 1)
+    out = models.fitted(rows, some, X, "class", Plan(classes=3), "weight").score(rows.where(some[0].test), "p")
+    out = models.fitted(rows, some, X, "ret", Plan(classes=0), "weight").score(out, "e")
+    return out.select("symbol", "ts", "label", *(F.get("p", F.lit(i)).alias(c) for i, c in enumerate(("p_down", "p_flat", "p_up"))), F.get("e", F.lit(0)).alias("expected"))
 
 
 @query("ml8_permutation_importance")
 def _(spark, d):
-    rows = models.folds(labelled(spark, d).na.drop(), "start", 1, 0.7)
-    train, test = models.purged(rows, 1, "start", "stop", 20 * HOURS), rows.where("fold = 1").persist()
-    model = models.boosted(train, X, "up", "weight", late_fifth(train))
-    return spark.createDataFrame(models.permutation_importance(model, test, KEYS, X, "up"), "feature string, importance double")
-
-
-def walk(rows: DataFrame, folds: list[int], embargo: float, least_train: int = 40, least_test: int = 1) -> DataFrame:
-    """(fold, symbol, ts, label, ret, net, p, cut, taken) of each test fold: the model is fitted on the first four
-    fifths of the purged training time, the threshold is picked on the last fifth."""
-    out = None
-    for k in folds:
-        train, test = models.purged(rows, k, "start", "stop", embargo).persist(), rows.where(F.col("fold") == k)
-        ups = [r["up"] for r in train.select("up").distinct().collect()]
-        if train.count() < least_train or test.count() < least_test or len(ups) < 2:
-            continue
-        late = late_fifth(train)
-        model = models.boosted(train, X, "up", "weight", late)
-        cut = models.threshold(models.scored(model, train.where(late)), "p", "net")
-        one = models.scored(model, test).withColumn("cut", F.lit(float(cut)))
-        one = one.select("fold", "symbol", "ts", "label", "ret", "net", "p", "cut", (F.col("p") >= F.col("cut")).alias("taken"))
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else rows.limit(0).select("fold", "symbol", "ts", "label", "ret", "net", F.lit(0.0).alias("p"), F.lit(0.0).alias("cut"), F.lit(False).alias("taken"))
+    rows, some = split(spark, d)
+    if not some:
+        return spark.createDataFrame([], "feature string, importance double")
+    return models.permutation_importance(models.fitted(rows, some, X, "up", Plan(), "weight"), rows.where(some[0].test), KEYS, X, "up")
+
+
+def walk(rows: DataFrame, numbers: list[int], least_train: int = 40, least_test: int = 1) -> DataFrame:
+    """(fold, symbol, ts, label, ret, net, p, cut, taken) of each test fold. All folds' models are fitted together."""
+    some = models.walk_folds(rows, numbers, "up", "start", "stop", EMBARGO, least_train, least_test)
+    keep = ["fold", "symbol", "ts", "label", "ret", "net"]
+    if not some:
+        return rows.limit(0).select(*keep, F.lit(0.0).alias("p"), F.lit(0.0).alias("cut"), F.lit(False).alias("taken"))
+    return models.taken(rows, some, models.fitted(rows, some, X, "up", Plan(), "weight"), keep, "net").select(*keep, "p", "cut", "taken")
+
+
+FOLDS = [1, 2, 3]
 
 
 @query("ml9_walk_forward")
 def _(spark, d):
-    return walk(models.folds(labelled(spark, d), "start", 3), [1, 2, 3], 20 * HOURS)
+    return walk(models.folds(labelled(spark, d), "start", len(FOLDS)), FOLDS)
 
 
-#: Calendar periods of a walk-forward; the tables' ticks span a month, so weeks stand for quarters.
-PERIOD, LEAST_PERIODS = "week", 3
+def pooled(tested: DataFrame) -> DataFrame:
+    """One row: what the models of all folds take, against taking all; net returns in per cent, t of their mean."""
+    c, took = F.col, F.col("taken")
+    mean = lambda x: F.round(F.avg(x) * 100, 4)
+    won = lambda x: F.round(F.avg((x > 0).cast("int")), 3)
+    net = F.when(took, c("net"))
+    t = F.avg(net) / F.nullif(F.stddev_samp(net) / F.sqrt(F.count(net)), F.lit(0.0))
+    return tested.agg(
+        F.count("*").alias("n_tested"), mean("net").alias("take_all_net_pct"), won(c("net")).alias("take_all_precision"), F.count(net).alias("n_taken"), mean(net).alias("net_pct"),
+        F.round(F.avg(F.when(took, (c("label") == 1).cast("int"))), 3).alias("precision"), F.round((F.avg(net) - F.avg("net")) * 100, 4).alias("lift_pct"), F.when(F.count(net) > 2, F.round(t, 3)).alias("t"),
+    )
+
+
+@query("ml20_pooled_summary")
+def _(spark, d):
+    return pooled(walk(models.folds(labelled(spark, d), "start", len(FOLDS)), FOLDS))
+
+
+#: Periods before the first one tested, and the least rows to train and to test.
+LEAST_PERIODS, LEAST_TRAIN, LEAST_TEST = 3, 200, 20
 
 
 @query("ml10_walk_forward_quarters")
 def _(spark, d):
-    rows = labelled(spark, d).withColumn("period", F.date_trunc(PERIOD, "ts"))
-    names = sorted(r["period"] for r in rows.select("period").distinct().collect())  # calendar periods
-    fold = F.element_at(F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(F.lit, range(len(names))))), F.col("period"))
-    return walk(rows.withColumn("fold", fold).drop("period"), list(range(LEAST_PERIODS, len(names))), 20 * HOURS, 200, 20)
+    """Calendar quarters; where the bars span too few of them for a test, months, then weeks."""
+    rows = labelled(spark, d)
+    counts = rows.agg(*(F.count_distinct(F.date_trunc(p, "ts")) for p in PERIODS)).first()
+    period = next((p for p, n in zip(PERIODS, counts, strict=True) if n > LEAST_PERIODS), PERIODS[-1])
+    dated = rows.withColumn("period", F.date_trunc(period, "ts"))
+    number = dated.select("period").distinct().withColumn("fold", F.row_number().over(Window.orderBy("period")) - 1)  # calendar periods
+    n = counts[PERIODS.index(period)]
+    return walk(dated.join(F.broadcast(number), "period").drop("period"), list(range(LEAST_PERIODS, n)), LEAST_TRAIN, LEAST_TEST)
+
+
+PERIODS = ("quarter", "month", "week")
+NULL_DRAWS = 200
 
 
 @query("ml14_label_null")
 def _(spark, d):
-    rows = models.folds(labelled(spark, d), "start", 1, 0.7)
-    train, test = models.purged(rows, 1, "start", "stop", 20 * HOURS).persist(), rows.where("fold = 1").persist()
-    return spark.createDataFrame(models.label_null(train, test, KEYS, X, "up", "net", 5), "draw bigint, mean double")
+    """(draw, mean): the net of what the models of ml9 take when they are fitted on labels dealt anew; draw -1 is the real one."""
+    rows = models.folds(labelled(spark, d), "start", len(FOLDS))
+    some = models.walk_folds(rows, FOLDS, "up", "start", "stop", EMBARGO, 40)
+    if not some:
+        return spark.createDataFrame([], "draw int, n long, mean double")
+    labels = models.dealt(rows, KEYS, "up", NULL_DRAWS)
+    model = models.fitted(rows, some, X, "up", Plan(), "weight", F.concat(F.array("up"), labels))
+    out = models.taken(rows, some, model, ["net"], "net").withColumn("draw", F.floor(F.col("model") / len(some)).cast("int") - 1)
+    return out.groupBy("draw").agg(F.count_if("taken").alias("n"), F.avg(F.when(F.col("taken"), F.col("net"))).alias("mean"))
 
 
 @query("ml15_block_null")
@@ -135,12 +169,11 @@ def _(spark, d):
     SELECT symbol, count(*) AS n, round(corr(tick, lee), 6) AS r, round(avg(CAST(sign(tick) = sign(lee) AS INT)), 6) AS agreement FROM h GROUP BY symbol""",
 )
 def _(spark, d):
-    from pyspark.sql import Window
-
     t = asof_join(trades(spark, d), quotes(spark, d), "ts", ["symbol"], ["bid", "ask"])
-    before = F.lag("price").over(Window.partitionBy("symbol").orderBy("ts", "event_id"))
+    t = with_edges(t, ["symbol"], "ts", ["price"], ["event_id"])
+    before = F.lag("price").over(in_slice(["symbol"], "ts", "event_id"))
     lee = F.when(F.col("bid").isNull(), 0).when(F.col("price") >= F.col("ask"), 1).when(F.col("price") <= F.col("bid"), -1).otherwise(F.signum(F.col("price") - (F.col("bid") + F.col("ask")) / 2))
     t = t.withColumns({"tick": F.col("size") * F.coalesce(F.signum(F.col("price") - before), F.lit(0.0)), "lee": F.col("size") * lee})
-    h = t.groupBy("symbol", F.date_trunc("hour", "ts").alias("hour")).agg(F.sum("tick").alias("tick"), F.sum("lee").alias("lee"))
+    h = t.where("NOT _edge").groupBy("symbol", F.date_trunc("hour", "ts").alias("hour")).agg(F.sum("tick").alias("tick"), F.sum("lee").alias("lee"))
     same = (F.signum("tick") == F.signum("lee")).cast("int")
     return h.groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.corr("tick", "lee"), 6).alias("r"), F.round(F.avg(same), 6).alias("agreement"))

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import models
+from ..operators.intervals import running
 from ..operators.islands import spaced
+from ..operators.ranges import sliced
 from ..sources.landed import Settings, cache_key, capabilities, first_pages
 from ..sources.market import bars, daily, news, read, trades
 from .queries_core import CLV, RET, S, SIGNED, VWAP, D, roll
-from .queries_events import _EDGE, _FEATURES, _HIT
+from .queries_events import _EDGE
 from .registry import query, sql, undated
 
 
@@ -25,9 +27,11 @@ def _(spark, d):
     return capabilities(read(spark, d, "orders").select(F.col("o_orderpriority").alias("endpoint"), (F.col("o_custkey") % 500).alias("status")))
 
 
-
-
-sql("sc3_throttled_schedule", "SELECT event_id, symbol, round((row_number() OVER (PARTITION BY symbol ORDER BY ts, event_id) - 1) * CAST(0.3 AS DOUBLE), 1) AS earliest_s FROM {trades}")
+@query("sc3_throttled_schedule", "SELECT event_id, symbol, round((row_number() OVER (PARTITION BY symbol ORDER BY ts, event_id) - 1) * CAST(0.3 AS DOUBLE), 1) AS earliest_s FROM {trades}")
+def _(spark, d):
+    t = sliced(trades(spark, d).select("event_id", "symbol", "ts"), ["symbol"], "ts").withColumn("n", F.lit(1).cast("long"))
+    n = running(t, ["symbol"], F.col("_slot"), ["ts", "event_id"], ["n"])
+    return n.select("event_id", "symbol", F.round((F.col("n") - 1) * 0.3, 1).alias("earliest_s"))
 
 
 @query("sc8_paged_scan", "WITH p AS (SELECT conv_id, turn, turn AS page FROM conversations), c AS (SELECT page, count(*) AS n FROM p GROUP BY page) SELECT conv_id, turn FROM p WHERE page <= coalesce((SELECT min(page) FROM c WHERE n < 400), 1000000)")
@@ -50,7 +54,6 @@ def _(spark, d):
     return spark.createDataFrame([(s.ret_z, s.vol_z, s.merge_gap_minutes)], "ret_z double, vol_z double, merge_gap_minutes long")
 
 
-sql("sk2_event_table", f"WITH {_FEATURES} SELECT symbol, ts, signal, round(close, 4) AS price FROM sig")
 sql("sk5_chart_series", f"SELECT symbol, ts, close, round({VWAP}, 6) AS vwap FROM {{bars}}")
 sql("sk6_dashboard_series", f"SELECT symbol, ts, open, high, low, close, volume, round({VWAP}, 6) AS vwap FROM {{bars}}")
 
@@ -63,8 +66,6 @@ def _grouped(spark, d):
     return news(spark, d).groupBy("day").agg(F.sort_array(F.collect_list(F.struct("ts", "news_id", "relevance"))).alias("rows"))
 
 
-
-
 def _lists(expression: str) -> str:
     return with_frames("SELECT CAST(day AS VARCHAR) AS day, " + expression + " FROM (SELECT day, list(struct_pack(ts := ts, news_id := news_id, relevance := relevance) ORDER BY ts, news_id) AS rows FROM {news} GROUP BY day) AS n")
 
@@ -120,9 +121,7 @@ def _(spark, d):
     return spaced(edges, "symbol", "pos", APART).select("symbol", "ts")
 
 
-sql("tsk9_loosened_rules", f"WITH {_FEATURES} SELECT symbol, ts, coalesce(imb >= 0.1 AND close > vwap, false) AS loose_buy, coalesce(imb <= -0.1 AND close < vwap, false) AS loose_sell FROM h")
 sql("tsk11_delta_divergence", f"WITH c AS (SELECT *, sum({CLV} * volume) OVER ({D} ROWS UNBOUNDED PRECEDING) AS cvd FROM {{bars}}) SELECT symbol, ts, round(cvd, 4) AS cvd, low < min(low) OVER ({D} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AND cvd > min(cvd) OVER ({D} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS bull FROM c".replace(" AS bull", " IS TRUE AS bull"))
 sql("tsk12_footprint_score", f"SELECT symbol, ts, round({roll('sum', 10, 'demand')} - {roll('sum', 10, 'supply')}, 4) AS score FROM (SELECT *, CASE WHEN close > open THEN volume * CAST(1 AS DOUBLE) ELSE 0 END AS demand, CASE WHEN close < open THEN volume * CAST(1 AS DOUBLE) ELSE 0 END AS supply FROM {{bars}}) AS b")
 sql("tsk13_absorption_bars", f"SELECT symbol, ts, coalesce(volume >= 2 * ({roll('avg', 10, 'volume')}) AND abs(close - open) <= 0.3 * (high - low), false) AS absorbed FROM {{bars}}")
 sql("tsk14_daily_panel", "SELECT symbol, day, close > open AS up, round(volume / nullif(avg(volume) OVER (PARTITION BY symbol ORDER BY day ROWS 19 PRECEDING), 0), 6) AS relvol FROM {daily}")
-sql("tsk15_alerts", f"WITH {_FEATURES} SELECT concat(signal, ' ', symbol) AS alert, ts FROM sig")

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import signals as rules
 from ..operators.intervals import overlaps, uniqueness
 from ..operators.labels import first_touch, meta_labels
+from ..operators.models import SHARES, picked
+from ..operators.quantiles import quantiles
 from ..operators.recurrences import ema
 from ..operators.signals import Rules
 from ..sources.market import bars, daily, resample, ticks, trades
+from ..sources.sinks import write_events
+from ..sources.stage import shared_dir
 from .registry import query, undated
 
 #: The rules for hourly bars of a day that starts at midnight.
@@ -31,6 +37,7 @@ def features_sql(p: Rules, source: str = "{bars}") -> str:
     full = lambda agg, n: f"CASE WHEN k >= {n} THEN {agg} OVER {roll(n)} END"
     rested = f"NOT coalesce(runup > {p.runup_gate}, false)" if p.runup_gate is not None else "true"
     context = "(close < pv OR pv IS NULL)" if p.prior_vwap_gate else "true"
+    gap = "gap" if p.gap_gate else "true"
     return f"""fv AS (SELECT b.*, hour(ts) * 60 + minute(ts) - {p.open_at_min} AS m, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k, row_number() OVER d AS i,
     CAST(coalesce(sign(close - lag(close) OVER d), 0) * volume AS DOUBLE) AS sv, coalesce(((close - low) - (high - close)) / nullif(high - low, 0), 0) AS clv,
     sum((high + low + close) / 3 * volume) OVER d / nullif(sum(volume) OVER d, 0) AS vwap, max(high) OVER d AS top
@@ -46,7 +53,7 @@ fd AS (SELECT symbol, day, coalesce(o >= lag(c) OVER e, false) AS gap, lag(v) OV
     FROM (SELECT symbol, day, arg_min(open, ts) AS o, arg_max(close, ts) AS c, arg_max(vwap, ts) AS v FROM fv GROUP BY symbol, day) AS q WINDOW e AS (PARTITION BY symbol ORDER BY day)),
 x AS (SELECT fx.*, gap, pv, runup,
     coalesce(m >= {p.imb_window * p.bar_min} AND m <= {p.buy_cutoff_min} AND {rested} AND above AND relvol >= {p.relvol_thresh} AND clv_s > 0 AND fresh, false) AS g_buy,
-    coalesce(m BETWEEN {p.open_from_min} AND {p.open_window_min} AND hod <= {p.open_high_min} AND gap AND {context} AND NOT above AND relvol >= {p.relvol_thresh}, false) AS g_open,
+    coalesce(m BETWEEN {p.open_from_min} AND {p.open_window_min} AND hod <= {p.open_high_min} AND {gap} AND {context} AND NOT above AND relvol >= {p.relvol_thresh}, false) AS g_open,
     coalesce(streak >= {p.below_vwap_bars} AND clv_s < 0, false) AS g_dist
     FROM fx JOIN fd USING (symbol, day))"""
 
@@ -381,3 +388,82 @@ def _(spark, d):
     rows = ends.groupBy("symbol", "day").agg(F.sort_array(F.collect_list(F.struct("ts", "signal", "price", "exit_ts"))).alias("rows"))
     kept = F.aggregate("rows", F.slice("rows", 1, 0), lambda a, x: F.when((F.size(a) == 0) | (x["ts"] >= F.element_at(a, -1)["exit_ts"]), F.concat(a, F.array(x))).otherwise(a))
     return rows.select("symbol", F.inline(kept)).select("symbol", F.col("ts").alias("entry_ts"), "signal", *r6("price"), "exit_ts")
+
+
+# --- tables made of the signals
+
+LOOSE = P.loosened()
+#: Symbols that give a signal its context, and the bars of its two measures.
+TREND, FLOW, SLOPE, SPREAD = "view", "purchase", 15, 5
+
+
+@query("tsk9_loosened_rules", f"WITH RECURSIVE_ {signals_sql(LOOSE)} SELECT symbol, ts, trigger, signal FROM sig")
+def _(spark, d):
+    return both(spark, d, LOOSE)[1].select(*CORE, "trigger", "signal")
+
+
+@query("tsk15_alerts", f"WITH RECURSIVE_ {signals_sql(P)} SELECT signal || ' ' || symbol || ': ' || trigger AS alert, ts FROM sig")
+def _(spark, d):
+    return both(spark, d)[1].select(F.concat("signal", F.lit(" "), "symbol", F.lit(": "), "trigger").alias("alert"), "ts")
+
+
+@query("sk2_event_table", f"WITH RECURSIVE_ {signals_sql(P)}, {LATER_SQL}, mg AS (SELECT symbol, ts, signal, trigger, mfe, mae, {MANAGED_SQL} AS managed FROM outs) SELECT symbol, ts, signal, trigger, round(price, 4) AS price, round(mfe, 6) AS mfe, round(mae, 6) AS mae, round(managed, 6) AS managed FROM sig LEFT JOIN mg USING (symbol, ts, signal, trigger)")
+def _(spark, d):
+    """Signals with their outcomes as a Parquet table by symbol, as written and read again."""
+    f, sig = both(spark, d)
+    keys = ["symbol", "ts", "signal", "trigger"]
+    rows = sig.join(rules.outcomes(f, sig, P.target_pct).select(*keys, "mfe", "mae", "managed"), keys, "left").select(*keys, F.round("price", 4).alias("price"), *r6("mfe", "mae", "managed"))
+    path = f"{shared_dir(spark)}/stages/events-{uuid.uuid4().hex}"
+    write_events(rows, path, ["symbol"])
+    return spark.read.schema(rows.schema).parquet(path).select(rows.columns)
+
+
+_MATRIX = ("relvol", "clv_s", "cvd_slope", "vwap_dist", "imb", "day_imb", "runup_3d", "realized_vol", "trend", "flow")
+
+
+@query(
+    "ml6_feature_matrix",
+    f"""WITH RECURSIVE_ {signals_sql(P)},
+    xr AS (SELECT *, ln(close) - ln(lag(close) OVER d) AS lr, lead(ts) OVER d AS nx, first_value(open) OVER d AS dopen FROM x WINDOW d AS (PARTITION BY symbol, day ORDER BY ts)),
+    xs AS (SELECT *, CASE WHEN k >= 3 THEN regr_slope(cum, k) OVER w / nullif(avg(volume) OVER w, 0) END AS cvd_slope, CASE WHEN count(lr) OVER v >= {SPREAD} THEN stddev_samp(lr) OVER v END AS rv, close / dopen - 1 AS since
+      FROM xr WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS {SLOPE - 1} PRECEDING), v AS (PARTITION BY symbol ORDER BY ts ROWS {SPREAD - 1} PRECEDING))
+    SELECT s.symbol, s.ts, CAST(s.signal = 'SELL' AS INT) AS side_is_sell, CAST(s.trigger = 'accumulation' AS INT) AS trig_accumulation, CAST(s.trigger = 'opening-rejection' AS INT) AS trig_opening_rejection, CAST(s.trigger = 'distribution' AS INT) AS trig_distribution, CAST(f.m AS BIGINT) AS min_of_day,
+      round(f.relvol, 6) AS relvol, round(f.clv_s, 6) AS clv_s, round(f.cvd_slope, 6) AS cvd_slope, round((f.close - f.vwap) / f.vwap, 6) AS vwap_dist, round(f.imb, 6) AS imb, round(f.day_imb, 6) AS day_imb, round(f.runup, 6) AS runup_3d, round(f.rv, 6) AS realized_vol, round(t.since, 6) AS trend, round(w.relvol, 6) AS flow
+    FROM sig AS s JOIN xs AS f ON f.symbol = s.symbol AND f.ts = s.ts AND f.nx IS NOT NULL
+      ASOF LEFT JOIN (SELECT day, ts, since FROM xs WHERE symbol = '{TREND}') AS t ON t.day = s.day AND s.ts >= t.ts
+      ASOF LEFT JOIN (SELECT day, ts, relvol FROM xs WHERE symbol = '{FLOW}') AS w ON w.day = s.day AND s.ts >= w.ts""",
+)
+def _(spark, d):
+    rows = rules.signal_features(*both(spark, d), TREND, FLOW, SLOPE, SPREAD).drop("imb").withColumnRenamed("imb_now", "imb")
+    return rows.select(*CORE, "side_is_sell", "trig_accumulation", "trig_opening_rejection", "trig_distribution", F.col("min_of_day").cast("long").alias("min_of_day"), *r6(*_MATRIX))
+
+
+_SCORED_SQL = f"{TOUCH_SQL}, {features_sql(P)}"
+
+
+@query("ml13_meta_target", f"WITH {_SCORED_SQL} SELECT symbol, ts, CAST(coalesce(sign(tl.label) = CASE WHEN x.imb = 0 THEN 1 ELSE sign(x.imb) END, false) AS INT) AS meta FROM tl JOIN x USING (symbol, ts)")
+def _(spark, d):
+    """Whether the side that the flow points to is the one that its barrier label gives; no flow points to none."""
+    rows = touches(spark, d).select(*CORE, "label").join(feat(spark, d).select(*CORE, "imb"), CORE)
+    primary = F.when(F.col("imb") == 0, 1.0).otherwise(F.signum("imb"))
+    return rows.select(*CORE, F.coalesce(F.signum("label") == primary, F.lit(False)).cast("int").alias("meta"))
+
+
+COST = 0.0007
+
+
+@query(
+    "ml11_threshold_pick",
+    f"""WITH {_SCORED_SQL}, sc AS (SELECT symbol, round(x.imb, 6) AS p, tl.ret - {COST} AS net FROM tl JOIN x USING (symbol, ts) WHERE x.imb IS NOT NULL),
+    qs AS (SELECT symbol, count(*) AS n, unnest(quantile_cont(p, {SHARES})) AS cut FROM sc GROUP BY symbol),
+    tk AS (SELECT DISTINCT symbol, n, round(cut, 6) AS cut FROM qs),
+    be AS (SELECT tk.symbol, tk.cut, avg(sc.net) AS mean FROM tk JOIN sc ON sc.symbol = tk.symbol AND sc.p >= tk.cut GROUP BY tk.symbol, tk.cut, tk.n HAVING count(*) >= greatest(3, 0.15 * tk.n))
+    SELECT symbol, coalesce(max(cut), 0.5) AS cut FROM (SELECT DISTINCT symbol FROM sc) AS s LEFT JOIN (SELECT symbol, cut FROM be QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY mean DESC, cut) = 1) AS b USING (symbol) GROUP BY symbol""",
+)
+def _(spark, d):
+    """For each symbol the cut of the flow, of 17 exact quantiles, above which labelled bars earn most."""
+    rows = touches(spark, d).select(*CORE, "ret").join(feat(spark, d).select(*CORE, "imb"), CORE).where("imb IS NOT NULL")
+    rows = rows.select("symbol", F.round("imb", 6).alias("p"), (F.col("ret") - COST).alias("net"))
+    cuts = quantiles(rows, ["symbol"], {f"q{i}": (F.col("p"), share) for i, share in enumerate(SHARES)})
+    cuts = cuts.select("symbol", F.array(*(F.round(f"q{i}", 6) for i in range(len(SHARES)))).alias("cuts"))
+    return picked(rows, ["symbol"], "p", "net", cuts)

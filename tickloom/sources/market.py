@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranges import ranked
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -75,9 +77,13 @@ def fine_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalysts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """News with a headline, taken from the items of `benchmark` in turn."""
+    """News with a headline, taken from the items of `benchmark` in turn: all of them, by their place among the ids."""
     items = read(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 80).alias("headline"), F.col("text").alias("body"))
-    return news(spark, sf_dir).withColumn("item_id", F.col("news_id") % 40).join(items, "item_id").drop("item_id")
+    # Places by ranges of ids; the number of items comes along.
+    items = ranked(items, "item_id", name="place").select((F.col("place") - 1).cast("long").alias("place"), "headline", "body")
+    n = items.agg(F.count("*").alias("n"))
+    turn = news(spark, sf_dir).crossJoin(F.broadcast(n)).withColumn("place", F.col("news_id") % F.col("n"))  # one row
+    return turn.join(items, "place").drop("place", "n")
 
 
 FRAMES = {"fine_bars": fine_bars, "catalysts": catalysts, "ticks": ticks, "bars": bars, "daily": daily, "quotes": quotes, "trades": trades, "news": news}
@@ -97,5 +103,5 @@ FRAMES_SQL = {
     "news": "SELECT event_id AS news_id, ts, CAST(ts AS DATE) AS day, CASE WHEN event_type = 'signup' THEN 'press_release' WHEN event_id % 5 = 0 THEN 'analyst' WHEN event_id % 5 = 1 THEN 'stock_news' WHEN event_id % 5 = 2 THEN 'economic' WHEN event_id % 5 = 3 THEN 'general_news' ELSE 'insider' END AS source_type, value / 500 AS relevance FROM events WHERE event_type IN ('error', 'signup')",
 }
 FRAMES_SQL["fine_bars"] = FRAMES_SQL["bars"].replace("1 hour", "15 minutes")
-FRAMES_SQL["catalysts"] = "SELECT n.*, substring(b.text, 1, 80) AS headline, b.text AS body FROM news AS n JOIN benchmark AS b ON b.item_id = n.news_id % 40"
+FRAMES_SQL["catalysts"] = "SELECT n.*, substring(b.text, 1, 80) AS headline, b.text AS body FROM news AS n JOIN (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS place FROM benchmark) AS b ON b.place = n.news_id % (SELECT count(*) FROM benchmark)"
 NEEDS = {"bars": ["ticks"], "fine_bars": ["ticks"], "catalysts": ["news"]}
