@@ -4,8 +4,8 @@ Features are cut into bins once. A level of a tree needs, for each model, class,
 gradients, second derivatives and rows; these add up over tasks, so one pass over the rows grows one level of
 the trees of all models: folds of a walk-forward test, or draws of a null, cost no passes of their own. A model's
 training rows are those that have a label for it. Missing values have a bin of their own and go to the
-side that gains more. Margins are not kept: each task runs the trees so far on its rows, so nothing but
-the binned table is stored, and a lost executor costs tasks.
+side that gains more. Margins are written with the rows every few trees, and each task runs the trees since then,
+so the work is linear in the trees and a lost executor costs tasks.
 
 What is sent to the driver is bounded by models x classes x nodes x features x bins.
 """
@@ -28,6 +28,8 @@ from ..sources.stage import staged
 CHUNK = 64
 #: Numbers of a task's working arrays.
 CELLS = 2_000_000
+#: Trees after which margins are written.
+KEPT = 5
 
 
 @dataclass(frozen=True)
@@ -67,16 +69,16 @@ class Ensemble:
             out[known, f] = 1 + np.searchsorted(edge, values[known, f], "left")
         return out
 
-    def margins(self, codes: np.ndarray) -> np.ndarray:
-        """Sums of leaf values by (row, model x class)."""
-        out = np.zeros((len(codes), self.models * self.plan.outputs))
-        for tree in self.trees:
+    def margins(self, codes: np.ndarray, base: np.ndarray | None = None, since: int = 0) -> np.ndarray:
+        """Sums of leaf values by (row, model x class): of the trees from `since` on, and base."""
+        out = np.zeros((len(codes), self.models * self.plan.outputs)) if base is None else base.copy()
+        for tree in self.trees[since:]:
             out += leaf(codes, tree[:3], self.plan.depth, tree[3])
         return out
 
-    def predict(self, codes: np.ndarray) -> np.ndarray:
+    def predict(self, codes: np.ndarray, base: np.ndarray | None = None, since: int = 0) -> np.ndarray:
         """Probabilities, or numbers, by (row, model, class)."""
-        return link(self.margins(codes).reshape(len(codes), self.models, -1), self.plan.classes)
+        return link(self.margins(codes, base, since).reshape(len(codes), self.models, -1), self.plan.classes)
 
     def score(self, rows: DataFrame, name: str = "p") -> DataFrame:
         """rows with an array of all models' probabilities (or numbers), class by class."""
@@ -111,14 +113,24 @@ def link(margins: np.ndarray, classes: int) -> np.ndarray:
 def leaf(codes: np.ndarray, tree: tuple[np.ndarray, np.ndarray, np.ndarray], levels: int, values: np.ndarray | None = None) -> np.ndarray:
     """Each row's node after so many levels, by (row, model x class), or the value there."""
     feature, cut, missing = tree
-    model = np.arange(len(feature))
-    node = np.zeros((len(codes), len(feature)), np.int64)
-    for _ in range(levels):
-        code = np.take_along_axis(codes, feature[model, node], 1)
-        right = np.where(code == 0, ~missing[model, node], code > cut[model, node])
-        node = 2 * node + 1 + right
-    node -= 2**levels - 1
-    return node if values is None else values[model, node]
+    columns = np.ascontiguousarray(codes.T)
+    absent, most = columns == 0, columns.max(initial=0)
+    out = np.zeros((len(feature), len(codes)), np.int64 if values is None else float)
+    for m in range(len(feature)):
+        if values is not None and not values[m].any():
+            continue  # a model that has stopped
+        node = np.zeros(len(codes), np.int8)
+        for level in range(levels):
+            right = np.zeros(len(codes), bool)
+            for k in range(2**level):
+                at = 2**level - 1 + k
+                f = feature[m, at]
+                if cut[m, at] < most or not missing[m, at]:
+                    above = columns[f] > cut[m, at]
+                    right |= (node == k) & (above if missing[m, at] else above | absent[f])
+            node = 2 * node + right
+        out[m] = node if values is None else values[m][node]
+    return out.T
 
 
 def slopes(p: np.ndarray, y: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,11 +145,11 @@ def slopes(p: np.ndarray, y: np.ndarray, classes: int) -> tuple[np.ndarray, np.n
     return p - hot, p * (1 - p), -np.log(np.clip(np.where(hot, p, 0).sum(2), 1e-12, 1))
 
 
-def sums(model: Ensemble, tree: tuple[np.ndarray, np.ndarray, np.ndarray], level: int, codes: np.ndarray, y: np.ndarray, late: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def sums(model: Ensemble, tree: tuple[np.ndarray, np.ndarray, np.ndarray], level: int, codes: np.ndarray, y: np.ndarray, late: np.ndarray, weight: np.ndarray, base: np.ndarray | None = None, since: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(sums by model x class, node, feature, bin; losses and weights of late rows by model) of some rows."""
     outputs, nodes, bins = model.plan.outputs, 2**level, model.plan.bins + 1
     n, width = len(codes), model.models * outputs
-    g, h, loss = slopes(model.predict(codes), np.nan_to_num(y), model.plan.classes)
+    g, h, loss = slopes(model.predict(codes, base, since), np.nan_to_num(y), model.plan.classes)
     known = ~np.isnan(y)
     fitted = (known & ~late).repeat(outputs, axis=1)
     w = weight[:, None] * fitted
@@ -186,15 +198,15 @@ def fit(rows: DataFrame, features: Sequence[str], labels: str, plan: Plan, weigh
     model = Ensemble(plan, tuple(features), [np.unique(np.array(x or [], float)) for x in found[:-1]], found[-1] or 0)
     if not model.models:
         return model
-    table = rows.select(inputs(features).alias("x"), F.col(labels).cast("array<double>").alias("y"), F.coalesce(F.col(weight) if weight else F.lit(1.0), F.lit(0.0)).cast("double").alias("w"), (F.col(late) if late else F.lit(None)).cast("array<boolean>").alias("late"))
-    table = staged(table, "boosting")
+    table = rows.select(inputs(features).alias("x"), F.col(labels).cast("array<double>").alias("y"), F.coalesce(F.col(weight) if weight else F.lit(1.0), F.lit(0.0)).cast("double").alias("w"), F.transform(F.col(late), lambda t: F.coalesce(t, F.lit(False))).alias("late") if late else F.array().cast("array<boolean>").alias("late"), F.array().cast("array<double>").alias("m"))
+    table, since = staged(table, "boosting"), 0
     going, best, stale = np.ones(model.models, bool), np.full(model.models, np.inf), np.zeros(model.models, int)
     for _ in range(plan.trees):
         width, places = model.models * plan.outputs, 2**plan.depth - 1
         feature, cut, missing = np.zeros((width, places), np.int64), np.full((width, places), plan.bins + 1), np.ones((width, places), bool)
         sides = np.zeros((width, 1, 2, 2))
         for level in range(plan.depth):
-            hist, loss = gathered(table, model, (feature, cut, missing), level)
+            hist, loss = gathered(table, model, (feature, cut, missing), level, since)
             if level == 0 and late:
                 with np.errstate(invalid="ignore", divide="ignore"):
                     now = np.where(loss[:, 1] > 0, loss[:, 0] / loss[:, 1], -np.inf)
@@ -207,27 +219,49 @@ def fit(rows: DataFrame, features: Sequence[str], labels: str, plan: Plan, weigh
         g, h = sides.reshape(width, 2**plan.depth, 2).transpose(2, 0, 1)
         value = -plan.rate * g / (h + plan.l2) * going.repeat(plan.outputs)[:, None]
         model.trees.append((feature, cut, missing, value))
+        if len(model.trees) - since == KEPT and len(model.trees) < plan.trees:
+            table, since = with_margins(table, model, since), len(model.trees)
     return model
 
 
-def gathered(table: DataFrame, model: Ensemble, tree: tuple[np.ndarray, np.ndarray, np.ndarray], level: int) -> tuple[np.ndarray, np.ndarray]:
-    """sums over a whole table (x, y, w, late): added up in each task, then by chunks of models."""
+def grid(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """A column of arrays of one length as a matrix; null is NaN."""
+    return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def parts_of(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    step = max(1, CELLS // max(1, width))
+    for batch in batches:
+        yield from (batch.slice(at, step) for at in range(0, batch.num_rows, step))
+
+
+def with_margins(table: DataFrame, model: Ensemble, since: int) -> DataFrame:
+    """The table with the margins of all trees so far, written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts_of(batches, model.models * model.plan.outputs):
+            m = model.margins(model.codes(grid(part, "x")), grid(part, "m") if since else None, since)
+            at = part.schema.get_field_index("m")
+            column = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
+            yield part.set_column(at, part.schema.field(at), column.cast(part.schema.field(at).type))
+
+    return staged(table.mapInArrow(run, table.schema), "margins")
+
+
+def gathered(table: DataFrame, model: Ensemble, tree: tuple[np.ndarray, np.ndarray, np.ndarray], level: int, since: int) -> tuple[np.ndarray, np.ndarray]:
+    """sums over a whole table (x, y, w, late, m): added up in each task, then by chunks of models."""
     shape = (model.models * model.plan.outputs, 2**level, len(model.features), model.plan.bins + 1, 3)
-    step = max(1, CELLS // shape[0])
     chunks = [slice(a, min(a + CHUNK, model.models)) for a in range(0, model.models, CHUNK)]
     wide = lambda s: slice(s.start * model.plan.outputs, s.stop * model.plan.outputs)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hist, loss = np.zeros(shape), np.zeros((model.models, 2))
-        for batch in batches:
-            for a in range(0, batch.num_rows, step):
-                part = batch.slice(a, step)
-                grid = lambda c, kind=float: np.array(part.column(c).to_pylist(), dtype=kind).reshape(part.num_rows, -1)  # noqa: B023, E731
-                y = grid("y")
-                late = np.zeros(y.shape, bool) if part.column("late").null_count else grid("late", bool)
-                some, more = sums(model, tree, level, model.codes(grid("x")), y, late, part.column("w").to_numpy())
-                hist += some
-                loss += more
+        for part in parts_of(batches, shape[0]):
+            y, late = grid(part, "y"), grid(part, "late").astype(bool)
+            late = late if late.size else np.zeros(y.shape, bool)
+            some, more = sums(model, tree, level, model.codes(grid(part, "x")), y, late, part.column("w").to_numpy(), grid(part, "m") if since else None, since)
+            hist += some
+            loss += more
         if hist.any() or loss.any():
             blobs = [np.concatenate([hist[wide(s)].ravel(), loss[s].ravel()]).tobytes() for s in chunks]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "sums"])
