@@ -8,7 +8,7 @@ import pytest
 from tickloom.operators import signals as rules
 from tickloom.operators.intervals import overlaps, uniqueness
 from tickloom.operators.labels import first_touch, meta_labels
-from tickloom.operators.models import block_null, cuts, folds, shuffled, threshold
+from tickloom.operators.models import block_null, cuts, folds, shuffled, thresholds
 from tickloom.operators.signals import Rules
 from tickloom.sources.market import resample
 
@@ -177,5 +177,5 @@ def test_shuffles_and_nulls(spark):
     cut = folds(rows, "x", 4)
     n = {r["fold"]: r["count"] for r in cut.groupBy("fold").count().collect()}
     assert sorted(n) == [0, 1, 2, 3, 4] and abs(n[0] - 150) < 5 and abs(n[4] - 87) < 5
-    picked = threshold(rows.selectExpr("x AS p", "CASE WHEN x > 300 THEN 1.0 ELSE -1.0 END AS net"), "p", "net")
+    picked = thresholds(rows.selectExpr("1 AS g", "CAST(x AS DOUBLE) AS p", "CASE WHEN x > 300 THEN 1.0 ELSE -1.0 END AS net"), ["g"], "p", "net").first()["cut"]
     assert picked >= 300 and cuts(rows, "x", [0.5])[0] == pytest.approx(249.5, abs=2)
