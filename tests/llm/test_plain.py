@@ -38,19 +38,28 @@ def test_candidates_equal_a_plain_search(spark):
     pattern = re.compile(secrets.CANDIDATE)
     key = lambda n: "".join(R.choice("abcdefABCDEF0123456789") for _ in range(n))
     texts = [None, "", "short a1b2c3", f'x password="{key(14)}7a" end', f"a={key(32)}&b={key(32)}&a2={key(40)}", f"eyJ{key(30)}.{key(20)}.{key(10)}==", "x" * 19 + " " + "y" * 20, f"{key(24)} {key(24)}"]
+    # Words of many candidates, of long ones and with long neighbours.
+    texts += [":".join(key(R.choice([12, 13, 30, 200])) for _ in range(300)) for _ in range(3)] + ["q" * 5000 + "! " + ";".join(key(16) for _ in range(50)) + " " + "z:" * 4000]
     texts += [" ".join(R.choice(["the", key(R.randint(3, 40)), "token:", "2353820953013749", "a-b_c/d"]) for _ in range(30)) for _ in range(20)]
     want = []
     for i, t in enumerate(texts):
         words = re.split(r"\s+", t) if t is not None else []
         for at, w in enumerate(words):
             for m in pattern.finditer(w):
-                two = " ".join([words[at - 2] if at > 1 else "", words[at - 1] if at else ""])
-                want.append((i, at, m.group(), f"{two} {w[: m.start()]}", words[at + 1] if at + 1 < len(words) else ""))
+                two = " ".join([words[at - 2][-64:] if at > 1 else "", words[at - 1][-64:] if at else ""])
+                want.append((i, at, m.group(), f"{two} {w[: m.start()][-64:]}", words[at + 1][:64] if at + 1 < len(words) else ""))
     docs = frame(spark, list(enumerate(texts))).withColumn("source", F.lit("s")).withColumn("words", F.lit("clash")).withColumn("near", F.lit(1))
     got = [(r["doc_id"], r["word_at"], r["candidate"], r["before"], r["after"]) for r in secrets.candidates(docs, "source").collect()]
     assert sorted(got) == sorted(want) and len(want) > 80
 
 
+def test_a_long_text_without_spaces_costs_its_length(spark):
+    key = lambda n: "".join(R.choice("abcdef0123456789") for _ in range(n))
+    docs = frame(spark, [(1, ",".join(key(20) for _ in range(20_000)))]).withColumn("source", F.lit("s"))
+    kept = secrets.candidates(docs, "source").agg(F.count("*").alias("n"), F.sum(F.length("before")).alias("chars")).first()
+    assert kept["n"] == 20_000 and kept["chars"] <= 20_000 * (3 * secrets.BACK + 2)
+
+
 # --- packing
 
 

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 LEAST, SHORT = 20, 12
+#: Characters that are looked at before a candidate, in its word and in the two words before.
+BACK = 64
 _KEY = r"A-Za-z0-9+/_\-"
 CANDIDATE = rf"(?:[{_KEY}]{{{LEAST},}}|(?=[0-9+/_\-]*[A-Za-z])(?=[A-Za-z+/_\-]*[0-9])[{_KEY}]{{{SHORT},}})(?:[.=]+[{_KEY}]+)*=*"
 #: The forest is fitted on so many labelled findings at most.
@@ -103,19 +105,22 @@ def train(findings: DataFrame) -> PipelineModel:
 def candidates(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, word_at, candidate, before, after, path) of each candidate in docs' whole texts.
 
-    before is the two words before the candidate's word and what stands before it there. Only
-    words with a candidate and their neighbours leave the text, whatever its length.
+    before is the end of the two words before the candidate's word and of what stands before it there, BACK
+    characters each at most: a word with any number of candidates, or a text without a space, costs its length.
+    Only words with a candidate and their neighbours leave the text.
     """
     found = docs.where(F.col("text").rlike(CANDIDATE)).select("doc_id", F.col(path).alias("path"), F.split("text", r"\s+").alias("words"))
-    word = lambda i: F.coalesce(F.get("words", i), F.lit(""))
-    near = lambda w, i: F.struct(i.alias("word_at"), w.alias("word"), F.concat_ws(" ", word(i - 2), word(i - 1)).alias("near"), word(i + 1).alias("after"))
+    end = lambda x: F.right(F.coalesce(x, F.lit("")), F.lit(BACK))
+    near = lambda w, i: F.struct(i.alias("word_at"), w.alias("word"), F.concat_ws(" ", end(F.get("words", i - 2)), end(F.get("words", i - 1))).alias("near"), F.left(F.coalesce(F.get("words", i + 1), F.lit("")), F.lit(BACK)).alias("after"))
     hits = F.filter(F.transform("words", lambda w, i: F.when(w.rlike(CANDIDATE), near(w, i))), lambda x: x.isNotNull())
     found = found.select("doc_id", "path", F.inline(hits))
     found = found.withColumns({"all": F.regexp_extract_all("word", F.lit(CANDIDATE), 0), "between": F.split("word", CANDIDATE, -1)})
-    found = found.select("doc_id", "path", "word_at", "near", "after", "all", "between", F.posexplode("all").alias("k", "candidate"))
-    # What stands before the k-th candidate: the parts between and the candidates up to it.
-    head = F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: F.concat(F.get("between", i), F.when(i < F.col("k"), F.get("all", i)).otherwise("")))
-    return found.select("doc_id", "path", "word_at", "candidate", "after", F.concat(F.col("near"), F.lit(" "), F.array_join(head, "")).alias("before"))
+    # Candidates have SHORT characters, so the last few of them and what is between them fill BACK.
+    few = range(-(-BACK // SHORT), 0, -1)
+    head = lambda i: end(F.concat(*(x for k in few for x in (end(F.get("between", i - k)), end(F.get("all", i - k)))), end(F.get("between", i))))
+    each = F.transform("all", lambda x, i: F.struct(x.alias("candidate"), head(i).alias("head")))
+    found = found.select("doc_id", "path", "word_at", "near", "after", F.inline(each))
+    return found.select("doc_id", "path", "word_at", "candidate", "after", F.concat_ws(" ", "near", "head").alias("before"))
 
 
 def scan(docs: DataFrame, model: PipelineModel, path: str = "source", threshold: float = THRESHOLD) -> DataFrame:
@@ -131,7 +136,11 @@ def scan(docs: DataFrame, model: PipelineModel, path: str = "source", threshold:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All candidates of documents with their verdicts; a secret is shown by its ends and hash only."""
+    """All candidates of documents with their verdicts; a secret is shown by its ends and hash only.
+
+    Null and empty texts have none, equal rows report theirs each, repeated candidates are all reported, a text without
+    spaces is one word, an empty table gives no row.
+    """
     found = scan(table(spark, sf_dir, "documents"), train(labelled_findings(spark)))
     shown = F.concat(F.substring("candidate", 1, 4), F.lit("..."), F.substring("candidate", -2, 2))
     return found.select("doc_id", "word_at", shown.alias("shown"), F.sha2("candidate", 256).alias("candidate_sha256"), F.round("score", 6).alias("score"), "is_secret")
