@@ -175,6 +175,6 @@ def block_null(values: DataFrame, by: str, order: str, taken: str, net: str, dra
     number = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
     rows = values.withColumn("_n", number).select(by, F.floor(F.col("_n") / block).alias("_b"), (F.col("_n") % block).alias("_i"), taken, net)
     blocks = rows.select(by, "_b").distinct().crossJoin(F.broadcast(spark.range(draws).withColumnRenamed("id", "draw")))  # draws, a parameter
-    dealt = blocks.withColumn("_to", F.row_number().over(Window.partitionBy(by, "draw").orderBy(F.xxhash64("draw", by, "_b"), "_b")) - 1)
+    dealt = blocks.withColumn("_to", F.row_number().over(Window.partitionBy(by, "draw").orderBy(F.md5(F.concat_ws("|", "draw", by, "_b")), "_b")) - 1)
     moved = rows.where(taken).select(by, "_b", "_i").join(dealt, [by, "_b"]).join(rows.select(by, F.col("_b").alias("_to"), "_i", net), [by, "_to", "_i"])
     return moved.groupBy("draw").agg(F.avg(net).alias("mean"))

@@ -12,7 +12,7 @@ from ..operators.boosting import Plan
 from ..operators.ranges import in_slice, with_edges
 from ..sources.market import bars, quotes, trades
 from ..sources.stage import staged
-from .queries_rules import LATER_SQL, P, both, feat, signals_sql, touches, unique
+from .queries_rules import LATER_SQL, P, both, feat, features_sql, signals_sql, touches, unique
 from .registry import query
 
 X = ("imb", "relvol", "clv_s", "day_imb")
@@ -128,34 +128,44 @@ def _(spark, d):
     return out.groupBy("draw").agg(F.count_if("taken").alias("n"), F.avg(F.when(F.col("taken"), F.col("net"))).alias("mean"))
 
 
-@query("ml15_block_null")
+BLOCK_DRAWS, BLOCK = 200, 64
+
+
+@query(
+    "ml15_block_null",
+    f"""WITH {features_sql(P)}, nv AS (SELECT symbol, ts, coalesce(imb > 0.2, false) AS taken, lead(close) OVER (PARTITION BY symbol, day ORDER BY ts) / close - 1 AS ret FROM x),
+    nn AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS n FROM nv WHERE ret IS NOT NULL), nb AS (SELECT symbol, n // {BLOCK} AS b, n % {BLOCK} AS i, taken, ret FROM nn),
+    de AS (SELECT g.draw, d.symbol, d.b, row_number() OVER (PARTITION BY d.symbol, g.draw ORDER BY md5(g.draw || '|' || d.symbol || '|' || d.b), d.b) - 1 AS t FROM (SELECT DISTINCT symbol, b FROM nb) AS d CROSS JOIN (SELECT unnest(range({BLOCK_DRAWS})) AS draw) AS g)
+    SELECT de.draw, round(avg(r.ret), 6) AS mean FROM nb AS m JOIN de ON de.symbol = m.symbol AND de.b = m.b JOIN nb AS r ON r.symbol = m.symbol AND r.b = de.t AND r.i = m.i WHERE m.taken GROUP BY de.draw""",
+)
 def _(spark, d):
     rows = feat(spark, d).withColumn("ret", F.lead("close").over(rules.by_day()) / F.col("close") - 1)
     values = rows.select("symbol", "ts", F.coalesce(F.col("imb") > 0.2, F.lit(False)).alias("taken"), "ret").where("ret IS NOT NULL")
-    return models.block_null(values, "symbol", "ts", "taken", "ret", 200, 64)
+    return models.block_null(values, "symbol", "ts", "taken", "ret", BLOCK_DRAWS, BLOCK).withColumn("mean", F.round("mean", 6))
 
 
-DRAWS = 50
+DRAWS = 1000
 
 
 @query(
     "ml16_random_entry_null",
-    f"""WITH RECURSIVE_ {signals_sql(P)}, {LATER_SQL}, last AS (SELECT symbol, day, max(ts) AS ts, arg_max(close, ts) AS close FROM {{bars}} GROUP BY symbol, day),
-    pick AS (SELECT g.draw, b.symbol, b.day, s.signal, arg_min(b.close, md5(g.draw || '|' || b.symbol || '|' || s.signal || '|' || CAST(epoch(b.ts) AS BIGINT))) AS entry, any_value(l.close) AS close
-      FROM (SELECT DISTINCT symbol, day, signal FROM sig) AS s JOIN {{bars}} AS b USING (symbol, day) JOIN last AS l ON l.symbol = b.symbol AND l.day = b.day AND b.ts < l.ts CROSS JOIN (SELECT unnest(range({DRAWS})) AS draw) AS g GROUP BY g.draw, b.symbol, b.day, s.signal),
-    n AS (SELECT draw, avg((close / entry - 1) * 100 * (CASE WHEN signal = 'BUY' THEN 1 ELSE -1 END)) AS mean, count(*) AS n FROM pick GROUP BY draw)
-    SELECT draw, n, round(mean, 6) AS mean, mean >= (SELECT avg(to_close) FROM outs) AS beats FROM n""",
+    f"""WITH RECURSIVE_ {signals_sql(P)}, {LATER_SQL}, ob AS (SELECT symbol, day, close, row_number() OVER d - 1 AS k, count(*) OVER (PARTITION BY symbol, day) - 1 AS n, last_value(close) OVER (PARTITION BY symbol, day ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS final FROM {{bars}} WINDOW d AS (PARTITION BY symbol, day ORDER BY ts)),
+    gr AS (SELECT DISTINCT s.symbol, s.day, s.signal, ob.n FROM sig AS s JOIN ob USING (symbol, day) WHERE ob.n > 0),
+    pk AS (SELECT g.draw, gr.*, CAST('0x' || substr(md5(g.draw || '|' || gr.symbol || '|' || gr.day || '|' || gr.signal), 1, 8) AS BIGINT) % gr.n AS k FROM gr CROSS JOIN (SELECT unnest(range({DRAWS})) AS draw) AS g),
+    nu AS (SELECT pk.draw, avg((ob.final / ob.close - 1) * 100 * (CASE WHEN pk.signal = 'BUY' THEN 1 ELSE -1 END)) AS mean, count(*) AS n FROM pk JOIN ob ON ob.symbol = pk.symbol AND ob.day = pk.day AND ob.k = pk.k GROUP BY pk.draw)
+    SELECT draw, n, round(mean, 6) AS mean, mean >= (SELECT avg(to_close) FROM outs) AS beats FROM nu""",
 )
 def _(spark, d):
+    """Random entries on the days of the signals: a draw is a bar's place in its day, met by an equi-join, so draws cost
+    days and not bars."""
     f, sig = both(spark, d)
     observed = rules.outcomes(f, sig, P.target_pct).agg(F.avg("to_close").alias("observed"))
-    b = bars(spark, d).select("symbol", "day", "ts", "close")
-    last = b.groupBy("symbol", "day").agg(F.max("ts").alias("end"), F.max_by("close", "ts").alias("last"))
-    entries = sig.select("symbol", "day", "signal").distinct().join(b, ["symbol", "day"]).join(last, ["symbol", "day"]).where("ts < end")
-    spread = entries.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DRAWS - 1).cast("long"))))
-    drawn = F.md5(F.concat_ws("|", "draw", "symbol", "signal", F.unix_timestamp(F.col("ts").cast("timestamp"))))
-    pick = spread.groupBy("draw", "symbol", "day", "signal").agg(F.min_by("close", drawn).alias("entry"), F.first("last").alias("last"))
-    moves = pick.withColumn("move", (F.col("last") / F.col("entry") - 1) * 100 * rules.side(F.col("signal")))
+    whole = Window.partitionBy("symbol", "day")
+    b = bars(spark, d).select("symbol", "day", "close", (F.row_number().over(rules.by_day()) - 1).cast("long").alias("k"), (F.count("*").over(whole) - 1).alias("n"), F.max_by("close", "ts").over(whole).alias("final"))
+    groups = sig.select("symbol", "day", "signal").distinct().join(b.where("k = 0 AND n > 0").select("symbol", "day", "n"), ["symbol", "day"])
+    spread = groups.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DRAWS - 1).cast("long"))))
+    drawn = F.conv(F.left(F.md5(F.concat_ws("|", "draw", "symbol", F.col("day").cast("string"), "signal")), F.lit(8)), 16, 10).cast("long")
+    moves = spread.withColumn("k", drawn % F.col("n")).join(b.drop("n"), ["symbol", "day", "k"]).withColumn("move", (F.col("final") / F.col("close") - 1) * 100 * rules.side(F.col("signal")))
     null = moves.groupBy("draw").agg(F.count("*").alias("n"), F.avg("move").alias("mean")).crossJoin(F.broadcast(observed))  # one row
     return null.select("draw", "n", F.round("mean", 6).alias("mean"), (F.col("mean") >= F.col("observed")).alias("beats"))
 
