@@ -12,6 +12,7 @@ from ..operators.decompose import idio_shares
 from ..operators.islands import merge_islands
 from ..sources.market import bars, catalysts, daily, fine_bars, news, read, trades
 from ..sources.stage import staged
+from .queries_core import spearman
 from .queries_events import _ISLANDS, _MAD, _TOKENS_SQL, MARKET_SQL, _zscored, fitted_market
 from .registry import query, undated
 
@@ -273,6 +274,35 @@ def _(spark, d):
     return study(spark, d).select("symbol", "quarter", "how", F.col("rel").cast("string").alias("day"), r(run, "run_up_5d"), r(F.col("close") / F.col("open") - 1, "reaction_oc"), r(cc, "reaction_cc"), r(F.col("n1") / F.col("close") - 1, "post_1d"), r(F.when(F.col("n1").isNotNull(), F.col("n5") / F.col("close") - 1), "post_5d"), ((run > 0.05) & (cc < 0)).alias("fade"))
 
 
+@query(
+    "ed20_study_summary",
+    f"""WITH {STUDY_SQL}, rq AS (SELECT symbol, quarter, c1 / c6 - 1 AS ru, c0 / c1 - 1 AS cc FROM st WHERE c1 / c6 IS NOT NULL AND c0 / c1 IS NOT NULL),
+    rk AS (SELECT *, rank() OVER (PARTITION BY symbol ORDER BY ru) + (count(*) OVER (PARTITION BY symbol, ru) - 1) / 2.0 AS a, rank() OVER (PARTITION BY symbol ORDER BY cc) + (count(*) OVER (PARTITION BY symbol, cc) - 1) / 2.0 AS b, max(quarter) OVER (PARTITION BY symbol) AS focus FROM rq),
+    fo AS (SELECT symbol, max(ru) AS fru, max(cc) AS fcc FROM rk WHERE quarter = focus GROUP BY symbol)
+    SELECT symbol, count(*) AS n, round(CASE WHEN count(*) >= 4 THEN corr(ru, cc) END, 3) AS pearson_r, round(CASE WHEN count(*) >= 4 THEN corr(CAST(a AS DOUBLE), CAST(b AS DOUBLE)) END, 3) AS spearman_r, round(avg(CAST(cc < 0 AS INT)), 3) AS red, round(avg(CASE WHEN ru > 0.05 THEN CAST(cc < 0 AS INT) END), 3) AS red_after_run_up,
+      count(*) FILTER (WHERE ru > 0.05) AS n_run_up, round(avg(CAST(ru <= fru AS INT)), 3) AS run_up_percentile, round(avg(CAST(cc <= fcc AS INT)), 3) AS reaction_percentile FROM rk JOIN fo USING (symbol) GROUP BY symbol""",
+)
+def _(spark, d):
+    """Of the identified releases of each symbol: base rates, correlations from four releases on, and where the last quarter's
+    run-up and reaction stand among all."""
+    rows = study(spark, d).select("symbol", "quarter", (F.col("c1") / F.col("c6") - 1).alias("ru"), (F.col("close") / F.col("c1") - 1).alias("cc")).where("ru IS NOT NULL AND cc IS NOT NULL")
+    return summary(rows)
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """The summary of releases (symbol, quarter, ru, cc), one a quarter; ties share ranks."""
+    focus = rows.groupBy("symbol").agg(F.max_by(F.struct("ru", "cc"), "quarter").alias("f"))
+    red, big = (F.col("cc") < 0).cast("int"), F.col("ru") > 0.05
+    enough = lambda x: F.round(F.when(F.count("*") >= 4, x), 3)
+    share = lambda x, name: F.round(F.avg(x), 3).alias(name)
+    facts = rows.join(focus, "symbol").groupBy("symbol").agg(
+        F.count("*").alias("n"), enough(F.corr("ru", "cc")).alias("pearson_r"), share(red, "red"), share(F.when(big, red), "red_after_run_up"), F.count_if(big).alias("n_run_up"),
+        share((F.col("ru") <= F.col("f.ru")).cast("int"), "run_up_percentile"), share((F.col("cc") <= F.col("f.cc")).cast("int"), "reaction_percentile"),
+    )
+    ranks = spearman(rows, ["symbol"], "ru", "cc").select("symbol", "rho")
+    return facts.join(ranks, "symbol", "left").withColumn("spearman_r", F.when(F.col("n") >= 4, F.round("rho", 3))).drop("rho")
+
+
 # --- documents and reports of events
 
 #: Ties are put up in either engine by a little more than half.

@@ -44,7 +44,7 @@ def bars(name: str, *exprs: str, frame: str = "bars", first: str = "", keys: str
 
 # --- scans
 sql("sc4_bar_frame", "SELECT symbol, ts, open, high, low, close, volume, CASE WHEN tod < '09:30' THEN 'pre' WHEN tod <= '15:59' THEN 'regular' ELSE 'post' END AS session FROM (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY open) AS rn FROM {bars}) AS b WHERE rn = 1")
-sql("sc5_weekdays", "SELECT day FROM (SELECT explode(sequence(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS day) AS d WHERE weekday(day) < 5", "SELECT CAST(day AS DATE) AS day FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS day) AS d WHERE isodow(day) < 6")
+sql("sc5_weekdays", "SELECT day FROM (SELECT explode(sequence(lo, hi, INTERVAL 1 DAY)) AS day FROM (SELECT min(day) AS lo, max(day) AS hi FROM {bars}) AS b) AS d WHERE weekday(day) < 5", "SELECT day FROM (SELECT CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT min(day) AS lo, max(day) AS hi FROM {bars}) AS b) AS d WHERE isodow(day) < 6")
 sql("sc6_range_scan", "SELECT symbol, ts, close FROM {bars} WHERE ts >= TIMESTAMP_NTZ '2024-01-05 00:00:00' AND ts < TIMESTAMP_NTZ '2024-01-15 00:00:00'", "SELECT symbol, ts, close FROM {bars} WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-15 00:00:00'")
 sql("sc7_daily_scan", "SELECT symbol, day, open, high, low, close, volume FROM {daily}")
 sql("sc11_consolidate", "SELECT DISTINCT symbol, ts, close FROM {bars} WHERE tod BETWEEN '09:30' AND '15:59'")
@@ -89,7 +89,6 @@ sql("jn14_anti_day_side", "SELECT a.event_id FROM {trades} AS a LEFT ANTI JOIN {
 sql("jn15_kept_signals", "SELECT t.event_id FROM {trades} AS t LEFT SEMI JOIN {quotes} AS q ON t.symbol = q.symbol AND t.day = q.day", "SELECT t.event_id FROM {trades} AS t SEMI JOIN {quotes} AS q ON t.symbol = q.symbol AND t.day = q.day")
 bars("jn16_offsets", f"lag(close, 5) OVER ({S}) AS before, lead(close, 5) OVER ({S}) AS after")
 sql("jn17_key_semi", "SELECT b.symbol, b.ts FROM {bars} AS b WHERE b.day IN (SELECT day FROM {ticks} GROUP BY day HAVING max(price) > 490)")
-sql("jn20_grid", "SELECT CAST(b.threshold AS DOUBLE) AS buy, CAST(s.threshold AS DOUBLE) AS sell FROM (VALUES (0.2), (0.25), (0.3), (0.35)) AS b(threshold) CROSS JOIN (VALUES (-0.2), (-0.25), (-0.3), (-0.35)) AS s(threshold)", "SELECT CAST(b.threshold AS DOUBLE) AS buy, CAST(s.threshold AS DOUBLE) AS sell FROM (VALUES (0.2), (0.25), (0.3), (0.35)) AS b(threshold) CROSS JOIN (VALUES (-0.2), (-0.25), (-0.3), (-0.35)) AS s(threshold)")
 bars("jn21_bleed_join", "round(whole, 6) AS whole, round(alone, 6) AS alone, whole IS NOT NULL AND alone IS NULL AS bleeds", first=f"{roll('avg', 5, 'close')} AS whole, {roll('avg', 5, 'close', D)} AS alone")
 
 # --- aggregates

@@ -16,6 +16,7 @@ from ..operators.profile import value_area, volume_buckets, volume_profile
 from ..operators.quantiles import crowded, quantiles
 from ..operators.ranges import ranked
 from ..operators.recurrences import ewm_spread, rolling_median
+from ..sources.landed import Settings
 from ..sources.market import bars, daily, fine_bars, news, quotes, read, trades
 from .queries_core import CLV, RET, RET_S, S, SIGNED, VWAP, D, roll
 from .registry import ORACLE_SQL, query, sql, undated
@@ -159,7 +160,57 @@ def _(spark, d):
     return out.select("symbol", F.concat(F.lit("E"), F.date_format("first_ts", "MMdd-HHmm")).alias("event_id"), "first_ts", "last_ts", "n_bars", F.round(F.col("r") * 100, 4).alias("magnitude_pct"), "peak_z", "peak_vol_z", F.when(F.col("r") >= 0, "up").otherwise("down").alias("direction"))
 
 
-sql("ed8_vwap_drift", f"WITH v AS (SELECT symbol, day, ts, (close - {VWAP}) / ({VWAP}) AS dev FROM {{bars}}), w AS (SELECT *, max(abs(dev)) OVER (PARTITION BY symbol, day) AS top FROM v), g AS (SELECT symbol, 2 * stddev_samp(ln(close) - ln(pc)) AS lim FROM (SELECT symbol, close, lag(close) OVER (PARTITION BY symbol ORDER BY day) AS pc FROM (SELECT symbol, day, max_by(close, ts) AS close FROM {{bars}} GROUP BY symbol, day) AS c) AS p GROUP BY symbol) SELECT w.symbol, min(w.ts) AS first_ts, max(w.ts) AS last_ts, round(max(w.top), 6) AS peak FROM w JOIN g ON w.symbol = g.symbol WHERE w.top >= g.lim / 4 AND abs(w.dev) >= w.top / 2 GROUP BY w.symbol, w.day")
+
+
+#: Of the spread of daily returns: how far a price strays from its average price, for hourly bars that jump about (2 for finer ones).
+DRIFT_SIGMAS = 0.5
+
+
+@query(
+    "ed8_vwap_drift",
+    f"""WITH {_MAD}{_ISLANDS}, sp AS (SELECT symbol, day, min(ts) AS a, max(ts) AS b FROM i GROUP BY symbol, day, island),
+    dv AS (SELECT symbol, day, ts, (close - {VWAP}) / ({VWAP}) AS dev FROM {{bars}}), v AS (SELECT * FROM dv JOIN z USING (symbol, day, ts)),
+    w AS (SELECT symbol, day, max(abs(dev)) AS top, arg_min(ts, ROW(-abs(dev), ts)) AS peak_ts, arg_min(dev, ROW(-abs(dev), ts)) AS peak_dev FROM v WHERE dev IS NOT NULL GROUP BY symbol, day),
+    dl AS (SELECT symbol, stddev_samp(ln(close) - ln(pc)) AS sd FROM (SELECT symbol, close, lag(close) OVER (PARTITION BY symbol ORDER BY day) AS pc FROM (SELECT symbol, day, arg_max(close, ts) AS close FROM {{bars}} GROUP BY symbol, day) AS c) AS p GROUP BY symbol),
+    o AS (SELECT w.* FROM w JOIN dl USING (symbol) WHERE w.top >= {DRIFT_SIGMAS} * dl.sd AND NOT EXISTS (SELECT 1 FROM sp WHERE sp.symbol = w.symbol AND sp.day = w.day AND w.peak_ts BETWEEN sp.a AND sp.b)),
+    e AS (SELECT o.symbol, o.day, o.top, o.peak_dev, min(v.ts) AS first_ts, max(v.ts) AS last_ts FROM o JOIN v ON v.symbol = o.symbol AND v.day = o.day AND abs(v.dev) >= o.top / 2 GROUP BY ALL)
+    SELECT e.symbol, 'D' || strftime(e.first_ts, '%m%d-%H%M') AS event_id, e.first_ts, e.last_ts, CASE WHEN e.peak_dev > 0 THEN 'up' ELSE 'down' END AS direction, round(sum(v.ret) * 100, 4) AS magnitude_pct, round(max(v.z_ret), 4) AS peak_z, round(max(e.top), 6) AS peak
+    FROM e JOIN v ON v.symbol = e.symbol AND v.day = e.day AND v.ts BETWEEN e.first_ts AND e.last_ts GROUP BY e.symbol, e.first_ts, e.last_ts, e.peak_dev""",
+)
+def _(spark, d):
+    return vwap_drift(spark, d)
+
+
+def vwap_drift(spark, d, sigmas: float = DRIFT_SIGMAS) -> DataFrame:
+    """Days on which the price strays from its average price by `sigmas` daily spreads at a time that no spike covers: from
+    the first to the last bar at half the largest distance or more. One window a day; the rest are aggregates by day."""
+    day = ["symbol", "day"]
+    b = bars(spark, d)
+    v = b.selectExpr("symbol", "day", "ts", f"(close - {VWAP}) / ({VWAP}) AS dev").join(_zscored(spark, d), [*day, "ts"])
+    spikes = _spikes(spark, d).groupBy(*day, "island").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    spans = spikes.groupBy(*day).agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # those of a day
+    far = F.struct((-F.abs("dev")).alias("d"), "ts", "dev")
+    top = v.where("dev IS NOT NULL").groupBy(*day).agg(F.min(far).alias("top"))
+    closes = b.groupBy(*day).agg(F.max_by("close", "ts").alias("close"))
+    moves = closes.withColumn("r", F.log("close") - F.log(F.lag("close").over(Window.partitionBy("symbol").orderBy("day"))))
+    limits = moves.groupBy("symbol").agg(F.stddev_samp("r").alias("sd"))
+    open_ = top.join(limits, "symbol").where(-F.col("top.d") >= sigmas * F.col("sd")).join(spans, day, "left")
+    open_ = open_.where(~F.coalesce(F.exists("spans", lambda x: F.col("top.ts").between(x["a"], x["b"])), F.lit(False))).drop("spans", "sd")
+    near = v.join(open_, day)
+    ends = near.where(F.abs("dev") >= -F.col("top.d") / 2).groupBy(*day).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    inside = near.join(ends, day).where(F.col("ts").between(F.col("first_ts"), F.col("last_ts")))
+    out = inside.groupBy("symbol", "first_ts", "last_ts").agg(F.sum("ret").alias("move"), F.max("z_ret").alias("z"), F.first("top").alias("top"))
+    return out.select("symbol", F.concat(F.lit("D"), F.date_format("first_ts", "MMdd-HHmm")).alias("event_id"), "first_ts", "last_ts", F.when(F.col("top.dev") > 0, "up").otherwise("down").alias("direction"), F.round(F.col("move") * 100, 4).alias("magnitude_pct"), F.round("z", 4).alias("peak_z"), r6(-F.col("top.d"), "peak"))
+
+
+@query("sc16_settings", f"WITH {_MAD} SELECT symbol, count(*) FILTER (WHERE z_ret >= 2.5 OR (z_vol >= 5.0 AND z_ret >= 2.0)) AS triggers FROM z GROUP BY symbol")
+def _(spark, d):
+    """Triggers under settings that override some defaults; names that are unknown are ignored."""
+    s = Settings.from_dict({"ret_z": 2.5, "unknown": 1})
+    hit = (F.col("z_ret") >= s.ret_z) | ((F.col("z_vol") >= s.vol_z) & (F.col("z_ret") >= s.vol_z_ret_min))
+    return _zscored(spark, d).groupBy("symbol").agg(F.count_if(hit).alias("triggers"))
+
+
 sql("ed9_gap_events", "WITH g AS (SELECT symbol, day, ln(open / lag(close) OVER (PARTITION BY symbol ORDER BY day)) AS gap FROM {daily}), s AS (SELECT symbol, stddev_samp(gap) AS sd FROM g GROUP BY symbol) SELECT g.symbol, g.day, round(gap / sd, 6) AS z FROM g JOIN s ON g.symbol = s.symbol WHERE abs(gap) / sd >= 2.5")
 sql("ed10_day_events", "WITH g AS (SELECT symbol, day, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY day)) AS cc FROM {daily}), s AS (SELECT symbol, stddev_samp(cc) AS sd FROM g GROUP BY symbol) SELECT g.symbol, g.day, round(cc / sd, 6) AS z FROM g JOIN s ON g.symbol = s.symbol WHERE abs(cc) / sd >= 2.0")
 sql("so4_union_event_kinds", "WITH g AS (SELECT symbol, day, ln(open / lag(close) OVER (PARTITION BY symbol ORDER BY day)) AS gap, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY day)) AS cc FROM {daily}) SELECT symbol, CAST(day AS STRING) AS at, 'gap' AS kind FROM g WHERE abs(gap) > 2 UNION ALL SELECT symbol, CAST(day AS STRING) AS at, 'day' AS kind FROM g WHERE abs(cc) > 2")
@@ -389,7 +440,10 @@ def auc(label: Column, rank: Column) -> Column:
 
 sql("sb6_daily_rules", "WITH f AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY day) AS pc, lag(low) OVER (PARTITION BY symbol ORDER BY day) AS pl, avg(volume) OVER (PARTITION BY symbol ORDER BY day ROWS 19 PRECEDING) AS v20, coalesce(((close - low) - (high - close)) / nullif(high - low, 0), 0) AS clv FROM {daily}) SELECT symbol, day, coalesce(close > pc AND clv >= 0 AND volume / v20 >= 1.15, false) AS buy, coalesce(open >= pc AND close < open AND clv <= 0 AND volume / v20 >= 1.15, false) AS reversal, coalesce(close < pl AND volume / v20 >= 1.15, false) AS breakdown FROM f")
 sql("sb7_daily_forward", "SELECT symbol, day, round(lead(close, 1) OVER (PARTITION BY symbol ORDER BY day) / close - 1, 6) AS f1, round(lead(close, 3) OVER (PARTITION BY symbol ORDER BY day) / close - 1, 6) AS f3, round(lead(close, 5) OVER (PARTITION BY symbol ORDER BY day) / close - 1, 6) AS f5 FROM {daily}")
-sql("sb12_scaled_params", "SELECT m, CAST(greatest(1, bround(m / 5.0, 0)) AS BIGINT) AS bars FROM (VALUES (30), (10), (50), (15)) AS p(m)")
+#: Minutes of the windows that are counted in bars, and the bars' own length: the least time between two of a day.
+_BAR_MIN = "(SELECT symbol, min(gap) AS bar FROM (SELECT symbol, (micros(ts) - micros(lagged)) / 60000000 AS gap FROM (SELECT symbol, ts, lag(ts) OVER (PARTITION BY symbol, day ORDER BY ts) AS lagged FROM {frame}) AS l WHERE lagged IS NOT NULL) AS g GROUP BY symbol) AS b"
+sql("sb12_scaled_params", "SELECT b.symbol, p.m, CAST(greatest(1, bround(p.m / CAST(b.bar AS DOUBLE), 0)) AS BIGINT) AS bars FROM " + _BAR_MIN.replace("{frame}", "{fine_bars}") + " CROSS JOIN (VALUES (30), (10), (50), (15)) AS p(m)")
+sql("tsk6_bars_of_minutes", "SELECT b.symbol, p.minutes, CAST(greatest(1, bround(p.minutes / CAST(b.bar AS DOUBLE), 0)) AS BIGINT) AS bars FROM " + _BAR_MIN.replace("{frame}", "{bars}") + " CROSS JOIN (VALUES (30), (90), (240), (600)) AS p(minutes)")
 sql("sb19_next_open", f"SELECT symbol, ts, lead(open) OVER ({D}) AS entry FROM {{bars}}")
 @query("ml12_auc", "WITH s AS (SELECT l.quality, CAST(length(d.text) AS DOUBLE) AS x FROM {labels} AS l JOIN {documents} AS d ON l.doc_id = d.doc_id), k AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / CAST(2 AS DOUBLE) AS r FROM s) SELECT round((sum(CASE WHEN quality = 1 THEN r END) - count(CASE WHEN quality = 1 THEN 1 END) * (count(CASE WHEN quality = 1 THEN 1 END) + 1) / CAST(2 AS DOUBLE)) / (count(CASE WHEN quality = 1 THEN 1 END) * count(CASE WHEN quality = 0 THEN 1 END)), 6) AS auc FROM k")
 def _(spark, d):
@@ -399,7 +453,6 @@ def _(spark, d):
 
 sql("ml17_leakage_probe", f"SELECT symbol, count(a) AS through, count(b) AS alone, count(CASE WHEN a IS NOT NULL AND b IS NULL THEN 1 END) AS bleeding FROM (SELECT symbol, {roll('avg', 10, 'volume')} AS a, {roll('avg', 10, 'volume', D)} AS b FROM {{bars}}) AS x GROUP BY symbol")
 sql("ml18_calibration", f"SELECT symbol, round(corr(sv, ret), 6) AS r, round(regr_slope(ret, sv) * 1000, 6) AS slope, count(*) AS n FROM (SELECT symbol, {RET_S} AS ret, {SIGNED} AS sv FROM {{bars}}) AS b WHERE ret IS NOT NULL GROUP BY symbol")
-sql("ed20_study_summary", "WITH k AS (SELECT *, lag(close, 1) OVER (PARTITION BY symbol ORDER BY day) / lag(close, 6) OVER (PARTITION BY symbol ORDER BY day) - 1 AS runup, close / open - 1 AS oc FROM {daily}) SELECT symbol, count(runup) AS n, round(avg(CAST(oc < 0 AS INT)), 6) AS red, round(avg(CASE WHEN runup > 0.05 THEN CAST(oc < 0 AS INT) END), 6) AS red_after_runup, round(corr(runup, oc), 6) AS r FROM k WHERE runup IS NOT NULL GROUP BY symbol HAVING count(runup) >= 4")
 sql("ma13_tail", "SELECT symbol, day, round(r / sd, 6) AS sigmas FROM (SELECT symbol, day, ln(close / open) AS r, stddev_samp(ln(close / open)) OVER (PARTITION BY symbol) AS sd FROM {daily}) AS x")
 
 

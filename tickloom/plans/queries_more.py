@@ -9,7 +9,7 @@ from ..operators import models
 from ..operators.intervals import running
 from ..operators.islands import spaced
 from ..operators.ranges import sliced
-from ..sources.landed import Settings, cache_key, capabilities, first_pages
+from ..sources.landed import cache_key, capabilities, first_pages
 from ..sources.market import bars, daily, news, read, trades
 from .queries_core import CLV, RET, S, SIGNED, VWAP, D, roll
 from .queries_events import _EDGE
@@ -48,18 +48,12 @@ ORACLE_SQL["sc13_fetch_if_absent"] = with_frames("SELECT DISTINCT CAST(t.day AS
 sql("sc14_extended_hours", "SELECT symbol, ts, close FROM {bars} WHERE tod < '09:30' OR tod > '15:59'")
 
 
-@query("sc16_settings", "SELECT CAST(4.5 AS DOUBLE) AS ret_z, CAST(5.0 AS DOUBLE) AS vol_z, CAST(15 AS BIGINT) AS merge_gap_minutes")
-def _(spark, d):
-    s = Settings.from_dict({"ret_z": 4.5, "unknown": 1})
-    return spark.createDataFrame([(s.ret_z, s.vol_z, s.merge_gap_minutes)], "ret_z double, vol_z double, merge_gap_minutes long")
-
-
 sql("sk5_chart_series", f"SELECT symbol, ts, close, round({VWAP}, 6) AS vwap FROM {{bars}}")
 sql("sk6_dashboard_series", f"SELECT symbol, ts, open, high, low, close, volume, round({VWAP}, 6) AS vwap FROM {{bars}}")
 
 sql("dt1_parse", "SELECT conv_id, turn, try_to_timestamp(substring(text, 1, 10)) IS NULL AS unparsed FROM {conversations}", "SELECT conv_id, turn, TRY_CAST(substring(text, 1, 10) AS TIMESTAMP) IS NULL AS unparsed FROM {conversations}")
 sql("dt2_time_zone", "SELECT event_id, convert_timezone('UTC', 'America/New_York', ts) AS local FROM {trades}", "SELECT event_id, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS local FROM {trades}")
-sql("dt11_business_days", "SELECT count(*) AS n FROM (SELECT explode(sequence(DATE '2024-01-01', DATE '2024-06-30', INTERVAL 1 DAY)) AS d) AS x WHERE weekday(d) < 5", "SELECT count(*) AS n FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-06-30', INTERVAL 1 DAY)) AS d) AS x WHERE isodow(d) < 6")
+sql("dt11_business_days", "SELECT symbol, count(*) AS n FROM (SELECT symbol, explode(sequence(lo, hi, INTERVAL 1 DAY)) AS d FROM (SELECT symbol, min(day) AS lo, max(day) AS hi FROM {daily} GROUP BY symbol) AS r) AS x WHERE weekday(d) < 5 GROUP BY symbol", "SELECT symbol, count(*) AS n FROM (SELECT symbol, unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 DAY)) AS d FROM (SELECT symbol, min(day) AS lo, max(day) AS hi FROM {daily} GROUP BY symbol) AS r) AS x WHERE isodow(d) < 6 GROUP BY symbol")
 
 
 def _grouped(spark, d):
@@ -78,9 +72,16 @@ query("ar3_slice")(lambda spark, d: undated(_grouped(spark, d).select("day", F.c
 ORACLE_SQL["ar3_slice"] = _lists("array_to_string(list_transform(rows[1:5], lambda x: x.news_id), ',') AS ids")
 query("ar4_filter")(lambda spark, d: undated(_grouped(spark, d).select("day", F.size(F.filter("rows", lambda x: x["relevance"] > 0.5)).cast("long").alias("n"))))
 ORACLE_SQL["ar4_filter"] = _lists("CAST(len(list_filter(rows, lambda x: x.relevance > 0.5)) AS BIGINT) AS n")
-query("ar5_override", "SELECT CAST(390 AS BIGINT) AS cutoff, CAST(30 AS BIGINT) AS cooldown")(
-    lambda spark, d: spark.range(1).select(F.map_from_entries(F.map_entries(F.create_map(F.lit("cooldown"), F.lit(30), F.lit("cutoff"), F.lit(330)))).alias("m")).select(F.map_concat(F.map_filter("m", lambda k, _: k != "cutoff"), F.create_map(F.lit("cutoff"), F.lit(390))).alias("m")).select(F.col("m")["cutoff"].cast("long").alias("cutoff"), F.col("m")["cooldown"].cast("long").alias("cooldown"))
-)
+
+
+@query("ar5_override", "SELECT symbol, max(hour(ts) * 60 + minute(ts)) AS cutoff, CAST(30 AS BIGINT) AS cooldown FROM {bars} GROUP BY symbol")
+def _(spark, d):
+    """Parameters of each symbol: defaults, and over them what its bars say (the last minute of its days)."""
+    defaults = F.create_map(F.lit("cooldown"), F.lit(30).cast("long"), F.lit("cutoff"), F.lit(330).cast("long"))
+    own = bars(spark, d).groupBy("symbol").agg(F.max(F.hour("ts") * 60 + F.minute("ts")).cast("long").alias("last")).withColumn("own", F.create_map(F.lit("cutoff"), "last"))
+    merged = F.map_concat(F.map_filter(defaults, lambda k, _: ~F.map_contains_key("own", k)), "own")
+    return own.withColumn("m", merged).select("symbol", F.col("m")["cutoff"].alias("cutoff"), F.col("m")["cooldown"].alias("cooldown"))
+
 
 # --- models and nulls
 
@@ -93,13 +94,44 @@ def _(spark, d):
 
 # --- bar-stream study operators
 
-sql("tsk1_recurrence", f"SELECT symbol, ts, sum(coalesce(close - lagged, 0)) OVER ({D} ROWS UNBOUNDED PRECEDING) > 0 AS above_open FROM (SELECT *, lag(close) OVER ({D}) AS lagged FROM {{bars}}) AS b")
+#: The session of the study's bars, in hours.
+OPEN_HOUR, CLOSE_HOUR = 9, 16
+
+
+@query(
+    "tsk1_recurrence",
+    f"""WITH RECURSIVE_ b AS (SELECT symbol, day, ts, high, low, close, volume, hour(ts) >= {OPEN_HOUR} AND hour(ts) < {CLOSE_HOUR} AS live, hour(ts) * 60 + minute(ts) - {OPEN_HOUR * 60} AS m, row_number() OVER w AS k, lag(close) OVER w AS pc FROM {{bars}} WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+    n AS (SELECT *, live AND (NOT coalesce(lag(live) OVER w, false) OR day <> lag(day) OVER w) AS fresh FROM b WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+    f AS (SELECT *, CAST(CASE WHEN NOT live OR fresh THEN 0 ELSE coalesce(sign(close - pc), 0) * volume END AS DOUBLE) AS sv, CAST((high + low + close) / 3 * volume AS DOUBLE) AS pv FROM n),
+    u AS (SELECT symbol, ts, k, sv AS cum, sv AS cum_high, CAST(high AS DOUBLE) AS day_high, CAST(CASE WHEN live THEN m ELSE 0 END AS BIGINT) AS hod_min, pv AS spv, CAST(volume AS DOUBLE) AS sv_, CAST(CASE WHEN live AND NOT fresh AND close <= pv / volume THEN 1 ELSE 0 END AS BIGINT) AS below FROM f WHERE k = 1
+      UNION ALL SELECT f.symbol, f.ts, f.k, CASE WHEN NOT live THEN u.cum WHEN fresh THEN f.sv ELSE u.cum + f.sv END, CASE WHEN NOT live THEN u.cum_high WHEN fresh THEN f.sv ELSE greatest(u.cum_high, u.cum + f.sv) END,
+        CASE WHEN NOT live THEN u.day_high WHEN fresh THEN high ELSE greatest(u.day_high, high) END, CASE WHEN NOT live THEN u.hod_min WHEN fresh OR high >= u.day_high THEN m ELSE u.hod_min END,
+        CASE WHEN NOT live THEN u.spv WHEN fresh THEN pv ELSE u.spv + pv END, CASE WHEN NOT live THEN u.sv_ WHEN fresh THEN volume ELSE u.sv_ + volume END,
+        CASE WHEN NOT live OR fresh OR close > (u.spv + pv) / (u.sv_ + volume) THEN 0 ELSE u.below + 1 END FROM u JOIN f ON f.symbol = u.symbol AND f.k = u.k + 1)
+    SELECT symbol, ts, cum, cum_high, day_high, hod_min, below FROM u""",
+)
+def _(spark, d):
+    """Values that refer to themselves a bar ago: kept outside the session, begun anew with each, else added up, raised or
+    counted. As a session has a number, each is a running aggregate within it, and what is kept is its last value."""
+    through = Window.partitionBy("symbol").orderBy("ts")
+    b = bars(spark, d).withColumns({"live": (F.hour("ts") >= OPEN_HOUR) & (F.hour("ts") < CLOSE_HOUR), "m": F.hour("ts") * 60 + F.minute("ts") - OPEN_HOUR * 60, "pc": F.lag("close").over(through)})
+    fresh = F.col("live") & (~F.coalesce(F.lag("live").over(through), F.lit(False)) | (F.col("day") != F.lag("day").over(through)))
+    b = b.withColumn("fresh", fresh).withColumn("session", F.sum(F.col("fresh").cast("int")).over(through.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy("symbol", "session").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    live = lambda x: F.when(F.col("live"), x)
+    b = b.withColumns({"sv": F.when(F.col("live") & ~F.col("fresh"), F.coalesce(F.signum(F.col("close") - F.col("pc")), F.lit(0.0)) * F.col("volume")).otherwise(0.0), "first_high": F.first("high").over(through.rowsBetween(Window.unboundedPreceding, 0))})
+    b = b.withColumns({"cum": F.sum("sv").over(run), "day_high": F.coalesce(F.max(live(F.col("high"))).over(run), "first_high"), "vwap": F.sum(live((F.col("high") + F.col("low") + F.col("close")) / 3 * F.col("volume"))).over(run) / F.nullif(F.sum(live(F.col("volume"))).over(run), F.lit(0))})
+    raised = live(F.when(F.col("fresh") | (F.col("high") >= F.col("day_high")), F.col("m")))
+    b = b.withColumns({"cum_high": F.max("cum").over(run), "hod_min": F.coalesce(F.last(raised, ignorenulls=True).over(run), F.lit(0)).cast("long"), "stop": (~F.col("live") | F.col("fresh") | F.coalesce(F.col("close") > F.col("vwap"), F.lit(False))).cast("int")})
+    b = b.withColumn("island", F.sum("stop").over(run))
+    streak = Window.partitionBy("symbol", "session", "island").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    return b.select("symbol", "ts", "cum", "cum_high", "day_high", "hod_min", F.sum(1 - F.col("stop")).over(streak).alias("below"))
+
 sql("tsk2_lag_lead", f"SELECT symbol, ts, lag(close, 2) OVER ({S}) AS back2, lead(open) OVER ({S}) AS next_open FROM {{bars}}")
 sql("tsk3_bounded", f"SELECT symbol, ts, max(high) OVER ({S} ROWS 9 PRECEDING) AS highest, min(low) OVER ({S} ROWS 9 PRECEDING) AS lowest, round({roll('avg', 10, 'close')}, 6) AS mean, CAST(sum(volume) OVER ({S} ROWS 9 PRECEDING) AS BIGINT) AS total FROM {{bars}}")
 
 
 sql("tsk5_time_gates", "SELECT symbol, ts, hour(ts) * 3600 >= 34200 AND hour(ts) * 3600 < 57600 AS in_session FROM {bars}")
-sql("tsk6_bars_of_minutes", "SELECT p.minutes, CAST(greatest(1, bround(p.minutes / CAST(60 AS DOUBLE), 0)) AS BIGINT) AS bars FROM (VALUES (30), (90), (240), (600)) AS p(minutes)")
 sql("tsk7_session_chain", "SELECT symbol, day, round(lag(close, 1) OVER (PARTITION BY symbol ORDER BY day) / lag(close, 3) OVER (PARTITION BY symbol ORDER BY day) - 1, 6) AS runup3 FROM {daily}")
 
 
