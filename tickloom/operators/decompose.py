@@ -29,8 +29,8 @@ def market_model(rows: DataFrame, by: Sequence[str], regressors: int) -> DataFra
     """(by, n, alpha, betas, r2) of least squares of y on the array x, for every group; null r2 without spread.
 
     Means and covariances of all pairs come from one aggregate, combined before the shuffle, so a group of any length is
-    one row; only those rows are solved. Groups of too few rows, or with regressors that depend on each other, get the
-    solution of least length.
+    one row; only those rows are solved. Groups of under regressors + 2 rows get nulls; regressors that depend on each other
+    get the solution of least length.
     """
     ship(rows.sparkSession)
     x = [F.get("x", F.lit(i)) for i in range(regressors)]
@@ -44,7 +44,7 @@ def market_model(rows: DataFrame, by: Sequence[str], regressors: int) -> DataFra
     def solved(xx: pd.Series, xy: pd.Series) -> pd.Series:
         return pd.Series([np.linalg.pinv(np.array(a, float).reshape(regressors, -1), hermitian=True) @ np.array(b, float) for a, b in zip(xx, xy, strict=True)], dtype=object)
 
-    fit = facts.withColumn("betas", solved("_xx", "_xy"))
+    fit = facts.withColumn("betas", F.when(F.col("n") >= regressors + 2, solved("_xx", "_xy")))
     return fit.select(*by, "n", (F.col("_my") - dot("betas", "_mx")).alias("alpha"), "betas", (dot("betas", "_xy") / F.nullif(F.col("_yy"), F.lit(0.0))).alias("r2"))
 
 
@@ -53,9 +53,9 @@ def dot(a: str, b: str) -> Column:
 
 
 def share_left(actual: Column, market: Column) -> Column:
-    """The share of a move that the market's part leaves open, 0 to 1: all of it if they point apart, null without a move."""
+    """The share of a move that the market's part leaves open, 0 to 1: all of it if they point apart, null without a move or a model."""
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - market / actual))
-    return F.when(F.abs(actual) >= 1e-9, F.when(F.signum(market) != F.signum(actual), 1.0).otherwise(share))
+    return F.when(market.isNotNull() & (F.abs(actual) >= 1e-9), F.when(F.signum(market) != F.signum(actual), 1.0).otherwise(share))
 
 
 def explained(rows: DataFrame, model: DataFrame) -> DataFrame:

@@ -225,7 +225,7 @@ REGRESSORS, FITTED_UNTIL = ("purchase", "view"), "2024-01-20"
 _MODEL_SQL = f"""rx AS (SELECT a.symbol, a.day, a.ts, a.ret AS y, b.ret AS x1, c.ret AS x2 FROM {{source}} AS a JOIN {{source}} AS b ON a.ts = b.ts AND b.symbol = '{REGRESSORS[0]}' JOIN {{source}} AS c ON a.ts = c.ts AND c.symbol = '{REGRESSORS[1]}'
     WHERE a.symbol NOT IN {REGRESSORS} AND a.ret IS NOT NULL AND b.ret IS NOT NULL AND c.ret IS NOT NULL),
 fq AS (SELECT symbol, count(*) AS n, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, covar_samp(y, x1) AS sy1, covar_samp(y, x2) AS sy2, var_samp(x1) AS s11, var_samp(x2) AS s22, covar_samp(x1, x2) AS s12, var_samp(y) AS syy FROM rx WHERE day < DATE '{FITTED_UNTIL}' GROUP BY symbol),
-fb AS (SELECT *, (sy1 * s22 - sy2 * s12) / (s11 * s22 - s12 * s12) AS b1, (sy2 * s11 - sy1 * s12) / (s11 * s22 - s12 * s12) AS b2 FROM fq),
+fb AS (SELECT *, CASE WHEN n >= 4 THEN (sy1 * s22 - sy2 * s12) / (s11 * s22 - s12 * s12) END AS b1, CASE WHEN n >= 4 THEN (sy2 * s11 - sy1 * s12) / (s11 * s22 - s12 * s12) END AS b2 FROM fq),
 fi AS (SELECT symbol, n, b1, b2, my - b1 * m1 - b2 * m2 AS alpha, (b1 * sy1 + b2 * sy2) / syy AS r2 FROM fb)"""
 MARKET_SQL = _MODEL_SQL.replace("{source}", "z")
 _OWN_SQL = f"r AS (SELECT symbol, day, ts, {RET} AS ret FROM {{bars}}), " + _MODEL_SQL.replace("{source}", "r")
@@ -243,7 +243,7 @@ def _(spark, d):
     return model.select("symbol", "n", *(r6(F.get("betas", F.lit(i)), f"beta{i + 1}") for i in range(len(REGRESSORS))), r6(F.col("alpha"), "alpha"), r6(F.col("r2"), "r2"))
 
 
-@query("ag24_idio_share", f"WITH {_OWN_SQL}, w AS (SELECT x.symbol, x.day, sum(y) AS act, sum(alpha + b1 * x1 + b2 * x2) AS pred FROM rx AS x JOIN fi USING (symbol) GROUP BY x.symbol, x.day) SELECT symbol, CAST(day AS VARCHAR) AS day, round(act * 100, 4) AS actual_pct, round(pred * 100, 4) AS market_pct, round(CASE WHEN abs(act) < 1e-9 THEN NULL WHEN sign(act) <> sign(pred) THEN CAST(1 AS DOUBLE) ELSE greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), 1 - pred / act)) END, 6) AS share FROM w")
+@query("ag24_idio_share", f"WITH {_OWN_SQL}, w AS (SELECT x.symbol, x.day, sum(y) AS act, sum(alpha + b1 * x1 + b2 * x2) AS pred FROM rx AS x JOIN fi USING (symbol) GROUP BY x.symbol, x.day) SELECT symbol, CAST(day AS VARCHAR) AS day, round(act * 100, 4) AS actual_pct, round(pred * 100, 4) AS market_pct, round(CASE WHEN pred IS NULL OR abs(act) < 1e-9 THEN NULL WHEN sign(act) <> sign(pred) THEN CAST(1 AS DOUBLE) ELSE greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), 1 - pred / act)) END, 6) AS share FROM w")
 def _(spark, d):
     days = explained(*fitted_market(spark, d)).groupBy("symbol", "day").agg(F.sum("y").alias("act"), F.sum("market").alias("pred"))
     pct = lambda c, name: F.round(F.col(c) * 100, 4).alias(name)
