@@ -211,7 +211,7 @@ def test_variants_against_brute_force(spark, tmp_path, odd, monkeypatch, block):
         texts.append(" ".join(words))
         ids.append(1000 + k)
     # A chain: each ten times as frequent as the one before.
-    for word, times in (("chainword", 300), ("chainwordx", 30), ("chainwordxx", 3)):
+    for word, times in (("chainword", 500), ("chainwordx", 40), ("chainwordxx", 3)):
         texts += [word] * times
         ids += range(10_000, 10_000 + times)
     texts += ["long" * 3000, "long" * 3000, "long" * 2999 + "lon"] * 2
