@@ -277,3 +277,10 @@ def test_short_items(spark):
     texts = ["so: WHAT is, it", "what is it", "what is items", "somewhat is it", "what isnt it", "见 " + "二十四个字的题目" * 3 + "。", "", None]
     found = {(m["doc_id"], m["item_id"], m["distance"]) for m in dc.matches(docs(spark, texts), bench).collect()}
     assert found == {(0, 1, 0), (1, 1, 0), (5, 2, 0)}
+
+
+def test_an_item_of_one_edit_is_met_with_it(spark):
+    bench = spark.createDataFrame([(1, "which gas do fires use"), (2, "twenty characters it")], "item_id long, text string")
+    texts = ["so: which gas do fyres use?", "which gas do fires use", "wich gas do fyres use", "twenty characters in", "twenty charakters in"]
+    found = {(m["doc_id"], m["item_id"], m["distance"]) for m in dc.matches(docs(spark, texts), bench).collect()}
+    assert found == {(0, 1, 1), (1, 1, 0), (3, 2, 1)}

@@ -19,8 +19,8 @@ from .common import sliced, table
 
 #: An item may differ in one of so many characters.
 CHARS_AN_EDIT = 20
-#: Shorter items (in normalised characters) are met only exactly and at word boundaries.
-LEAST_CHARS = 25
+#: Shorter items (in normalised characters) have no edit to spare: they are met exactly, at word boundaries.
+LEAST_CHARS = CHARS_AN_EDIT
 #: UTF-8 bytes of items that one pass over the documents looks for; larger tables take more passes.
 PASS_BYTES = 32 << 20
 _GAP = re.compile(r"[\W_]+")
@@ -163,6 +163,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every (doc_id, item_id) match and its edit distance."""
+    """Every (doc_id, item_id) match and its edit distance. Null and empty texts and items match nothing, equal rows and
+    equal items match each, very long texts are searched whole, empty tables give no row."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return matches(docs, table(spark, sf_dir, "benchmark"))
