@@ -240,7 +240,8 @@ def held_out(parts: int, part: int) -> Column:
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected of every document; learned from those not
-    held out. Null and letterless texts are und with score 0; repeated rows each get a row."""
+    held out. Null and letterless texts are und with score 0; repeated rows each get a row; without labelled
+    documents, or in an empty table, no language is learned."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs.where(~held_out(4, 2)))
     scored = score(docs.select("doc_id", "text"), model).drop("text").withColumn("held_out", held_out(4, 2))

@@ -121,7 +121,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, the remaining text, n_lines and n_removed of every document."""
+    """doc_id, the remaining text, n_lines and n_removed of every document. Null texts stay null, empty ones empty; of equal
+    rows the later ones lose what repeats; an empty table gives none."""
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 

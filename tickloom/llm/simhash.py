@@ -231,6 +231,7 @@ def near_duplicates(docs: DataFrame, words_each: int = 4) -> DataFrame:
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every document."""
+    """doc_id, fingerprint (16 hex digits) and component_id of every document. Texts without a word, null ones too, share the
+    fingerprint zero and are linked; equal rows get a row each; null ids are not counted among the smallest; an empty table gives none."""
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
