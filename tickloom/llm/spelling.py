@@ -36,6 +36,8 @@ SLIP = 31
 HELD = 400_000
 #: The bitmap has 16 bits a word, within these bounds (powers of two): 32 MB at most.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
+#: Words whose neighbours one task generates: some 20 seconds' work, whatever their bytes.
+SHARE = 20_000
 #: Letters of a block of words.
 BLOCK = 50_000
 _FACTOR = int(MIX_A)
@@ -163,7 +165,7 @@ def near_words(words: DataFrame, size: int) -> DataFrame:
             pairs = [(w, x) for w, some in zip(block, found, strict=True) for x in some if x != w]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in pairs], pa.string()), pa.array([x for _, x in pairs], pa.string())], ["word", "near"])
 
-    candidates = words.select("word").mapInArrow(generate, "word string, near string")
+    candidates = words.select("word").repartition(size // SHARE + 1, "word").mapInArrow(generate, "word string, near string")
     return candidates.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
 
 
