@@ -38,6 +38,8 @@ HELD = 400_000
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
 #: Words whose neighbours one task generates: some 20 seconds' work, whatever their bytes.
 SHARE = 20_000
+#: Letters of the neighbours that are sent at a time.
+TEXTS = 1 << 22
 #: Letters of a block of words.
 BLOCK = 50_000
 _FACTOR = int(MIX_A)
@@ -103,18 +105,24 @@ def hashed(words: list[str]) -> np.ndarray:
     return mix((codes(x) * powers(x.shape[1])).sum(1, dtype=np.uint64))
 
 
-def near_hashes(x: np.ndarray, alphabet: np.ndarray) -> Iterator[tuple[str, int, np.ndarray]]:
-    """(edit, letter, hashes by word and place) of all texts one edit from the words x (rows of code points)."""
+def near_hashes(x: np.ndarray, alphabet: np.ndarray) -> Iterator[tuple[str, int, np.ndarray, np.ndarray]]:
+    """(edit, letter, hashes by word and place, where they count) for all texts one edit from the words x (rows of code points).
+
+    A text that several places give counts at the first: a letter in a run of its like is deleted, or put in, there.
+    """
     p = powers(x.shape[1] + 1)
     term = codes(x) * p[:-1]
     before = np.zeros((len(x), x.shape[1] + 1), np.uint64)
     np.cumsum(term, axis=1, out=before[:, 1:])
     after = before[:, -1:] - before  # of the letters from each place on
-    yield "delete", 0, mix(before[:, :-1] + after[:, 1:] * np.uint64(pow(_FACTOR, -1, 1 << 64)))
+    first = np.ones(x.shape, bool)
+    first[:, 1:] = x[:, 1:] != x[:, :-1]
+    yield "delete", 0, mix(before[:, :-1] + after[:, 1:] * np.uint64(pow(_FACTOR, -1, 1 << 64))), first
     whole, moved = before[:, -1:] - term, before + after * np.uint64(_FACTOR)
     for letter, code in zip(alphabet.tolist(), codes(alphabet), strict=True):
-        yield "replace", letter, mix(whole + code * p[:-1])
-        yield "insert", letter, mix(moved + code * p)
+        other = x != letter
+        yield "replace", letter, mix(whole + code * p[:-1]), other
+        yield "insert", letter, mix(moved + code * p), np.concatenate([np.ones((len(x), 1), bool), other], 1)
 
 
 def by_length(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:
@@ -153,17 +161,24 @@ def near_words(words: DataFrame, size: int) -> DataFrame:
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << math.ceil(math.log2(16 * max(1, size)))))
     seen, mask = spark.sparkContext.broadcast(bitmap(words, bits)), np.uint64(bits - 1)
 
+    def sent(pairs: list[tuple[str, str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in pairs], pa.string()), pa.array([x for _, x in pairs], pa.string())], ["word", "near"])
+
     def generate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in by_length(batches):
-            found: list[set[str]] = [set() for _ in block]
-            for edit, letter, h in near_hashes(points(block), alphabet):
+            pairs: list[tuple[str, str]] = []
+            most = max(1, TEXTS // len(block[0]))
+            for edit, letter, h, counts in near_hashes(points(block), alphabet):
                 h &= mask
-                hit = (seen.value[h >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1)
+                hit = counts & ((seen.value[h >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1)).astype(bool)
                 for row, at in zip(*(x.tolist() for x in np.nonzero(hit)), strict=True):
                     w = block[row]
-                    found[row].add(w[:at] + w[at + 1 :] if edit == "delete" else w[:at] + chr(letter) + w[at + (edit == "replace") :])
-            pairs = [(w, x) for w, some in zip(block, found, strict=True) for x in some if x != w]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in pairs], pa.string()), pa.array([x for _, x in pairs], pa.string())], ["word", "near"])
+                    pairs.append((w, w[:at] + w[at + 1 :] if edit == "delete" else w[:at] + chr(letter) + w[at + (edit == "replace") :]))
+                    if len(pairs) >= most:
+                        yield sent(pairs)
+                        pairs = []
+            if pairs:
+                yield sent(pairs)
 
     candidates = words.select("word").repartition(size // SHARE + 1, "word").mapInArrow(generate, "word string, near string")
     return candidates.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
