@@ -318,10 +318,11 @@ def fixed(c: str | Column) -> Column:
 @query("sk1_events_json", f"""WITH {CONFIDENCE_SQL}, js AS (SELECT event, string_agg(chr(123) || '"news_id":' || news_id || ',"source":"' || source_type || '","score":"' || {FIXED.format('score')} || '"' || chr(125), ',' ORDER BY place) AS items FROM al GROUP BY event)
 SELECT event, chr(123) || '"event":"' || event || '","move":"' || {FIXED.format('move')} || '","peak_z":"' || {FIXED.format('peak')} || '","confidence":"' || {FIXED.format('confidence')} || '","attributions":[' || coalesce(items, '') || ']' || chr(125) AS json FROM co LEFT JOIN js USING (event)""")
 def _(spark, d):
-    aligned = _aligned(spark, d)
+    events = _events(spark, d)
+    aligned = _aligned(spark, d, events)
     item = F.struct("place", F.struct("news_id", F.col("source_type").alias("source"), fixed("score").alias("score")).alias("x"))
     items = aligned.groupBy("event").agg(F.transform(F.sort_array(F.collect_list(item)), lambda i: i["x"]).alias("attributions"))
-    rows = at.confidence(aligned, _events(spark, d)).join(items, "event", "left")
+    rows = at.confidence(aligned, idio_shares(events, *fitted_market(spark, d), 3600)).join(items, "event", "left")
     found = F.coalesce("attributions", F.filter(F.array(F.struct(F.lit(0).cast("long").alias("news_id"), F.lit("").alias("source"), F.lit("").alias("score"))), lambda _: F.lit(False)))
     return rows.select("event", F.to_json(F.struct("event", fixed("move").alias("move"), fixed("peak").alias("peak_z"), fixed("confidence").alias("confidence"), found.alias("attributions"))).alias("json"))
 
