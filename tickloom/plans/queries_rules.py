@@ -12,11 +12,11 @@ from ..operators.intervals import overlaps, uniqueness
 from ..operators.labels import first_touch, meta_labels
 from ..operators.models import SHARES, picked
 from ..operators.quantiles import quantiles
-from ..operators.recurrences import ema
+from ..operators.recurrences import ema, numbered
 from ..operators.signals import Rules
 from ..sources.market import bars, daily, resample, ticks, trades
 from ..sources.sinks import write_events
-from ..sources.stage import shared_dir
+from ..sources.stage import shared_dir, staged
 from .registry import query, undated
 
 #: The rules for hourly bars of a day that starts at midnight.
@@ -328,9 +328,17 @@ def unique(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ml4_sample_weights", f"WITH {UNIQUE_SQL}, wt AS (SELECT *, uniq * (0.5 + 0.5 * (row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1) / greatest(count(*) OVER (PARTITION BY symbol) - 1, 1)) AS w FROM uq) SELECT symbol, ts, round(w / avg(w) OVER (PARTITION BY symbol), 6) AS weight FROM wt")
 def _(spark, d):
-    rank = (F.row_number().over(rules.by_symbol()) - 1) / F.greatest(F.count("*").over(Window.partitionBy("symbol")) - 1, F.lit(1))
-    rows = unique(spark, d).withColumn("w", F.col("uniqueness") * (0.5 + 0.5 * rank))
-    return rows.select(*CORE, F.round(F.col("w") / F.avg("w").over(Window.partitionBy("symbol")), 6).alias("weight"))
+    return sample_weights(staged(unique(spark, d), "uniqueness")).select(*CORE, *r6("weight"))
+
+
+def sample_weights(rows: DataFrame) -> DataFrame:
+    """rows (symbol, ts, uniqueness) with weight: uniqueness times a share that grows from a half to one with the place in
+    time, over the symbol's mean. Places are counted in slices of time; sizes and means are a row a symbol."""
+    rows = numbered(rows, ["symbol"], "ts")
+    rows = rows.join(rows.groupBy("symbol").agg(F.greatest(F.max("_n"), F.lit(1)).alias("_last")), "symbol")
+    rows = rows.withColumn("_w", F.col("uniqueness") * (0.5 + 0.5 * F.col("_n") / F.col("_last")))
+    mean = rows.groupBy("symbol").agg(F.avg("_w").alias("_mean"))
+    return rows.join(mean, "symbol").withColumn("weight", F.col("_w") / F.col("_mean")).drop("_n", "_last", "_w", "_mean")
 
 
 @query("ml5_average_uniqueness", f"WITH {UNIQUE_SQL} SELECT symbol, ts, round(uniq, 6) AS uniqueness FROM uq")
