@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..sources.stage import staged
 from .asof import asof_join
 
 
@@ -232,8 +233,11 @@ def signal_features(feat: DataFrame, sig: DataFrame, trend_of: str, flow_of: str
     f = f.withColumns(known)
     names = ["relvol", "clv_s", "cvd_slope", "vwap_dist", "day_imb", "runup_3d", "min_of_day", "realized_vol"]
     rows = sig.join(f.where("_next IS NOT NULL").select("symbol", "ts", F.col("imb").alias("imb_now"), *names), ["symbol", "ts"])
-    trend = f.where(F.col("symbol") == trend_of).select("day", "ts", (F.col("close") / F.col("_open") - 1).alias("trend"))
-    flow = f.where(F.col("symbol") == flow_of).select("day", "ts", F.col("relvol").alias("flow"))
+    # As-of joins read their sides more than once, so these are written.
+    rows = staged(rows, "signals")
+    context = staged(f.where(F.col("symbol").isin(trend_of, flow_of)).select("symbol", "day", "ts", (F.col("close") / F.col("_open") - 1).alias("trend"), F.col("relvol").alias("flow")), "context")
+    trend = context.where(F.col("symbol") == trend_of).select("day", "ts", "trend")
+    flow = context.where(F.col("symbol") == flow_of).select("day", "ts", "flow")
     for other, name in ((trend, "trend"), (flow, "flow")):
         rows = asof_join(rows, other, "ts", ["day"], [name])
     kinds = {f"trig_{t.replace('-', '_')}": (F.col("trigger") == t).cast("int") for t in ("accumulation", "opening-rejection", "distribution")}

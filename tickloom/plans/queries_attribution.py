@@ -163,9 +163,15 @@ def _(spark, d):
     return _aligned(spark, d).select("event", "news_id", F.round("relevance", 6).alias("relevance"), F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
 
 
-def _confident(spark, d) -> DataFrame:
+def _judged(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The aligned catalysts, written, and the events with their confidence."""
     events = _events(spark, d)
-    return at.confidence(_aligned(spark, d, events), idio_shares(events, *fitted_market(spark, d), 3600))
+    aligned = staged(_aligned(spark, d, events), "aligned")
+    return aligned, at.confidence(aligned, idio_shares(events, *fitted_market(spark, d), 3600))
+
+
+def _confident(spark, d) -> DataFrame:
+    return _judged(spark, d)[1]
 
 
 @query("ed16_confidence", f"WITH {CONFIDENCE_SQL} SELECT event, round(idio, 6) AS idio_share, confidence FROM co")
@@ -286,7 +292,7 @@ def _(spark, d):
     """Of the identified releases of each symbol: base rates, correlations from four releases on, and where the last quarter's
     run-up and reaction stand among all."""
     rows = study(spark, d).select("symbol", "quarter", (F.col("c1") / F.col("c6") - 1).alias("ru"), (F.col("close") / F.col("c1") - 1).alias("cc")).where("ru IS NOT NULL AND cc IS NOT NULL")
-    return summary(rows)
+    return summary(staged(rows, "releases"))
 
 
 def summary(rows: DataFrame) -> DataFrame:
@@ -318,11 +324,10 @@ def fixed(c: str | Column) -> Column:
 @query("sk1_events_json", f"""WITH {CONFIDENCE_SQL}, js AS (SELECT event, string_agg(chr(123) || '"news_id":' || news_id || ',"source":"' || source_type || '","score":"' || {FIXED.format('score')} || '"' || chr(125), ',' ORDER BY place) AS items FROM al GROUP BY event)
 SELECT event, chr(123) || '"event":"' || event || '","move":"' || {FIXED.format('move')} || '","peak_z":"' || {FIXED.format('peak')} || '","confidence":"' || {FIXED.format('confidence')} || '","attributions":[' || coalesce(items, '') || ']' || chr(125) AS json FROM co LEFT JOIN js USING (event)""")
 def _(spark, d):
-    events = _events(spark, d)
-    aligned = _aligned(spark, d, events)
+    aligned, judged = _judged(spark, d)
     item = F.struct("place", F.struct("news_id", F.col("source_type").alias("source"), fixed("score").alias("score")).alias("x"))
     items = aligned.groupBy("event").agg(F.transform(F.sort_array(F.collect_list(item)), lambda i: i["x"]).alias("attributions"))
-    rows = at.confidence(aligned, idio_shares(events, *fitted_market(spark, d), 3600)).join(items, "event", "left")
+    rows = judged.join(items, "event", "left")
     found = F.coalesce("attributions", F.filter(F.array(F.struct(F.lit(0).cast("long").alias("news_id"), F.lit("").alias("source"), F.lit("").alias("score"))), lambda _: F.lit(False)))
     return rows.select("event", F.to_json(F.struct("event", fixed("move").alias("move"), fixed("peak").alias("peak_z"), fixed("confidence").alias("confidence"), found.alias("attributions"))).alias("json"))
 
@@ -336,8 +341,8 @@ def _(spark, d):
 
 @query("sk4_report_rows", f"""WITH {CONFIDENCE_SQL} SELECT event, '| ' || event || ' | ' || CASE WHEN up THEN 'up' ELSE 'down' END || ' | ' || {FIXED.format('move * 100')} || ' | ' || coalesce(source_type, '-') || ' | ' || {FIXED.format('confidence')} || ' |' AS line FROM co""")
 def _(spark, d):
-    best = _aligned(spark, d).where("place = 1").select("event", "source_type")
-    rows = _confident(spark, d).join(best, "event", "left")
+    aligned, judged = _judged(spark, d)
+    rows = judged.join(aligned.where("place = 1").select("event", "source_type"), "event", "left")
     cells = [F.col("event"), F.when(F.col("up"), "up").otherwise("down"), fixed(F.col("move") * 100), F.coalesce("source_type", F.lit("-")), fixed("confidence")]
     return rows.select("event", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.quantiles import quantiles
 from ..operators.ranges import in_slice, ranked, with_edges
 from ..sources.market import resample, ticks
+from ..sources.stage import staged
 from .registry import frame, query, sql
 
 #: Bar lengths.
@@ -146,7 +147,7 @@ sql("ag33_pearson", "SELECT symbol, CASE WHEN stddev_samp(volume) > 0 AND stddev
 
 def spearman(rows: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """(by, rho): the correlation of ranks, ties shared; no task ranks a whole group."""
-    both = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    both = staged(rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, a, b), "ranked")  # read several times
     both = ranked(ranked(both, a, by, name="_ra"), b, by, name="_rb")
     return both.groupBy(*by).agg(F.corr("_ra", "_rb").alias("rho"))
 
