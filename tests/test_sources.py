@@ -38,3 +38,15 @@ def test_purged_rows_keep_off_the_test_span(spark):
     lo = rows.where("fold = 2").agg(F.min("pos")).first()[0]
     kept = models.purged(rows, 2, "pos", "stop", 7)
     assert kept.count() and kept.agg(F.max("stop")).first()[0] < lo - 7
+
+
+def test_catalysts_take_all_items_in_turn(spark, tmp_path):
+    import datetime as dt
+
+    from tickloom.sources.market import catalysts
+
+    events = [(i, dt.datetime(2024, 1, 2) + dt.timedelta(minutes=i), i, "error", 1.0 + i, '{"k": 1}') for i in range(60)]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(10 * i + 3, f"item {i}") for i in range(7)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["news_id"]: r["headline"] for r in catalysts(spark, str(tmp_path)).collect()}
+    assert got == {i: f"item {i % 7}" for i in range(60)}
