@@ -179,3 +179,11 @@ def test_shuffles_and_nulls(spark):
     assert sorted(n) == [0, 1, 2, 3, 4] and abs(n[0] - 150) < 5 and abs(n[4] - 87) < 5
     picked = thresholds(rows.selectExpr("1 AS g", "CAST(x AS DOUBLE) AS p", "CASE WHEN x > 300 THEN 1.0 ELSE -1.0 END AS net"), ["g"], "p", "net").first()["cut"]
     assert picked >= 300 and cuts(rows, "x", [0.5])[0] == pytest.approx(249.5, abs=2)
+
+
+def test_grids_are_their_own():
+    """A query's grid is read when it runs, so no later one may have its name."""
+    from tickloom.plans import queries_rules as q
+
+    assert len(q.GRID) == 16 and all(len(pair) == 2 for pair in q.GRID)
+    assert f"{q.GRID[0][0]} AS DOUBLE), CAST({q.GRID[0][1]} AS DOUBLE)" in q.GRID_SQL

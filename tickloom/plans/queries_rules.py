@@ -477,13 +477,13 @@ def _(spark, d):
     return picked(rows, ["symbol"], "p", "net", cuts)
 
 
-GRID = (0.2, 0.25, 0.3, 0.35)
+SMALL_GRID = (0.2, 0.25, 0.3, 0.35)
 
 
-@query("jn20_grid", f"WITH {features_sql(P)} SELECT b.t AS buy, -s.t AS sell, count(*) FILTER (WHERE g_buy AND imb >= b.t) AS n_buy, count(*) FILTER (WHERE g_open AND day_imb <= -s.t) AS n_sell FROM x CROSS JOIN (SELECT unnest([CAST({GRID[0]} AS DOUBLE), {', '.join(map(str, GRID[1:]))}]) AS t) AS b CROSS JOIN (SELECT unnest([CAST({GRID[0]} AS DOUBLE), {', '.join(map(str, GRID[1:]))}]) AS t) AS s GROUP BY b.t, s.t")
+@query("jn20_grid", f"WITH {features_sql(P)} SELECT b.t AS buy, -s.t AS sell, count(*) FILTER (WHERE g_buy AND imb >= b.t) AS n_buy, count(*) FILTER (WHERE g_open AND day_imb <= -s.t) AS n_sell FROM x CROSS JOIN (SELECT unnest([CAST({SMALL_GRID[0]} AS DOUBLE), {', '.join(map(str, SMALL_GRID[1:]))}]) AS t) AS b CROSS JOIN (SELECT unnest([CAST({SMALL_GRID[0]} AS DOUBLE), {', '.join(map(str, SMALL_GRID[1:]))}]) AS t) AS s GROUP BY b.t, s.t")
 def _(spark, d):
     """How many bars each pair of thresholds of a small grid lets through; the grid is a table that meets every bar."""
-    one = spark.createDataFrame([(t,) for t in GRID], "t double")
+    one = spark.createDataFrame([(t,) for t in SMALL_GRID], "t double")
     grid = one.select(F.col("t").alias("buy")).crossJoin(one.select((-F.col("t")).alias("sell")))  # the pairs
     rows = feat(spark, d).withColumns(rules.gates(P)).select("accumulation", F.col("opening-rejection").alias("opening"), "imb", "day_imb").where("accumulation OR opening")
     hits = rows.crossJoin(F.broadcast(grid)).groupBy("buy", "sell").agg(F.count_if(F.col("accumulation") & (F.col("imb") >= F.col("buy"))).alias("n_buy"), F.count_if(F.col("opening") & (F.col("day_imb") <= F.col("sell"))).alias("n_sell"))
