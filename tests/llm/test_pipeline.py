@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +122,39 @@ def test_stages_on_odd_rows(spark, folder):
             assert len(ids) == len(set(ids)) and 901 not in {i for i, _ in ids}
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert packed.select("doc_id", "piece", "start").count() >= docs.count()
+
+
+def test_near_copies_meet_by_golay_codes():
+    """The near-dedup's keys are codewords of SimHash sums; they meet at a likeness of 0.8, and unlike texts do not."""
+    from tickloom.llm import similar
+    from tickloom.llm.simhash import Golay
+
+    g, r = Golay(), np.random.default_rng(5)
+    word = np.arange(1 << 23)
+    code = np.unique(word ^ g.error[g.low[word & 0xFFF] ^ g.high[word >> 12]])
+    sums = r.normal(size=(2_000, 23)).astype(np.float32)
+    signs = (code[:, None] >> np.arange(23) & 1) * 2 - 1
+    assert len(code) == 1 << 12 and (code[(sums @ signs.T).argmax(1)] >> 11 == similar.codewords(sums)).mean() > 0.9
+    some = lambda n: r.integers(1 << 64, size=n, dtype=np.uint64)
+    met = 0
+    for _ in range(200):
+        a, new = some(252), some(28)
+        keys, fp = similar.keys_of([a, np.append(a[:224], new), some(252)])  # 224 of 280 shared
+        met += (keys[0] == keys[1]).any() and np.bitwise_count(fp[0] ^ fp[1]) <= similar.MOST_BITS
+        assert np.bitwise_count(fp[0] ^ fp[2]) > 8
+    assert met >= 198
+
+
+def test_rows_of_a_key():
+    """A key's rows stay if another is close; those of a crowded key stay all, over batches too."""
+    import pyarrow as pa
+    from tickloom.llm import similar
+
+    key = [1, 2, 2, 3, 3, 4, 4, 4, *[5] * 1000, 6, 6]
+    fp = [0, 0, 1, 0, -1, 0, -1, 3, *[0] * 1000, 0, 0]
+    n = [9] * (len(key) - 1) + [99]
+    whole = pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), pa.array(range(len(key)), pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.int64())], ["key", "node", "n", "fp"])
+    for step in (1, 7, 300, 5000):
+        batches = (whole.slice(at, step) for at in range(0, len(key), step))
+        out = [x for b in similar._meeting(batches) for x in b.column(1).to_pylist()]
+        assert out == [1, 2, 5, 7, *range(8, 1008)]
