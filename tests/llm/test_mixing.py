@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import mixing
 from tickloom.llm.langid import held_out
+from tickloom.plans.ship import ship
 
 R = random.Random(11)
 WORDS = ["".join(R.choice("abcde") for _ in range(R.randint(1, 6))) for _ in range(60)]
@@ -136,6 +137,35 @@ def test_learning_lowers_the_cost():
     assert model.mixer.blocks == 6 and model.bytes_log10(data, np.zeros(40, bool)).sum() > 0.95 * first
 
 
+def test_a_slice_is_sent_arrays(spark):
+    """What two slices are sent, by loops; a row holds many contexts or words (one row each took over 3,000 MB of an executor on 0.51 GB)."""
+    given = [(i % 2, i, text(60) + " own%d" % i + " Aa" * (i == 1), i % 3 > 0) for i in range(8)]
+    texts = ship(spark).createDataFrame(given, "slice int, id long, text string, train boolean").repartition(2, "slice").sortWithinPartitions("slice", "id")
+    got = mixing.answers(mixing.dealt_counts(texts, 3)).collect()
+    train = [t for *_, t, on in given if on]
+    counts, words = counted(train), Counter(w for t in train for w in t.lower().split())
+    assert sum(r["n"] or 0 for r in got) == words.total() and sum(r["id"] or 0 for r in got) == len(words)
+    for at in (0, 1):
+        for k in range(mixing.ORDERS):
+            want = {}
+            for *_, t, on in (x for x in given if x[0] == at):
+                for context, seen in counted([t])[k].items():
+                    for byte in seen:
+                        known = counts[k][context].total() - on
+                        if known:
+                            v = [stretched(*b[:2]) for b in bits_of(counts[k][context], byte, on)]
+                            want[int.from_bytes(context, "big") << 8 | byte | (not on) << mixing.ROLE] = (v, int(np.searchsorted(mixing.LEVELS, known, "right")) - 1)
+            rows = [r for r in got if (r["slice"], r["kind"]) == (at, k)]
+            ids = np.frombuffer(b"".join(r["ids"] for r in rows), np.int64).tolist()
+            v = np.frombuffer(b"".join(r["v"] for r in rows), np.int8).reshape(-1, 8).tolist()
+            levels = np.frombuffer(b"".join(r["levels"] for r in rows), np.int8).tolist()
+            assert len(set(ids)) == len(ids) and len(rows) <= 3
+            assert dict(zip(ids, zip(v, levels, strict=True), strict=True)) == want
+        held = {w for a, _, t, on in given if a == at and not on for w in t.lower().split()}
+        want = sorted(n for w, n in words.items() if (n > 1 or w in held) and any(w in t.lower().split() for a, _, t, _ in given if a == at))
+        assert sorted(np.frombuffer(b"".join(r["v"] for r in got if (r["slice"], r["kind"]) == (at, mixing.WORDS)), np.int64).tolist()) == want
+
+
 @pytest.fixture(scope="module")
 def scored(spark):
     base = [chained(300) for _ in range(80)]
