@@ -24,6 +24,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +42,9 @@ MEMORY = 800_000
 #: Parts that are encoded in one call.
 TOGETHER = 500
 #: Marks that are split from the end of a part.
-MARKS = ",.;:!?%\"\n"
+MARKS = ",.;:!?%\"\n#$&*()[]{}<>/+-=_~^|@"
+#: Letters and digits after which they are split.
+SOLID = frozenset(chr(c) for c in range(0x100) if chr(c).isalnum() and (c < 0x80 or c >= 0xC0))
 #: Characters that are split at once.
 PART = 1 << 20
 CUT = "shard long, doc_id long, doc_tokens long, start long, length long, ids_crc32 long, ids binary"
@@ -50,6 +53,8 @@ CUT_NAMES, NAMES = ([x.split()[0] for x in s.split(", ")] for s in (CUT, SCHEMA)
 
 # A space with white space before it, and after it white space or nothing, is no sure start of a token.
 _DOUBTFUL = re.compile(r"[\s᠎] (?:[\s᠎]|\Z)")
+# A line feed between characters that are no white space is a token of its own.
+_LINE = re.compile(r"(?<=[^\s᠎])\n(?=[^\s᠎])")
 _SURE = re.compile(r"(?<=[^\s᠎]) (?=[^\s᠎])")
 
 
@@ -74,6 +79,7 @@ class ByteIds:
         self.by_parts = kind == "ByteLevel" and self.model.normalizer is None and not self.model.pre_tokenizer.add_prefix_space
         self.memory: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
+        self.lines: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -100,33 +106,70 @@ class ByteIds:
             at = m.end()
         yield self._parts(text[at:])
 
-    def _learn(self, new: set[str]) -> None:
-        """Add the ids of new parts. Marks after a letter or digit are tokens of their own, so a part is known by
-        what stands before them and by the marks; only what stands before is encoded for each part."""
-        cut = {w: base for w in new if (base := w.rstrip(MARKS)) != w and base and base[-1].isascii() and base[-1].isalnum()}
+    def _learn(self, new: set[str], memory: dict[str, bytes], before: str) -> None:
+        """Add the ids of new parts, with the character before them. Marks after a letter or digit are tokens of their own,
+        so a part is known by what stands before them and by the marks; only what stands before is encoded for each part."""
+        cut = {w: base for w in new if (base := w.rstrip(MARKS)) != w and base and base[-1] in SOLID}
         tails = {w[len(base) :] for w, base in cut.items()}.difference(self.tails)
-        words = list(({cut.get(w, w) for w in new}).difference(self.memory))
-        self.memory.update(zip(words, self._encode_parts([" " + x for x in words]), strict=True))
+        words = list(({cut.get(w, w) for w in new}).difference(memory))
+        memory.update(zip(words, self._encode_parts([before + x for x in words]), strict=True))
         if tails:
             self.tails.update(zip(tails, self._encode(list(tails)), strict=True))
-        self.memory.update((w, self.memory[base] + self.tails[w[len(base) :]]) for w, base in cut.items())
+        memory.update((w, memory[base] + self.tails[w[len(base) :]]) for w, base in cut.items())
+
+    def _learn_lines(self, new: set[str]) -> None:
+        """Add the ids of new parts; one of several lines has those of its lines."""
+        several = {w: lines for w in new if "\n" in w and len(lines := _LINE.split(w)) > 1}
+        if first := {several[w][0] if w in several else w for w in new}.difference(self.memory):
+            self._learn(first, self.memory, " ")
+        if later := {x for lines in several.values() for x in lines[1:]}.difference(self.lines):
+            self._learn(later, self.lines, "\n")
+        self.memory.update((w, b"".join([self.memory[lines[0]], *(self.lines[x] for x in lines[1:])])) for w, lines in several.items())
 
     def __call__(self, text: str) -> bytes:
         if not self.by_parts or any(x in text for x in self.special):
             return self._encode([text])[0]
         found = []
         for parts in self._pieces(text):
-            if len(self.memory) > MEMORY:
-                self.memory, self.tails = {}, {}
+            if len(self.memory) + len(self.lines) > MEMORY:
+                self.memory, self.tails, self.lines = {}, {}, {}
             later = parts if found else parts[1:]
-            if new := set(later).difference(self.memory):
-                self._learn(new)
+            ids = list(map(self.memory.get, later))
+            if new := [i for i, x in enumerate(ids) if x is None]:
+                self._learn_lines({later[i] for i in new})
+                for i in new:
+                    ids[i] = self.memory[later[i]]
             if not found:
                 found.append(self._encode([parts[0]])[0] if parts[0] else b"")
-            found.append(b"".join(map(self.memory.__getitem__, later)))
+            found.append(b"".join(ids))
         return b"".join(found)
 
 
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. Parts are looked up once for all texts that are cut at every space."""
+        plain = [i for i, t in enumerate(texts) if self.by_parts and len(t) <= PART and not _DOUBTFUL.search(t) and not any(x in t for x in self.special)]
+        out = dict.fromkeys(range(len(texts)), b"")
+        if plain:
+            split = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+            coded, offsets = split.flatten().dictionary_encode(), split.offsets.to_numpy().astype(np.int64)
+            parts, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().copy()
+            if len(self.memory) + len(self.lines) > MEMORY:
+                self.memory, self.tails, self.lines = {}, {}, {}
+            self._learn_lines({x for x in parts if x not in self.memory})
+            known = pa.array([*map(self.memory.__getitem__, parts), b""], pa.large_binary())
+            # A text's first part has no space before it.
+            first = [parts[k] for k in index[offsets[:-1]].tolist()]
+            begin = dict(zip(distinct := list(set(first)), self._encode(distinct), strict=True))
+            index[offsets[:-1]] = len(parts)
+            joined = known.take(pa.array(index))
+            whole, stop = memoryview(joined.buffers()[2] or b""), np.frombuffer(joined.buffers()[1], np.int64)
+            bounds = stop[offsets].tolist()
+            out |= {i: b"".join((begin[x], whole[a:b])) for i, x, a, b in zip(plain, first, bounds, bounds[1:], strict=False)}
+        for i in set(out).difference(plain):
+            out[i] = self(texts[i])
+        return list(out.values())
+
+
 _MODELS: dict[str, ByteIds] = {}
 
 
@@ -207,11 +250,11 @@ def pack_tiers(docs: DataFrame, tokenizer: str, end: int = 0, tiers: Sequence[in
     shards = docs.count() // SHARD + 1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, last = model_of(tokenizer), np.array([end], "<u4").tobytes()
+        model, last = model_of(tokenizer), np.array([end], "<u4").tobytes()
         for batch in sliced(batches, "text"):
             out: list[tuple] = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = ids_of(text or "") + last
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), model.many([x or "" for x in batch.column("text").to_pylist()]), strict=True):
+                ids += last
                 n = len(ids) // 4
                 key = zlib.crc32(ids, zlib.crc32(str(doc).encode()))
                 for at in range(0, n, most):
