@@ -166,6 +166,61 @@ def test_a_slice_is_sent_arrays(spark):
         assert sorted(np.frombuffer(b"".join(r["v"] for r in got if (r["slice"], r["kind"]) == (at, mixing.WORDS)), np.int64).tolist()) == want
 
 
+def test_what_is_counted_takes_little_disk(spark):
+    """Contexts and words on their way (on 0.51 GB the tool stopped at 2.32 GB of disk): 16 bytes each before."""
+    given = [(i % 2, i, "".join(R.choice("abcdefgh ") for _ in range(50_000)), i % 3 > 0) for i in range(8)]
+    texts = ship(spark).createDataFrame(given, "slice int, id long, text string, train boolean").repartition(2, "slice").sortWithinPartitions("slice", "id")
+    got = [r for r in mixing.dealt_counts(texts, 3).collect() if r["kind"] != mixing.AHEADS]
+    assert sum(len(r["ids"]) + len(r["n"]) for r in got) < 5 * sum(len(t) for _, _, t, _ in given)
+
+
+def test_packed_numbers():
+    for x in (np.array([], np.int64), np.arange(-5, 1000), np.array([3, 1 << 63], np.uint64), np.arange(7, dtype=np.int8)):
+        assert (mixing.unpacked(mixing.packed(x), x.dtype) == x).all()
+    x = np.arange(128, dtype=np.uint8).reshape(2, 64)
+    assert (mixing.unpacked(mixing.packed(x), np.uint8, 64) == x).all()
+
+
+def test_words_of_any_length():
+    words = ["Ab", "ab", "aB" * 16, "ab" * 16, "ab" * 16 + "c", "ab" * 16 + "C", "ab" * 16 + "d", "ab" * 500, "ab" * 499 + "ba", "a", "é", "\x00", "\x00\x00"]
+    texts = [" ".join(words), "", " \n", *words]
+    b, starts, _ = mixing.framed([t.encode() for t in texts])
+    ids, ends = mixing.words_of(b, starts)
+    lower = [w.lower() for t in texts for w in t.split()]
+    assert ends.tolist() == np.cumsum([len(t.split()) for t in texts]).tolist() and len(ids) == len(lower)
+    assert all((a == c) == (x == y) for a, x in zip(ids.tolist(), lower, strict=True) for c, y in zip(ids.tolist(), lower, strict=True))
+
+
+def test_turned_codes():
+    code = mixing.codes_of(*mixing.framed([text(20).encode(), b"", b"abc"])) | np.uint64(1 << mixing.ROLE)
+    for k in range(mixing.ORDERS):
+        less = code & np.uint64((1 << 8 * (k + 1)) - 1 | 1 << mixing.ROLE)
+        assert (mixing.turned_back(mixing.turned(code) & mixing.shorter(k)) == less).all()
+
+
+def test_anchors_are_sent_what_follows_most_often(spark):
+    """By loops over all anchors of all texts."""
+    passage = chained(400)
+    given = [(i % 2, i, text(40) + passage[: 900 + 60 * i] + text(20) * (i % 4) + passage[:700] * (i == 5), i % 5 > 0) for i in range(12)]
+    texts = ship(spark).createDataFrame(given, "slice int, id long, text string, train boolean").repartition(2, "slice").sortWithinPartitions("slice", "id")
+    after, asked, times = defaultdict(Counter), defaultdict(set), Counter()
+    for at, _, t, on in given:
+        b, starts, size = mixing.framed([t.encode()])
+        for place, key, _ in zip(*mixing.anchors_of(b, starts, size), strict=True):
+            after[int(key)][b[place : place + mixing.AHEAD].tobytes().ljust(mixing.AHEAD, b"\0")] += on
+            asked[at].add(int(key))
+            times[int(key)] += 1
+    found = [r for r in mixing.answers(mixing.dealt_counts(texts, 3), small=True).collect() if r["kind"] == mixing.AHEADS]
+    assert found
+    for at in (0, 1):
+        rows = [r for r in found if r["slice"] == at]
+        ids, n = (np.concatenate([mixing.unpacked(r[x], t) for r in rows]).tolist() for x, t in (("ids", np.uint64), ("v", np.int64)))
+        ahead = np.concatenate([mixing.unpacked(r["levels"], np.uint8, mixing.AHEAD) for r in rows])
+        want = {k: max(after[k].values()) for k in asked[at] if times[k] > 1 and max(after[k].values())}
+        assert dict(zip(ids, n, strict=True)) == want and len(ids) == len(want)
+        assert all(after[k][a.tobytes()] == want[k] for k, a in zip(ids, ahead, strict=True))
+
+
 @pytest.fixture(scope="module")
 def scored(spark):
     base = [chained(300) for _ in range(80)]
