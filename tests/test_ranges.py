@@ -74,6 +74,25 @@ def test_crowded_buckets_are_cut(spark):
     assert plan.count() == 3000
 
 
+def test_many_pairs_take_little_room(spark, tmp_path):
+    at_random = lambda n: F.lit(T0) + F.make_dt_interval(secs=F.pmod(F.col("id") * n, F.lit(3600)) * 1.0)
+    rows = spark.range(20_000).select("id", at_random(7919).cast("timestamp_ntz").alias("ts"))
+    start = at_random(104_729).cast("timestamp_ntz")
+    e = spark.range(300).select(F.col("id").alias("event"), start.alias("start"), (start + F.expr("INTERVAL 50 MINUTES")).alias("stop"))
+    interval_join(e, rows, "start", "stop", "ts", 3600).select("event", "id").write.parquet(f"{tmp_path}/pairs")
+    pairs = spark.read.parquet(f"{tmp_path}/pairs").count()
+    assert pairs == e.crossJoin(rows).where("ts BETWEEN start AND stop").count() > 2_000_000
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < pairs / 2
+
+
+def test_many_pairs_are_dealt_to_many_tasks(tape):
+    left, right, l, r = tape
+    e = l.select("id", F.col("ts").alias("start"), (F.col("ts") + F.expr("INTERVAL 90 SECONDS")).alias("stop"))
+    found = interval_join(e, r, "start", "stop", "ts", 60, tile=50, share=500)
+    assert found.rdd.getNumPartitions() > 4
+    assert sorted((x["id"], x["bid"]) for x in found.collect()) == sorted((i, b) for i, _, t in left for _, u, b in right if t and u and t <= u <= t + dt.timedelta(seconds=90))
+
+
 @pytest.mark.parametrize("by", [[], ["g"]])
 def test_ranks_share_ties(spark, by):
     r = random.Random(3)
