@@ -44,6 +44,14 @@ def test_asof_over_range_edges(tape, by, direction, most):
         assert got[i][0] == want[0] and (got[i][1] == want[1] or (direction == "backward" and got[i][1] == max(b for a, b in rows if a == want[0])))
 
 
+@pytest.mark.parametrize("most", [2_000_000, 20])
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+def test_asof_carries_its_frames(tape, direction, most):
+    # A frame that starts at the row, up to the slice's end, is gone through again for each row.
+    plan = asof_join(tape[2], tape[3], "ts", ["symbol"], ["bid"], direction, most)._jdf.queryExecution().executedPlan().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+
+
 def test_slices_are_bounded(tape):
     cut = ranges.sliced(tape[2], ["symbol"], "ts", 20).where("ts IS NOT NULL")
     crowded = cut.groupBy("symbol", "_slot").agg(F.count("*").alias("n"), F.count_distinct("ts").alias("times")).where("n > 20").collect()

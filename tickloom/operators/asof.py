@@ -35,8 +35,10 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: Sequence[str], col
     l = timed.select("*", nothing.alias("_right"), F.lit(1 if back else -1).alias("_side"))
     r = right.where(F.col(on).isNotNull()).select(*by, on, keep.alias("_right"), F.lit(0).alias("_side"))
     both = with_edges(l.unionByName(r, allowMissingColumns=True), by, on, ["_right"], ["_right"], F.col("_side") == 0, back, most)
-    over = in_slice(by, on, "_side", "_right", back=back)
-    found = F.last("_right", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, 0)) if back else F.first("_right", ignorenulls=True).over(over.rowsBetween(0, Window.unboundedFollowing))
+    # Forward runs back in time: a frame that ends with the row is carried on, one that begins with it is read anew for every row.
+    turn = F.asc if back else F.desc
+    over = in_slice(by, turn(on), turn("_side"), turn("_right")).rowsBetween(Window.unboundedPreceding, 0)
+    found = F.last("_right", ignorenulls=True).over(over)
     out = both.withColumn("_found", found).where(~F.col("_edge") & (F.col("_side") != 0)).select(*left.columns, *(F.col("_found")[c].alias(c) for c in columns))
     return out.unionByName(left.where(F.col(on).isNull()), allowMissingColumns=True)
 

@@ -65,9 +65,8 @@ def with_edges(rows: DataFrame, by: Sequence[str], at: str, columns: Sequence[st
     key = F.struct(at, *order)
     pick = F.max_by if back else F.min_by
     ends = cut.groupBy(*by, "_slot").agg(pick(F.struct(*columns), key if where is None else F.when(where, key)).alias("_end"))
-    over = Window.partitionBy(*by).orderBy("_slot")
-    over = over.rowsBetween(Window.unboundedPreceding, -1) if back else over.rowsBetween(1, Window.unboundedFollowing)
-    found = (F.last if back else F.first)("_end", ignorenulls=True).over(over)
+    over = Window.partitionBy(*by).orderBy(F.asc("_slot") if back else F.desc("_slot")).rowsBetween(Window.unboundedPreceding, -1)
+    found = F.last("_end", ignorenulls=True).over(over)
     edge = ends.withColumn("_end", found).where("_end IS NOT NULL")
     edge = edge.select(*by, "_slot", *(F.col("_end")[c].alias(c) for c in columns if c not in by), F.lit(True).alias("_edge"))
     return cut.withColumn("_edge", F.lit(False)).unionByName(edge, allowMissingColumns=True)
