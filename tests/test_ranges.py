@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import quantiles as q
 from tickloom.operators import ranges, recurrences
-from tickloom.operators.asof import asof_join, interval_join
+from tickloom.operators.asof import asof_join, interval_join, unmet
 from tickloom.operators.changepoint import breaks, changepoints, pair_median, phases, segments
+from tickloom.plans.catalog import ORACLE_SQL, QUERIES
 
 T0 = dt.datetime(2024, 1, 2, 9, 30)
 
@@ -101,6 +103,32 @@ def test_many_pairs_are_dealt_to_many_tasks(tape):
     assert sorted((x["id"], x["bid"]) for x in found.collect()) == sorted((i, b) for i, _, t in left for _, u, b in right if t and u and t <= u <= t + dt.timedelta(seconds=90))
 
 
+@pytest.mark.parametrize("by", [[], ["symbol"]])
+@pytest.mark.parametrize("span", [1, 7, 3600])
+def test_unmet_equals_brute_force(tape, span, by):
+    left, right, l, r = tape
+    e = l.withColumn("stop", F.col("ts") + F.expr(f"INTERVAL {span} SECONDS"))
+    found = unmet(e, r.select("symbol", F.col("ts").alias("at")), "ts", "stop", "at", span, by)
+    span = dt.timedelta(seconds=span)
+    meets = lambda s, t: any(u and t <= u <= t + span and (not by or s is not None and s == k) for k, u, _ in right)
+    assert sorted(x["id"] for x in found.collect()) == [i for i, s, t in left if t is None or not meets(s, t)]
+
+
+def test_not_covered_on_odd_rows(spark, tmp_path):
+    """News 10 minutes from a trade or a microsecond more, across midnight, without a time, twice under one id."""
+    midnight, us = dt.datetime(2024, 1, 3), dt.timedelta(microseconds=1)
+    trade = [midnight, midnight + dt.timedelta(hours=1), midnight + dt.timedelta(hours=24, minutes=-5), midnight + dt.timedelta(hours=2, minutes=20)]
+    off = [dt.timedelta(minutes=m) + k * us for m in (-20, -10, -3, 0, 3, 10, 20) for k in (-1, 0, 1)]
+    seen = [t + o for t in trade for o in off] + [None]
+    rows = [(i % 60, t, 1, "error", 1.0, None) for i, t in enumerate(seen)] + [(1000 + i, t, 1, "purchase", 1.0, None) for i, t in enumerate([*trade, None])]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    found = QUERIES["jn13_not_covered"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert sorted(x["news_id"] for x in found.collect()) == sorted(x for x, in con.execute(ORACLE_SQL["jn13_not_covered"]).fetchall())
+    assert found._jdf.queryExecution().executedPlan().toString().count("Join") < 3  # one, named twice where it is adapted
+
+
 @pytest.mark.parametrize("by", [[], ["g"]])
 def test_ranks_share_ties(spark, by):
     r = random.Random(3)

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stage import staged
 from .ranges import in_slice, seconds, small, with_edges
 
 #: Rows and intervals of one time bucket that meet in one task at most.
@@ -86,3 +87,23 @@ def interval_join(events: DataFrame, rows: DataFrame, start: str, stop: str, at:
         e, r = e.repartition(tasks, *keys), r.repartition(tasks, *keys)
     r = r.drop("_at").hint("merge") if width < width_seconds else r.drop("_at")  # pairs come out bucket by bucket
     return e.join(r, keys).where(F.col(at).between(F.col(start), F.col(stop))).drop("_bucket", "_width", "_since", "_until")
+
+
+def unmet(events: DataFrame, rows: DataFrame, start: str, stop: str, at: str, span_seconds: int, by: Sequence[str] = ()) -> DataFrame:
+    """events for which no row has start <= at <= stop; stop is span_seconds after start.
+
+    In time buckets of that length an interval is the end of one and the beginning of the next, so a bucket's
+    last row and the next one's first tell whether there is any. Rows are reduced to two times a bucket; no pair
+    is built, and events are only sent to be joined where buckets are too many to be broadcast.
+    """
+    span, micros = span_seconds * 1_000_000, lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    bucket = lambda c: micros(c) - F.pmod(micros(c), F.lit(span))
+    ends = rows.where(F.col(at).isNotNull()).groupBy(*by, bucket(at).alias("_bucket")).agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
+    of = lambda back, first, last: F.struct((F.col("_bucket") - back).alias("_bucket"), first.alias("_first"), last.alias("_last"))
+    none = F.lit(None).cast(rows.schema[at].dataType)
+    sides = ends.select(*by, F.inline(F.array(of(0, none, F.col("_last")), of(span, F.col("_first"), none))))
+    sides = staged(sides.groupBy(*by, "_bucket").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last")), "sides")
+    sides = small(sides, sides.count()).select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "_bucket"])), "_first", "_last")
+    placed = events.withColumn("_bucket", bucket(start))
+    on = [placed[c] == F.col(f"_k{i}") for i, c in enumerate([*by, "_bucket"])]
+    return placed.join(sides, [*on, (F.col("_last") >= F.col(start)) | (F.col("_first") <= F.col(stop))], "left_anti").drop("_bucket")

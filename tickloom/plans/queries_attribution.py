@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import attribution as at
-from ..operators.asof import asof_join, interval_join
+from ..operators.asof import asof_join, interval_join, unmet
 from ..operators.decompose import idio_shares
 from ..operators.islands import merge_islands
 from ..sources.market import bars, catalysts, daily, fine_bars, news, read, trades
@@ -84,9 +84,8 @@ def _(spark, d):
 
 @query("jn13_not_covered", "SELECT n.news_id FROM {news} AS n WHERE NOT EXISTS (SELECT 1 FROM {trades} AS t WHERE t.day = n.day AND t.ts BETWEEN n.ts - INTERVAL '10' MINUTE AND n.ts + INTERVAL '10' MINUTE)")
 def _(spark, d):
-    n = news(spark, d).select("news_id", "day", "ts")
-    covered = interval_join(_around(n, 10, 10), trades(spark, d).select(F.col("ts").alias("at"), F.col("day").alias("on")), "lo", "hi", "at", 1200).where("day = on")
-    return n.select("news_id").join(covered, "news_id", "left_anti")
+    n = _around(news(spark, d).select("news_id", "day", "ts"), 10, 10)
+    return unmet(n, trades(spark, d).select("day", F.col("ts").alias("at")), "lo", "hi", "at", 1200, ["day"]).select("news_id")
 
 
 @query("ag20_event_sums", f"WITH {_MAD} SELECT n.news_id, round(sum(z.ret), 6) AS ret, round(max(z.z_ret), 6) AS peak_z, round(max(z.z_vol), 6) AS peak_vol_z FROM {{news}} AS n JOIN z ON z.day = n.day AND z.ts BETWEEN n.ts - INTERVAL '60' MINUTE AND n.ts GROUP BY n.news_id")
