@@ -84,6 +84,14 @@ def test_crowded_buckets_are_cut(spark):
     assert plan.count() == 3000
 
 
+def test_cut_buckets_do_not_overlap(tape):
+    left, right, l, r = tape
+    e = l.select("id", F.col("ts").alias("start"), (F.col("ts") + F.expr("INTERVAL 400 SECONDS")).alias("stop"))
+    for width, crowd, tile in ((130, 5, None), (130, None, 50), (3600, 100, 50)):
+        got = sorted((x["id"], x["bid"]) for x in interval_join(e, r, "start", "stop", "ts", width, crowd=crowd, tile=tile).collect())
+        assert got == sorted((i, b) for i, _, t in left for _, u, b in right if t and u and t <= u <= t + dt.timedelta(seconds=400))
+
+
 def test_many_pairs_take_little_room(spark, tmp_path):
     """20,000 news of an hour in no order of time, 300 trades: 5 million pairs, in two bytes or more where each names them all."""
     ts = (F.lit(T0) + F.make_dt_interval(secs=F.pmod(F.col("id") * 7919, F.lit(3600)) * 1.0)).cast("timestamp_ntz")
