@@ -84,12 +84,12 @@ def test_crowded_buckets_are_cut(spark):
     assert plan.count() == 3000
 
 
-def test_cut_buckets_do_not_overlap(tape):
-    left, right, l, r = tape
-    e = l.select("id", F.col("ts").alias("start"), (F.col("ts") + F.expr("INTERVAL 400 SECONDS")).alias("stop"))
-    for width, crowd, tile in ((130, 5, None), (130, None, 50), (3600, 100, 50)):
-        got = sorted((x["id"], x["bid"]) for x in interval_join(e, r, "start", "stop", "ts", width, crowd=crowd, tile=tile).collect())
-        assert got == sorted((i, b) for i, _, t in left for _, u, b in right if t and u and t <= u <= t + dt.timedelta(seconds=400))
+@pytest.mark.parametrize("crowd, tile", [(5, None), (None, 50)])
+def test_cut_buckets_do_not_overlap(spark, crowd, tile):
+    r = spark.range(1200).select((F.lit(T0) + F.make_dt_interval(secs=F.col("id") * 1.0)).cast("timestamp_ntz").alias("ts"), "id")
+    e = r.select(F.col("id").alias("event"), F.col("ts").alias("start"), (F.col("ts") + F.expr("INTERVAL 400 SECONDS")).alias("stop"))
+    pairs = interval_join(e, r, "start", "stop", "ts", 190, crowd=crowd, tile=tile).select("event", "id")
+    assert pairs.count() == pairs.distinct().count() == sum(min(401, 1200 - i) for i in range(1200))
 
 
 def test_many_pairs_take_little_room(spark, tmp_path):
